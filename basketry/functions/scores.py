@@ -23,16 +23,14 @@ def product_score(
 def with_normalised_score(df: DataFrame, out: str = "score") -> DataFrame:
     """Max-normalised score ``(salesrank / max + total_reviews / max + avg_rating) / 3`` over ``df``.
 
-    The two maxima come from one global aggregate (a single row, so the join below is a broadcast of one
-    row: the size is fixed, not data dependent).
+    The two maxima are scalar subqueries: computed once by a global (map-side combined) aggregate and used
+    as values in the projection, with no join.
     """
-    maxima = df.agg(
-        F.max("salesrank").alias("_max_rank"), F.max("total_reviews").alias("_max_reviews")
-    ).withColumn("_one", F.lit(1))
-    joined = df.withColumn("_one", F.lit(1)).join(F.broadcast(maxima), "_one", "left")
+    max_rank = df.agg(F.max("salesrank")).scalar()
+    max_reviews = df.agg(F.max("total_reviews")).scalar()
     score = (
-        F.try_divide(F.col("salesrank"), F.col("_max_rank"))
-        + F.try_divide(F.col("total_reviews"), F.col("_max_reviews"))
+        F.try_divide(F.col("salesrank"), max_rank)
+        + F.try_divide(F.col("total_reviews"), max_reviews)
         + F.col("avg_rating")
     ) / F.lit(3.0)
-    return joined.withColumn(out, score).drop("_one", "_max_rank", "_max_reviews")
+    return df.withColumn(out, score)

@@ -75,10 +75,13 @@ def copurchase_edges(lineitem: DataFrame) -> DataFrame:
 
 
 def neighbours(edges: DataFrame) -> DataFrame:
-    """Both directions of every undirected edge: ``node, nbr, weight``."""
-    return edges.select(F.col("src").alias("node"), F.col("dst").alias("nbr"), "weight").unionByName(
-        edges.select(F.col("dst").alias("node"), F.col("src").alias("nbr"), "weight")
+    """Both directions of every undirected edge: ``node, nbr, weight`` (one pass over ``edges``: a union
+    of the two directions would compute the edge table twice)."""
+    both = F.array(
+        F.struct(F.col("src").alias("node"), F.col("dst").alias("nbr")),
+        F.struct(F.col("dst").alias("node"), F.col("src").alias("nbr")),
     )
+    return edges.select(F.explode(both).alias("_d"), "weight").select("_d.node", "_d.nbr", "weight")
 
 
 def similars_from_edges(edges: DataFrame, n: int = SIMILARS_PER_PRODUCT) -> DataFrame:

@@ -123,16 +123,15 @@ def sort_by_salesrank(products: DataFrame, group: str, group_col: str = "group")
 def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
     """Frequencies of a column: per value for strings, ``bins`` equal-width buckets for numbers.
 
-    Numeric form: ``bucket, lower, upper, count`` from one min/max aggregate (one row, joined by a literal
-    key) and one grouped count.
+    Numeric form: ``bucket, lower, upper, count`` from the column's min and max (scalar subqueries) and one
+    grouped count.
     """
     dtype = df.schema[column].dataType
     if not isinstance(dtype, T.NumericType):
         return row_count_by(df, column).orderBy(F.desc("count"), F.asc_nulls_last(column))
     x = F.col(column).cast("double")
-    bounds = df.agg(F.min(x).alias("_lo"), F.max(x).alias("_hi")).withColumn("_one", F.lit(1))
-    vals = df.select(x.alias("_x")).where(F.col("_x").isNotNull()).withColumn("_one", F.lit(1))
-    j = vals.join(F.broadcast(bounds), "_one")
+    lo, hi = df.agg(F.min(x)).scalar(), df.agg(F.max(x)).scalar()
+    j = df.select(x.alias("_x")).where(F.col("_x").isNotNull()).select("_x", lo.alias("_lo"), hi.alias("_hi"))
     width = (F.col("_hi") - F.col("_lo")) / F.lit(bins)
     bucket = F.when(F.col("_hi") == F.col("_lo"), F.lit(1)).otherwise(
         F.least(F.floor((F.col("_x") - F.col("_lo")) / width) + 1, F.lit(bins))

@@ -86,9 +86,13 @@ def edges(products: DataFrame, copurchase: DataFrame | None = None) -> DataFrame
 
 
 def undirected(e: DataFrame) -> DataFrame:
-    """Both directions of every edge (``src, dst`` plus any other columns)."""
-    rev = e.withColumnRenamed("src", "_t").withColumnRenamed("dst", "src").withColumnRenamed("_t", "dst")
-    return e.unionByName(rev.select(*e.columns))
+    """Both directions of every edge (``src, dst`` plus any other columns), in one pass over ``e``."""
+    rest = [c for c in e.columns if c not in ("src", "dst")]
+    both = F.array(
+        F.struct(F.col("src").alias("src"), F.col("dst").alias("dst")),
+        F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")),
+    )
+    return e.select(F.explode(both).alias("_d"), *rest).select("_d.src", "_d.dst", *rest)
 
 
 def bfs(

@@ -61,11 +61,12 @@ def profile(
     """
     columns = columns or DEFAULT_COLUMNS
     types = {c: df.schema[c].dataType.simpleString() for c in columns}
-    drawn = F.rand(seed) < F.lit(sample_fraction) if sample_fraction is not None else F.lit(None).cast("boolean")
-    total = df.select(drawn.alias("_drawn")).agg(
-        F.count(F.lit(1)).alias("dataset_size"),
-        (F.count_if("_drawn") if sample_fraction is not None else F.lit(None).cast("bigint")).alias("sample_size"),
-    ).withColumn("_one", F.lit(1))
+    dataset_size = df.agg(F.count(F.lit(1))).scalar()
+    if sample_fraction is not None:
+        drawn = df.select((F.rand(seed) < F.lit(sample_fraction)).alias("_drawn"))
+        sample_size = drawn.agg(F.count_if("_drawn")).scalar()
+    else:
+        sample_size = F.lit(None).cast("bigint")
     v = F.col("value")
     stats = _long(df, columns).groupBy("col_name").agg(
         F.count(v).alias("count"),
@@ -76,9 +77,9 @@ def profile(
         F.min(v).alias("min"),
         F.percentile_approx(v, [0.25, 0.5, 0.75], accuracy).alias("_q"),
         F.max(v).alias("max"),
-    ).withColumn("_one", F.lit(1))
+    ).select("*", dataset_size.alias("dataset_size"), sample_size.alias("sample_size"))
     dtype = F.create_map(*[x for c in columns for x in (F.lit(c), F.lit(types[c]))])
-    out = stats.join(F.broadcast(total), "_one").join(top_values(df, columns), "col_name", "left")
+    out = stats.join(top_values(df, columns), "col_name", "left")
     n, nulls = F.col("dataset_size"), F.col("_nulls")
     return out.select(
         "col_name",

@@ -64,7 +64,8 @@ def relevant_categories(
     catalogue_asins = products.select(F.col("asin").alias("similar_asin"))
     present = sims.join(catalogue_asins, "similar_asin", "left_semi")
     if not from_similars:
-        ctx = one.join(present.select(F.lit(pid).alias("id")).distinct(), "id", "left_semi")
+        # existence as a scalar count subquery: a semi-join on the literal id would plan as a nested loop
+        ctx = one.where(present.agg(F.count(F.lit(1))).scalar() > 0)
         ctx = ctx.select(*CONTEXT_COLUMNS[:-1], F.explode("categories").alias("category"))
     else:
         similar_rows = products.join(present.select(F.col("similar_asin").alias("asin")), "asin", "left_semi")
@@ -203,13 +204,13 @@ def popularity_scores(products: DataFrame, reviews: DataFrame) -> DataFrame:
     """``id, helpful_percentage, popularity_percentage, popularity_score`` per product:
     average review helpfulness × average rating × ``salesrank * 100 / max(salesrank)``.
 
-    Helpfulness is aggregated per product (map-side combined) before the join; the maximum is one global
-    row joined by a literal key.
+    Helpfulness is aggregated per product (map-side combined) before the join; the maximum sales rank is a
+    scalar subquery.
     """
     helpful = helpfulness(reviews).groupBy("id").agg(F.avg("helpful_percentage").alias("helpful_percentage"))
-    top = products.agg(F.max("salesrank").alias("_max")).withColumn("_one", F.lit(1))
-    p = products.select("id", "salesrank", "avg_rating").withColumn("_one", F.lit(1)).join(F.broadcast(top), "_one")
-    p = p.withColumn("popularity_percentage", F.try_divide(F.col("salesrank") * F.lit(100.0), F.col("_max")))
+    top = products.agg(F.max("salesrank")).scalar()
+    p = products.select("id", "salesrank", "avg_rating")
+    p = p.withColumn("popularity_percentage", F.try_divide(F.col("salesrank") * F.lit(100.0), top))
     out = p.join(helpful, "id", "left")
     return out.select(
         "id", "helpful_percentage", "popularity_percentage",

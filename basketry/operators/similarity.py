@@ -32,16 +32,14 @@ def title_matches(
     """Catalogue products whose title set is at least ``threshold`` Jaccard-similar to one product's title.
 
     ``id, asin, title, group, salesrank, total_reviews, avg_rating, similarity, category`` (one row per
-    category, as the reference's match table). The query's set is one row, joined to every catalogue row by
-    a literal key and broadcast (its size is one title's); the comparison is a built-in array expression.
-    Word tokens by default; character n-grams with ``ngram=n``.
+    category, as the reference's match table). The query's set is a scalar subquery (one product's title
+    set, computed once), so the scan of the catalogue is a single projection and filter with no join or
+    shuffle. Word tokens by default; character n-grams with ``ngram=n``.
     """
     query = products.where(F.col("id") == F.lit(int(product_id))).select(
-        F.array_distinct(F.flatten(F.collect_list(_set_of(F.col("title"), ngram)))).alias("_q")
-    ).withColumn("_one", F.lit(1))
-    scored = products.withColumn("_one", F.lit(1)).join(F.broadcast(query), "_one").withColumn(
-        "similarity", jaccard(_set_of(F.col("title"), ngram), F.col("_q"))
-    )
+        F.array_distinct(F.flatten(F.collect_list(_set_of(F.col("title"), ngram))))
+    ).scalar()
+    scored = products.withColumn("similarity", jaccard(_set_of(F.col("title"), ngram), query))
     out = scored.where(F.col("similarity") >= F.lit(threshold))
     if not include_self:
         out = out.where(F.col("id") != F.lit(int(product_id)))

@@ -166,6 +166,7 @@ pstat AS (
 
 ORACLE: dict[str, str] = {
     "products": PRODUCT_FLAT,
+    "catalog_build": PRODUCT_FLAT,
     "reviews": "SELECT * FROM reviews",
     "copurchase_edges": "SELECT src, dst, weight FROM co_edges",
     "product_categories": f"""

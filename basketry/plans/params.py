@@ -18,6 +18,5 @@ TOP_N = 5
 THRESHOLD = 0.3
 NGRAM = 3
 PATH_GROUP = "MEDIUM"
-SIMILARS_GROUP = "LARGE"
 PATH_CATEGORY = "|Brand#21|size_1"
 DIGITS = 9

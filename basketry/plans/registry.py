@@ -21,6 +21,7 @@ from basketry.operators import recommend as R
 from basketry.operators import similarity as S
 from basketry.operators.profile import profile
 from basketry.plans import params as P
+from basketry.plans.store import stored_catalog
 from basketry.session import ensure_checkpoint_dir
 from basketry.sources import dump, sinks
 
@@ -45,7 +46,8 @@ def joined(c: str, name: str | None = None) -> Column:
 
 
 def cat(spark: SparkSession, sf_dir: str) -> C.Catalog:
-    return C.from_tables(spark, sf_dir)
+    """The stored catalogue of ``sf_dir`` (built from the order tables once per session)."""
+    return stored_catalog(spark, sf_dir)
 
 
 def flat_products(p: DataFrame) -> DataFrame:
@@ -68,6 +70,12 @@ def q_products(spark, d):
     return flat_products(cat(spark, d).products)
 
 
+@query("catalog_build")
+def q_catalog_build(spark, d):
+    """The catalogue built straight from the order tables (what the store writes once)."""
+    return flat_products(C.from_tables(spark, d).products)
+
+
 @query("reviews")
 def q_reviews(spark, d):
     return cat(spark, d).reviews

@@ -1,0 +1,72 @@
+"""Driver contract (entry, queries, SQL oracle on the smallest tables) and the streaming loader."""
+
+from __future__ import annotations
+
+import math
+import os
+
+import duckdb
+
+import __spark_entry__ as E
+from basketry.streaming.ingest import start_ingest
+from tests.conftest import SF_SMALL
+from tests.test_dump_reader import PREAMBLE, RECORD_1, RECORD_2, RECORD_3, RECORD_4, write
+
+TABLES = ["part", "orders", "lineitem"]
+ROWS_ONLY = {"sample_size", "sample_rows", "profile"}
+
+
+def norm(v):
+    if v is None:
+        return ""
+    if isinstance(v, float):
+        return "nan" if math.isnan(v) else f"{round(v, 6):.6f}"
+    return str(v)
+
+
+def canon(cols, rows):
+    order = sorted(range(len(cols)), key=lambda i: cols[i])
+    return sorted(tuple(norm(r[i]) for i in order) for r in rows)
+
+
+def test_entry(spark):
+    df = E.entry(spark)
+    assert df.columns == ["asin", "title", "score"]
+    assert 0 < df.count() <= 5
+
+
+def test_every_query_has_sql_or_is_sampled():
+    assert set(E.queries()) - set(E.oracle_sql()) == ROWS_ONLY
+    assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_queries_match_sql(spark):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_SMALL}/{t}.parquet')")
+    sqls = E.oracle_sql()
+    for name, fn in E.queries().items():
+        df = fn(spark, SF_SMALL)
+        rows = [tuple(r) for r in df.collect()]
+        if name in ROWS_ONLY:
+            continue
+        res = con.execute(sqls[name])
+        cols = [d[0] for d in res.description]
+        assert sorted(cols) == sorted(df.columns), name
+        assert canon(df.columns, rows) == canon(cols, res.fetchall()), name
+
+
+def test_streaming_ingest(spark, scratch):
+    src = os.path.join(scratch, "in")
+    os.makedirs(src)
+    write(os.path.join(src, "a.txt"), PREAMBLE + RECORD_1 + "\n" + RECORD_2)
+    write(os.path.join(src, "b.txt"), RECORD_3 + "\n" + RECORD_4, crlf=True)
+    out, ckpt = os.path.join(scratch, "out"), os.path.join(scratch, "ckpt")
+    q = start_ingest(spark, src, out, ckpt)
+    q.awaitTermination(120)
+    assert sorted(r.id for r in spark.read.parquet(f"{out}/products").collect()) == [1, 2, 3, 4]
+    assert spark.read.parquet(f"{out}/reviews").count() == 3
+    # a second run over the same files adds nothing (the checkpoint remembers them)
+    q = start_ingest(spark, src, out, ckpt)
+    q.awaitTermination(120)
+    assert spark.read.parquet(f"{out}/products").count() == 4
