@@ -121,7 +121,10 @@ def bfs(
     e = e.select("src", "dst")
     if not directed:
         e = undirected(e)
-    adj = e.where(F.col("src") != F.col("dst")).distinct().persist()
+    # partitioned by src once and kept: each hop's join shuffles only the frontier (or broadcasts it when AQE
+    # measures it small), never the edge table again; the distinct reuses the same partitioning
+    n_parts = int(edge_df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    adj = e.where(F.col("src") != F.col("dst")).repartition(n_parts, "src").distinct().persist()
     try:
         frontier = sources.select("id").distinct().withColumn("depth", F.lit(0)).checkpoint()
         levels = [frontier]
@@ -133,10 +136,9 @@ def bfs(
                     return hit
             if max_depth is not None and depth >= max_depth:
                 break
-            seen = levels if directed else levels[-2:]
+            seen = reduce(DataFrame.unionByName, [lvl.select("id") for lvl in (levels if directed else levels[-2:])])
             nxt = frontier.join(adj, frontier.id == adj.src).select(F.col("dst").alias("id")).distinct()
-            for lvl in seen:
-                nxt = nxt.join(lvl.select("id"), "id", "left_anti")
+            nxt = nxt.join(seen, "id", "left_anti")
             depth += 1
             nxt = nxt.withColumn("depth", F.lit(depth)).checkpoint()
             if nxt.isEmpty():

@@ -47,10 +47,13 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the session's checkpoint folder; only when none is set (tests, local runs) make a scratch one."""
+    """Use the session's checkpoint folder; only a local-mode session without one (tests, local runs) gets a
+    scratch folder. On a cluster a machine-local folder would not survive a lost executor, so it is an error."""
     current = checkpoint_dir(spark)
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local"):
+        return require_checkpoint_dir(spark)
     scratch = tempfile.mkdtemp(prefix="basketry-ckpt-")
     spark.sparkContext.setCheckpointDir(scratch)
     return spark.sparkContext.getCheckpointDir()
