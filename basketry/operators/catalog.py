@@ -147,11 +147,15 @@ def from_tables(spark: SparkSession, sf_dir: str) -> Catalog:
 
 
 def product_categories(products: DataFrame) -> DataFrame:
-    """Catalogue × category: one row per (product, category path), distinct."""
+    """Catalogue × category: one row per (product, category path).
+
+    Product rows are unique by id, so deduplicating the categories inside each row gives distinct rows with
+    no shuffle (a ``distinct()`` over the exploded catalogue would reshuffle it for every request).
+    """
     return products.select(
         "id", "asin", "title", "group", "salesrank", "total_reviews", "avg_rating",
-        F.explode("categories").alias("category"),
-    ).distinct()
+        F.explode(F.array_distinct("categories")).alias("category"),
+    )
 
 
 def product_similars(products: DataFrame) -> DataFrame:

@@ -161,15 +161,31 @@ def distinct_titles(products: DataFrame) -> DataFrame:
     return products.select("id", "title").distinct()
 
 
-def sample(df: DataFrame, fraction: float = 0.1, seed: int = 42) -> DataFrame:
-    """Bernoulli sample without replacement; a seed is required for a repeatable answer."""
-    return df.sample(withReplacement=False, fraction=fraction, seed=seed)
+# Fixed value: resolution of the hash-based sample draw.
+SAMPLE_BUCKETS = 1 << 30
+
+
+def drawn(df: DataFrame, fraction: float, seed: int, columns: list[str] | None = None) -> Column:
+    """Bernoulli draw from a hash of the row's values and the seed.
+
+    ``rand(seed)`` depends on how rows happen to be split into partitions, so the same seed can give another
+    sample after a re-read or a retried task; a hash of the row repeats exactly (identical rows are drawn
+    together).
+    """
+    cols = [F.col(f"`{c}`") for c in (columns or df.columns)]
+    h = F.pmod(F.xxhash64(F.lit(int(seed)), *cols), F.lit(SAMPLE_BUCKETS))
+    return h < F.lit(int(fraction * SAMPLE_BUCKETS))
+
+
+def sample(df: DataFrame, fraction: float = 0.1, seed: int = 42, columns: list[str] | None = None) -> DataFrame:
+    """Bernoulli sample without replacement, repeatable for a seed whatever the partitioning."""
+    return df.where(drawn(df, fraction, seed, columns))
 
 
 def sample_size(df: DataFrame, fraction: float = 0.1, seed: int = 42) -> DataFrame:
     """One row: ``dataset_size`` and the size of a Bernoulli sample of it."""
-    drawn = df.select((F.rand(seed) < F.lit(fraction)).alias("_drawn"))
-    return drawn.agg(F.count(F.lit(1)).alias("dataset_size"), F.count_if("_drawn").alias("sample_size"))
+    d = df.select(drawn(df, fraction, seed).alias("_drawn"))
+    return d.agg(F.count(F.lit(1)).alias("dataset_size"), F.count_if("_drawn").alias("sample_size"))
 
 
 def not_null(df: DataFrame, column: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketry.functions.ranking import top_n_per_group
+from basketry.operators.explore import drawn
 
 # The reference profile's default columns, quantile error, top-value count and sample share.
 DEFAULT_COLUMNS = ["salesrank", "total_reviews", "avg_rating"]
@@ -63,8 +64,8 @@ def profile(
     types = {c: df.schema[c].dataType.simpleString() for c in columns}
     dataset_size = df.agg(F.count(F.lit(1))).scalar()
     if sample_fraction is not None:
-        drawn = df.select((F.rand(seed) < F.lit(sample_fraction)).alias("_drawn"))
-        sample_size = drawn.agg(F.count_if("_drawn")).scalar()
+        picked = df.select(drawn(df, sample_fraction, seed).alias("_drawn"))
+        sample_size = picked.agg(F.count_if("_drawn")).scalar()
     else:
         sample_size = F.lit(None).cast("bigint")
     v = F.col("value")
