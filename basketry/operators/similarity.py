@@ -39,7 +39,9 @@ def title_matches(
     query = products.where(F.col("id") == F.lit(int(product_id))).select(
         F.array_distinct(F.flatten(F.collect_list(_set_of(F.col("title"), ngram))))
     ).scalar()
-    scored = products.withColumn("similarity", jaccard(_set_of(F.col("title"), ngram), query))
+    # the query set and each title's set are projected once, then compared (one subquery reference)
+    sets = products.withColumn("_q", query).withColumn("_t", _set_of(F.col("title"), ngram))
+    scored = sets.withColumn("similarity", jaccard("_t", "_q"))
     out = scored.where(F.col("similarity") >= F.lit(threshold))
     if not include_self:
         out = out.where(F.col("id") != F.lit(int(product_id)))

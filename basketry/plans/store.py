@@ -17,11 +17,11 @@ from basketry.operators.catalog import (
 )
 from basketry.session import ensure_checkpoint_dir
 
-_STORED: dict[tuple[int, str], Catalog] = {}
+_STORED: dict[tuple[str, str], Catalog] = {}
 
 
-def _session_key(spark: SparkSession, sf_dir: str) -> tuple[int, str]:
-    return (id(spark.sparkContext._jsc), sf_dir)
+def _session_key(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    return (spark.sparkContext.applicationId, sf_dir)
 
 
 def _by_id(df, n: int):
