@@ -94,13 +94,24 @@ def similars_from_edges(edges: DataFrame, n: int = SIMILARS_PER_PRODUCT) -> Data
     )
 
 
-def products_from_tables(part: DataFrame, lineitem: DataFrame, edges: DataFrame) -> DataFrame:
-    """Product rows from parts: group = part type, two category paths, sales rank by quantity sold."""
-    stats = lineitem.groupBy(F.col("l_partkey").alias("id")).agg(
+def part_stats(lineitem: DataFrame) -> DataFrame:
+    """Per part: quantity sold (``_qty``), review count and average rating (one map-side combined aggregate)."""
+    return lineitem.groupBy(F.col("l_partkey").alias("id")).agg(
         F.sum("l_quantity").alias("_qty"),
         F.count(F.lit(1)).alias("total_reviews"),
         F.avg(F.lit(1) + (F.col("l_orderkey") + F.col("l_linenumber")) % RATING_LEVELS).alias("avg_rating"),
     )
+
+
+def products_from_tables(
+    part: DataFrame, lineitem: DataFrame, edges: DataFrame, stats: DataFrame | None = None
+) -> DataFrame:
+    """Product rows from parts: group = part type, two category paths, sales rank by quantity sold.
+
+    ``stats`` (``part_stats``) may be given already stored: the rank reads it twice, and a stored copy keeps
+    the line items from being aggregated more than once.
+    """
+    stats = part_stats(lineitem) if stats is None else stats
     ranks = dense_rank_values(stats, "_qty", "_rank")
     stats = stats.join(ranks, "_qty", "left")
     cats = F.array(

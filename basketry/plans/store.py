@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import SparkSession
 
 from basketry.operators.catalog import (
-    Catalog, copurchase_edges, load_tables, products_from_tables, reviews_from_tables,
+    Catalog, copurchase_edges, load_tables, part_stats, products_from_tables, reviews_from_tables,
 )
 from basketry.session import ensure_checkpoint_dir
 
@@ -29,12 +29,15 @@ def _by_id(df, n: int):
 
 
 def build_and_write(spark: SparkSession, sf_dir: str, path: str) -> None:
-    """Edges first; products are then built from the stored edges, so the self-join runs once."""
+    """Edges and per-part aggregates first; products are then built from the stored copies, so the line
+    items are self-joined once and aggregated once."""
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     t = load_tables(spark, sf_dir, "part", "orders", "lineitem")
     copurchase_edges(t["lineitem"]).write.mode("overwrite").parquet(f"{path}/edges")
+    part_stats(t["lineitem"]).write.mode("overwrite").parquet(f"{path}/part_stats")
     edges = spark.read.parquet(f"{path}/edges")
-    _by_id(products_from_tables(t["part"], t["lineitem"], edges), n).write.mode("overwrite").parquet(
+    stats = spark.read.parquet(f"{path}/part_stats")
+    _by_id(products_from_tables(t["part"], t["lineitem"], edges, stats), n).write.mode("overwrite").parquet(
         f"{path}/products")
     _by_id(reviews_from_tables(t["lineitem"], t["orders"]), n).write.mode("overwrite").parquet(f"{path}/reviews")
 
