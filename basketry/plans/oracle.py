@@ -278,6 +278,10 @@ pp AS (SELECT p.id, p.avg_rating, h.h, p.salesrank * 100.0 / mx.ms AS pop
 SELECT id, round(h, {D}) AS helpful_percentage, round(pop, {D}) AS popularity_percentage,
        round(h * avg_rating * pop, {D}) AS popularity_score
 FROM pp""",
+    "product_context_row": f"""
+SELECT id, asin, title, "group", array_to_string(similars, ',') AS similars,
+       array_to_string(categories, ',') AS categories
+FROM products WHERE id = {P.PRODUCT_ID}""",
     "product_context_similars": f"""
 SELECT id, asin, title, "group", unnest(similars) AS similar_asin FROM products WHERE id = {P.PRODUCT_ID}""",
     "product_context_categories": f"""

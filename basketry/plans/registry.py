@@ -321,6 +321,12 @@ def q_popularity(spark, d):
                                                              rnd("popularity_percentage"), rnd("popularity_score"))
 
 
+@query("product_context_row")
+def q_context_row(spark, d):
+    row = C.product_context(cat(spark, d).products, P.PRODUCT_ID)[0]
+    return row.select("id", "asin", "title", "group", joined("similars"), joined("categories"))
+
+
 @query("product_context_similars")
 def q_context_similars(spark, d):
     return C.product_context(cat(spark, d).products, P.PRODUCT_ID)[1]

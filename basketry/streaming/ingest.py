@@ -25,12 +25,16 @@ def record_stream(spark: SparkSession, input_dir: str, max_files_per_trigger: in
 def start_ingest(
     spark: SparkSession, input_dir: str, output_dir: str, checkpoint_dir: str, available_now: bool = True
 ) -> StreamingQuery:
-    """Append parsed products to ``output_dir/products`` and reviews to ``output_dir/reviews``."""
+    """Parsed products go to ``output_dir/products/batch=<id>`` and reviews to ``output_dir/reviews/batch=<id>``.
+
+    A retried micro-batch (a lost executor, a restarted query) overwrites its own folder, so the tables hold
+    every record exactly once; readers see one table with a ``batch`` partition column.
+    """
     records = record_stream(spark, input_dir)
 
-    def write_batch(batch: DataFrame, _epoch: int) -> None:
-        dump.parse_products(batch).write.mode("append").parquet(f"{output_dir}/products")
-        dump.parse_reviews(batch).write.mode("append").parquet(f"{output_dir}/reviews")
+    def write_batch(batch: DataFrame, epoch: int) -> None:
+        dump.parse_products(batch).write.mode("overwrite").parquet(f"{output_dir}/products/batch={epoch}")
+        dump.parse_reviews(batch).write.mode("overwrite").parquet(f"{output_dir}/reviews/batch={epoch}")
 
     writer = records.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint_dir)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
