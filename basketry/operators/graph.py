@@ -121,10 +121,11 @@ def bfs(
     e = e.select("src", "dst")
     if not directed:
         e = undirected(e)
-    # partitioned by src once and kept: each hop's join shuffles only the frontier (or broadcasts it when AQE
-    # measures it small), never the edge table again; the distinct reuses the same partitioning
-    n_parts = int(edge_df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    adj = e.where(F.col("src") != F.col("dst")).repartition(n_parts, "src").distinct().persist()
+    # Kept hash-distributed on (src, dst), not on src: a hub vertex (a group holds a sixth of all products)
+    # then spreads over every partition. A small frontier is broadcast by AQE and the edges are only
+    # scanned; a large one is a sort-merge join of two shuffle stages, which AQE can split when a hub is hot
+    # (a cached side partitioned by src could not be split).
+    adj = e.where(F.col("src") != F.col("dst")).distinct().persist()
     try:
         frontier = sources.select("id").distinct().withColumn("depth", F.lit(0)).checkpoint()
         levels = [frontier]
