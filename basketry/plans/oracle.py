@@ -174,6 +174,8 @@ SELECT id, asin, title, "group", salesrank, total_reviews, round(avg_rating, {D}
 FROM pc""",
     "parse_products": PRODUCT_FLAT,
     "parse_reviews": "SELECT * FROM reviews",
+    "parse_products_file": PRODUCT_FLAT,
+    "edge_list_file": "SELECT src, dst, weight FROM co_edges",
     "adjacency": """
 SELECT node AS src, 0 AS chunk, string_agg(CAST(nbr AS VARCHAR), ',' ORDER BY nbr) AS dst_list
 FROM nbrs GROUP BY node""",

@@ -136,6 +136,32 @@ def q_parse_reviews(spark, d):
     return dump.parse_reviews(dump.clean_records(review_records(cat(spark, d).reviews)))
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the session's checkpoint folder (shared on a cluster)."""
+    import uuid
+
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("parse_products_file")
+def q_parse_products_file(spark, d):
+    """Products written as a dump text file (one record per product) and read back by the record scan."""
+    path = scratch_path(spark, "dump")
+    product_records(cat(spark, d).products).write.text(path)
+    return flat_products(dump.read_products(spark, path))
+
+
+@query("edge_list_file")
+def q_edge_list_file(spark, d):
+    """Co-purchase edges written as a tab-separated edge list (a pair repeated per co-purchase, both
+    directions), read back and folded into weighted undirected edges."""
+    path = scratch_path(spark, "edges")
+    e = cat(spark, d).edges
+    lines = e.select(F.explode(F.array_repeat(F.struct("src", "dst"), F.col("weight").cast("int"))).alias("p"))
+    lines.select(F.concat_ws("\t", F.col("p.src").cast("string"), F.col("p.dst").cast("string"))).write.text(path)
+    return dump.undirected_edges(dump.read_edge_list(spark, path))
+
+
 @query("adjacency")
 def q_adjacency(spark, d):
     adj = C.adjacency(cat(spark, d).edges, directed=False)
