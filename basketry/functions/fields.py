@@ -58,17 +58,31 @@ def category_columns(arr: Column, n: int = N_CATEGORY_COLUMNS) -> list[Column]:
     return [F.get(arr, i).alias(f"category_{i + 1}") for i in range(n)]
 
 
+def review_lines(value: Column) -> Column:
+    """Every review line of a record, found in one pass over the record."""
+    return F.regexp_extract_all(value, F.lit(REVIEW_PATTERN), 0)
+
+
+def review_fields(line: Column) -> list[Column]:
+    """``date, customer, rating, votes, helpful`` of one review line.
+
+    The line has already matched ``REVIEW_PATTERN``, so after its leading blanks it is exactly
+    ``date cutomer: C rating: R votes: V helpful: H`` separated by blanks: one split reads every field.
+    """
+    parts = F.split(F.btrim(line, F.lit(" \t")), r"[ \t]+")
+    return [
+        F.try_to_date(F.get(parts, 0)).alias("date"),
+        F.get(parts, 2).alias("customer"),
+        F.get(parts, 4).try_cast("int").alias("rating"),
+        F.get(parts, 6).try_cast("int").alias("votes"),
+        F.get(parts, 8).try_cast("int").alias("helpful"),
+    ]
+
+
 def reviews(value: Column) -> Column:
-    """All review lines of a record as ``array<struct<date, customer, rating, votes, helpful>>``."""
-    groups = [F.regexp_extract_all(value, F.lit(REVIEW_PATTERN), i) for i in range(1, 6)]
-    dates, customers, ratings, votes, helpful = groups
-    return F.transform(
-        dates,
-        lambda d, i: F.struct(
-            F.try_to_date(d).alias("date"),
-            F.get(customers, i).alias("customer"),
-            F.get(ratings, i).try_cast("int").alias("rating"),
-            F.get(votes, i).try_cast("int").alias("votes"),
-            F.get(helpful, i).try_cast("int").alias("helpful"),
-        ),
-    )
+    """All review lines of a record as ``array<struct<date, customer, rating, votes, helpful>>``.
+
+    Linear in the record: the lines are found once and each element is parsed from its own line (a lambda
+    reading the whole record per element would rescan it once per review).
+    """
+    return F.transform(review_lines(value), lambda line: F.struct(*review_fields(line)))

@@ -148,3 +148,17 @@ def test_text_scan(spark, scratch):
     path = os.path.join(scratch, "dump.txt")
     write(path, RECORD_2)
     assert dump.read_text(spark, path).count() == 3
+
+
+def test_record_with_many_reviews(spark, scratch):
+    lines = "".join(f"    2001-{1 + i % 12}-{1 + i % 28}  cutomer: C{i}  rating: {1 + i % 5}  votes: {i % 9}  helpful: {i % 4}\n"
+                    for i in range(3000))
+    path = os.path.join(scratch, "dump.txt")
+    write(path, RECORD_2 + "\n" + RECORD_1.split("  reviews:")[0] + "  reviews: total: 3000  downloaded: 3000  avg rating: 3\n" + lines)
+    reviews = dump.read_reviews(spark, path)
+    assert reviews.count() == 3000
+    assert reviews.where("customer = 'C2999' AND rating = 5 AND votes = 2 AND helpful = 3").count() == 1
+    from pyspark.sql import functions as F
+    from basketry.functions import fields
+    nested = dump.read_records(spark, path).select(F.size(fields.reviews(F.col("value"))).alias("n")).collect()
+    assert sorted(r.n for r in nested) == [0, 3000]
