@@ -13,9 +13,14 @@ EPS = 1e-9
 
 
 def char_ngrams(text: str | Column, n: int = 3) -> Column:
-    """Distinct lower-cased character n-grams; a text shorter than n is its own single gram."""
+    """Distinct lower-cased character n-grams; a text shorter than n is its own single gram.
+
+    A zero-width lookahead match at every position captures the n characters that follow it, so one
+    linear regex pass yields all overlapping grams (a lambda over positions would recompute the text for
+    every gram).
+    """
     t = F.lower(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
-    grams = F.transform(F.sequence(F.lit(1), F.length(t) - F.lit(n - 1)), lambda i: F.substring(t, i, n))
+    grams = F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{int(n)}}}))"), 1)
     return F.when(F.length(t) == 0, F.array().cast("array<string>")).when(
         F.length(t) < n, F.array(t)
     ).otherwise(F.array_distinct(grams))
