@@ -87,8 +87,13 @@ def pooled_similarity(products: DataFrame) -> DataFrame:
     return scored.unionByName(missing)
 
 
+# Fixed value: default bound on one side of a salted prefix-token join bucket.
+MAX_POSTINGS_PER_TASK = 2000
+
+
 def similar_title_pairs(
-    products: DataFrame, threshold: float = DEFAULT_THRESHOLD, ngram: int | None = None
+    products: DataFrame, threshold: float = DEFAULT_THRESHOLD, ngram: int | None = None,
+    max_postings: int = MAX_POSTINGS_PER_TASK,
 ) -> DataFrame:
     """All pairs of distinct titles with set Jaccard >= ``threshold``: ``title_a < title_b, similarity``.
 
@@ -96,6 +101,10 @@ def similar_title_pairs(
     matches); each set is ordered by global token frequency (rarest first) and only its prefix of
     ``|s| - ceil(t·|s|) + 1`` tokens is joined — two sets with Jaccard >= t must share a prefix token; a
     length filter ``t·|a| <= |b| <= |a|/t`` prunes more; every candidate is verified exactly.
+
+    A prefix token shared by many titles is salted: its postings are split into ``ceil(postings /
+    max_postings)`` buckets by a hash of the title on one side and replicated to every bucket on the other,
+    so each pair is still generated exactly once but no task holds a hot token's whole posting list.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
@@ -116,8 +125,13 @@ def similar_title_pairs(
     prefix = ordered.select("title", "n", F.explode(F.slice("_ord", 1, plen)).alias("_e")).select(
         "title", "n", F.col("_e.tok").alias("tok")
     )
-    a, b = prefix.alias("a"), prefix.alias("b")
-    cands = a.join(b, F.col("a.tok") == F.col("b.tok")).where(
+    postings = prefix.groupBy("tok").agg(
+        F.ceil(F.count(F.lit(1)) / F.lit(int(max_postings))).cast("int").alias("_k")
+    )
+    salted = prefix.join(postings, "tok")
+    a = salted.select("title", "n", "tok", F.pmod(F.xxhash64("title"), F.col("_k")).cast("int").alias("salt")).alias("a")
+    b = salted.select("title", "n", "tok", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("salt")).alias("b")
+    cands = a.join(b, (F.col("a.tok") == F.col("b.tok")) & (F.col("a.salt") == F.col("b.salt"))).where(
         (F.col("a.title") < F.col("b.title"))
         & (F.col("b.n") >= F.lit(t) * F.col("a.n") - F.lit(EPS))
         & (F.col("b.n") <= F.col("a.n") / F.lit(t) + F.lit(EPS))
