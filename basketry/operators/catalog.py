@@ -37,6 +37,9 @@ class Catalog:
     products: DataFrame
     reviews: DataFrame
     edges: DataFrame
+    # catalogue x category, partitioned by ``cat_bucket`` (stored catalogues only; see ``category_bucket``)
+    categories: DataFrame | None = None
+    category_buckets: int = 1
 
 
 def asin_of(key) -> F.Column:
@@ -169,6 +172,29 @@ def product_categories(products: DataFrame) -> DataFrame:
     )
 
 
+# Rows per category bucket of the stored catalogue x category table, and the most buckets.
+ROWS_PER_BUCKET = 2_000_000
+MAX_BUCKETS = 8192
+
+
+def buckets_for(n_rows: int) -> int:
+    """Bucket count that grows with the table: one bucket per ``ROWS_PER_BUCKET`` rows."""
+    return max(1, min(MAX_BUCKETS, -(-int(n_rows) // ROWS_PER_BUCKET)))
+
+
+def category_bucket(category, buckets: int) -> F.Column:
+    """Hash bucket of a category path: the partition column of the stored catalogue x category table, so a
+    request that names a few categories reads only their buckets (dynamic partition pruning)."""
+    c = F.col(category) if isinstance(category, str) else category
+    return F.pmod(F.xxhash64(c), F.lit(int(buckets))).cast("int")
+
+
+def bucketed_product_categories(products: DataFrame, buckets: int) -> DataFrame:
+    """``product_categories`` plus its ``cat_bucket``."""
+    pc = product_categories(products)
+    return pc.withColumn("cat_bucket", category_bucket("category", buckets))
+
+
 def product_similars(products: DataFrame) -> DataFrame:
     """One row per (product, similar asin)."""
     return products.select("id", "asin", "title", "group", F.explode("similars").alias("similar_asin"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from basketry.functions.ranking import top_n_per_group
 from basketry.functions.scores import product_score
-from basketry.operators.catalog import product_categories
+from basketry.operators.catalog import category_bucket, product_categories
 from basketry.operators.explore import helpfulness, in_folded
 from basketry.operators.similarity import title_matches
 
@@ -81,9 +81,18 @@ def restrict_categories(context: DataFrame, categories: list[str] | str | None)
     return context.where(in_folded(F.trim(F.col("category")), [c.strip() for c in wanted]))
 
 
-def _in_categories(products: DataFrame, categories: DataFrame) -> DataFrame:
-    """Catalogue × category rows whose category is in ``categories`` (a semi-join, no collected list)."""
-    return product_categories(products).join(categories.select("category").distinct(), "category", "left_semi")
+def _in_categories(products: DataFrame, categories: DataFrame, stored=None) -> DataFrame:
+    """Catalogue × category rows whose category is in ``categories`` (a semi-join, no collected list).
+
+    With ``stored`` (a stored ``Catalog`` whose catalogue × category table is partitioned by ``cat_bucket``),
+    the join also matches the bucket, so dynamic partition pruning reads only the requested categories'
+    buckets instead of the whole catalogue.
+    """
+    wanted = categories.select("category").distinct()
+    if stored is None or stored.categories is None:
+        return product_categories(products).join(wanted, "category", "left_semi")
+    wanted = wanted.withColumn("cat_bucket", category_bucket("category", stored.category_buckets))
+    return stored.categories.join(wanted, ["category", "cat_bucket"], "left_semi").drop("cat_bucket")
 
 
 def _scored(df: DataFrame) -> DataFrame:
@@ -92,23 +101,23 @@ def _scored(df: DataFrame) -> DataFrame:
 
 def recommend_by_category(
     products: DataFrame, product_id, group: str | None = None, categories: list[str] | str | None = None,
-    top_n: int = DEFAULT_TOP_N, from_similars: bool = False,
+    top_n: int = DEFAULT_TOP_N, from_similars: bool = False, stored=None,
 ) -> DataFrame:
     """Products that share a relevant category with the request, best score first (input excluded)."""
     pid = _require_id(product_id)
     context = restrict_categories(relevant_categories(products, pid, group, from_similars), categories)
-    cands = _in_categories(products, context).where(F.col("id") != F.lit(pid))
+    cands = _in_categories(products, context, stored).where(F.col("id") != F.lit(pid))
     return top_scored(_scored(cands), top_n)
 
 
 def recommend_with_chosen_categories(
     products: DataFrame, product_id, group: str, categories: list[str] | str, top_n: int = DEFAULT_TOP_N,
-    from_similars: bool = False,
+    from_similars: bool = False, stored=None,
 ) -> DataFrame:
     """Relevant-category products of ``group`` plus every catalogue product of the chosen categories."""
     pid = _require_id(product_id)
     context = relevant_categories(products, pid, group, from_similars)
-    in_context = _in_categories(products, context).where(F.col("group") == F.lit(group))
+    in_context = _in_categories(products, context, stored).where(F.col("group") == F.lit(group))
     chosen = [categories] if isinstance(categories, str) else list(categories)
     in_chosen = product_categories(products).where(in_folded(F.trim(F.col("category")), [c.strip() for c in chosen]))
     cands = in_context.unionByName(in_chosen).where(F.col("id") != F.lit(pid))
@@ -118,12 +127,13 @@ def recommend_with_chosen_categories(
 def recommend_by_category_and_title(
     products: DataFrame, product_id, group: str | None = None, categories: list[str] | str | None = None,
     top_n: int = DEFAULT_TOP_N, threshold: float = TITLE_THRESHOLD, from_similars: bool = False,
+    stored=None,
 ) -> DataFrame:
     """Relevant-category products plus products whose title is at least ``threshold`` similar to the
     request's title (token Jaccard), best score first."""
     pid = _require_id(product_id)
     context = restrict_categories(relevant_categories(products, pid, group, from_similars), categories)
-    by_category = _in_categories(products, context).select("id", "asin", "title", "salesrank", "total_reviews",
+    by_category = _in_categories(products, context, stored).select("id", "asin", "title", "salesrank", "total_reviews",
                                                             "avg_rating")
     by_title = title_matches(products, pid, threshold).select("id", "asin", "title", "salesrank",
                                                                "total_reviews", "avg_rating")
@@ -133,13 +143,14 @@ def recommend_by_category_and_title(
 
 def recommend_with_requested_category(
     products: DataFrame, product_id, group: str | None, category: str, top_n: int = DEFAULT_TOP_N,
+    stored=None,
 ) -> DataFrame:
     """Relevant categories plus one requested category appended as a row, then as
     ``recommend_by_category``."""
     pid = _require_id(product_id)
     context = relevant_categories(products, pid, group).select("category")
     requested = products.sparkSession.createDataFrame([(category.strip(),)], "category string")
-    cands = _in_categories(products, context.unionByName(requested)).where(F.col("id") != F.lit(pid))
+    cands = _in_categories(products, context.unionByName(requested), stored).where(F.col("id") != F.lit(pid))
     return top_scored(_scored(cands), top_n)
 
 

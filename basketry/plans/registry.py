@@ -384,31 +384,36 @@ def q_relevant_similars(spark, d):
 
 @query("recommend_by_category")
 def q_rec_category(spark, d):
-    return top_out(R.recommend_by_category(cat(spark, d).products, P.PRODUCT_ID, None, None, P.TOP_N))
+    c = cat(spark, d)
+    return top_out(R.recommend_by_category(c.products, P.PRODUCT_ID, None, None, P.TOP_N, stored=c))
 
 
 @query("recommend_restricted")
 def q_rec_restricted(spark, d):
-    p = cat(spark, d).products
-    return top_out(R.recommend_by_category(p, P.PRODUCT_ID, None, [P.CATEGORY.lower()], P.TOP_N))
+    c = cat(spark, d)
+    return top_out(R.recommend_by_category(c.products, P.PRODUCT_ID, None, [P.CATEGORY.lower()], P.TOP_N,
+                                           stored=c))
 
 
 @query("recommend_with_chosen_categories")
 def q_rec_chosen(spark, d):
-    p = cat(spark, d).products
-    return top_out(R.recommend_with_chosen_categories(p, P.PRODUCT_ID, P.GROUP, P.CHOSEN_CATEGORIES, P.TOP_N))
+    c = cat(spark, d)
+    return top_out(R.recommend_with_chosen_categories(c.products, P.PRODUCT_ID, P.GROUP, P.CHOSEN_CATEGORIES,
+                                                      P.TOP_N, stored=c))
 
 
 @query("recommend_by_category_and_title")
 def q_rec_title(spark, d):
-    p = cat(spark, d).products
-    return top_out(R.recommend_by_category_and_title(p, P.PRODUCT_ID, None, None, P.TOP_N, P.THRESHOLD))
+    c = cat(spark, d)
+    return top_out(R.recommend_by_category_and_title(c.products, P.PRODUCT_ID, None, None, P.TOP_N, P.THRESHOLD,
+                                                     stored=c))
 
 
 @query("recommend_with_requested_category")
 def q_rec_requested(spark, d):
-    p = cat(spark, d).products
-    return top_out(R.recommend_with_requested_category(p, P.PRODUCT_ID, None, P.REQUESTED_CATEGORY, P.TOP_N))
+    c = cat(spark, d)
+    return top_out(R.recommend_with_requested_category(c.products, P.PRODUCT_ID, None, P.REQUESTED_CATEGORY,
+                                                       P.TOP_N, stored=c))
 
 
 @query("similar_products")

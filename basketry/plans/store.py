@@ -14,7 +14,8 @@ import uuid
 from pyspark.sql import SparkSession
 
 from basketry.operators.catalog import (
-    Catalog, copurchase_edges, load_tables, part_stats, products_from_tables, reviews_from_tables,
+    Catalog, bucketed_product_categories, buckets_for, copurchase_edges, load_tables, part_stats,
+    products_from_tables, reviews_from_tables,
 )
 from basketry.session import ensure_checkpoint_dir
 
@@ -29,7 +30,7 @@ def _by_id(df, n: int):
     return df.repartitionByRange(n, "id").sortWithinPartitions("id")
 
 
-def build_and_write(spark: SparkSession, sf_dir: str, path: str) -> None:
+def build_and_write(spark: SparkSession, sf_dir: str, path: str) -> int:
     """Edges and per-part aggregates first; products are then built from the stored copies, so the line
     items are self-joined once and aggregated once."""
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -40,23 +41,38 @@ def build_and_write(spark: SparkSession, sf_dir: str, path: str) -> None:
     stats = spark.read.parquet(f"{path}/part_stats")
     _by_id(products_from_tables(t["part"], t["lineitem"], edges, stats), n).write.mode("overwrite").parquet(
         f"{path}/products")
+    # catalogue x category by category bucket; the range on (bucket, id) spreads a hot category's bucket over
+    # many tasks while each task writes into few bucket folders
+    products = spark.read.parquet(f"{path}/products")
+    buckets = buckets_for(products.count())  # a footer count; the bucket count grows with the catalogue
+    bucketed_product_categories(products, buckets).repartitionByRange(n, "cat_bucket", "id").write.mode(
+        "overwrite").partitionBy("cat_bucket").parquet(f"{path}/product_categories")
     # reviews are line-item sized and only ever scanned whole or joined, so they are written as the join
     # produces them: a global range sort of the largest table would buy nothing
     reviews_from_tables(t["lineitem"], t["orders"]).write.mode("overwrite").parquet(f"{path}/reviews")
+    return buckets
 
 
-def write_catalog(c: Catalog, path: str) -> None:
-    n = int(c.products.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def write_catalog(c: Catalog, path: str) -> int:
+    spark = c.products.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     c.edges.write.mode("overwrite").parquet(f"{path}/edges")
     _by_id(c.products, n).write.mode("overwrite").parquet(f"{path}/products")
+    buckets = buckets_for(spark.read.parquet(f"{path}/products").count())
+    bucketed_product_categories(spark.read.parquet(f"{path}/products"), buckets).repartitionByRange(
+        n, "cat_bucket", "id").write.mode("overwrite").partitionBy("cat_bucket").parquet(
+        f"{path}/product_categories")
     c.reviews.write.mode("overwrite").parquet(f"{path}/reviews")
+    return buckets
 
 
-def read_catalog(spark: SparkSession, path: str) -> Catalog:
+def read_catalog(spark: SparkSession, path: str, category_buckets: int) -> Catalog:
     return Catalog(
         products=spark.read.parquet(f"{path}/products"),
         reviews=spark.read.parquet(f"{path}/reviews"),
         edges=spark.read.parquet(f"{path}/edges"),
+        categories=spark.read.parquet(f"{path}/product_categories"),
+        category_buckets=category_buckets,
     )
 
 
@@ -66,8 +82,8 @@ def stored_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     if key not in _STORED:
         root = ensure_checkpoint_dir(spark).rstrip("/")
         path = f"{root}/catalog-{uuid.uuid4().hex}"
-        build_and_write(spark, sf_dir, path)
-        _STORED[key] = read_catalog(spark, path)
+        buckets = build_and_write(spark, sf_dir, path)
+        _STORED[key] = read_catalog(spark, path, buckets)
     return _STORED[key]
 
 

@@ -102,3 +102,23 @@ def test_recommend_all_equals_brute_force(spark):
         cands = {j for j, other in by_id.items() if j != i and set(other[8]) & set(row[8])}
         want = sorted(cands, key=key)[:4]
         assert [rid for _, rid in sorted(got.get(i, []))] == want
+
+
+def test_stored_category_buckets_prune_and_agree(spark, scratch, monkeypatch):
+    from basketry.operators import catalog as C
+    from basketry.plans import store
+
+    monkeypatch.setattr(C, "ROWS_PER_BUCKET", 2)
+    p = products(spark)
+    empty = spark.createDataFrame([], "src long, dst long, weight long")
+    reviews = spark.createDataFrame([], "id long, date date, customer string, rating int, votes int, helpful int")
+    buckets = store.write_catalog(C.Catalog(p, reviews, empty), scratch)
+    assert buckets == 3
+    stored = store.read_catalog(spark, scratch, buckets)
+    for fn in (lambda s: R.recommend_by_category(p, 1, stored=s),
+               lambda s: R.recommend_with_requested_category(p, 5, None, "|Music|Rock", stored=s),
+               lambda s: R.recommend_by_category_and_title(p, 5, stored=s)):
+        assert [tuple(r) for r in fn(stored).collect()] == [tuple(r) for r in fn(None).collect()]
+    df = R.recommend_by_category(p, 1, stored=stored)
+    df.collect()
+    assert "dynamicpruningexpression" in df._jdf.queryExecution().executedPlan().toString()
