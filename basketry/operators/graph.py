@@ -12,7 +12,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketry.functions.scores import product_score
 from basketry.session import require_checkpoint_dir
 
 # Vertex kinds and edge labels of the property graph.
@@ -208,6 +207,3 @@ def product_bfs(copurchase: DataFrame, source_id: int, max_depth: int | None = N
     src = copurchase.sparkSession.range(1).select(F.lit(int(source_id)).cast("bigint").alias("id"))
     return bfs(copurchase.select("src", "dst"), src, max_depth=max_depth)
 
-
-def score_column() -> Column:
-    return product_score()
