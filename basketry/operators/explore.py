@@ -161,19 +161,21 @@ def distinct_titles(products: DataFrame) -> DataFrame:
     return products.select("id", "title").distinct()
 
 
-# Fixed value: resolution of the hash-based sample draw.
-SAMPLE_BUCKETS = 1 << 30
+# The sample draw reads the first 8 hex digits (32 bits) of an md5 of the row's text.
+SAMPLE_BUCKETS = 1 << 32
+SAMPLE_SEPARATOR = "\u0001"
 
 
 def drawn(df: DataFrame, fraction: float, seed: int, columns: list[str] | None = None) -> Column:
-    """Bernoulli draw from a hash of the row's values and the seed.
+    """Bernoulli draw from a hash of the seed and the row's values (as text, nulls skipped).
 
     ``rand(seed)`` depends on how rows happen to be split into partitions, so the same seed can give another
     sample after a re-read or a retried task; a hash of the row repeats exactly (identical rows are drawn
-    together).
+    together). md5 is a standard function, so the same draw can be written in SQL.
     """
-    cols = [F.col(f"`{c}`") for c in (columns or df.columns)]
-    h = F.pmod(F.xxhash64(F.lit(int(seed)), *cols), F.lit(SAMPLE_BUCKETS))
+    cols = [F.col(f"`{c}`").cast("string") for c in (columns or df.columns)]
+    digest = F.md5(F.concat_ws(SAMPLE_SEPARATOR, F.lit(str(int(seed))), *cols))
+    h = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
     return h < F.lit(int(fraction * SAMPLE_BUCKETS))
 
 

@@ -64,7 +64,7 @@ def profile(
     types = {c: df.schema[c].dataType.simpleString() for c in columns}
     dataset_size = df.agg(F.count(F.lit(1))).scalar()
     if sample_fraction is not None:
-        picked = df.select(drawn(df, sample_fraction, seed).alias("_drawn"))
+        picked = df.select(drawn(df, sample_fraction, seed, columns).alias("_drawn"))
         sample_size = picked.agg(F.count_if("_drawn")).scalar()
     else:
         sample_size = F.lit(None).cast("bigint")

@@ -94,6 +94,15 @@ def jaccard(a: str, b: str) -> str:
             f" / len(list_distinct(list_concat({a}, {b}))) ELSE 0.0 END)")
 
 
+SAMPLE_CUTOFF = int(0.1 * (1 << 32))
+
+
+def draw(seed: int, cols: list[str]) -> str:
+    """The sample draw: first 32 bits of md5(seed, values as text, nulls skipped) below the cutoff."""
+    text = ", ".join(f"CAST({c} AS VARCHAR)" for c in cols)
+    return f"CAST(('0x' || substr(md5(concat_ws(chr(1), '{seed}', {text})), 1, 8)) AS BIGINT) < {SAMPLE_CUTOFF}"
+
+
 def top(where: str, n: int) -> str:
     return f"""
 SELECT asin, title, round(max(score), {D}) AS score FROM pc WHERE {where}
@@ -266,6 +275,26 @@ SELECT s.col_name,
        s.dcnt AS distinct_count_, t.tops AS most_freq_values_top_10, s.cnt + s.nulls AS dataset_size,
        round(s.mean, {D}) AS mean, round(s.sd, {D}) AS stddev, s.mn AS min, s.q1, s.q2, s.q3, s.mx AS max
 FROM pstat s LEFT JOIN ptop t ON t.col_name = s.col_name""",
+    "profile": f"""
+, {PROFILE_LONG.strip()}
+SELECT s.col_name,
+       CASE s.col_name WHEN 'total_reviews' THEN 'bigint' ELSE 'double' END AS data_type,
+       s.cnt AS count,
+       round(s.nulls * 100.0 / (s.cnt + s.nulls), 2) AS col_sparsity,
+       s.dcnt + CASE WHEN s.nulls > 0 THEN 1 ELSE 0 END AS distinct_count,
+       CASE WHEN s.nulls = 0 THEN 100.0 ELSE round(s.cnt * 100.0 / (s.cnt + s.nulls), 2) END AS fill_rate,
+       s.dcnt AS distinct_count_, t.tops AS most_freq_values_top_10, s.cnt + s.nulls AS dataset_size,
+       (SELECT count(*) FILTER (WHERE {draw(42, ['salesrank', 'total_reviews', 'avg_rating'])}) FROM products)
+         AS sample_size,
+       round(s.mean, {D}) AS mean, round(s.sd, {D}) AS stddev, s.mn AS min, s.q1, s.q2, s.q3, s.mx AS max
+FROM pstat s LEFT JOIN ptop t ON t.col_name = s.col_name""",
+    "sample_rows": f"""
+SELECT * FROM reviews WHERE {draw(7, ['id', 'date', 'customer', 'rating', 'votes', 'helpful'])}""",
+    "sample_size": f"""
+SELECT count(*) AS dataset_size,
+       count(*) FILTER (WHERE {draw(7, ['id', 'asin', 'title', '"group"', 'salesrank', 'total_reviews', 'avg_rating'])})
+         AS sample_size
+FROM products""",
     "product_score": f"SELECT id, asin, round(score, {D}) AS score FROM scored",
     "normalised_score": f""",
 mx AS (SELECT max(salesrank) AS ms, max(total_reviews) AS mt FROM products)

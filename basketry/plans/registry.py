@@ -58,6 +58,9 @@ def flat_products(p: DataFrame) -> DataFrame:
     )
 
 
+SCALAR_PRODUCT_COLUMNS = ["id", "asin", "title", "group", "salesrank", "total_reviews", "avg_rating"]
+
+
 def top_out(df: DataFrame) -> DataFrame:
     return df.select("asin", "title", rnd("score"))
 
@@ -283,7 +286,8 @@ def q_distinct_titles(spark, d):
 
 @query("sample_size")
 def q_sample_size(spark, d):
-    return X.sample_size(cat(spark, d).products, 0.1, seed=7)
+    p = cat(spark, d).products.select(*SCALAR_PRODUCT_COLUMNS)
+    return X.sample_size(p, 0.1, seed=7)
 
 
 @query("sample_rows")
