@@ -40,6 +40,9 @@ class Catalog:
     # catalogue x category, partitioned by ``cat_bucket`` (stored catalogues only; see ``category_bucket``)
     categories: DataFrame | None = None
     category_buckets: int = 1
+    # the property graph (stored catalogues only): vertices, and edges partitioned by label
+    graph_vertices: DataFrame | None = None
+    graph_edges: DataFrame | None = None
 
 
 def asin_of(key) -> F.Column:

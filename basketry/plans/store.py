@@ -17,7 +17,10 @@ from basketry.operators.catalog import (
     Catalog, bucketed_product_categories, buckets_for, copurchase_edges, load_tables, part_stats,
     products_from_tables, reviews_from_tables,
 )
+from basketry.operators.graph import edges as graph_edges
+from basketry.operators.graph import vertices
 from basketry.session import ensure_checkpoint_dir
+from basketry.sources.sinks import write_graph
 
 _STORED: dict[tuple[str, str], Catalog] = {}
 
@@ -47,6 +50,8 @@ def build_and_write(spark: SparkSession, sf_dir: str, path: str) -> int:
     buckets = buckets_for(products.count())  # a footer count; the bucket count grows with the catalogue
     bucketed_product_categories(products, buckets).repartitionByRange(n, "cat_bucket", "id").write.mode(
         "overwrite").partitionBy("cat_bucket").parquet(f"{path}/product_categories")
+    # the property graph, once: a label filter on the stored edges prunes to that label's folders
+    write_graph(vertices(products), graph_edges(products, edges), f"{path}/graph")
     # reviews are line-item sized and only ever scanned whole or joined, so they are written as the join
     # produces them: a global range sort of the largest table would buy nothing
     reviews_from_tables(t["lineitem"], t["orders"]).write.mode("overwrite").parquet(f"{path}/reviews")
@@ -63,6 +68,8 @@ def write_catalog(c: Catalog, path: str) -> int:
         n, "cat_bucket", "id").write.mode("overwrite").partitionBy("cat_bucket").parquet(
         f"{path}/product_categories")
     c.reviews.write.mode("overwrite").parquet(f"{path}/reviews")
+    stored = spark.read.parquet(f"{path}/products")
+    write_graph(vertices(stored), graph_edges(stored, spark.read.parquet(f"{path}/edges")), f"{path}/graph")
     return buckets
 
 
@@ -73,6 +80,8 @@ def read_catalog(spark: SparkSession, path: str, category_buckets: int) -> Catal
         edges=spark.read.parquet(f"{path}/edges"),
         categories=spark.read.parquet(f"{path}/product_categories"),
         category_buckets=category_buckets,
+        graph_vertices=spark.read.parquet(f"{path}/graph/vertices"),
+        graph_edges=spark.read.parquet(f"{path}/graph/edges"),
     )
 
 
