@@ -1,7 +1,8 @@
 """Column profile: counts, null share, distinct counts, top values, moments and quartiles per column.
 
-All statistics of all columns come from one aggregate over an unpivoted ``(col_name, value)`` view, plus one
-grouped count for the top values; the reference's fourteen actions per column become two shuffles in total.
+All statistics of all columns (row count and sample count included) come from one aggregate over an unpivoted
+``(col_name, value)`` view, plus one grouped count for the top values; the reference's fourteen actions per
+column become two shuffles in total.
 """
 
 from __future__ import annotations
@@ -24,11 +25,13 @@ PROFILE_COLUMNS = [
 ]
 
 
-def _long(df: DataFrame, columns: list[str]) -> DataFrame:
-    """``col_name, value double, value_str string`` — one row per (row, profiled column)."""
+def _long(df: DataFrame, columns: list[str], drawn_col=None) -> DataFrame:
+    """``col_name, value double, value_str string, _drawn boolean`` — one row per (row, profiled column);
+    ``_drawn`` carries the row's sample draw to every column of the row."""
+    d = F.lit(None).cast("boolean") if drawn_col is None else drawn_col
     parts = F.array(*[
         F.struct(F.lit(c).alias("col_name"), F.col(c).cast("double").alias("value"),
-                 F.col(c).cast("string").alias("value_str"))
+                 F.col(c).cast("string").alias("value_str"), d.alias("_drawn"))
         for c in columns
     ])
     return df.select(F.inline(parts))
@@ -62,14 +65,13 @@ def profile(
     """
     columns = columns or DEFAULT_COLUMNS
     types = {c: df.schema[c].dataType.simpleString() for c in columns}
-    dataset_size = df.agg(F.count(F.lit(1))).scalar()
-    if sample_fraction is not None:
-        picked = df.select(drawn(df, sample_fraction, seed, columns).alias("_drawn"))
-        sample_size = picked.agg(F.count_if("_drawn")).scalar()
-    else:
-        sample_size = F.lit(None).cast("bigint")
+    draw = drawn(df, sample_fraction, seed, columns) if sample_fraction is not None else None
     v = F.col("value")
-    stats = _long(df, columns).groupBy("col_name").agg(
+    # every column's long rows cover each input row once, so the row count and the sample count come from
+    # the same aggregate as the statistics
+    stats = _long(df, columns, draw).groupBy("col_name").agg(
+        F.count(F.lit(1)).alias("dataset_size"),
+        (F.count_if("_drawn") if draw is not None else F.lit(None).cast("bigint")).alias("sample_size"),
         F.count(v).alias("count"),
         F.count_if(v.isNull()).alias("_nulls"),
         F.count_distinct(v).alias("distinct_count_"),
@@ -78,7 +80,7 @@ def profile(
         F.min(v).alias("min"),
         F.percentile_approx(v, [0.25, 0.5, 0.75], accuracy).alias("_q"),
         F.max(v).alias("max"),
-    ).select("*", dataset_size.alias("dataset_size"), sample_size.alias("sample_size"))
+    )
     dtype = F.create_map(*[x for c in columns for x in (F.lit(c), F.lit(types[c]))])
     out = stats.join(top_values(df, columns), "col_name", "left")
     n, nulls = F.col("dataset_size"), F.col("_nulls")
