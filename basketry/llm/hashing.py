@@ -151,3 +151,11 @@ def sliding(values: np.ndarray, width: int, op=np.minimum) -> np.ndarray:
         out = op(out[:-step], out[step:]) if len(out) > step else out[:0]
         have += step
     return out
+
+
+def range_hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """Hash of the words from each start up to its end (both are indexes of words)."""
+    up, down = _power_table(WORD_BASES[which], len(words) + 1)
+    prefix = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * up[:-1], out=prefix[1:])
+    return mix((prefix[ends] - prefix[starts]) * down[starts])

@@ -7,13 +7,35 @@ bucketed by that key: its rows are shuffled once, when written.
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 from basketry.session import ensure_checkpoint_dir
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, wherever the caller's session runs them."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    out = os.path.join(tempfile.mkdtemp(prefix="basketry-code-"), "basketry.zip")
+    with zipfile.ZipFile(out, "w") as z:
+        for folder, _, names in os.walk(os.path.join(root, "basketry")):
+            for name in names:
+                if name.endswith(".py"):
+                    z.write(os.path.join(folder, name), os.path.relpath(os.path.join(folder, name), root))
+    sc.addPyFile(out)
+    _shipped.add(sc.applicationId)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -36,4 +58,5 @@ def bucketed(df: DataFrame, key: str, name: str) -> tuple[DataFrame, str]:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
