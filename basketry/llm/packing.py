@@ -16,6 +16,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm.hashing import chunks, text_buffer
+from basketry.llm.hashing import LOWER, SPACE, chunks, span_hashes, text_buffer, word_spans
 from basketry.llm.scratch import read_table, stored
 
 WINDOW = 2048
@@ -31,43 +32,82 @@ END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 GROUP_PIECES = 50_000
 #: Words kept with their ids in each Python worker; beyond that the table starts anew.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 1_200_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
 
 class _Words(dict):
-    """Word -> row in the table of ids; a new word is noted for the next batch call of the tokenizer."""
+    """Hash of a word (64 bits) -> row in the table of ids; new words go to the tokenizer in one call a chunk."""
 
     def __init__(self, tokenizer):
         super().__init__()
         self.tokenizer = tokenizer
-        self.new: list[bytes] = []
+        self.new: list[int] = []
         self.ids = np.zeros(0, np.uint32)
         self.at = np.zeros(1, np.int64)
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: int) -> int:
         self[word] = n = len(self)
         self.new.append(word)
         return n
 
-    def tokens(self, texts: bytes | list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all words of ``texts`` in order, and the number of ids of each text."""
-        lists = [t.split() for t in texts]
-        rows = np.fromiter((i for words in lists for i in map(self.__getitem__, words)), np.int64)
+    def tokens(self, part: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words of a chunk in order, and the number of ids of each document."""
+        starts, ends, first = word_spans(part, at)
+        place, words = pd.factorize(span_hashes(part, starts, ends))
+        rows = np.fromiter(map(self.__getitem__, words.tolist()), np.int64, len(words))
         if self.new:
-            found = [e.ids for e in self.tokenizer.encode_batch([w.decode() for w in self.new], add_special_tokens=False)]
+            seen = np.empty(len(words), np.int64)
+            seen[place[::-1]] = np.arange(len(place))[::-1]
+            where = seen[rows >= len(self) - len(self.new)]
+            raw = part.tobytes()
+            text = [raw[a:b].decode() for a, b in zip(starts[where].tolist(), ends[where].tolist())]
+            found = [e.ids for e in self.tokenizer.encode_batch(text, add_special_tokens=False)]
             sizes = np.fromiter(map(len, found), np.int64, len(found))
-            self.ids = np.concatenate([self.ids, np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum()))])
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))])
             self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
             self.new = []
-        sizes = self.at[rows + 1] - self.at[rows]
-        ends = np.cumsum(sizes)
-        ids = self.ids[np.repeat(self.at[rows] - (ends - sizes), sizes) + np.arange(int(sizes.sum()))]
-        words_to = np.cumsum([len(x) for x in lists])
-        upto = np.concatenate([[0], ends])[words_to]
-        return ids, np.diff(upto, prepend=0)
+        own, begin = _spread(self.at[rows], self.at[rows + 1] - self.at[rows])
+        table, sizes = self.ids[own], np.diff(begin)  # the chunk's own words: small enough for the cache
+        pick, upto = _spread(begin[place], sizes[place])
+        return table[pick], np.diff(upto[first])
+
+
+def _spread(start: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The indexes start, start + 1, ... of each run one after the other, and where each run begins (and the end)."""
+    upto = np.zeros(len(sizes) + 1, np.int64)
+    np.cumsum(sizes, out=upto[1:])
+    index = np.repeat(start - upto[:-1], sizes)
+    index += np.arange(len(index))
+    return index, upto
+
+
+#: A mark between a letter and white space is a token of its own to the tokenizer, and it lowers its input: apart
+#: from their marks and in lower case, words have far fewer different spellings.
+_MARK = np.isin(np.arange(256), list(b".,;:!?"))
+
+
+def spelled_once(part: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The chunk with fewer different words and the same ids; a chunk that may hold a special token stays as it is."""
+    if b"<|" in part.tobytes():
+        return part, at
+    low = LOWER[part]
+    letter = (low >= 97) & (low <= 122)
+    marks = np.flatnonzero(letter[:-2] & _MARK[low[1:-1]] & SPACE[low[2:]]) + 1
+    return np.insert(low, marks, 32), at + np.searchsorted(marks, at)
+
+
+_kept: dict[str | None, _Words] = {}
+
+
+def _words(path: str | None) -> _Words:
+    """The worker's word table; a reused worker keeps it from task to task."""
+    have = _kept.get(path)
+    if have is None or len(have) > CACHED_WORDS:
+        have = _kept[path] = _Words(_tokenizer(path))
+    return have
 
 
 def _tokenizer(path: str | None):
@@ -82,16 +122,12 @@ def _tokenizer(path: str | None):
 
 
 def _cut(batches: Iterator[pa.RecordBatch], path: str | None, window: int, end_id: int) -> Iterator[pa.RecordBatch]:
-    words = None
     last = np.uint32(end_id).astype("<u4").tobytes()
     for batch in batches:
         keys = batch.column(0)
         buf, offs = text_buffer(batch.column(1))
         for lo, hi, part, at in chunks(buf, offs):
-            if words is None or len(words) > CACHED_WORDS:
-                words = _Words(_tokenizer(path))
-            raw = part.tobytes()
-            ids, sizes = words.tokens([raw[a:b] for a, b in zip(at[:-1], at[1:])])
+            ids, sizes = _words(path).tokens(*spelled_once(part, at))
             ids = ids.astype("<u4", copy=False)
             rows, start, length, crc, total, begin = [], [], [], [], [], 0
             for r, n in enumerate(sizes.tolist()):

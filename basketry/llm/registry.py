@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from basketry.llm.language import op3_language_id
 from basketry.llm.near_dedup import op2_near_dedup
 from basketry.llm.packing import op6_packing
+from basketry.llm.quality import op10_quality
 from basketry.llm.repeat_dedup import op9_substring_dedup
 from basketry.llm.suffix_dedup import op5_suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_near_dedup": op2_near_dedup,
+    "op3_language_id": op3_language_id,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_packing": op6_packing,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}
