@@ -64,13 +64,14 @@ def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The column's UTF-8 bytes and int64 offsets (null: empty), without copying a document."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
-    if not (pa.types.is_string(col.type) or pa.types.is_large_string(col.type)):
+    t = pa.types
+    if not (t.is_string(col.type) or t.is_large_string(col.type) or t.is_binary(col.type)):
         col = col.cast(pa.large_string())
     if col.null_count:
-        col = col.fill_null("")
+        col = col.fill_null("" if not t.is_binary(col.type) else b"")
     if len(col) == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
-    wide = pa.types.is_large_string(col.type)
+    wide = t.is_large_string(col.type)
     _, offs, data = col.buffers()
     o = np.frombuffer(offs, np.int64 if wide else np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
     buf = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)

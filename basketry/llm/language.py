@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from basketry.llm.hashing import LOWER, chunks, text_buffer
 from basketry.llm.labelled import bounded_sample, held_out
-from basketry.llm.scratch import read_table
+from basketry.llm.scratch import read_table, ship
 
 LONGEST = 4
 SLOTS = 1 << 15
@@ -111,6 +111,7 @@ def fit(bits: list[bytes], langs: list[str], landmarks: int = LANDMARKS, ridge:
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """A model from rows outside the held-out fold that have a language and a text; None if there is none."""
+    ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     got = bounded_sample(rows, sample).mapInArrow(_bits, "lang string, draw long, bits binary").collect()
@@ -144,6 +145,7 @@ def _predict(batches: Iterator[pa.RecordBatch], model: Model | None) -> Iterator
 
 def with_language(docs: DataFrame, model: Model | None, kept: list[str]) -> DataFrame:
     """The ``kept`` columns of ``docs``, then ``lang_pred`` and ``score`` (these names are taken)."""
+    ship(docs.sparkSession)
     rows = docs.select(F.col("text").cast("string").alias("_text"), *kept)
     schema = docs.select(*kept).schema.add("lang_pred", "string").add("score", "double")
     return rows.mapInArrow(lambda it: _predict(it, model), schema)

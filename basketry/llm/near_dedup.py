@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from basketry.llm.graph import components
 from basketry.llm.hashing import LOWER, chunks, mix, range_hashes, span_hashes, text_buffer, word_spans
-from basketry.llm.scratch import read_table, stored
+from basketry.llm.scratch import read_table, ship, stored
 
 SHINGLE = 5
 THRESHOLD = 0.85
@@ -203,6 +203,7 @@ def _across(pairs: DataFrame, found: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``."""
+    ship(docs.sparkSession)
     sketched = stored(sketches(docs), "sketches")
     of_class = sketched.where("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("doc"))
     of_class = stored(of_class, "classes")

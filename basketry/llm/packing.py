@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketry.llm.hashing import LOWER, SPACE, chunks, span_hashes, text_buffer, word_spans
-from basketry.llm.scratch import read_table, stored
+from basketry.llm.scratch import read_table, ship, stored
 
 WINDOW = 2048
 END_ID = 1
@@ -149,6 +149,7 @@ def _cut(batches: Iterator[pa.RecordBatch], path: str | None, window: int, end_i
 
 def token_pieces(docs: DataFrame, tokenizer_path: str | None = None, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
     """One row per piece: full windows of each document in order, then the rest."""
+    ship(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
         lambda it: _cut(it, tokenizer_path, window, end_id), PIECES
     )

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from basketry.llm.hashing import LOWER, chunks, span_hashes, text_buffer, word_spans
 from basketry.llm.labelled import held_out, labelled_sample
-from basketry.llm.scratch import read_table
+from basketry.llm.scratch import read_table, ship
 
 PASSAGE = 64
 SAMPLE = 6000
@@ -173,6 +173,7 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Model:
+    ship(docs.sparkSession)
     got = labelled_sample(docs, labels, label, sample).select("doc_id", "text", "label")
     got = sorted(got.mapInArrow(_measured, "doc_id long, label int, x binary").collect(), key=lambda r: (r.doc_id, r.label, bytes(r.x)))
     bags = [np.frombuffer(r.x, np.float32).reshape(-1, FEATURES) for r in got]
@@ -192,6 +193,7 @@ def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Reco
 
 def scored(docs: DataFrame, labels: DataFrame, cut: float = CUT, sample: int = SAMPLE) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row of ``docs``."""
+    ship(docs.sparkSession)
     model = learn(docs, labels, "quality", sample)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     out = rows.mapInArrow(lambda it: _scored(it, model), "doc_id long, score double")

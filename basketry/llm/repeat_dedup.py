@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from basketry.llm import exchange as X
 from basketry.llm.hashing import chunks, sliding, span_hashes, text_buffer, whole_windows, word_spans, word_windows
-from basketry.llm.scratch import bucketed, read_table, stored
+from basketry.llm.scratch import bucketed, read_table, ship, stored
 
 WINDOW = 35
 LEVELS = (9, 18)
@@ -143,6 +143,7 @@ def _removed(batches: Iterator[pa.RecordBatch], window: int, with_text: bool) ->
 def repeats_removed(docs: DataFrame, window: int = WINDOW, levels: tuple[int, int] = LEVELS, with_text: bool = False) -> DataFrame:
     """``doc_id, version, n_words, n_removed, kept_sha256`` of the documents that lose words; ``version`` is the md5
     of the text and tells rows of one id apart. ``with_text``: the last column holds the kept text itself."""
+    ship(docs.sparkSession)
     spark = docs.sparkSession
     short, longer = levels
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null and text is not null")
@@ -183,6 +184,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256`` for every row of ``docs``."""
+    ship(docs.sparkSession)
     lost = repeats_removed(docs, window).select("doc_id", "version", "n_removed", "kept_sha256")
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.md5(F.col("text").cast("string")).alias("version"))
     counted = rows.mapInArrow(_counted, "doc_id long, version string, n_words long, sha string")

@@ -58,5 +58,4 @@ def bucketed(df: DataFrame, key: str, name: str) -> tuple[DataFrame, str]:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from basketry.llm import exchange as X
 from basketry.llm.hashing import byte_windows, chunks, mix, sliding, span_hashes, text_buffer, whole_windows
-from basketry.llm.scratch import bucketed, read_table, stored
+from basketry.llm.scratch import bucketed, read_table, ship, stored
 
 WINDOW = 50
 ANCHOR = 24
@@ -336,6 +336,7 @@ def _removed(batches: Iterator[pa.RecordBatch], buckets: int, window: int, ancho
 
 def shared_bytes_removed(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
     """``doc_id, version, n_removed, n_spans, kept_sha256`` of the documents that lose bytes."""
+    ship(docs.sparkSession)
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null and text is not null")
     size, n = X.text_bytes(rows)
