@@ -3,13 +3,16 @@
 1. Every document's distinct 5-word shingles are hashed once (64 bits). The top 8 bits choose one of 256
    registers, which keeps the least of the other 56 bits as leading-zero count and 10 mantissa bits. Documents
    with equal shingle sets (128-bit fingerprint) are one class, represented by its smallest document id.
-2. 42 bands of 6 registers of each class are band keys. In each bucket of equal keys the smallest class is the
-   hub; every other member is compared with the hub only, so a bucket makes as many pairs as it has members.
+2. 42 bands of 6 registers of each class are band keys; an empty register borrows from a filled one chosen by its
+   number (densification), so a short text's bands are as selective as a long one's. In each bucket of equal keys
+   the smallest class is the hub; every other member is compared with the hub only, so a bucket makes as many
+   pairs as it has members.
 3. The registers' agreement, corrected for chance collisions, estimates the Jaccard similarity; pairs below the
    threshold by more than five standard errors are dropped.
 4. What is left is verified on full shingle sets: first each class's best hub, then hubs of another component.
-   Buckets that still hold several components give their remaining pairs across components, so no link between
-   components is lost to the choice of hubs.
+   Where a hub's members are still in several components, the estimate is taken between all of them, in blocks of
+   registers within tasks (a large group is a grid of blocks), and only pairs that pass it leave the task to be
+   verified. So no link between components is lost to the choice of hubs.
 5. Links become components by large-star / small-star steps.
 
 Two sets at the threshold share all 6 registers of at least one band but for about 3 pairs in 10**9.
@@ -24,6 +27,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +43,8 @@ REGISTERS = 1 << REGISTER_BITS
 VALUE_BITS = 64 - REGISTER_BITS
 MANTISSA_BITS = 10
 BANDS, ROWS = 42, 6
+#: Members of a hub compared as one block.
+BLOCK = 1000
 STANDARD_ERRORS = 5.0
 
 SKETCHED = "doc_id long, n_shingles long, f1 long, f2 long, sketch binary"
@@ -102,12 +108,40 @@ def _matrix(col: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), np.uint16).reshape(len(col), REGISTERS)
 
 
+def _probes() -> np.ndarray:
+    """For each register, the registers it tries to borrow from, in order."""
+    n = np.arange(REGISTERS * PROBES, dtype=np.uint64).reshape(REGISTERS, PROBES)
+    return (mix(n + np.uint64(99)) % np.uint64(REGISTERS)).astype(np.int64)
+
+
+PROBES = 24
+_PROBES = _probes()
+
+
+def densified(rows: np.ndarray) -> np.ndarray:
+    """Registers with the empty ones filled from others; what is left after all probes takes the next filled one."""
+    out = rows.copy()
+    doc, at = np.nonzero((rows == 0) & rows.any(1)[:, None])
+    for k in range(PROBES):
+        if not len(doc):
+            return out
+        got = rows[doc, _PROBES[at, k]]
+        out[doc, at] = got
+        doc, at = doc[got == 0], at[got == 0]
+    filled = np.concatenate([rows, rows], axis=1) > 0
+    for d in np.unique(doc):
+        have = np.flatnonzero(filled[d])
+        mine = at[doc == d]
+        out[d, mine] = rows[d, have[np.searchsorted(have, mine)] % REGISTERS]
+    return out
+
+
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     powers = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(ROWS)], np.uint64)
     salt = mix(np.arange(BANDS, dtype=np.uint64) + np.uint64(1))
     for batch in batches:
         keys = batch.column(0).to_numpy(zero_copy_only=False)
-        rows = _matrix(batch.column(1))[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS)
+        rows = densified(_matrix(batch.column(1)))[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS)
         hashed = mix((rows.astype(np.uint64) * powers).sum(2, dtype=np.uint64) ^ salt)
         which, band = np.nonzero(rows.any(2))
         yield pa.RecordBatch.from_arrays([pa.array(keys[which]), pa.array(hashed[which, band].view(np.int64))], ["doc", "band"])
@@ -201,6 +235,39 @@ def _across(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return out.where(F.coalesce("c1", "doc") != F.coalesce("c2", "hub")).drop("c1", "c2")
 
 
+def _compare_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of different components within each (hub, one, two) whose estimate does not rule out the threshold."""
+    found: list[tuple[int, int]] = []
+    for (_, one, two), rows in pdf.groupby(["hub", "one", "two"], sort=False):
+        left = rows[rows["block"] == one]
+        right = rows[rows["block"] == two]
+        a, b = (np.frombuffer(b"".join(r["sketch"]), np.uint16).reshape(-1, REGISTERS) for r in (left, right))
+        n, m = left["n"].to_numpy(), right["n"].to_numpy()
+        c, d = left["c"].to_numpy(), right["c"].to_numpy()
+        x, y = left["doc"].to_numpy(), right["doc"].to_numpy()
+        for i in range(len(a)):
+            j = np.flatnonzero((d != c[i]) & (np.minimum(m, n[i]) >= THRESHOLD * np.maximum(m, n[i])) & ((one != two) | (y > x[i])))
+            if len(j):
+                jaccard, error = estimate(a[i][None], b[j], np.full(len(j), n[i]), m[j])
+                found += [(x[i], y[k]) for k in j[jaccard >= THRESHOLD - STANDARD_ERRORS * error]]
+    return pd.DataFrame(found, columns=["doc", "hub"], dtype=np.int64)
+
+
+def _between_members(to_hub: DataFrame, found: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs of members of one hub that are in different components and near by their registers."""
+    named = to_hub.join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("c", F.coalesce("component", "doc"))
+    open_hubs = named.groupBy("hub").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("members"))
+    open_hubs = open_hubs.where("low < high").select("hub", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+    rows = stored(named.select("doc", "hub", "c").join(open_hubs, "hub"), "open-groups")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumns({"one": F.least("block", "other"), "two": F.greatest("block", "other")})
+    rows = rows.join(classes.select("doc", "n", "sketch"), "doc").select("hub", "one", "two", "block", "doc", "c", "n", "sketch")
+    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("hub", "one", "two"), F.lit(parts)))
+    return dealt.groupBy("part").applyInPandas(_compare_blocks, "doc long, hub long").distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``."""
     ship(docs.sparkSession)
@@ -213,8 +280,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     bands = classes.select("doc", "sketch").mapInArrow(_bands, "doc long, band long")
     shared = bands.groupBy("band").agg(F.min("doc").alias("hub"), F.max("doc").alias("last")).where("hub < last").select("band", "hub")
-    members = stored(bands.join(shared, "band"), "buckets")
-    to_hub = members.where("doc <> hub").select("doc", "hub").distinct()
+    to_hub = stored(bands.join(shared, "band").where("doc <> hub").select("doc", "hub").distinct(), "hubs")
     near = stored(near_by_sketch(to_hub, classes), "near")
     sets = full_sets(docs, _ends(near))
     best = near.groupBy("doc").agg(F.max_by("hub", F.struct("estimate", -F.col("hub"))).alias("hub"))
@@ -223,13 +289,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = links.unionByName(stored(verified(_across(near, found), sets), "links-hubs"))
     found = components(links, "doc", "hub")
 
-    named = members.join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("c", F.coalesce("component", "doc"))
-    named = stored(named.select("band", "doc", "hub", "c"), "buckets-named")
-    mixed = named.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("band")
-    mixed = named.where("doc <> hub").join(mixed, "band", "left_semi")
-    other = mixed.select("band", F.col("doc").alias("hub"), F.col("c").alias("c2"))
-    rest = mixed.select("band", "doc", "c").join(other, "band").where((F.col("doc") < F.col("hub")) & (F.col("c") != F.col("c2")))
-    rest = stored(near_by_sketch(rest.select("doc", "hub").distinct(), classes), "near-rest")
+    rest = stored(_between_members(to_hub, found, classes), "near-rest")
     if not rest.isEmpty():
         more = verified(rest, full_sets(docs, _ends(rest)))
         found = components(links.unionByName(stored(more, "links-rest")), "doc", "hub")
