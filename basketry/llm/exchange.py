@@ -73,7 +73,7 @@ def codes_of(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def bucket_count(entries: float, partitions: int) -> int:
-    return int(max(4 * partitions, -(-entries // BUCKET_ENTRIES)))
+    return int(max(2 * partitions, -(-entries // BUCKET_ENTRIES)))
 
 
 def entry_rows(bucket: np.ndarray, docs: np.ndarray, keys: np.ndarray, extra: np.ndarray) -> pa.RecordBatch:
