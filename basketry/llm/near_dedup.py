@@ -298,7 +298,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = named.select("f1", "f2", "n_shingles", F.coalesce("component", "doc").alias("component"))
     out = sketched.drop("sketch").join(named, ["f1", "f2", "n_shingles"], "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,18 +1,52 @@
-"""The corpus pipeline: documents in, packed training sequences out."""
+"""The corpus pipeline: documents in, packed training sequences out.
+
+Every stage takes what its predecessor kept, written as Parquet and read again, and returns documents with the same
+columns; the last returns pieces of packed sequences. SQL cannot express learned languages, register sketches or a
+tokenizer, so ``ORACLE_SQL`` is None and tests/llm compares the stages with brute-force versions.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from basketry.llm import packing
+from basketry.llm import decontaminate, language, near_dedup, packing, repeat_dedup
 from basketry.llm.scratch import read_table, stored
 
 
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised; texts that are null or without a letter go."""
+    return language.accepted(docs, language.learn(docs))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the one with the smallest id."""
+    copies = near_dedup.near_duplicates(docs).where("not kept and doc_id is not null").select(F.col("doc_id").alias("_copy")).distinct()
+    return docs.join(copies, F.col("doc_id") == F.col("_copy"), "left_anti")
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the words of passages that repeat; a text that loses nothing stays byte for byte."""
+    return repeat_dedup.without_repeats(docs)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that leak no benchmark item."""
+    return decontaminate.without_leaks(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of packed token sequences of all that is left."""
     return packing.pack_documents(docs)
 
 
-STAGES = [("packing", pack)]
+STAGES = [
+    ("language_id", identify_language),
+    ("near_dedup", drop_near_duplicates),
+    ("substring_dedup", drop_repeated_passages),
+    ("decontamination", drop_benchmark_leaks),
+    ("packing", pack_sequences),
+]
 
 ORACLE_SQL = None
 
