@@ -172,10 +172,11 @@ def _segments(batches: Iterator[pa.RecordBatch], buckets: int, window: int, anch
             )
 
 
-def suffix_array(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Two-stage suffix sorting of segments, each ended by a symbol below all bytes.
+def suffix_array(segments: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two-stage suffix sorting of segments, each ended by a symbol below all bytes, by their first ``window`` bytes.
 
-    Returns the text's symbols (byte + 1; 0 ends a segment), the suffix array, and the start of each segment.
+    Suffixes shorter than ``window`` are left out unless a longer one is induced from them. Returns the text's
+    symbols (byte + 1; 0 ends a segment), the sorted suffixes, and the start of each segment.
     """
     sizes = np.fromiter(map(len, segments), np.int64, len(segments)) + 1
     begin = np.cumsum(sizes) - sizes
@@ -188,12 +189,17 @@ def suffix_array(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndar
     small = np.repeat(grows, np.diff(np.append(-1, change)))
     ends = text == 0
     small |= ends  # sorted directly, like all others that nothing can induce
-    raw = b"\0".join(segments) + b"\0"
-    stop = np.repeat(begin + sizes - 1, sizes)
+    # the last suffix of a segment that counts, and on to the next that is sorted directly
     direct = np.flatnonzero(small)
-    keys = [raw[a:b] for a, b in zip(direct.tolist(), stop[direct].tolist())]
+    last = direct[np.searchsorted(direct, begin + np.maximum(sizes - 1 - window, 0))]
+    needed = np.arange(n) <= np.repeat(last, sizes)
+    direct = direct[needed[direct]]
+    raw = b"\0".join(segments) + b"\0"
+    stop = np.minimum(np.repeat(begin + sizes - 1, sizes)[direct], direct + window)
+    keys = [raw[a:b] for a, b in zip(direct.tolist(), stop.tolist())]
     direct = direct[sorted(range(len(direct)), key=keys.__getitem__)]
-    count = np.bincount(text, minlength=258)
+    count = np.bincount(text[needed], minlength=258)
+    n = int(count.sum())
     tail = np.cumsum(count)
     head = tail - count
     of_direct = text[direct]
@@ -246,7 +252,7 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, limit: int) -> np.ndarr
 
 def smaller_owner(segments: list[bytes], docs: np.ndarray, window: int) -> list[np.ndarray]:
     """For each segment, the starts of its windows that a segment of a smaller document holds as well."""
-    text, order, begin = suffix_array(segments)
+    text, order, begin = suffix_array(segments, window)
     lcp = common_prefixes(text, order, window)
     group = np.cumsum(lcp < window) - 1
     owner = np.searchsorted(begin, order, "right") - 1
