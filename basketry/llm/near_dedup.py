@@ -10,9 +10,10 @@
 3. The registers' agreement, corrected for chance collisions, estimates the Jaccard similarity; pairs below the
    threshold by more than five standard errors are dropped.
 4. What is left is verified on full shingle sets: first each class's best hub, then hubs of another component.
-   Where a hub's members are still in several components, the estimate is taken between all of them, in blocks of
-   registers within tasks (a large group is a grid of blocks), and only pairs that pass it leave the task to be
-   verified. So no link between components is lost to the choice of hubs.
+   Where a hub's members are still in several components, members of different components are compared with each
+   other, in blocks of full sets within tasks (a large group is a grid of blocks): registers first, then the sets.
+   Only links that join components leave the task, so no link between components is lost to the choice of hubs and
+   a group gives at most as many rows as it has members.
 5. Links become components by large-star / small-star steps.
 
 Two sets at the threshold share all 6 registers of at least one band but for about 3 pairs in 10**9.
@@ -43,8 +44,8 @@ REGISTERS = 1 << REGISTER_BITS
 VALUE_BITS = 64 - REGISTER_BITS
 MANTISSA_BITS = 10
 BANDS, ROWS = 42, 6
-#: Members of a hub compared as one block.
-BLOCK = 1000
+#: Members of a hub compared as one block: at most so many, with so many shingles in all; a task's share.
+BLOCK_MEMBERS, BLOCK_SHINGLES, TASK_SHINGLES = 4000, 1_000_000, 2_000_000
 STANDARD_ERRORS = 5.0
 
 SKETCHED = "doc_id long, n_shingles long, f1 long, f2 long, sketch binary"
@@ -160,11 +161,14 @@ def expected_collisions(n: np.ndarray, m: np.ndarray) -> np.ndarray:
 
 
 def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Collision-corrected Jaccard estimate and its standard error at the threshold."""
+    """Collision-corrected Jaccard estimate, and its standard error at the threshold: the registers in use are a
+    sample without replacement of the union (at least the larger set), so short texts are measured almost in full."""
     used = np.maximum(((a > 0) | (b > 0)).sum(1), 1)
     same = ((a == b) & (a > 0)).sum(1)
     chance = np.minimum(expected_collisions(n, m), used - 1e-9)
-    return np.maximum(same - chance, 0) / (used - chance), np.sqrt(THRESHOLD * (1 - THRESHOLD) / used)
+    union = np.maximum((n + m) / (1 + THRESHOLD), used)
+    rest = (union - used + 1) / union
+    return np.maximum(same - chance, 0) / (used - chance), np.sqrt(THRESHOLD * (1 - THRESHOLD) / used * rest) + 0.5 / used
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +187,7 @@ def near_by_sketch(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs whose estimate does not rule out the threshold."""
     left = classes.select(F.col("doc"), F.col("sketch").alias("s"), F.col("n").alias("n1"))
     right = classes.select(F.col("doc").alias("hub"), F.col("sketch").alias("t"), F.col("n").alias("n2"))
-    both = pairs.join(left, "doc").join(right, "hub").select("doc", "hub", "s", "n1", "t", "n2")
+    both = pairs.join(left.hint("merge"), "doc").join(right.hint("merge"), "hub").select("doc", "hub", "s", "n1", "t", "n2")
     return both.mapInArrow(_near, "doc long, hub long, estimate double")
 
 
@@ -195,17 +199,19 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sets, pa.binary())], ["doc", "items"])
 
 
+def _reach(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets reach the threshold."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    common = int((y[at] == x).sum())
+    return 100 * common >= round(100 * THRESHOLD) * (len(x) + len(y) - common)
+
+
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep = []
-        for a, b in zip(batch.column(2), batch.column(3)):
-            x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-            if len(x) > len(y):
-                x, y = y, x
-            at = np.searchsorted(y, x)
-            at[at == len(y)] = 0
-            common = int((y[at] == x).sum())
-            keep.append(100 * common >= round(100 * THRESHOLD) * (len(x) + len(y) - common))
+        keep = [_reach(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)) for a, b in zip(batch.column(2), batch.column(3))]
         mask = pa.array(keep, pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["doc", "hub"])
 
@@ -213,13 +219,13 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``doc, items``: the shingle sets of the documents named in ``wanted`` (column ``doc``)."""
     text = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
-    return stored(text.join(wanted, "doc", "left_semi").mapInArrow(_sets, "doc long, items binary"), "shingle-sets")
+    return stored(text.join(wanted.hint("merge"), "doc", "left_semi").mapInArrow(_sets, "doc long, items binary"), "shingle-sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs ``doc, hub`` whose full sets reach the threshold."""
-    both = pairs.select("doc", "hub").join(sets.withColumnRenamed("items", "x"), "doc")
-    both = both.join(sets.select(F.col("doc").alias("hub"), F.col("items").alias("y")), "hub")
+    both = pairs.select("doc", "hub").join(sets.withColumnRenamed("items", "x").hint("merge"), "doc")
+    both = both.join(sets.select(F.col("doc").alias("hub"), F.col("items").alias("y")).hint("merge"), "hub")
     return both.select("doc", "hub", "x", "y").mapInArrow(_linked, "doc long, hub long")
 
 
@@ -235,35 +241,55 @@ def _across(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return out.where(F.coalesce("c1", "doc") != F.coalesce("c2", "hub")).drop("c1", "c2")
 
 
+def _join_components(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> Iterator[tuple[int, int]]:
+    """Links between members of different components that join components not yet joined by this call."""
+    sets = [[np.frombuffer(x, np.uint64) for x in side["items"]] for side in (left, right)]
+    a, b = registers(sets[0]), registers(sets[1])
+    n, m = (np.array([len(x) for x in side]) for side in sets)
+    c, d = left["c"].to_numpy(), right["c"].to_numpy().copy()
+    x, y = left["doc"].to_numpy(), right["doc"].to_numpy()
+    root: dict[int, int] = {}
+
+    def find(k: int) -> int:
+        while k in root:
+            k = root[k]
+        return k
+
+    for i in range(len(a)):
+        j = np.flatnonzero((d != c[i]) & (np.minimum(m, n[i]) >= THRESHOLD * np.maximum(m, n[i])) & ((y > x[i]) | (not same)))
+        if not len(j):
+            continue
+        jaccard, error = estimate(a[i][None], b[j], np.full(len(j), n[i]), m[j])
+        for k in j[jaccard >= THRESHOLD - STANDARD_ERRORS * error]:
+            one, two = find(c[i]), find(d[k])
+            if one != two and _reach(sets[0][i], sets[1][k]):
+                root[max(one, two)] = min(one, two)
+                yield int(x[i]), int(y[k])
+
+
 def _compare_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of different components within each (hub, one, two) whose estimate does not rule out the threshold."""
     found: list[tuple[int, int]] = []
     for (_, one, two), rows in pdf.groupby(["hub", "one", "two"], sort=False):
         left = rows[rows["block"] == one]
-        right = rows[rows["block"] == two]
-        a, b = (np.frombuffer(b"".join(r["sketch"]), np.uint16).reshape(-1, REGISTERS) for r in (left, right))
-        n, m = left["n"].to_numpy(), right["n"].to_numpy()
-        c, d = left["c"].to_numpy(), right["c"].to_numpy()
-        x, y = left["doc"].to_numpy(), right["doc"].to_numpy()
-        for i in range(len(a)):
-            j = np.flatnonzero((d != c[i]) & (np.minimum(m, n[i]) >= THRESHOLD * np.maximum(m, n[i])) & ((one != two) | (y > x[i])))
-            if len(j):
-                jaccard, error = estimate(a[i][None], b[j], np.full(len(j), n[i]), m[j])
-                found += [(x[i], y[k]) for k in j[jaccard >= THRESHOLD - STANDARD_ERRORS * error]]
+        found += _join_components(left, left if one == two else rows[rows["block"] == two], one == two)
     return pd.DataFrame(found, columns=["doc", "hub"], dtype=np.int64)
 
 
-def _between_members(to_hub: DataFrame, found: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs of members of one hub that are in different components and near by their registers."""
-    named = to_hub.join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("c", F.coalesce("component", "doc"))
-    open_hubs = named.groupBy("hub").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("members"))
-    open_hubs = open_hubs.where("low < high").select("hub", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    rows = stored(named.select("doc", "hub", "c").join(open_hubs, "hub"), "open-groups")
+def _between_members(to_hub: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links that join the components which the members of one hub are still in."""
+    sizes = sets.select("doc", (F.length("items") / 8).cast("long").alias("n"))
+    named = to_hub.join(found.withColumnRenamed("node", "doc"), "doc", "left").join(sizes, "doc")
+    named = named.select("hub", "doc", "n", F.coalesce("component", "doc").alias("c"))
+    open_hubs = named.groupBy("hub").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))
+    blocks = F.greatest(F.ceil(F.col("k") / BLOCK_MEMBERS), F.ceil(F.col("n") / BLOCK_SHINGLES)).cast("int")
+    open_hubs = open_hubs.where("low < high").select("hub", blocks.alias("blocks"))
+    rows = stored(named.join(open_hubs, "hub"), "open-groups")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 2
+    parts = max(parts, -(-int(rows.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0) // TASK_SHINGLES))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumns({"one": F.least("block", "other"), "two": F.greatest("block", "other")})
-    rows = rows.join(classes.select("doc", "n", "sketch"), "doc").select("hub", "one", "two", "block", "doc", "c", "n", "sketch")
-    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
+    rows = rows.join(sets.hint("merge"), "doc").select("hub", "one", "two", "block", "doc", "c", "items")
     dealt = rows.withColumn("part", F.pmod(F.xxhash64("hub", "one", "two"), F.lit(parts)))
     return dealt.groupBy("part").applyInPandas(_compare_blocks, "doc long, hub long").distinct()
 
@@ -282,17 +308,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = bands.groupBy("band").agg(F.min("doc").alias("hub"), F.max("doc").alias("last")).where("hub < last").select("band", "hub")
     to_hub = stored(bands.join(shared, "band").where("doc <> hub").select("doc", "hub").distinct(), "hubs")
     near = stored(near_by_sketch(to_hub, classes), "near")
-    sets = full_sets(docs, _ends(near))
+    sets = full_sets(docs, _ends(to_hub))
     best = near.groupBy("doc").agg(F.max_by("hub", F.struct("estimate", -F.col("hub"))).alias("hub"))
     links = stored(verified(best, sets), "links-best")
     found = components(links, "doc", "hub")
     links = links.unionByName(stored(verified(_across(near, found), sets), "links-hubs"))
     found = components(links, "doc", "hub")
-
-    rest = stored(_between_members(to_hub, found, classes), "near-rest")
+    rest = stored(_between_members(to_hub, found, sets), "links-members")
     if not rest.isEmpty():
-        more = verified(rest, full_sets(docs, _ends(rest)))
-        found = components(links.unionByName(stored(more, "links-rest")), "doc", "hub")
+        found = components(links.unionByName(rest), "doc", "hub")
 
     named = of_class.join(found.withColumnRenamed("node", "doc"), "doc", "left")
     named = named.select("f1", "f2", "n_shingles", F.coalesce("component", "doc").alias("component"))
