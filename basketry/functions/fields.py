@@ -20,7 +20,7 @@ SALESRANK_PATTERN = r"(?m)^[ \t]*salesrank:[ \t]*(\d+)"
 SIMILAR_PATTERN = r"(?m)^[ \t]*similar:[ \t]*\d+((?:[ \t]+\w+)*)"
 CATEGORIES_PATTERN = r"(?m)^[ \t]*categories:[ \t]*\d+[ \t]*\r?$((?:\r?\n[ \t]*\|[^\r\n]*)*)"
 TOTAL_REVIEWS_PATTERN = r"(?m)^[ \t]*reviews:[ \t]*total:[ \t]*(\d+)"
-AVG_RATING_PATTERN = r"avg rating:[ \t]*(\d+(?:\.\d+)?)"
+AVG_RATING_PATTERN = r"(?m)^[ \t]*reviews:.*avg rating:[ \t]*(\d+(?:\.\d+)?)"
 REVIEW_PATTERN = (
     r"(?m)^[ \t]*(\d{4}-\d{1,2}-\d{1,2})[ \t]+cutomer:[ \t]*(\S+)[ \t]+rating:[ \t]*(\d+)"
     r"[ \t]+votes:[ \t]*(\d+)[ \t]+helpful:[ \t]*(\d+)"

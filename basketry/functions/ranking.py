@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from basketry.session import require_checkpoint_dir
+
 
 def top_n_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int, rank_col: str = "rank") -> DataFrame:
     """Rows ranked 1..n within each group by ``order`` (give a total order for a stable answer).
@@ -16,30 +18,31 @@ def top_n_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int,
     return df.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= n)
 
 
-def dense_rank_values(df: DataFrame, value: str, out: str = "rank", ascending: bool = False) -> DataFrame:
-    """``(value, out)`` with ``out`` the dense rank of each distinct non-null ``value``.
+def running_totals(df: DataFrame, keys: list[str], order: list[Column], weight: str, out: str) -> DataFrame:
+    """``df`` with ``out``: the sum of ``weight`` over the rows of the same ``keys`` up to this one, in ``order``.
 
-    A plain ``dense_rank() over (order by value)`` moves every row into one partition. Here the distinct
-    values are range-partitioned and sorted in parallel; each range partition's position comes from the
-    row counts of the partitions before it (one small row per partition), so no task sees more than its
-    own range.
+    A plain window would move all rows of a key into one task. Here the rows are range-partitioned by (keys, order)
+    and written once with the number of the range they fell into (a reliable checkpoint, so every later step sees
+    the same ranges); each range's totals per key are one small row, and a running sum inside the range finishes the
+    work. ``order`` must be total within a key.
     """
-    order = F.col(value).asc() if ascending else F.col(value).desc()
-    n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    values = df.select(value).where(F.col(value).isNotNull()).distinct()
-    ranged = (
-        values.repartitionByRange(n_parts, order)
-        .sortWithinPartitions(order)
-        .select(value, F.spark_partition_id().alias("_pid"), F.monotonically_increasing_id().alias("_mid"))
-    )
-    # monotonically_increasing_id puts the partition id in the upper 31 bits and the row index in the rest
-    local = ranged.select(value, "_pid", (F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)).alias("_pos"))
-    counts = local.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    # one row per partition: a window over it is tiny and its size is bounded by the partition count
-    offsets = counts.select(
-        "_pid",
-        (F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))).alias("_off"),
-    ).select("_pid", F.coalesce("_off", F.lit(0)).alias("_off"))
-    return local.join(F.broadcast(offsets), "_pid").select(
-        value, (F.col("_off") + F.col("_pos") + F.lit(1)).alias(out)
+    require_checkpoint_dir(df.sparkSession)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, *keys, *order).withColumn("_range", F.spark_partition_id()).checkpoint()
+    own = [*keys, "_range"]
+    totals = ranged.groupBy(*own).agg(F.sum(weight).alias("_total"))
+    # a key spans at most one row per range here
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*own, F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before"))
+    within = F.sum(weight).over(Window.partitionBy(*own).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return ranged.withColumn("_within", within).join(offsets, own).withColumn(out, F.col("_before") + F.col("_within")).drop(
+        "_range", "_within", "_before"
     )
+
+
+def dense_rank_values(df: DataFrame, value: str, out: str = "rank", ascending: bool = False) -> DataFrame:
+    """``(value, out)`` with ``out`` the dense rank of each distinct non-null ``value``: a running count over the
+    distinct values, no range of which is ever in one task with another."""
+    order = F.col(value).asc() if ascending else F.col(value).desc()
+    values = df.select(value).where(F.col(value).isNotNull()).distinct().withColumns({"_all": F.lit(1), "_one": F.lit(1)})
+    return running_totals(values, ["_all"], [order], "_one", out).select(value, F.col(out).cast("bigint").alias(out))

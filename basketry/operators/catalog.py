@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketry.functions import fields
-from basketry.functions.ranking import dense_rank_values, top_n_per_group
+from basketry.functions.ranking import dense_rank_values, running_totals, top_n_per_group
 
 PRODUCT_COLUMNS = [
     "id", "asin", "title", "group", "salesrank", "total_reviews", "avg_rating", "similars", "categories",
@@ -31,6 +31,20 @@ VOTE_LEVELS = 7
 SIMILARS_PER_PRODUCT = 5
 SIZE_BAND = 10
 
+# The parts (key modulo the first number = the second) that the mapping gives a missing or odd value,
+# so that nulls, empty lists, long category lists, absent products and rating words in titles occur in every table.
+ODD_PARTS = {
+    "title": (97, 13), "salesrank": (89, 7), "avg_rating": (83, 5), "categories": (79, 11), "similars": (73, 3),
+    "many_categories": (71, 9), "asin": (103, 19), "product": (101, 17), "rating_title": (107, 23),
+    "zero_rank": (109, 29),
+}
+MANY_EXTRA = 5
+
+
+def _odd(case: str) -> F.Column:
+    modulus, rest = ODD_PARTS[case]
+    return F.pmod(F.col("p_partkey"), F.lit(modulus)) == F.lit(rest)
+
 
 @dataclass
 class Catalog:
@@ -64,20 +78,32 @@ def reviews_from_tables(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
     )
 
 
-def copurchase_edges(lineitem: DataFrame) -> DataFrame:
-    """Undirected weighted co-purchase edges: parts on adjacent line numbers of one order.
+#: Parts of one order paired as one block; a larger order is a grid of blocks.
+ORDER_BLOCK = 1000
 
-    The join key ``(order, line number)`` is unique per row, so a huge order is no hot key and the edge
-    count stays linear in the line items (all pairs inside a basket would be quadratic in its size).
+
+def order_pairs(lineitem: DataFrame, block: int = ORDER_BLOCK) -> DataFrame:
+    """``order, a, b``: every two different parts of each order, once, in no direction.
+
+    Parts are deduplicated per order (line numbers repeat and have gaps). An order of more than ``block`` lines is
+    cut into blocks of parts by a hash, and its pairs are made per cell of the grid (block, block), so no task pairs
+    more than ``block`` squared parts of one order and no pair is made twice. Nothing is dropped.
     """
-    a = lineitem.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("_a"))
-    b = lineitem.select(
-        "l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("_b")
-    )
-    pairs = a.join(b, ["l_orderkey", "l_linenumber"]).where(F.col("_a") != F.col("_b"))
-    return pairs.groupBy(
-        F.least("_a", "_b").alias("src"), F.greatest("_a", "_b").alias("dst")
-    ).agg(F.count(F.lit(1)).alias("weight"))
+    lines = lineitem.where(F.col("l_orderkey").isNotNull() & F.col("l_partkey").isNotNull())
+    items = lines.select(F.col("l_orderkey").alias("_o"), F.col("l_partkey").alias("_p")).distinct()
+    large = lines.groupBy(F.col("l_orderkey").alias("_o")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block)
+    items = items.join(large, "_o", "left").withColumn("_k", F.coalesce(F.ceil(F.col("_n") / F.lit(block)), F.lit(1)).cast("int"))
+    items = items.withColumn("_b", F.when(F.col("_k") == 1, 0).otherwise(F.pmod(F.xxhash64("_p"), F.col("_k"))).cast("int"))
+    one = items.select("_o", F.col("_p").alias("_a"), F.col("_b").alias("_x"), F.explode(F.sequence(F.col("_b"), F.col("_k") - 1)).alias("_y"))
+    two = items.select("_o", F.col("_p").alias("_c"), F.col("_b").alias("_y"), F.explode(F.sequence(F.lit(0), F.col("_b"))).alias("_x"))
+    pairs = one.join(two, ["_o", "_x", "_y"]).where((F.col("_x") < F.col("_y")) | (F.col("_a") < F.col("_c")))
+    return pairs.select(F.col("_o").alias("order"), F.col("_a").alias("a"), F.col("_c").alias("b"))
+
+
+def copurchase_edges(lineitem: DataFrame, block: int = ORDER_BLOCK) -> DataFrame:
+    """Undirected weighted co-purchase edges: two parts of one order; the weight counts orders (``order_pairs``)."""
+    pairs = order_pairs(lineitem, block)
+    return pairs.groupBy(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(F.count(F.lit(1)).alias("weight"))
 
 
 def neighbours(edges: DataFrame) -> DataFrame:
@@ -120,26 +146,31 @@ def products_from_tables(
     stats = part_stats(lineitem) if stats is None else stats
     ranks = dense_rank_values(stats, "_qty", "_rank")
     stats = stats.join(ranks, "_qty", "left")
+    key = F.col("p_partkey")
     cats = F.array(
         F.concat(F.lit("|"), F.col("p_type"), F.lit("|"), F.col("p_brand")),
         F.concat(F.lit("|"), F.col("p_brand"), F.lit("|size_"), (F.col("p_size") / SIZE_BAND).cast("int").cast("string")),
     )
-    base = part.select(
-        F.col("p_partkey").alias("id"),
-        asin_of(F.col("p_partkey")).alias("asin"),
-        F.col("p_name").alias("title"),
+    many = F.concat(cats, F.transform(F.sequence(F.lit(1), F.lit(MANY_EXTRA)), lambda i: F.concat(F.lit("|extra|"), i.cast("string"))))
+    none = F.array().cast("array<string>")
+    title = F.when(_odd("rating_title"), F.concat(F.col("p_name"), F.lit(" avg rating: 1.5"))).when(~_odd("title"), F.col("p_name"))
+    base = part.where(~_odd("product")).select(
+        key.alias("id"),
+        F.when(~_odd("asin"), asin_of(key)).alias("asin"),
+        title.alias("title"),
         F.col("p_type").alias("group"),
-        cats.alias("categories"),
+        F.when(_odd("categories"), none).when(_odd("many_categories"), many).otherwise(cats).alias("categories"),
+        _odd("salesrank").alias("_no_rank"), _odd("zero_rank").alias("_zero_rank"), _odd("avg_rating").alias("_no_rating"), _odd("similars").alias("_no_similars"),
     )
     out = (
         base.join(stats, "id", "left")
         .join(similars_from_edges(edges), "id", "left")
         .select(
             "id", "asin", "title", "group",
-            F.col("_rank").cast("double").alias("salesrank"),
+            F.when(F.col("_zero_rank"), F.lit(0.0)).when(~F.col("_no_rank"), F.col("_rank").cast("double")).alias("salesrank"),
             F.coalesce("total_reviews", F.lit(0)).alias("total_reviews"),
-            "avg_rating",
-            F.coalesce("similars", F.array().cast("array<string>")).alias("similars"),
+            F.when(~F.col("_no_rating"), F.col("avg_rating")).alias("avg_rating"),
+            F.when(F.col("_no_similars"), none).otherwise(F.coalesce("similars", none)).alias("similars"),
             "categories",
         )
     )
@@ -175,14 +206,13 @@ def product_categories(products: DataFrame) -> DataFrame:
     )
 
 
-# Rows per category bucket of the stored catalogue x category table, and the most buckets.
+# Fixed value: rows per category bucket of the stored catalogue x category table.
 ROWS_PER_BUCKET = 2_000_000
-MAX_BUCKETS = 8192
 
 
 def buckets_for(n_rows: int) -> int:
     """Bucket count that grows with the table: one bucket per ``ROWS_PER_BUCKET`` rows."""
-    return max(1, min(MAX_BUCKETS, -(-int(n_rows) // ROWS_PER_BUCKET)))
+    return max(1, -(-int(n_rows) // ROWS_PER_BUCKET))
 
 
 def category_bucket(category, buckets: int) -> F.Column:
@@ -212,53 +242,31 @@ def product_context(products: DataFrame, product_id: int) -> tuple[DataFrame, Da
     return row, sims, cats
 
 
-# Fixed value: default bound on list entries per output row of the per-key list views.
-MAX_LIST = 10_000
-
-
-def chunked_lists(df: DataFrame, key: str, item, out: str, max_list: int = MAX_LIST) -> DataFrame:
-    """``key, chunk, out``: the items of each key as sorted arrays of about ``max_list`` entries at most.
-
-    A key's items are spread over ``ceil(count / max_list)`` chunks by a hash of the item, so a key holding a
-    third of the table becomes many bounded rows built by many tasks; a key under the bound is one row with
-    ``chunk = 0``. The per-key counts come from a map-side-combined aggregate.
-    """
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    n_chunks = F.ceil(F.col("_n") / F.lit(max_list))
-    tagged = df.join(counts, key).withColumn("chunk", F.pmod(F.xxhash64(item), n_chunks).cast("int"))
-    return tagged.groupBy(key, "chunk").agg(F.array_sort(F.collect_list(item)).alias(out))
-
-
-def adjacency(edges: DataFrame, directed: bool = True, max_list: int = MAX_LIST) -> DataFrame:
-    """``src, chunk, dst_list``: neighbour lists per node (see ``chunked_lists``). An output form only; the
-    graph operators keep edges long."""
+def adjacency(edges: DataFrame, directed: bool = True) -> DataFrame:
+    """``src, pos, dst``: each node's neighbours in order, one row each (``pos`` from 1). Rows, not arrays, so a hub
+    is as many rows as it has neighbours, spread over tasks by the running count."""
     pairs = edges.select("src", "dst") if directed else neighbours(edges).select(
         F.col("node").alias("src"), F.col("nbr").alias("dst")
     )
-    return chunked_lists(pairs, "src", F.col("dst"), "dst_list", max_list)
-
-
-def reviews_nested(reviews: DataFrame, max_list: int = MAX_LIST) -> DataFrame:
-    """``id, chunk, reviews array<struct<date, customer, rating, votes, helpful>>`` per product."""
-    item = F.struct("date", "customer", "rating", "votes", "helpful")
-    return chunked_lists(reviews, "id", item, "reviews", max_list)
-
-
-def graph_rows(products: DataFrame, edges: DataFrame, limit: int | None = None) -> DataFrame:
-    """Products right-joined to the adjacency (keeps nodes with no product row), fully exploded:
-    one row per (product, co-purchase partner, similar, category). A verification view: it multiplies rows;
-    the graph operators use the long tables instead."""
-    adj = adjacency(edges, directed=False)
-    joined = products.join(adj, products.id == adj.src, "right").select(
-        F.coalesce(products.id, adj.src).alias("id"), "asin", "title", "group", "salesrank", "total_reviews",
-        "avg_rating", "similars", "categories", "dst_list",
-    )
-    if limit is not None:
-        joined = joined.orderBy("id").limit(limit)
-    return joined.select(
-        "id", "asin", "title", "group", "salesrank", "total_reviews", "avg_rating",
-        F.explode("dst_list").alias("to"), "similars", "categories",
-    ).select("*", F.explode("similars").alias("similar")).select(
-        "id", "asin", "title", "group", "salesrank", "total_reviews", "avg_rating", "to", "similar",
-        F.explode("categories").alias("category"),
-    )
+    ones = pairs.distinct().withColumn("_one", F.lit(1))
+    return running_totals(ones, ["src"], [F.col("dst").asc()], "_one", "pos").select("src", F.col("pos").cast("bigint").alias("pos"), "dst")
+
+
+def reviews_nested(reviews: DataFrame) -> DataFrame:
+    """``id, pos, date, customer, rating, votes, helpful``: each product's reviews in order (by all fields), one row
+    each; equal reviews are counted in ``times`` and stand at the first place they take."""
+    same = reviews.groupBy(*REVIEW_COLUMNS).agg(F.count(F.lit(1)).alias("times"))
+    order = [F.col(c).asc_nulls_first() for c in REVIEW_COLUMNS[1:]]
+    placed = running_totals(same, ["id"], order, "times", "_upto")
+    return placed.select("id", (F.col("_upto") - F.col("times") + 1).cast("bigint").alias("pos"), *REVIEW_COLUMNS[1:], "times")
+
+
+def graph_rows(products: DataFrame, edges: DataFrame) -> DataFrame:
+    """Products right-joined to their co-purchase partners (nodes without a product row stay, with nulls), then one
+    row per (product, partner, similar, category); an empty list keeps its row with a null. A verification view: it
+    multiplies rows; the graph operators use the long tables instead."""
+    pairs = neighbours(edges).select(F.col("node").alias("_node"), F.col("nbr").alias("to"))
+    joined = products.join(pairs, products.id == pairs["_node"], "right")
+    flat = ["asin", "title", "group", "salesrank", "total_reviews", "avg_rating"]
+    rows = joined.select(F.col("_node").alias("id"), *flat, "to", F.explode_outer("similars").alias("similar"), "categories")
+    return rows.select("id", *flat, "to", "similar", F.explode_outer("categories").alias("category"))

@@ -81,8 +81,9 @@ def _period_filter(reviews: DataFrame, month: int | str | None, year: int | str
     r = with_review_dates(reviews)
     if month is not None:
         r = r.where(F.month("updated_on") == F.lit(int(month)))
-    if year is not None:
-        r = r.where(F.year("updated_on") == F.lit(int(year)))
+    if year is not None:  # a date range, which file statistics can answer
+        first, after = (F.make_date(F.lit(int(year) + k), F.lit(1), F.lit(1)) for k in (0, 1))
+        r = r.where((F.col("updated_on") >= first) & (F.col("updated_on") < after))
     return r
 
 
@@ -95,22 +96,21 @@ def most_frequent_group(
     if reviews is None:
         counts = row_count_by(products, "group")
     else:
-        r = _period_filter(reviews, month, year).select("id")
-        counts = row_count_by(products.select("id", "group").join(r, "id"), "group")
+        r = row_count_by(_period_filter(reviews, month, year), "id")  # reviews of one product meet it as one row
+        counts = products.select("id", "group").join(r, "id").groupBy("group").agg(F.sum("count").alias("count"))
     return counts.orderBy(F.desc("count"), F.asc_nulls_last("group")).limit(1)
 
 
 def most_frequent_group_per_period(products: DataFrame, reviews: DataFrame, period: str = "month") -> DataFrame:
     """For every month (or year), the group with the most reviews: ``period, group, count``.
 
-    One join, one aggregate (map-side combined, so a hot group is pre-counted before the shuffle), and a
-    per-period top-1.
+    Reviews are counted per (product, period) before the join, so a hot product joins as a few rows; then one more
+    aggregate (map-side combined) and a per-period top-1.
     """
     fn = {"month": F.month, "year": F.year}[period]
     r = with_review_dates(reviews).select("id", fn("updated_on").alias(period)).where(F.col(period).isNotNull())
-    counts = products.select("id", "group").join(r, "id").groupBy(period, "group").agg(
-        F.count(F.lit(1)).alias("count")
-    )
+    r = r.groupBy("id", period).agg(F.count(F.lit(1)).alias("count"))
+    counts = products.select("id", "group").join(r, "id").groupBy(period, "group").agg(F.sum("count").alias("count"))
     top = top_n_per_group(counts, [period], [F.desc("count"), F.asc_nulls_last("group")], 1)
     return top.drop("rank")
 
@@ -136,9 +136,14 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
     bucket = F.when(F.col("_hi") == F.col("_lo"), F.lit(1)).otherwise(
         F.least(F.floor((F.col("_x") - F.col("_lo")) / width) + 1, F.lit(bins))
     ).cast("int")
+    counts = j.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("count"))
+    # every bucket, also the empty ones; a column without values has none, one with a single value has one
+    first = df.sparkSession.range(1).select(lo.alias("_lo"), hi.alias("_hi")).where(F.col("_lo").isNotNull())
+    last = F.when(F.col("_hi") == F.col("_lo"), 1).otherwise(bins)
+    every = first.select("_lo", "_hi", F.explode(F.sequence(F.lit(1), last)).alias("bucket"))
     return (
-        j.groupBy(bucket.alias("bucket"), "_lo", "_hi")
-        .agg(F.count(F.lit(1)).alias("count"))
+        every.join(counts, "bucket", "left")
+        .withColumn("count", F.coalesce("count", F.lit(0)))
         .select(
             "bucket",
             (F.col("_lo") + (F.col("bucket") - 1) * (F.col("_hi") - F.col("_lo")) / F.lit(bins)).alias("lower"),
@@ -166,14 +171,22 @@ SAMPLE_BUCKETS = 1 << 32
 SAMPLE_SEPARATOR = "\u0001"
 
 
+def _as_text(df: DataFrame, column: str) -> Column:
+    """A value as text with a mark before it, an array's items between marks; no value's text is another's."""
+    c = F.col(f"`{column}`")
+    if isinstance(df.schema[column].dataType, T.ArrayType):
+        c = F.array_join(F.transform(c, lambda x: F.concat(F.lit("="), F.coalesce(x.cast("string"), F.lit("-")))), ",")
+    return F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("-"))
+
+
 def drawn(df: DataFrame, fraction: float, seed: int, columns: list[str] | None = None) -> Column:
-    """Bernoulli draw from a hash of the seed and the row's values (as text, nulls skipped).
+    """Bernoulli draw from a hash of the seed and the row's values (as text; a null is a value of its own).
 
     ``rand(seed)`` depends on how rows happen to be split into partitions, so the same seed can give another
     sample after a re-read or a retried task; a hash of the row repeats exactly (identical rows are drawn
     together). md5 is a standard function, so the same draw can be written in SQL.
     """
-    cols = [F.col(f"`{c}`").cast("string") for c in (columns or df.columns)]
+    cols = [_as_text(df, c) for c in (columns or df.columns)]
     digest = F.md5(F.concat_ws(SAMPLE_SEPARATOR, F.lit(str(int(seed))), *cols))
     h = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
     return h < F.lit(int(fraction * SAMPLE_BUCKETS))

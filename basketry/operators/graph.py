@@ -73,7 +73,7 @@ def edges(products: DataFrame, copurchase: DataFrame | None = None) -> DataFrame
                              F.lit(IS_SIMILAR_TO).alias("label"))
     parts = [has_group, belongs, falls, similar]
     if copurchase is not None:
-        ids = products.select("id", "asin")
+        ids = p.select("id", "asin")
         co = (
             copurchase.select("src", "dst")
             .join(ids.select(F.col("id").alias("src"), F.col("asin").alias("_sa")), "src")
@@ -108,54 +108,47 @@ def bfs(
     (column ``id``) the search stops at the first depth that reaches a target and returns the reached
     targets only. ``max_depth`` is an optional bound; by default the search runs until no new vertex is found.
 
-    Each hop joins the frontier with the edges and removes vertices already seen. Undirected, a neighbour of
-    depth d is at depth d-1, d or d+1, so only the last two frontiers are anti-joined: no growing visited set
-    is reshuffled. Frontiers are checkpointed to the session's checkpoint folder (lineage stays one hop deep
-    and a lost executor recomputes at most one hop).
+    Each hop scans the edges and joins them with the frontier from their ``src`` side and, undirected, from their
+    ``dst`` side: no copy of the edges is made, cached or shuffled for the search as a whole. The scan side is free
+    for Spark to split where a hub is hot. New vertices are deduplicated, and undirected, a neighbour of depth d is
+    at depth d-1, d or d+1, so only the last two frontiers are anti-joined: no growing visited set is reshuffled.
+    Frontiers are checkpointed to the session's checkpoint folder (lineage stays one hop deep and a lost executor
+    recomputes at most one hop).
     """
     require_checkpoint_dir(edge_df.sparkSession)
     e = edge_df
     if labels is not None and "label" in e.columns:
         e = e.where(F.col("label").isin(list(labels)))
-    e = e.select("src", "dst")
-    if not directed:
-        e = undirected(e)
-    # Kept hash-distributed on (src, dst), not on src: a hub vertex (a group holds a sixth of all products)
-    # then spreads over every partition. A small frontier is broadcast by AQE and the edges are only
-    # scanned; a large one is a sort-merge join of two shuffle stages, which AQE can split when a hub is hot
-    # (a cached side partitioned by src could not be split).
-    adj = e.where(F.col("src") != F.col("dst")).distinct().persist()
-    try:
-        frontier = sources.select("id").distinct().withColumn("depth", F.lit(0)).checkpoint()
-        levels = [frontier]
-        depth = 0
-        while True:
-            if targets is not None:
-                hit = frontier.join(targets.select("id").distinct(), "id", "left_semi")
-                if not hit.isEmpty():
-                    return hit
-            if max_depth is not None and depth >= max_depth:
-                break
-            seen = reduce(DataFrame.unionByName, [lvl.select("id") for lvl in (levels if directed else levels[-2:])])
-            nxt = frontier.join(adj, frontier.id == adj.src).select(F.col("dst").alias("id")).distinct()
-            nxt = nxt.join(seen, "id", "left_anti")
-            depth += 1
-            nxt = nxt.withColumn("depth", F.lit(depth)).checkpoint()
-            if nxt.isEmpty():
-                break
-            levels.append(nxt)
-            frontier = nxt
+    e = e.select("src", "dst").where(F.col("src") != F.col("dst"))
+    frontier = sources.select("id").distinct().withColumn("depth", F.lit(0)).checkpoint()
+    levels = [frontier]
+    depth = 0
+    while True:
         if targets is not None:
-            return sources.sparkSession.createDataFrame([], "id string, depth int")
-        return reduce(DataFrame.unionByName, levels)
-    finally:
-        adj.unpersist()
+            hit = frontier.join(targets.select("id").distinct(), "id", "left_semi")
+            if not hit.isEmpty():
+                return hit
+        if max_depth is not None and depth >= max_depth:
+            break
+        seen = reduce(DataFrame.unionByName, [lvl.select("id") for lvl in (levels if directed else levels[-2:])])
+        nxt = e.join(frontier, F.col("src") == F.col("id")).select(F.col("dst").alias("id"))
+        if not directed:
+            nxt = nxt.unionByName(e.join(frontier, F.col("dst") == F.col("id")).select(F.col("src").alias("id")))
+        depth += 1
+        nxt = nxt.distinct().join(seen, "id", "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
+        if nxt.isEmpty():
+            break
+        levels.append(nxt)
+        frontier = nxt
+    if targets is not None:
+        return sources.sparkSession.createDataFrame([], "id string, depth int")
+    return reduce(DataFrame.unionByName, levels)
 
 
 def bfs_to_group(vertex_df: DataFrame, edge_df: DataFrame, source_asin: str, group: str,
                  labels: list[str] | None = None) -> DataFrame:
     """The nearest products of ``group`` from a product along ``labels`` (default co_purchase):
-    ``id, depth, asin, title, salesrank, avg_rating, score`` (an exact BFS, stopped at the first hit level)."""
+    ``id, depth, asin, title, salesrank, avg_rating`` (an exact BFS, stopped at the first hit level)."""
     labels = labels or [CO_PURCHASE]
     src = vertex_df.where(F.col("id") == F.lit(vertex_id(PRODUCT, source_asin))).select("id")
     targets = vertex_df.where((F.col("kind") == PRODUCT) & (F.col("group") == F.lit(group))
@@ -171,19 +164,15 @@ def path_top_n(
     ``c = category``, ``t != a``, ``t.salesrank > 0``, ``t.avg_rating > 3.0``; distinct ``t`` by ascending
     sales rank (ties by asin), first ``top_n``. ``t``'s own group is not constrained.
 
-    The bound ends (a, g, c) are filtered first, so the only large input is the belongs_to edges of ``c``.
+    The bound half (a, g, c) is two existence tests, as scalar subqueries; what is left is a filter on the belongs_to
+    edges of ``c``, so no join has a single literal for a key. Blanks around ``category`` don't count.
     """
-    a_id, g_id, c_id = vertex_id(PRODUCT, asin), vertex_id(GROUP, group), vertex_id(CATEGORY, category)
+    a_id, g_id, c_id = vertex_id(PRODUCT, asin), vertex_id(GROUP, group), vertex_id(CATEGORY, category.strip())
     ab = edge_df.where((F.col("label") == HAS_GROUP) & (F.col("src") == a_id) & (F.col("dst") == g_id))
     gc = edge_df.where((F.col("label") == FALLS_UNDER) & (F.col("src") == g_id) & (F.col("dst") == c_id))
     ct = edge_df.where((F.col("label") == BELONGS_TO) & (F.col("dst") == c_id) & (F.col("src") != a_id))
-    path = (
-        ab.select(F.col("dst").alias("g"))
-        .join(gc.select(F.col("src").alias("g"), F.col("dst").alias("c")), "g")
-        .join(ct.select(F.col("dst").alias("c"), F.col("src").alias("id")), "c")
-        .select("id")
-        .distinct()
-    )
+    path = ct.where((ab.agg(F.count(F.lit(1))).scalar() > 0) & (gc.agg(F.count(F.lit(1))).scalar() > 0))
+    path = path.select(F.col("src").alias("id")).distinct()
     t = vertex_df.where(F.col("kind") == PRODUCT).join(path, "id").where(
         (F.col("salesrank") > 0) & (F.col("avg_rating") > 3.0)
     )
@@ -195,7 +184,7 @@ def path_top_n(
 def reachable_products(
     vertex_df: DataFrame, edge_df: DataFrame, source_asin: str, labels: list[str] | None = None
 ) -> DataFrame:
-    """Products reachable from a product along ``labels`` (default all), with depth, sales data and score."""
+    """Products reachable from a product along ``labels`` (default all), with depth and sales data."""
     src = vertex_df.where(F.col("id") == F.lit(vertex_id(PRODUCT, source_asin))).select("id")
     reached = bfs(edge_df, src, labels or ALL_LABELS)
     prods = vertex_df.where(F.col("kind") == PRODUCT)

@@ -1,8 +1,8 @@
 """Column profile: counts, null share, distinct counts, top values, moments and quartiles per column.
 
-All statistics of all columns (row count and sample count included) come from one aggregate over an unpivoted
-``(col_name, value)`` view, plus one grouped count for the top values; the reference's fourteen actions per
-column become two shuffles in total.
+Everything follows from one count per (column, value): rows, sample, nulls, distinct values, moments, top values,
+and exact quartiles from a running count over the values in order. The counts are combined before the shuffle and
+written once, so a column with few values costs next to nothing whatever the number of rows.
 """
 
 from __future__ import annotations
@@ -10,12 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.functions.ranking import top_n_per_group
+from basketry.functions.ranking import running_totals, top_n_per_group
 from basketry.operators.explore import drawn
+from basketry.session import require_checkpoint_dir
 
-# The reference profile's default columns, quantile error, top-value count and sample share.
+# The profile's default columns, top-value count and sample share.
 DEFAULT_COLUMNS = ["salesrank", "total_reviews", "avg_rating"]
-QUANTILE_RELATIVE_ERROR = 0.01
 TOP_VALUES = 10
 SAMPLE_FRACTION = 0.1
 
@@ -37,52 +37,66 @@ def _long(df: DataFrame, columns: list[str], drawn_col=None) -> DataFrame:
     return df.select(F.inline(parts))
 
 
-def top_values(df: DataFrame, columns: list[str], n: int = TOP_VALUES) -> DataFrame:
-    """``col_name, most_freq_values_top_10 array<struct<value string, count bigint>>`` — the n most frequent
-    values per column, null counted as a value, ties broken by the value text."""
-    counts = _long(df, columns).groupBy("col_name", "value_str").agg(F.count(F.lit(1)).alias("count"))
-    top = top_n_per_group(counts, ["col_name"], [F.desc("count"), F.asc_nulls_first("value_str")], n)
+def value_counts(df: DataFrame, columns: list[str], drawn_col=None) -> DataFrame:
+    """``col_name, value, value_str, n, drawn``: rows (and sampled rows) per distinct value of each column."""
+    return _long(df, columns, drawn_col).groupBy("col_name", "value", "value_str").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("_drawn").alias("drawn")
+    )
+
+
+def _top_of(counts: DataFrame, n: int) -> DataFrame:
+    top = top_n_per_group(counts, ["col_name"], [F.desc("n"), F.asc_nulls_first("value_str")], n)
     return top.groupBy("col_name").agg(
         F.transform(
-            F.array_sort(F.collect_list(F.struct("rank", "value_str", "count"))),
-            lambda s: F.struct(s["value_str"].alias("value"), s["count"].alias("count")),
+            F.array_sort(F.collect_list(F.struct("rank", "value_str", "n"))),
+            lambda s: F.struct(s["value_str"].alias("value"), s["n"].alias("count")),
         ).alias("most_freq_values_top_10")
     )
 
 
+def top_values(df: DataFrame, columns: list[str], n: int = TOP_VALUES) -> DataFrame:
+    """``col_name, most_freq_values_top_10 array<struct<value string, count bigint>>`` — the n most frequent
+    values per column, null counted as a value, ties broken by the value text."""
+    return _top_of(value_counts(df, columns), n)
+
+
 def profile(
-    df: DataFrame,
-    columns: list[str] | None = None,
-    sample_fraction: float | None = SAMPLE_FRACTION,
-    seed: int = 42,
-    accuracy: int = int(1 / QUANTILE_RELATIVE_ERROR),
+    df: DataFrame, columns: list[str] | None = None, sample_fraction: float | None = SAMPLE_FRACTION, seed: int = 42
 ) -> DataFrame:
-    """One row per profiled column with the reference profile's 17 fields (``PROFILE_COLUMNS``).
+    """One row per profiled column with the profile's 17 fields (``PROFILE_COLUMNS``).
 
     ``fill_rate`` and ``col_sparsity`` are percentages rounded to 2 places; ``sample_size`` counts a seeded
-    Bernoulli sample drawn in the same pass (null when ``sample_fraction`` is None); quartiles are
-    ``percentile_approx`` at ``accuracy`` (relative error ``1 / accuracy``).
+    Bernoulli sample of whole rows (null when ``sample_fraction`` is None); a quartile is the least value that at
+    least that share of the non-null values does not exceed.
     """
     columns = columns or DEFAULT_COLUMNS
     types = {c: df.schema[c].dataType.simpleString() for c in columns}
-    draw = drawn(df, sample_fraction, seed, columns) if sample_fraction is not None else None
-    v = F.col("value")
-    # every column's long rows cover each input row once, so the row count and the sample count come from
-    # the same aggregate as the statistics
-    stats = _long(df, columns, draw).groupBy("col_name").agg(
-        F.count(F.lit(1)).alias("dataset_size"),
-        (F.count_if("_drawn") if draw is not None else F.lit(None).cast("bigint")).alias("sample_size"),
-        F.count(v).alias("count"),
-        F.count_if(v.isNull()).alias("_nulls"),
-        F.count_distinct(v).alias("distinct_count_"),
-        F.avg(v).alias("mean"),
-        F.stddev_samp(v).alias("stddev"),
+    draw = drawn(df, sample_fraction, seed) if sample_fraction is not None else None
+    require_checkpoint_dir(df.sparkSession)
+    counts = value_counts(df, columns, draw).checkpoint()
+    v, times = F.col("value"), F.col("n")
+    known = F.when(v.isNotNull(), times)
+    stats = counts.groupBy("col_name").agg(
+        F.sum("n").alias("dataset_size"),
+        (F.sum("drawn") if draw is not None else F.lit(None).cast("bigint")).alias("sample_size"),
+        F.coalesce(F.sum(known), F.lit(0)).alias("count"),
+        F.sum(F.when(v.isNull(), times).otherwise(0)).alias("_nulls"),
+        F.count(v).alias("distinct_count_"),
+        (F.sum(v * times) / F.sum(known)).alias("mean"),
         F.min(v).alias("min"),
-        F.percentile_approx(v, [0.25, 0.5, 0.75], accuracy).alias("_q"),
         F.max(v).alias("max"),
     )
+    # one row per profiled column, so these joins always broadcast
+    small = F.broadcast(stats.select("col_name", "count", "mean"))
+    spread = counts.where(v.isNotNull()).join(small, "col_name").groupBy("col_name").agg(
+        F.sqrt(F.try_divide(F.sum(times * (v - F.col("mean")) * (v - F.col("mean"))), F.max("count") - 1)).alias("stddev")
+    )
+    upto = running_totals(counts.where(v.isNotNull()).select("col_name", "value", "n"), ["col_name"], [v.asc()], "n", "_upto")
+    quartiles = upto.join(small, "col_name").groupBy("col_name").agg(
+        *[F.min(F.when(F.col("_upto") >= F.col("count") * q, v)).alias(f"q{i}") for i, q in ((1, 0.25), (2, 0.5), (3, 0.75))]
+    )
     dtype = F.create_map(*[x for c in columns for x in (F.lit(c), F.lit(types[c]))])
-    out = stats.join(top_values(df, columns), "col_name", "left")
+    out = stats.join(_top_of(counts, TOP_VALUES), "col_name", "left").join(spread, "col_name", "left").join(quartiles, "col_name", "left")
     n, nulls = F.col("dataset_size"), F.col("_nulls")
     return out.select(
         "col_name",
@@ -93,5 +107,5 @@ def profile(
         F.when(nulls == 0, F.lit(100.0)).otherwise(F.round(F.try_divide(F.col("count") * F.lit(100.0), n), 2))
         .alias("fill_rate"),
         "distinct_count_", "most_freq_values_top_10", "dataset_size", "sample_size", "mean", "stddev", "min",
-        F.get("_q", 0).alias("q1"), F.get("_q", 1).alias("q2"), F.get("_q", 2).alias("q3"), "max",
+        "q1", "q2", "q3", "max",
     )

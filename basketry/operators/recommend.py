@@ -14,7 +14,7 @@ from basketry.functions.ranking import top_n_per_group
 from basketry.functions.scores import product_score
 from basketry.operators.catalog import category_bucket, product_categories
 from basketry.operators.explore import helpfulness, in_folded
-from basketry.operators.similarity import title_matches
+from basketry.operators.similarity import similar_titles
 
 # The recommenders' default list length and title-similarity threshold.
 DEFAULT_TOP_N = 5
@@ -30,7 +30,7 @@ def _require_id(product_id) -> int:
 
 
 def _best_first() -> list[Column]:
-    return [F.desc_nulls_last("score"), F.asc("asin")]
+    return [F.desc_nulls_last("score"), F.asc_nulls_last("asin")]
 
 
 def top_scored(candidates: DataFrame, top_n: int | None = DEFAULT_TOP_N, ascending: bool = False) -> DataFrame:
@@ -41,7 +41,7 @@ def top_scored(candidates: DataFrame, top_n: int | None = DEFAULT_TOP_N, ascendi
     """
     n = DEFAULT_TOP_N if top_n is None else top_n
     per_product = candidates.groupBy("asin", "title").agg(F.max("score").alias("score"))
-    order = [F.asc_nulls_last("score"), F.asc("asin")] if ascending else _best_first()
+    order = [F.asc_nulls_last("score"), F.asc_nulls_last("asin")] if ascending else _best_first()
     return per_product.orderBy(*order).limit(int(n))
 
 
@@ -114,12 +114,14 @@ def recommend_with_chosen_categories(
     products: DataFrame, product_id, group: str, categories: list[str] | str, top_n: int = DEFAULT_TOP_N,
     from_similars: bool = False, stored=None,
 ) -> DataFrame:
-    """Relevant-category products of ``group`` plus every catalogue product of the chosen categories."""
+    """Relevant-category products of ``group`` plus every catalogue product of the chosen categories (equal to one of
+    them, blanks around it aside)."""
     pid = _require_id(product_id)
     context = relevant_categories(products, pid, group, from_similars)
     in_context = _in_categories(products, context, stored).where(F.col("group") == F.lit(group))
     chosen = [categories] if isinstance(categories, str) else list(categories)
-    in_chosen = product_categories(products).where(in_folded(F.trim(F.col("category")), [c.strip() for c in chosen]))
+    wanted = products.sparkSession.createDataFrame([(c.strip(),) for c in chosen], "category string")
+    in_chosen = _in_categories(products, wanted, stored)
     cands = in_context.unionByName(in_chosen).where(F.col("id") != F.lit(pid))
     return top_scored(_scored(cands), top_n)
 
@@ -135,8 +137,8 @@ def recommend_by_category_and_title(
     context = restrict_categories(relevant_categories(products, pid, group, from_similars), categories)
     by_category = _in_categories(products, context, stored).select("id", "asin", "title", "salesrank", "total_reviews",
                                                             "avg_rating")
-    by_title = title_matches(products, pid, threshold).select("id", "asin", "title", "salesrank",
-                                                               "total_reviews", "avg_rating")
+    by_title = similar_titles(products, pid, threshold).select("id", "asin", "title", "salesrank",
+                                                                "total_reviews", "avg_rating")
     cands = by_category.unionByName(by_title).where(F.col("id") != F.lit(pid))
     return top_scored(_scored(cands), top_n)
 
@@ -171,21 +173,90 @@ def recommend(
 ) -> DataFrame:
     """Optional-filter recommender: every given argument adds its predicate, a missing one adds none.
 
-    ``category`` matches as a substring of a category path, ``group`` by equality, and ``asin`` excludes that
-    product. With an asin and no group, the candidates are the asin's own group (every product of that
-    group is two hops from it in the property graph, through the group vertex). ``top_n`` defaults to 5.
+    ``category`` matches as a substring of a category path (blanks around the argument aside), ``group`` by equality,
+    and ``asin`` excludes that product. With an asin and no group, the candidates are the asin's own group (every
+    product of that group is two hops from it in the property graph, through the group vertex). ``top_n`` defaults
+    to 5. Catalogue rows are one per product, so this is a scan, a filter and a top-n: nothing is exploded or
+    shuffled, and products without categories take part when no category is asked for.
     """
-    rows = product_categories(products)
+    rows = products
     if category is not None:
-        rows = rows.where(F.col("category").contains(F.lit(category)))
+        wanted = F.lit(category.strip())
+        rows = rows.where(F.exists("categories", lambda c: c.contains(wanted)))
     if group is not None:
         rows = rows.where(F.col("group") == F.lit(group))
     elif asin is not None and category is None:
-        own_group = products.where(F.col("asin") == F.lit(asin)).select("group").distinct()
-        rows = rows.join(own_group, "group", "left_semi")
+        rows = rows.where(F.col("group") == products.where(F.col("asin") == F.lit(asin)).agg(F.max("group")).scalar())
     if asin is not None:
         rows = rows.where(F.col("asin") != F.lit(asin))
-    return top_scored(_scored(rows), top_n, ascending)
+    first = F.asc_nulls_last("score") if ascending else F.desc_nulls_last("score")
+    ranked = _scored(rows).orderBy(first, F.asc_nulls_last("asin"), F.asc("id"))
+    return ranked.select("asin", "title", "score").limit(int(DEFAULT_TOP_N if top_n is None else top_n))
+
+
+# --- the forms of the running reference code: the request's own context rows, not other products ------------------
+
+
+def context_in_catalogue(
+    products: DataFrame, product_id, group: str | None = None, from_similars: bool = False, requested: str | None = None
+) -> DataFrame:
+    """The relevant-category rows of a request whose category the catalogue has, with ``score``. ``requested`` adds one
+    row that holds that category only (all else null, so it scores null)."""
+    context = relevant_categories(products, product_id, group, from_similars)
+    if requested is not None:
+        asked = products.sparkSession.createDataFrame([(requested.strip(),)], "category string")
+        context = context.unionByName(asked, allowMissingColumns=True)
+    have = product_categories(products).select("category").distinct()
+    return _scored(context.join(have, "category", "left_semi"))
+
+
+def context_recommendation(
+    products: DataFrame, product_id, group: str | None = None, top_n: int = DEFAULT_TOP_N, from_similars: bool = False,
+    requested: str | None = None,
+) -> DataFrame:
+    """Top-n of the scored context rows (``requested``: with the requested category appended as a row)."""
+    return top_scored(context_in_catalogue(products, product_id, group, from_similars, requested), top_n)
+
+
+def context_and_titles(
+    products: DataFrame, product_id, group: str | None = None, top_n: int = DEFAULT_TOP_N, threshold: float = TITLE_THRESHOLD,
+    from_similars: bool = False,
+) -> DataFrame:
+    """Top-n of the context rows and the products with a similar title, the request's own row included."""
+    cols = ["asin", "title", "score"]
+    context = context_in_catalogue(products, product_id, group, from_similars).select(*cols)
+    return top_scored(context.unionByName(_scored(similar_titles(products, product_id, threshold)).select(*cols)), top_n)
+
+
+def context_and_chosen(
+    products: DataFrame, product_id, group: str, categories: list[str] | str, top_n: int = DEFAULT_TOP_N,
+    from_similars: bool = False, stored=None,
+) -> DataFrame:
+    """Top-n of the context rows of ``group`` and the catalogue rows of each chosen category."""
+    cols = ["asin", "title", "score"]
+    chosen = [categories] if isinstance(categories, str) else list(categories)
+    wanted = products.sparkSession.createDataFrame([(c.strip(),) for c in chosen], "category string")
+    context = context_in_catalogue(products, product_id, group, from_similars).where(F.col("group") == F.lit(group))
+    return top_scored(context.select(*cols).unionByName(_scored(_in_categories(products, wanted, stored)).select(*cols)), top_n)
+
+
+def context_by_asin(products: DataFrame, product_id, group: str | None = None, categories: list[str] | str | None = None) -> DataFrame:
+    """The product's and its similars' rows joined on asin to the relevant categories of the request (restricted to
+    ``categories`` when given): ``asin, title, group, category``."""
+    pid = _require_id(product_id)
+    one = products.where(F.col("id") == F.lit(pid))
+    asins = one.select("asin").unionByName(one.select(F.explode("similars").alias("asin"))).distinct()
+    relevant = relevant_categories(products, pid, group).unionByName(
+        relevant_categories(products, pid, group, from_similars=True) if group is not None else
+        _similar_rows(products, one).select(*CONTEXT_COLUMNS)
+    )
+    return restrict_categories(relevant, categories).join(asins, "asin").select("asin", "title", "group", "category").distinct()
+
+
+def _similar_rows(products: DataFrame, one: DataFrame) -> DataFrame:
+    sims = one.select(F.explode("similars").alias("asin"))
+    rows = products.join(sims, "asin", "left_semi")
+    return rows.select(*CONTEXT_COLUMNS[:-1], F.explode("categories").alias("category"))
 
 
 def recommend_all(products: DataFrame, top_n: int = DEFAULT_TOP_N) -> DataFrame:
@@ -198,7 +269,7 @@ def recommend_all(products: DataFrame, top_n: int = DEFAULT_TOP_N) -> DataFrame:
     categories contribute.
     """
     pc = _scored(product_categories(products)).select("id", "asin", "title", "category", "score")
-    order = [F.desc_nulls_last("score"), F.asc("asin"), F.asc("id")]
+    order = [F.desc_nulls_last("score"), F.asc_nulls_last("asin"), F.asc("id")]
     best = top_n_per_group(pc, ["category"], order, top_n + 1).select(
         "category", F.col("id").alias("rec_id"), F.col("asin").alias("rec_asin"),
         F.col("title").alias("rec_title"), F.col("score"),
@@ -206,7 +277,7 @@ def recommend_all(products: DataFrame, top_n: int = DEFAULT_TOP_N) -> DataFrame:
     cands = pc.select("id", "category").join(best, "category").where(F.col("id") != F.col("rec_id"))
     cands = cands.select("id", "rec_id", "rec_asin", "rec_title", "score").distinct()
     ranked = top_n_per_group(
-        cands, ["id"], [F.desc_nulls_last("score"), F.asc("rec_asin"), F.asc("rec_id")], top_n
+        cands, ["id"], [F.desc_nulls_last("score"), F.asc_nulls_last("rec_asin"), F.asc("rec_id")], top_n
     )
     return ranked.select("id", "rank", "rec_id", "rec_asin", "rec_title", "score")
 

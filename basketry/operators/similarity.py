@@ -30,29 +30,36 @@ def _set_of(title: Column, ngram: int | None) -> Column:
     return tokens(title) if ngram is None else char_ngrams(title, ngram)
 
 
-def title_matches(
+def similar_titles(
     products: DataFrame, product_id, threshold: float = DEFAULT_THRESHOLD, ngram: int | None = None,
     include_self: bool = True,
 ) -> DataFrame:
-    """Catalogue products whose title set is at least ``threshold`` Jaccard-similar to one product's title.
+    """Catalogue rows whose title set is at least ``threshold`` Jaccard-similar to one product's title, with
+    ``similarity``; products without categories stay.
 
-    ``id, asin, title, group, salesrank, total_reviews, avg_rating, similarity, category`` (one row per
-    category, as the reference's match table). The query's set is a scalar subquery (one product's title
-    set, computed once), so the scan of the catalogue is a single projection and filter with no join or
-    shuffle. Word tokens by default; character n-grams with ``ngram=n``.
+    The query's set is a scalar subquery (one product's title set, computed once), so the scan of the catalogue is a
+    single projection and filter with no join or shuffle. Word tokens by default; character n-grams with ``ngram=n``.
     """
     query = products.where(F.col("id") == F.lit(int(product_id))).select(
         F.array_distinct(F.flatten(F.collect_list(_set_of(F.col("title"), ngram))))
     ).scalar()
     # the query set and each title's set are projected once, then compared (one subquery reference)
     sets = products.withColumn("_q", query).withColumn("_t", _set_of(F.col("title"), ngram))
-    scored = sets.withColumn("similarity", jaccard("_t", "_q"))
-    out = scored.where(F.col("similarity") >= F.lit(threshold))
+    out = sets.withColumn("similarity", jaccard("_t", "_q")).where(F.col("similarity") >= F.lit(threshold))
     if not include_self:
         out = out.where(F.col("id") != F.lit(int(product_id)))
-    return out.select(
+    return out.drop("_q", "_t")
+
+
+def title_matches(
+    products: DataFrame, product_id, threshold: float = DEFAULT_THRESHOLD, ngram: int | None = None,
+    include_self: bool = True,
+) -> DataFrame:
+    """``similar_titles`` with their categories: ``id, asin, title, group, salesrank, total_reviews, avg_rating,
+    similarity, category``, one row per category, and one with a null category for a product that has none."""
+    return similar_titles(products, product_id, threshold, ngram, include_self).select(
         "id", "asin", "title", "group", "salesrank", "total_reviews", "avg_rating", "similarity",
-        F.explode("categories").alias("category"),
+        F.explode_outer("categories").alias("category"),
     )
 
 
@@ -87,13 +94,13 @@ def pooled_similarity(products: DataFrame) -> DataFrame:
     return scored.unionByName(missing)
 
 
-# Fixed value: default bound on one side of a salted prefix-token join bucket.
-MAX_POSTINGS_PER_TASK = 2000
+# Fixed value: titles of one prefix token that are joined as one block.
+POSTINGS_BLOCK = 2000
 
 
 def similar_title_pairs(
     products: DataFrame, threshold: float = DEFAULT_THRESHOLD, ngram: int | None = None,
-    max_postings: int = MAX_POSTINGS_PER_TASK,
+    block: int = POSTINGS_BLOCK,
 ) -> DataFrame:
     """All pairs of distinct titles with set Jaccard >= ``threshold``: ``title_a < title_b, similarity``.
 
@@ -102,9 +109,9 @@ def similar_title_pairs(
     ``|s| - ceil(t·|s|) + 1`` tokens is joined — two sets with Jaccard >= t must share a prefix token; a
     length filter ``t·|a| <= |b| <= |a|/t`` prunes more; every candidate is verified exactly.
 
-    A prefix token shared by many titles is salted: its postings are split into ``ceil(postings /
-    max_postings)`` buckets by a hash of the title on one side and replicated to every bucket on the other,
-    so each pair is still generated exactly once but no task holds a hot token's whole posting list.
+    A prefix token shared by many titles is a grid: its titles are dealt to ``ceil(postings / block)`` blocks by a
+    hash, and each cell (block, block) is joined on its own, so each pair is made exactly once, a title is copied
+    once per block and no task pairs more than ``block`` by ``block`` titles of a token.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
@@ -125,17 +132,18 @@ def similar_title_pairs(
     prefix = ordered.select("title", "n", F.explode(F.slice("_ord", 1, plen)).alias("_e")).select(
         "title", "n", F.col("_e.tok").alias("tok")
     )
-    postings = prefix.groupBy("tok").agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(int(max_postings))).cast("int").alias("_k")
-    )
-    salted = prefix.join(postings, "tok")
-    a = salted.select("title", "n", "tok", F.pmod(F.xxhash64("title"), F.col("_k")).cast("int").alias("salt")).alias("a")
-    b = salted.select("title", "n", "tok", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("salt")).alias("b")
-    cands = a.join(b, (F.col("a.tok") == F.col("b.tok")) & (F.col("a.salt") == F.col("b.salt"))).where(
-        (F.col("a.title") < F.col("b.title"))
+    postings = prefix.groupBy("tok").agg(F.ceil(F.count(F.lit(1)) / F.lit(int(block))).cast("int").alias("_k"))
+    dealt = prefix.join(postings, "tok").withColumn("_b", F.pmod(F.xxhash64("title"), F.col("_k")).cast("int"))
+    # a pair (x, y) of titles in blocks (i, j) is made in cell (min, max) only: the row with the smaller block on the left
+    a = dealt.select("title", "n", "tok", F.col("_b").alias("x"), F.explode(F.sequence(F.col("_b"), F.col("_k") - 1)).alias("y")).alias("a")
+    b = dealt.select("title", "n", "tok", F.col("_b").alias("y"), F.explode(F.sequence(F.lit(0), F.col("_b"))).alias("x")).alias("b")
+    cell = (F.col("a.tok") == F.col("b.tok")) & (F.col("a.x") == F.col("b.x")) & (F.col("a.y") == F.col("b.y"))
+    once = (F.col("a.x") < F.col("a.y")) | (F.col("a.title") < F.col("b.title"))
+    cands = a.join(b, cell).where(
+        once
         & (F.col("b.n") >= F.lit(t) * F.col("a.n") - F.lit(EPS))
         & (F.col("b.n") <= F.col("a.n") / F.lit(t) + F.lit(EPS))
-    ).select(F.col("a.title").alias("title_a"), F.col("b.title").alias("title_b")).distinct()
+    ).select(F.least("a.title", "b.title").alias("title_a"), F.greatest("a.title", "b.title").alias("title_b")).distinct()
     ta = titles.select(F.col("title").alias("title_a"), F.col("toks").alias("_ta"))
     tb = titles.select(F.col("title").alias("title_b"), F.col("toks").alias("_tb"))
     verified = cands.join(ta, "title_a").join(tb, "title_b").select(

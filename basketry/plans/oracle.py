@@ -17,13 +17,12 @@ stats AS (
   FROM lineitem GROUP BY l_partkey
 ),
 ranked AS (SELECT *, dense_rank() OVER (ORDER BY qty DESC) AS rnk FROM stats),
-co_pairs AS (
-  SELECT a.l_partkey AS pa, b.l_partkey AS pb
-  FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
-  WHERE a.l_partkey <> b.l_partkey
+co_items AS (
+  SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem WHERE l_orderkey IS NOT NULL AND l_partkey IS NOT NULL
 ),
 co_edges AS (
-  SELECT least(pa, pb) AS src, greatest(pa, pb) AS dst, count(*) AS weight FROM co_pairs GROUP BY 1, 2
+  SELECT a.p AS src, b.p AS dst, count(*) AS weight
+  FROM co_items a JOIN co_items b ON a.o = b.o AND a.p < b.p GROUP BY 1, 2
 ),
 nbrs AS (
   SELECT src AS node, dst AS nbr, weight FROM co_edges
@@ -38,13 +37,24 @@ sims AS (
   FROM top_nbrs GROUP BY node
 ),
 products AS (
-  SELECT p.p_partkey AS id, lpad(CAST(p.p_partkey AS VARCHAR), 10, '0') AS asin, p.p_name AS title,
-         p.p_type AS "group", CAST(r.rnk AS DOUBLE) AS salesrank,
-         coalesce(r.total_reviews, 0) AS total_reviews, r.avg_rating,
-         coalesce(s.similars, CAST([] AS VARCHAR[])) AS similars,
-         ['|' || p.p_type || '|' || p.p_brand,
-          '|' || p.p_brand || '|size_' || CAST(p.p_size // 10 AS VARCHAR)] AS categories
+  SELECT p.p_partkey AS id,
+         CASE WHEN p.p_partkey % 103 = 19 THEN NULL ELSE lpad(CAST(p.p_partkey AS VARCHAR), 10, '0') END AS asin,
+         CASE WHEN p.p_partkey % 107 = 23 THEN p.p_name || ' avg rating: 1.5'
+              WHEN p.p_partkey % 97 = 13 THEN NULL ELSE p.p_name END AS title,
+         p.p_type AS "group",
+         CASE WHEN p.p_partkey % 109 = 29 THEN 0e0 WHEN p.p_partkey % 89 = 7 THEN NULL ELSE CAST(r.rnk AS DOUBLE) END AS salesrank,
+         coalesce(r.total_reviews, 0) AS total_reviews,
+         CASE WHEN p.p_partkey % 83 = 5 THEN NULL ELSE r.avg_rating END AS avg_rating,
+         CASE WHEN p.p_partkey % 73 = 3 THEN CAST([] AS VARCHAR[]) ELSE coalesce(s.similars, CAST([] AS VARCHAR[])) END AS similars,
+         CASE WHEN p.p_partkey % 79 = 11 THEN CAST([] AS VARCHAR[])
+              ELSE list_concat(
+                ['|' || p.p_type || '|' || p.p_brand,
+                 '|' || p.p_brand || '|size_' || CAST(p.p_size // 10 AS VARCHAR)],
+                CASE WHEN p.p_partkey % 71 = 9
+                     THEN ['|extra|1', '|extra|2', '|extra|3', '|extra|4', '|extra|5'] ELSE CAST([] AS VARCHAR[]) END)
+         END AS categories
   FROM part p LEFT JOIN ranked r ON r.id = p.p_partkey LEFT JOIN sims s ON s.id = p.p_partkey
+  WHERE p.p_partkey % 101 <> 17
 ),
 scored AS (
   SELECT *, ((1e7 - salesrank) / 1e7 + CAST(total_reviews AS DOUBLE) / 1e2 + avg_rating) / 3e0 AS score
@@ -97,9 +107,11 @@ def jaccard(a: str, b: str) -> str:
 SAMPLE_CUTOFF = int(0.1 * (1 << 32))
 
 
-def draw(seed: int, cols: list[str]) -> str:
-    """The sample draw: first 32 bits of md5(seed, values as text, nulls skipped) below the cutoff."""
-    text = ", ".join(f"CAST({c} AS VARCHAR)" for c in cols)
+def draw(seed: int, cols: list[str], lists: tuple[str, ...] = ()) -> str:
+    """The sample draw: first 32 bits of md5(seed, marked values as text, '-' for null) below the cutoff."""
+    plain = {c: f"CAST({c} AS VARCHAR)" for c in cols}
+    plain |= {c: f"array_to_string(list_transform({c}, lambda v: coalesce('=' || v, '-')), ',')" for c in lists}
+    text = ", ".join(f"coalesce('=' || {plain[c]}, '-')" for c in cols)
     return f"CAST(('0x' || substr(md5(concat_ws(chr(1), '{seed}', {text})), 1, 8)) AS BIGINT) < {SAMPLE_CUTOFF}"
 
 
@@ -109,6 +121,22 @@ SELECT asin, title, round(max(score), {D}) AS score FROM pc WHERE {where}
 GROUP BY asin, title ORDER BY max(score) DESC NULLS LAST, asin LIMIT {n}"""
 
 
+def ranked(where: str, n: int, best: str = "DESC") -> str:
+    """Catalogue rows, one per product, by score."""
+    return f"""
+SELECT asin, title, round(score, {D}) AS score FROM scored WHERE {where}
+ORDER BY scored.score {best} NULLS LAST, asin NULLS LAST, id LIMIT {n}"""
+
+
+def has_category(text: str) -> str:
+    return f"len(list_filter(categories, lambda c: contains(c, {_lit(text)}))) > 0"
+
+
+#: Rows of a list column; an empty list is one row with a null.
+def outer(col: str) -> str:
+    return f"unnest(CASE WHEN len(coalesce({col}, CAST([] AS VARCHAR[]))) = 0 THEN CAST([NULL] AS VARCHAR[]) ELSE {col} END)"
+
+
 OWN_CATS = f"(SELECT unnest(categories) FROM products WHERE id = {P.PRODUCT_ID})"
 PRODUCT_FLAT = f"""
 SELECT id, asin, title, "group", salesrank, total_reviews, round(avg_rating, {D}) AS avg_rating,
@@ -135,6 +163,7 @@ ge AS (
   UNION ALL
   SELECT 'product:' || a.asin, 'product:' || b.asin, 'co_purchase'
   FROM co_edges e JOIN products a ON a.id = e.src JOIN products b ON b.id = e.dst
+  WHERE a.asin IS NOT NULL AND b.asin IS NOT NULL
 )"""
 
 
@@ -150,6 +179,11 @@ def bfs_cte(name: str, edges: str, source: str, id_type: str) -> str:
 )"""
 
 
+FLAT_COLUMNS = [
+    "id", "asin", "title", '"group"', "salesrank", "total_reviews", "avg_rating", "similars", "categories",
+    *[f"category_{i}" for i in range(1, 7)],
+]
+
 PROFILE_LONG = """
 plong AS (
   SELECT 'salesrank' AS col_name, CAST(salesrank AS DOUBLE) AS value, CAST(salesrank AS VARCHAR) AS value_str
@@ -185,20 +219,29 @@ FROM pc""",
     "parse_reviews": "SELECT * FROM reviews",
     "parse_products_file": PRODUCT_FLAT,
     "edge_list_file": "SELECT src, dst, weight FROM co_edges",
+    "full_dump_products": PRODUCT_FLAT,
+    "full_dump_reviews": "SELECT * FROM reviews WHERE id IN (SELECT id FROM products)",
+    "text_lines": """
+SELECT label, CAST(sum(n) AS BIGINT) AS lines FROM (
+  SELECT unnest(['Id', 'ASIN', 'title', 'group', 'salesrank', 'similar', 'categories', 'reviews', '']) AS label,
+         unnest([count(*), count(asin), count(title), count("group"), count(*), count(*), count(*), count(*),
+                 CAST(sum(len(categories)) AS BIGINT)
+                 + (SELECT count(*) FROM reviews WHERE id IN (SELECT id FROM products))]) AS n
+  FROM products
+) GROUP BY label HAVING sum(n) > 0""",
     "adjacency": """
-SELECT node AS src, 0 AS chunk, string_agg(CAST(nbr AS VARCHAR), ',' ORDER BY nbr) AS dst_list
-FROM nbrs GROUP BY node""",
+SELECT node AS src, row_number() OVER (PARTITION BY node ORDER BY nbr) AS pos, nbr AS dst FROM nbrs""",
     "reviews_nested": """
-SELECT id, 0 AS chunk,
-       string_agg(concat_ws('/', CAST(date AS VARCHAR), customer, CAST(rating AS VARCHAR), CAST(votes AS VARCHAR),
-                            CAST(helpful AS VARCHAR)), ',' ORDER BY date, customer, rating, votes, helpful) AS reviews
-FROM reviews GROUP BY id""",
+SELECT id, CAST(sum(times) OVER (PARTITION BY id ORDER BY date NULLS FIRST, customer NULLS FIRST, rating NULLS FIRST,
+                                 votes NULLS FIRST, helpful NULLS FIRST) - times + 1 AS BIGINT) AS pos,
+       date, customer, rating, votes, helpful, times
+FROM (SELECT id, date, customer, rating, votes, helpful, count(*) AS times FROM reviews GROUP BY ALL)""",
     "graph_rows": f""",
 g1 AS (SELECT n.node AS id, n.nbr AS "to", p.asin, p.title, p."group", p.salesrank, p.total_reviews,
               p.avg_rating, p.similars, p.categories
        FROM nbrs n LEFT JOIN products p ON p.id = n.node),
-g2 AS (SELECT *, unnest(similars) AS "similar" FROM g1),
-g3 AS (SELECT *, unnest(categories) AS category FROM g2)
+g2 AS (SELECT *, {outer('similars')} AS "similar" FROM g1),
+g3 AS (SELECT *, {outer('categories')} AS category FROM g2)
 SELECT id, asin, title, "group", salesrank, total_reviews, round(avg_rating, {D}) AS avg_rating, "to", "similar",
        category
 FROM g3""",
@@ -215,6 +258,13 @@ FROM products""",
         f"round(CAST(count(*) FILTER (WHERE {c} IS NULL) AS DOUBLE) / count(*), {D}) AS null_rate FROM reviews"
         for c in ["id", "date", "customer", "rating", "votes", "helpful"]
     ),
+    "null_rates_products": "\nUNION ALL ".join(
+        f"SELECT '{c.strip(chr(34))}' AS \"column\", count(*) FILTER (WHERE {c} IS NULL) AS null_count, count(*) AS total, "
+        f"round(CAST(count(*) FILTER (WHERE {c} IS NULL) AS DOUBLE) / count(*), {D}) AS null_rate FROM products"
+        for c in ["id", "asin", "title", '"group"', "salesrank", "total_reviews", "avg_rating"]
+    ),
+    "untitled_products": 'SELECT id, asin, "group" FROM products WHERE title IS NULL',
+    "rated_products": f"SELECT id, round(avg_rating, {D}) AS avg_rating FROM products WHERE avg_rating IS NOT NULL",
     "helpfulness": """
 SELECT id, date, customer, rating,
        round(CASE WHEN votes = 0 THEN NULL ELSE CAST(helpful * 100 AS DOUBLE) / votes END, 2) AS helpful_percentage
@@ -254,9 +304,9 @@ hc AS (
            AS bucket, lo, hi, count(*) AS count
   FROM hv CROSS JOIN hb GROUP BY 1, 2, 3
 )
-SELECT bucket, round(lo + (bucket - 1) * (hi - lo) / 30, {D}) AS lower,
-       round(lo + bucket * (hi - lo) / 30, {D}) AS upper, count
-FROM hc""",
+SELECT CAST(g.bucket AS INTEGER) AS bucket, round(hb.lo + (g.bucket - 1) * (hb.hi - hb.lo) / 30, {D}) AS lower,
+       round(hb.lo + g.bucket * (hb.hi - hb.lo) / 30, {D}) AS upper, coalesce(hc.count, 0) AS count
+FROM hb, (SELECT unnest(range(1, 31)) AS bucket) g LEFT JOIN hc ON hc.bucket = g.bucket""",
     "histogram_group": 'SELECT "group", count(*) AS count FROM products GROUP BY 1',
     "title_set": f"""
 SELECT array_to_string(list_sort(list(DISTINCT title)), ',') AS titles FROM products WHERE id = {P.PRODUCT_ID}""",
@@ -284,7 +334,8 @@ SELECT s.col_name,
        s.dcnt + CASE WHEN s.nulls > 0 THEN 1 ELSE 0 END AS distinct_count,
        CASE WHEN s.nulls = 0 THEN 100.0 ELSE round(s.cnt * 100.0 / (s.cnt + s.nulls), 2) END AS fill_rate,
        s.dcnt AS distinct_count_, t.tops AS most_freq_values_top_10, s.cnt + s.nulls AS dataset_size,
-       (SELECT count(*) FILTER (WHERE {draw(42, ['salesrank', 'total_reviews', 'avg_rating'])}) FROM products)
+       (SELECT count(*) FILTER (WHERE {draw(42, FLAT_COLUMNS, ('similars', 'categories'))})
+          FROM (SELECT *, {', '.join(f'categories[{i}] AS category_{i}' for i in range(1, 7))} FROM products))
          AS sample_size,
        round(s.mean, {D}) AS mean, round(s.sd, {D}) AS stddev, s.mn AS min, s.q1, s.q2, s.q3, s.mx AS max
 FROM pstat s LEFT JOIN ptop t ON t.col_name = s.col_name""",
@@ -334,24 +385,53 @@ SELECT DISTINCT {CONTEXT_COLS} FROM (SELECT *, unnest(categories) AS category FR
         f"""id <> {P.PRODUCT_ID} AND (
   ("group" = {_lit(P.GROUP)} AND category IN (SELECT unnest(categories) FROM products
      WHERE id = {P.PRODUCT_ID} AND "group" = {_lit(P.GROUP)} AND {HAS_SIMILAR_IN_CATALOGUE}))
-  OR lower(trim(category)) IN ({_list([c.lower() for c in P.CHOSEN_CATEGORIES])}))""", P.TOP_N),
-    "recommend_by_category_and_title": top(
-        f"""id <> {P.PRODUCT_ID} AND (category IN {OWN_CATS}
-  OR id IN (SELECT t.id FROM products t, (SELECT title AS qt FROM products WHERE id = {P.PRODUCT_ID}) q
-            WHERE {jaccard(tokens('t.title'), tokens('q.qt'))} >= {P.THRESHOLD}))""", P.TOP_N),
+  OR category IN ({_list(P.CHOSEN_CATEGORIES)}))""", P.TOP_N),
+    "recommend_by_category_and_title": f"""
+SELECT asin, title, round(max(score), {D}) AS score FROM (
+  SELECT asin, title, score FROM pc WHERE id <> {P.PRODUCT_ID} AND category IN {OWN_CATS}
+  UNION ALL
+  SELECT t.asin, t.title, t.score FROM scored t, (SELECT title AS qt FROM products WHERE id = {P.PRODUCT_ID}) q
+  WHERE t.id <> {P.PRODUCT_ID} AND {jaccard(tokens('t.title'), tokens('q.qt'))} >= {P.THRESHOLD}
+) GROUP BY asin, title ORDER BY max(score) DESC NULLS LAST, asin LIMIT {P.TOP_N}""",
     "recommend_with_requested_category": top(
         f"id <> {P.PRODUCT_ID} AND (category IN {OWN_CATS} OR category = {_lit(P.REQUESTED_CATEGORY)})", P.TOP_N),
     "similar_products": f"""
 SELECT id, asin, title, "group", unnest(categories) AS category FROM products
 WHERE asin IN (SELECT unnest(similars) FROM products WHERE id = {P.PRODUCT_ID})""",
-    "recommend_filters_all": top(
-        f"contains(category, {_lit(P.CATEGORY_SUBSTRING)}) AND \"group\" = {_lit(P.GROUP)} "
-        f"AND asin <> {_lit(P.ASIN)}", P.TOP_N),
-    "recommend_filters_category": top(f"contains(category, {_lit(P.CATEGORY_SUBSTRING)})", 10),
-    "recommend_filters_group": top(f"\"group\" = {_lit(P.GROUP)} AND asin <> {_lit(P.ASIN)}", 5),
-    "recommend_filters_asin": top(
+    "recommend_filters_all": ranked(
+        f"{has_category(P.CATEGORY_SUBSTRING)} AND \"group\" = {_lit(P.GROUP)} AND asin <> {_lit(P.ASIN)}", P.TOP_N),
+    "recommend_filters_category": ranked(has_category(P.CATEGORY_SUBSTRING), 10),
+    "recommend_filters_group": ranked(f"\"group\" = {_lit(P.GROUP)} AND asin <> {_lit(P.ASIN)}", 5),
+    "recommend_filters_asin": ranked(
         f"\"group\" IN (SELECT \"group\" FROM products WHERE asin = {_lit(P.ASIN)}) AND asin <> {_lit(P.ASIN)}", 7),
-    "recommend_filters_none": top("TRUE", 5),
+    "recommend_filters_none": ranked("TRUE", 5),
+    "recommend_ascending": ranked(f"\"group\" = {_lit(P.GROUP)}", 6, "ASC"),
+    "context_recommendation": f"""
+SELECT asin, title, round(max(score), {D}) AS score FROM pc
+WHERE "group" = {_lit(P.SIMILARS_GROUP)} AND asin IN (SELECT unnest(similars) FROM products WHERE id = {P.PRODUCT_ID})
+GROUP BY asin, title ORDER BY max(score) DESC NULLS LAST, asin LIMIT {P.TOP_N}""",
+    "context_requested": f"""
+SELECT asin, title, round(max(score), {D}) AS score FROM (
+  SELECT asin, title, score FROM pc WHERE id = {P.PRODUCT_ID}
+  UNION ALL SELECT NULL, NULL, NULL WHERE EXISTS (SELECT 1 FROM pc WHERE category = {_lit(P.REQUESTED_CATEGORY)})
+) GROUP BY asin, title ORDER BY max(score) DESC NULLS LAST, asin LIMIT {P.TOP_N}""",
+    "context_and_titles": f"""
+SELECT asin, title, round(max(score), {D}) AS score FROM (
+  SELECT asin, title, score FROM pc WHERE id = {P.PRODUCT_ID}
+  UNION ALL
+  SELECT t.asin, t.title, t.score FROM scored t, (SELECT title AS qt FROM products WHERE id = {P.PRODUCT_ID}) q
+  WHERE {jaccard(tokens('t.title'), tokens('q.qt'))} >= {P.THRESHOLD}
+) GROUP BY asin, title ORDER BY max(score) DESC NULLS LAST, asin LIMIT {P.TOP_N}""",
+    "context_and_chosen": f"""
+SELECT asin, title, round(max(score), {D}) AS score FROM (
+  SELECT asin, title, score FROM pc
+  WHERE id = {P.PRODUCT_ID} AND "group" = {_lit(P.GROUP)} AND {HAS_SIMILAR_IN_CATALOGUE}
+  UNION ALL SELECT asin, title, score FROM pc WHERE category IN ({_list(P.CHOSEN_CATEGORIES)})
+) GROUP BY asin, title ORDER BY max(score) DESC NULLS LAST, asin LIMIT {P.TOP_N}""",
+    "context_by_asin": f"""
+SELECT DISTINCT asin, title, "group", category FROM pc
+WHERE asin IS NOT NULL AND (id = {P.PRODUCT_ID}
+   OR asin IN (SELECT unnest(similars) FROM products WHERE id = {P.PRODUCT_ID}))""",
     "recommend_all": f""",
 pcs AS (SELECT DISTINCT id, asin, title, category, score FROM pc),
 cand AS (SELECT DISTINCT a.id, b.id AS rec_id, b.asin AS rec_asin, b.title AS rec_title, b.score
@@ -362,16 +442,16 @@ SELECT id, rank, rec_id, rec_asin, rec_title, round(score, {D}) AS score FROM (
   FROM cand) WHERE rank <= {P.TOP_N}""",
     "recommendations_json": f"""
 SELECT CAST(to_json(struct_pack(asin := asin, title := title, score := score)) AS VARCHAR) AS value FROM (
-{top(f'"group" = {_lit(P.GROUP)} AND asin <> {_lit(P.ASIN)}', P.TOP_N)})""",
+{ranked(f'"group" = {_lit(P.GROUP)} AND asin <> {_lit(P.ASIN)}', P.TOP_N)})""",
     "title_matches": f""",
 q AS (SELECT {tokens('title')} AS qt FROM products WHERE id = {P.PRODUCT_ID}),
 m AS (SELECT p.*, {jaccard(tokens('p.title'), 'q.qt')} AS similarity FROM products p CROSS JOIN q)
-SELECT id, asin, title, "group", round(similarity, {D}) AS similarity, unnest(categories) AS category
+SELECT id, asin, title, "group", round(similarity, {D}) AS similarity, {outer('categories')} AS category
 FROM m WHERE similarity >= {P.THRESHOLD}""",
     "title_matches_ngram": f""",
 q AS (SELECT {ngrams('title', P.NGRAM)} AS qt FROM products WHERE id = {P.PRODUCT_ID}),
 m AS (SELECT p.*, {jaccard(ngrams('p.title', P.NGRAM), 'q.qt')} AS similarity FROM products p CROSS JOIN q)
-SELECT id, asin, title, "group", round(similarity, {D}) AS similarity, unnest(categories) AS category
+SELECT id, asin, title, "group", round(similarity, {D}) AS similarity, {outer('categories')} AS category
 FROM m WHERE similarity >= 0.5""",
     "pooled_similarity": f""",
 tk AS (SELECT id, asin, similars, {tokens('title')} AS toks FROM products),
@@ -405,12 +485,12 @@ FROM (SELECT unnest(categories) AS c FROM products WHERE asin IS NOT NULL)""",
 undirected AS (SELECT src, dst FROM co_edges UNION ALL SELECT dst AS src, src AS dst FROM co_edges),
 {bfs_cte('walk', 'undirected', str(P.PRODUCT_ID), 'BIGINT').strip()}
 SELECT id, depth FROM walk""",
-    "bfs_to_group": f""",
-undirected AS (SELECT src, dst FROM co_edges UNION ALL SELECT dst AS src, src AS dst FROM co_edges),
-{bfs_cte('walk', 'undirected', str(P.PRODUCT_ID), 'BIGINT').strip()},
-hits AS (SELECT p.*, w.depth FROM walk w JOIN products p ON p.id = w.id
+    "bfs_to_group": f""", {GRAPH_EDGES.strip()},
+cu AS (SELECT src, dst FROM ge WHERE label = 'co_purchase' UNION SELECT dst AS src, src AS dst FROM ge WHERE label = 'co_purchase'),
+{bfs_cte('walk', 'cu', _lit('product:' + P.ASIN), 'VARCHAR').strip()},
+hits AS (SELECT p.*, w.depth, w.id AS vertex FROM walk w JOIN products p ON w.id = 'product:' || p.asin
          WHERE p."group" = 'LARGE' AND p.asin <> {_lit(P.ASIN)})
-SELECT 'product:' || asin AS id, depth, asin, title, salesrank, round(avg_rating, {D}) AS avg_rating
+SELECT vertex AS id, depth, asin, title, salesrank, round(avg_rating, {D}) AS avg_rating
 FROM hits WHERE depth = (SELECT min(depth) FROM hits)""",
     "reachable_all_labels": f""", {GRAPH_EDGES.strip()},
 gu AS (SELECT src, dst FROM ge UNION SELECT dst AS src, src AS dst FROM ge),
@@ -428,6 +508,9 @@ ORDER BY t.salesrank, t.asin LIMIT {P.TOP_N}""",
 }
 
 
+ORACLE["profile_sink"] = ORACLE["profile_stats"]
+
+
 def sql(name: str) -> str:
     """Full SQL text: the catalogue CTEs, then the query body (a body starting with ',' adds CTEs)."""
     body = ORACLE[name].strip()

@@ -21,7 +21,7 @@ from basketry.operators import recommend as R
 from basketry.operators import similarity as S
 from basketry.operators.profile import profile
 from basketry.plans import params as P
-from basketry.plans.store import stored_catalog
+from basketry.plans.store import StoredCatalog, stored_catalog
 from basketry.session import ensure_checkpoint_dir
 from basketry.sources import dump, sinks
 
@@ -45,8 +45,8 @@ def joined(c: str, name: str | None = None) -> Column:
     return F.array_join(F.col(c), ",").alias(name or c)
 
 
-def cat(spark: SparkSession, sf_dir: str) -> C.Catalog:
-    """The stored catalogue of ``sf_dir`` (built from the order tables once per session)."""
+def cat(spark: SparkSession, sf_dir: str) -> StoredCatalog:
+    """The stored catalogue of ``sf_dir`` (each table built from the order tables on first use)."""
     return stored_catalog(spark, sf_dir)
 
 
@@ -95,39 +95,58 @@ def q_product_categories(spark, d):
     return pc.select("id", "asin", "title", "group", "salesrank", "total_reviews", rnd("avg_rating"), "category")
 
 
-def product_records(products: DataFrame) -> DataFrame:
-    """Product rows written back as dump records (header lines, no review lines)."""
-    cats = F.array_join(F.transform("categories", lambda c: F.concat(F.lit("   "), c)), "\n")
-    lines = [
-        F.concat(F.lit("Id:   "), F.col("id").cast("string")),
-        F.concat(F.lit("ASIN: "), F.col("asin")),
-        F.concat(F.lit("  title: "), F.col("title")),
-        F.concat(F.lit("  group: "), F.col("group")),
-        F.concat(F.lit("  salesrank: "), F.coalesce(F.col("salesrank").cast("bigint").cast("string"), F.lit("-1"))),
+def header_lines(products: DataFrame) -> Column:
+    """The header lines of each product's dump record; a missing field has no line (a missing rank is -1)."""
+    def line(label: str, c: Column) -> Column:
+        return F.concat(F.lit(label), c)
+
+    total = F.col("total_reviews").cast("string")
+    rating = F.coalesce(F.concat(F.lit("  avg rating: "), F.col("avg_rating").cast("string")), F.lit(""))
+    lines = F.array(
+        line("Id:   ", F.col("id").cast("string")),
+        line("ASIN: ", F.col("asin")),
+        line("  title: ", F.col("title")),
+        line("  group: ", F.col("group")),
+        line("  salesrank: ", F.coalesce(F.col("salesrank").cast("bigint").cast("string"), F.lit("-1"))),
         F.concat(F.lit("  similar: "), F.size("similars").cast("string"),
                  F.concat_ws("", F.transform("similars", lambda s: F.concat(F.lit("  "), s)))),
-        F.concat(F.lit("  categories: "), F.size("categories").cast("string")),
-        cats,
-        F.concat(F.lit("  reviews: total: "), F.col("total_reviews").cast("string"),
-                 F.lit("  downloaded: "), F.col("total_reviews").cast("string"),
-                 F.lit("  avg rating: "), F.coalesce(F.col("avg_rating").cast("string"), F.lit("0"))),
-    ]
-    return products.select(F.concat_ws("\r\n", *lines).alias("value"))
+        line("  categories: ", F.size("categories").cast("string")),
+    )
+    paths = F.transform("categories", lambda c: F.concat(F.lit("   "), c))
+    reviews = F.concat(F.lit("  reviews: total: "), total, F.lit("  downloaded: "), total, rating)
+    return F.filter(F.concat(lines, paths, F.array(reviews)), lambda x: x.isNotNull())
 
 
-def review_records(reviews: DataFrame) -> DataFrame:
-    """One dump record per review (a record may hold any number of review lines)."""
-    line = F.concat(
+def product_records(products: DataFrame) -> DataFrame:
+    """Product rows written back as dump records (header lines, no review lines)."""
+    return products.select(F.array_join(header_lines(products), "\r\n").alias("value"))
+
+
+def review_line() -> Column:
+    return F.concat(
         F.lit("    "), F.date_format("date", "yyyy-M-d"), F.lit("  cutomer: "), F.col("customer"),
         F.lit("  rating: "), F.col("rating").cast("string"), F.lit("  votes: "), F.lpad(F.col("votes").cast("string"), 3, " "),
         F.lit("  helpful: "), F.lpad(F.col("helpful").cast("string"), 3, " "),
     )
+
+
+def review_records(reviews: DataFrame) -> DataFrame:
+    """One dump record per review (a record may hold any number of review lines)."""
     return reviews.select(
         F.concat_ws("\n", F.concat(F.lit("Id:   "), F.col("id").cast("string")), F.lit("ASIN: x"),
-                    F.lit("  reviews: total: 1  downloaded: 1  avg rating: 1"), line).alias("value")
+                    F.lit("  reviews: total: 1  downloaded: 1  avg rating: 1"), review_line()).alias("value")
     )
 
 
+def write_dump(products: DataFrame, reviews: DataFrame, path: str) -> None:
+    """A dump text with header and review lines, written line by line: a record's lines lie together in one file
+    (ranges of ids), in order, and no record is ever one row before it is read."""
+    header = products.select("id", F.posexplode(header_lines(products)).alias("at", "value"))
+    known = reviews.join(products.select("id"), "id", "left_semi")
+    lines = header.unionByName(known.select("id", F.lit(1 << 30).alias("at"), review_line().alias("value")))
+    lines.repartitionByRange("id").sortWithinPartitions("id", "at").select("value").write.text(path)
+
+
 @query("parse_products")
 def q_parse_products(spark, d):
     records = dump.clean_records(product_records(cat(spark, d).products))
@@ -139,45 +158,65 @@ def q_parse_reviews(spark, d):
     return dump.parse_reviews(dump.clean_records(review_records(cat(spark, d).reviews)))
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the session's checkpoint folder (shared on a cluster)."""
+def scratch_path(spark: SparkSession, d: str, name: str) -> str:
+    """A fresh folder beside the stored catalogue (shared on a cluster, deleted with it)."""
     import uuid
 
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{cat(spark, d).path}/{name}-{uuid.uuid4().hex}"
 
 
 @query("parse_products_file")
 def q_parse_products_file(spark, d):
     """Products written as a dump text file (one record per product) and read back by the record scan."""
-    path = scratch_path(spark, "dump")
+    path = scratch_path(spark, d, "dump")
     product_records(cat(spark, d).products).write.text(path)
     return flat_products(dump.read_products(spark, path))
 
 
+@query("full_dump_products")
+def q_full_dump_products(spark, d):
+    """Products of a dump text whose records hold header lines and all their reviews."""
+    path = scratch_path(spark, d, "full-dump")
+    write_dump(cat(spark, d).products, cat(spark, d).reviews, path)
+    return flat_products(dump.read_products(spark, path))
+
+
+@query("full_dump_reviews")
+def q_full_dump_reviews(spark, d):
+    """Reviews of the same dump, by the review reader."""
+    path = scratch_path(spark, d, "full-dump")
+    write_dump(cat(spark, d).products, cat(spark, d).reviews, path)
+    return dump.read_reviews(spark, path)
+
+
+@query("text_lines")
+def q_text_lines(spark, d):
+    """The line scan: lines of a dump text by their label (category and review lines have none)."""
+    path = scratch_path(spark, d, "full-dump")
+    write_dump(cat(spark, d).products, cat(spark, d).reviews, path)
+    label = F.regexp_extract("value", r"^\s*(\w+):", 1)
+    return dump.read_text(spark, path).groupBy(label.alias("label")).agg(F.count(F.lit(1)).alias("lines"))
+
+
 @query("edge_list_file")
 def q_edge_list_file(spark, d):
-    """Co-purchase edges written as a tab-separated edge list (a pair repeated per co-purchase, both
-    directions), read back and folded into weighted undirected edges."""
-    path = scratch_path(spark, "edges")
-    e = cat(spark, d).edges
-    lines = e.select(F.explode(F.array_repeat(F.struct("src", "dst"), F.col("weight").cast("int"))).alias("p"))
-    lines.select(F.concat_ws("\t", F.col("p.src").cast("string"), F.col("p.dst").cast("string"))).write.text(path)
+    """Every order's part pairs written as a tab-separated edge list (a pair once per order, even orders turned
+    round, so pairs repeat and both directions occur), read back and folded into weighted undirected edges."""
+    path = scratch_path(spark, d, "edges")
+    pairs = C.order_pairs(cat(spark, d).inputs["lineitem"])
+    src, dst = (F.when(F.col("order") % 2 == 0, F.col(x)).otherwise(F.col(y)) for x, y in (("a", "b"), ("b", "a")))
+    pairs.select(F.concat_ws("\t", src.cast("string"), dst.cast("string"))).write.text(path)
     return dump.undirected_edges(dump.read_edge_list(spark, path))
 
 
 @query("adjacency")
 def q_adjacency(spark, d):
-    adj = C.adjacency(cat(spark, d).edges, directed=False)
-    return adj.select("src", "chunk", F.array_join(F.col("dst_list").cast("array<string>"), ",").alias("dst_list"))
+    return C.adjacency(cat(spark, d).edges, directed=False)
 
 
 @query("reviews_nested")
 def q_reviews_nested(spark, d):
-    nested = C.reviews_nested(cat(spark, d).reviews)
-    text = F.transform("reviews", lambda r: F.concat_ws(
-        "/", r["date"].cast("string"), r["customer"], r["rating"].cast("string"), r["votes"].cast("string"),
-        r["helpful"].cast("string")))
-    return nested.select("id", "chunk", F.array_join(text, ",").alias("reviews"))
+    return C.reviews_nested(cat(spark, d).reviews)
 
 
 @query("graph_rows")
@@ -217,6 +256,22 @@ def q_null_rates(spark, d):
     return X.null_rates(cat(spark, d).reviews).select("column", "null_count", "total", rnd("null_rate"))
 
 
+@query("null_rates_products")
+def q_null_rates_products(spark, d):
+    p = cat(spark, d).products.select(*SCALAR_PRODUCT_COLUMNS)
+    return X.null_rates(p).select("column", "null_count", "total", rnd("null_rate"))
+
+
+@query("untitled_products")
+def q_untitled(spark, d):
+    return X.is_null(cat(spark, d).products, "title").select("id", "asin", "group")
+
+
+@query("rated_products")
+def q_rated(spark, d):
+    return X.not_null(cat(spark, d).products, "avg_rating").select("id", rnd("avg_rating"))
+
+
 @query("helpfulness")
 def q_helpfulness(spark, d):
     return X.helpfulness(cat(spark, d).reviews)
@@ -305,7 +360,7 @@ def q_drop_null_rows(spark, d):
 
 
 def _profile_flat(spark, d, sample_fraction):
-    prof = profile(cat(spark, d).products, sample_fraction=sample_fraction, accuracy=1_000_000)
+    prof = profile(cat(spark, d).products, sample_fraction=sample_fraction)
     top = F.array_join(
         F.transform("most_freq_values_top_10", lambda s: F.concat(F.coalesce(s["value"], F.lit("null")), F.lit(":"),
                                                                    s["count"].cast("string"))), ",")
@@ -329,6 +384,14 @@ def q_profile(spark, d):
     return _profile_flat(spark, d, 0.1)
 
 
+@query("profile_sink")
+def q_profile_sink(spark, d):
+    """The profile written by its sink and read back."""
+    path = scratch_path(spark, d, "profile")
+    sinks.write_profile(_profile_flat(spark, d, None), path)
+    return spark.read.parquet(path)
+
+
 # --- scores and recommenders -----------------------------------------------------------------------
 
 
@@ -433,7 +496,7 @@ def q_rec_filters_all(spark, d):
 
 @query("recommend_filters_category")
 def q_rec_filters_category(spark, d):
-    return top_out(R.recommend(cat(spark, d).products, None, None, P.CATEGORY_SUBSTRING, 10))
+    return top_out(R.recommend(cat(spark, d).products, None, None, f"   {P.CATEGORY_SUBSTRING} ", 10))
 
 
 @query("recommend_filters_group")
@@ -451,6 +514,37 @@ def q_rec_filters_none(spark, d):
     return top_out(R.recommend(cat(spark, d).products, None, None, None, None))
 
 
+@query("recommend_ascending")
+def q_rec_ascending(spark, d):
+    return top_out(R.recommend(cat(spark, d).products, None, P.GROUP, None, 6, ascending=True))
+
+
+@query("context_recommendation")
+def q_context_rec(spark, d):
+    return top_out(R.context_recommendation(cat(spark, d).products, P.PRODUCT_ID, P.SIMILARS_GROUP, P.TOP_N, from_similars=True))
+
+
+@query("context_requested")
+def q_context_requested(spark, d):
+    return top_out(R.context_recommendation(cat(spark, d).products, P.PRODUCT_ID, None, P.TOP_N, requested=f"   {P.REQUESTED_CATEGORY}"))
+
+
+@query("context_and_titles")
+def q_context_titles(spark, d):
+    return top_out(R.context_and_titles(cat(spark, d).products, P.PRODUCT_ID, None, P.TOP_N, P.THRESHOLD))
+
+
+@query("context_and_chosen")
+def q_context_chosen(spark, d):
+    c = cat(spark, d)
+    return top_out(R.context_and_chosen(c.products, P.PRODUCT_ID, P.GROUP, [f"   {x}" for x in P.CHOSEN_CATEGORIES], P.TOP_N, stored=c))
+
+
+@query("context_by_asin")
+def q_context_by_asin(spark, d):
+    return R.context_by_asin(cat(spark, d).products, P.PRODUCT_ID)
+
+
 @query("recommend_all")
 def q_rec_all(spark, d):
     r = R.recommend_all(cat(spark, d).products, P.TOP_N)
@@ -534,5 +628,5 @@ def q_reachable(spark, d):
 @query("path_top_n")
 def q_path(spark, d):
     _, v, e = graph(spark, d)
-    r = G.path_top_n(v, e, P.ASIN, P.PATH_GROUP, P.PATH_CATEGORY, P.TOP_N)
+    r = G.path_top_n(v, e, P.ASIN, P.PATH_GROUP, f"   {P.PATH_CATEGORY}", P.TOP_N)
     return r.select("asin", "title", "group", "salesrank", rnd("avg_rating"))

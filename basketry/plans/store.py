@@ -1,26 +1,28 @@
-"""The catalogue as stored tables: built once per session from the order tables, then read back.
+"""The catalogue as stored tables, each built on first use in a session and then read back.
 
-Queries run against parquet copies written to the session's checkpoint folder (a shared folder on a
-cluster), so the build cost is paid once, lineage is cut, a lost executor recomputes from files, and scans
-get pushdown. Stored tables:
+Queries run against parquet copies in the session's checkpoint folder (a shared folder on a cluster), so a build
+cost is paid once and only for what is used, lineage is cut, a lost executor recomputes from files, and scans get
+pushdown. A changed input table (size or time of change) is built anew. Stored tables:
 
-* ``edges`` and ``part_stats``: the line items self-joined once and aggregated once;
+* ``edges`` and ``part_stats``: the line items paired once and aggregated once;
 * ``products``: range-partitioned and sorted by id, so a request for one product reads the one file and row
   group whose min/max statistics hold it;
-* ``product_categories``: catalogue x category partitioned by a hash bucket of the category (one bucket per
+* ``categories``: catalogue x category partitioned by a hash bucket of the category (one bucket per
   ~2 million rows), so a request naming a few categories reads only their buckets (dynamic pruning);
-* ``graph``: property-graph vertices, and edges partitioned by label, so a label filter prunes folders;
-* ``reviews``: line-item sized and only scanned whole, kept in the join's layout.
+* ``graph_vertices`` and ``graph_edges``: the property graph, edges partitioned by label, so a label filter prunes;
+* ``reviews``: line-item sized and only scanned whole, partitioned by year, so a year's filter reads that year.
 """
 
 from __future__ import annotations
 
 import uuid
+from functools import cached_property
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from basketry.operators.catalog import (
-    Catalog, bucketed_product_categories, buckets_for, copurchase_edges, load_tables, part_stats,
+    REVIEW_COLUMNS, bucketed_product_categories, buckets_for, copurchase_edges, load_tables, part_stats,
     products_from_tables, reviews_from_tables,
 )
 from basketry.operators.graph import edges as graph_edges
@@ -28,78 +30,88 @@ from basketry.operators.graph import vertices
 from basketry.session import ensure_checkpoint_dir
 from basketry.sources.sinks import write_graph
 
-_STORED: dict[tuple[str, str], Catalog] = {}
-
-
-def _session_key(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
-    return (spark.sparkContext.applicationId, sf_dir)
-
-
-def _by_id(df, n: int):
-    return df.repartitionByRange(n, "id").sortWithinPartitions("id")
-
-
-def build_and_write(spark: SparkSession, sf_dir: str, path: str) -> int:
-    """Edges and per-part aggregates first; products are then built from the stored copies, so the line
-    items are self-joined once and aggregated once."""
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    t = load_tables(spark, sf_dir, "part", "orders", "lineitem")
-    copurchase_edges(t["lineitem"]).write.mode("overwrite").parquet(f"{path}/edges")
-    part_stats(t["lineitem"]).write.mode("overwrite").parquet(f"{path}/part_stats")
-    edges = spark.read.parquet(f"{path}/edges")
-    stats = spark.read.parquet(f"{path}/part_stats")
-    _by_id(products_from_tables(t["part"], t["lineitem"], edges, stats), n).write.mode("overwrite").parquet(
-        f"{path}/products")
-    # catalogue x category by category bucket; the range on (bucket, id) spreads a hot category's bucket over
-    # many tasks while each task writes into few bucket folders
-    products = spark.read.parquet(f"{path}/products")
-    buckets = buckets_for(products.count())  # a footer count; the bucket count grows with the catalogue
-    bucketed_product_categories(products, buckets).repartitionByRange(n, "cat_bucket", "id").write.mode(
-        "overwrite").partitionBy("cat_bucket").parquet(f"{path}/product_categories")
-    # the property graph, once: a label filter on the stored edges prunes to that label's folders
-    write_graph(vertices(products), graph_edges(products, edges), f"{path}/graph")
-    # reviews are line-item sized and only ever scanned whole or joined, so they are written as the join
-    # produces them: a global range sort of the largest table would buy nothing
-    reviews_from_tables(t["lineitem"], t["orders"]).write.mode("overwrite").parquet(f"{path}/reviews")
-    return buckets
-
-
-def write_catalog(c: Catalog, path: str) -> int:
-    spark = c.products.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    c.edges.write.mode("overwrite").parquet(f"{path}/edges")
-    _by_id(c.products, n).write.mode("overwrite").parquet(f"{path}/products")
-    buckets = buckets_for(spark.read.parquet(f"{path}/products").count())
-    bucketed_product_categories(spark.read.parquet(f"{path}/products"), buckets).repartitionByRange(
-        n, "cat_bucket", "id").write.mode("overwrite").partitionBy("cat_bucket").parquet(
-        f"{path}/product_categories")
-    c.reviews.write.mode("overwrite").parquet(f"{path}/reviews")
-    stored = spark.read.parquet(f"{path}/products")
-    write_graph(vertices(stored), graph_edges(stored, spark.read.parquet(f"{path}/edges")), f"{path}/graph")
-    return buckets
-
-
-def read_catalog(spark: SparkSession, path: str, category_buckets: int) -> Catalog:
-    return Catalog(
-        products=spark.read.parquet(f"{path}/products"),
-        reviews=spark.read.parquet(f"{path}/reviews"),
-        edges=spark.read.parquet(f"{path}/edges"),
-        categories=spark.read.parquet(f"{path}/product_categories"),
-        category_buckets=category_buckets,
-        graph_vertices=spark.read.parquet(f"{path}/graph/vertices"),
-        graph_edges=spark.read.parquet(f"{path}/graph/edges"),
-    )
-
-
-def stored_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
-    """The catalogue of ``sf_dir``, built and stored on first use in this session."""
-    key = _session_key(spark, sf_dir)
+INPUTS = ("part", "orders", "lineitem")
+
+
+class StoredCatalog:
+    """The tables of ``operators.catalog.Catalog``, stored; each attribute builds its table on first use."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark = spark
+        self.path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/catalog-{uuid.uuid4().hex}"
+        self.inputs = load_tables(spark, sf_dir, *INPUTS)
+
+    def _kept(self, name: str, df: DataFrame, *partition_by: str) -> DataFrame:
+        df.write.partitionBy(*partition_by).parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return self._kept("edges", copurchase_edges(self.inputs["lineitem"]))
+
+    @cached_property
+    def products(self) -> DataFrame:
+        stats = self._kept("part_stats", part_stats(self.inputs["lineitem"]))
+        rows = products_from_tables(self.inputs["part"], self.inputs["lineitem"], self.edges, stats)
+        return self._kept("products", rows.repartitionByRange("id").sortWithinPartitions("id"))
+
+    @cached_property
+    def category_buckets(self) -> int:
+        rows = self.products.agg(F.sum(F.size(F.array_distinct("categories")))).first()[0]
+        return buckets_for(rows or 0)
+
+    @cached_property
+    def categories(self) -> DataFrame:
+        rows = bucketed_product_categories(self.products, self.category_buckets)
+        return self._kept("categories", rows.repartitionByRange("cat_bucket", "id"), "cat_bucket")
+
+    @cached_property
+    def _graph(self) -> str:
+        path = f"{self.path}/graph"
+        write_graph(vertices(self.products), graph_edges(self.products, self.edges), path)
+        return path
+
+    @cached_property
+    def graph_vertices(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self._graph}/vertices")
+
+    @cached_property
+    def graph_edges(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self._graph}/edges")
+
+    @cached_property
+    def reviews(self) -> DataFrame:
+        rows = reviews_from_tables(self.inputs["lineitem"], self.inputs["orders"]).withColumn("year", F.year("date"))
+        return self._kept("reviews", rows.repartition("year", F.pmod(F.xxhash64("id"), F.lit(64))), "year").select(*REVIEW_COLUMNS)
+
+    def release(self) -> None:
+        """Delete the stored tables; the object is of no use afterwards."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_STORED: dict[tuple, StoredCatalog] = {}
+
+
+def _state(spark: SparkSession, sf_dir: str) -> tuple:
+    """Size and time of change of each input table's file or folder."""
+    out = []
+    for name in INPUTS:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        out.append((fs.getFileStatus(path).getModificationTime(), fs.getContentSummary(path).getLength()))
+    return tuple(out)
+
+
+def stored_catalog(spark: SparkSession, sf_dir: str) -> StoredCatalog:
+    """The stored catalogue of ``sf_dir`` as its tables are now."""
+    key = (spark.sparkContext.applicationId, sf_dir, _state(spark, sf_dir))
     if key not in _STORED:
-        root = ensure_checkpoint_dir(spark).rstrip("/")
-        path = f"{root}/catalog-{uuid.uuid4().hex}"
-        buckets = build_and_write(spark, sf_dir, path)
-        _STORED[key] = read_catalog(spark, path, buckets)
+        _STORED[key] = StoredCatalog(spark, sf_dir)
     return _STORED[key]
 
 
-
+def release_catalogs(spark: SparkSession) -> None:
+    """Delete everything stored in this session."""
+    for key in [k for k in _STORED if k[0] == spark.sparkContext.applicationId]:
+        _STORED.pop(key).release()

@@ -7,7 +7,10 @@ folder.
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -47,14 +50,16 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the session's checkpoint folder; only a local-mode session without one (tests, local runs) gets a
-    scratch folder. On a cluster a machine-local folder would not survive a lost executor, so it is an error."""
+    """Use the session's checkpoint folder; only a local-mode session that names none (tests, local runs) gets a
+    scratch folder, which goes when the process ends. On a cluster a machine-local folder would not survive a lost
+    executor, so it is an error."""
     current = checkpoint_dir(spark)
     if current:
         return current
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         return require_checkpoint_dir(spark)
     scratch = tempfile.mkdtemp(prefix="basketry-ckpt-")
+    atexit.register(shutil.rmtree, scratch, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(scratch)
     return spark.sparkContext.getCheckpointDir()
 

@@ -37,14 +37,6 @@ def clean_records(raw: DataFrame) -> DataFrame:
     return raw.select(value.alias("value")).where(F.col("value").rlike(fields.ID_PATTERN + r"[ \t]*(\r?\n|$)"))
 
 
-def cap_records(records: DataFrame, max_records: int | None) -> DataFrame:
-    """Optional first-N records by id (the reference's loader caps); ``None`` keeps every record."""
-    if max_records is None:
-        return records
-    rid = F.regexp_extract("value", fields.ID_PATTERN, 1).cast("long")
-    return records.orderBy(rid).limit(int(max_records))
-
-
 def parse_products(records: DataFrame) -> DataFrame:
     """Typed product table from record strings (one ``select``, built-in expressions only)."""
     v = F.col("value")
@@ -77,12 +69,12 @@ def parse_reviews(records: DataFrame) -> DataFrame:
     return lines.select("id", *fields.review_fields(F.col("_line")))
 
 
-def read_products(spark: SparkSession, path: str, max_records: int | None = None) -> DataFrame:
-    return parse_products(cap_records(read_records(spark, path), max_records))
+def read_products(spark: SparkSession, path: str) -> DataFrame:
+    return parse_products(read_records(spark, path))
 
 
-def read_reviews(spark: SparkSession, path: str, max_records: int | None = None) -> DataFrame:
-    return parse_reviews(cap_records(read_records(spark, path), max_records))
+def read_reviews(spark: SparkSession, path: str) -> DataFrame:
+    return parse_reviews(read_records(spark, path))
 
 
 def read_edge_list(spark: SparkSession, path: str) -> DataFrame:

@@ -129,10 +129,12 @@ def test_many_small_splits_read_every_record_once(spark, scratch):
     assert sorted(ids) == list(range(1, 2001))
 
 
-def test_record_cap(spark, scratch):
+def test_rating_words_in_a_title_are_no_rating(spark, scratch):
     path = os.path.join(scratch, "dump.txt")
-    write(path, PREAMBLE + RECORD_4 + "\n" + RECORD_1 + "\n" + RECORD_3)
-    assert [r["id"] for r in dump.read_products(spark, path, max_records=2).collect()] == [1, 3]
+    write(path, "Id:   1\nASIN: A\n  title: Best avg rating: 1.5 ever\n  reviews: total: 2  downloaded: 2  avg rating: 4.5\n"
+                "\nId:   2\nASIN: B\n  title: reviews avg rating: 2\n")
+    got = {r.id: r.avg_rating for r in dump.read_products(spark, path).collect()}
+    assert got == {1: 4.5, 2: None}
 
 
 def test_edge_list(spark, scratch):

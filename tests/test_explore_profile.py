@@ -20,8 +20,7 @@ def profile_input(spark):
 
 def test_profile_matches_per_column_queries(spark):
     df = profile_input(spark)
-    out = {r.col_name: r for r in profile(df, ["salesrank", "total_reviews", "avg_rating", "empty"],
-                                          accuracy=100000).collect()}
+    out = {r.col_name: r for r in profile(df, ["salesrank", "total_reviews", "avg_rating", "empty"]).collect()}
     assert list(next(iter(out.values())).asDict()) == PROFILE_COLUMNS
     for c in ["salesrank", "total_reviews", "avg_rating", "empty"]:
         r = out[c]
@@ -73,7 +72,8 @@ def test_sort_histogram_sample(spark):
                               "id long, group string, salesrank double")
     assert [r.id for r in X.sort_by_salesrank(p, "B").collect()] == [3, 1, 2]
     h = X.histogram(p, "salesrank", 4).collect()
-    assert [(r.bucket, r["count"]) for r in h] == [(1, 1), (2, 1), (4, 1)]  # the max falls in the last bin
+    # empty bins stay; the max falls in the last bin
+    assert [(r.bucket, r["count"]) for r in h] == [(1, 1), (2, 1), (3, 0), (4, 1)]
     assert X.sample(spark.range(1000), 0.1, 3).count() == X.sample(spark.range(1000), 0.1, 3).count()
 
 
@@ -84,3 +84,27 @@ def test_dense_rank_values_matches_python(spark):
     got = {r.v: r.rank for r in dense_rank_values(df, "v", "rank").collect()}
     distinct = sorted({v for v in vals if v is not None}, reverse=True)
     assert got == {v: i + 1 for i, v in enumerate(distinct)}
+
+
+def test_profile_keeps_no_sketch(spark):
+    plan = profile(profile_input(spark), ["salesrank"])._jdf.queryExecution().executedPlan().toString()
+    assert "percentile_approx" not in plan
+
+
+def test_dense_rank_does_not_lean_on_reused_exchanges(spark):
+    n = 300_000
+    df = spark.range(n).select((F.col("id") * 7 % 1_000_003).alias("v"))
+    old = spark.conf.get("spark.sql.exchange.reuse")
+    for reuse in ("true", "false"):
+        spark.conf.set("spark.sql.exchange.reuse", reuse)
+        try:
+            r = dense_rank_values(df, "v").agg(F.count_distinct("rank"), F.min("rank"), F.max("rank")).first()
+        finally:
+            spark.conf.set("spark.sql.exchange.reuse", old)
+        assert tuple(r) == (n, 1, n)
+
+
+def test_histogram_has_its_empty_bins(spark):
+    df = spark.createDataFrame([(1.0,), (1.5,), (10.0,), (None,)], "x double")
+    assert [(r.bucket, r["count"]) for r in X.histogram(df, "x", 3).collect()] == [(1, 2), (2, 0), (3, 1)]
+    assert X.histogram(df.where("x is null"), "x", 3).count() == 0

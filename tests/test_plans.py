@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as E
 from tests.conftest import SF_SMALL
+from tests.test_entry import own
 
 FORBIDDEN = ["PythonUDF", "BatchEvalPython", "ArrowEvalPython", "CartesianProduct", "BroadcastNestedLoopJoin"]
 
@@ -16,7 +17,7 @@ def plan_of(df) -> str:
 
 @pytest.fixture(scope="module")
 def plans(spark):
-    return {name: plan_of(fn(spark, SF_SMALL)) for name, fn in E.queries().items()}
+    return {name: plan_of(fn(spark, SF_SMALL)) for name, fn in own(E.queries()).items()}
 
 
 def test_no_python_udf_or_cross_join(plans):
@@ -41,3 +42,10 @@ def test_filters_reach_the_scan(spark):
 
     plan = plan_of(relevant_categories(cat(spark, SF_SMALL).products, 42))
     assert "PushedFilters: [IsNotNull(id), EqualTo(id,42)" in plan
+
+
+def test_no_copy_of_the_edges_for_a_search(spark, plans):
+    assert "InMemoryTableScan" not in plans["bfs_copurchase"]
+    # the path's bound half is two scalar subqueries; no join has one literal for its key
+    assert plans["path_top_n"].count("Subquery") >= 2
+    assert "Exchange" not in plans["recommend_filters_none"]

@@ -104,21 +104,69 @@ def test_recommend_all_equals_brute_force(spark):
         assert [rid for _, rid in sorted(got.get(i, []))] == want
 
 
-def test_stored_category_buckets_prune_and_agree(spark, scratch, monkeypatch):
+def test_products_without_categories_stay(spark):
+    p = spark.createDataFrame(
+        [(1, "A1", "red ring", "Book", 1.0, 9, 5.0, [], []), (2, "A2", "red ring", "Book", 5.0, 1, 1.0, [], ["|x"])], SCHEMA)
+    assert [r.asin for r in R.recommend(p).collect()] == ["A1", "A2"]
+    assert [r.asin for r in R.recommend_by_category_and_title(p, 2).collect()] == ["A1"]
+    assert [r.asin for r in R.recommend(p, category="   |x ").collect()] == ["A2"]
+    plan = R.recommend(p)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "TakeOrderedAndProject" in plan
+
+
+def test_chosen_categories_are_equal_not_folded(spark):
+    p = spark.createDataFrame(
+        [(1, "A1", "t", "Book", 1.0, 9, 5.0, [], ["|Own"]), (2, "A2", "u", "Book", 5.0, 1, 1.0, [], ["|books|fiction"]),
+         (3, "A3", "v", "Book", 5.0, 1, 1.0, [], ["|Books|Fiction"])], SCHEMA)
+    got = R.recommend_with_chosen_categories(p, 1, "Book", ["   |Books|Fiction"]).collect()
+    assert [r.asin for r in got] == ["A3"]
+
+
+def test_forms_over_the_context_rows(spark):
+    p = spark.createDataFrame(
+        [(1, "A1", "red ring", "Book", 1.0, 9, 5.0, ["A2", "X9"], ["|x", "|y"]),
+         (2, "A2", "blue ring", "Book", 5.0, 1, 1.0, [], ["|y", "|z"]),
+         (3, "A3", "green hat", "DVD", 2.0, 2, 3.0, [], ["|q"])], SCHEMA)
+    assert [r.asin for r in R.context_recommendation(p, 1).collect()] == ["A1"]
+    assert [r.asin for r in R.context_recommendation(p, 1, "Book", from_similars=True).collect()] == ["A2"]
+    assert [r.asin for r in R.context_recommendation(p, 1, requested=" |q").collect()] == ["A1", None]
+    assert [r.asin for r in R.context_recommendation(p, 1, requested="|none").collect()] == ["A1"]
+    assert [r.asin for r in R.context_and_titles(p, 1).collect()] == ["A1", "A2"]
+    assert [r.asin for r in R.context_and_chosen(p, 1, "Book", ["|q"]).collect()] == ["A1", "A3"]
+    got = sorted((r.asin, r.category) for r in R.context_by_asin(p, 1).collect())
+    assert got == [("A1", "|x"), ("A1", "|y"), ("A2", "|y"), ("A2", "|z")]
+    assert {r.category for r in R.context_by_asin(p, 1, categories=[" |Z"]).collect()} == {"|z"}
+
+
+def test_stored_category_buckets_prune_and_agree(spark, scratch):
+    from types import SimpleNamespace
+
     from basketry.operators import catalog as C
-    from basketry.plans import store
 
-    monkeypatch.setattr(C, "ROWS_PER_BUCKET", 2)
     p = products(spark)
-    empty = spark.createDataFrame([], "src long, dst long, weight long")
-    reviews = spark.createDataFrame([], "id long, date date, customer string, rating int, votes int, helpful int")
-    buckets = store.write_catalog(C.Catalog(p, reviews, empty), scratch)
-    assert buckets == 3
-    stored = store.read_catalog(spark, scratch, buckets)
+    path = f"{scratch}/categories"
+    C.bucketed_product_categories(p, 3).write.partitionBy("cat_bucket").parquet(path)
+    stored = SimpleNamespace(categories=spark.read.parquet(path), category_buckets=3)
     for fn in (lambda s: R.recommend_by_category(p, 1, stored=s),
                lambda s: R.recommend_with_requested_category(p, 5, None, "|Music|Rock", stored=s),
+               lambda s: R.recommend_with_chosen_categories(p, 5, "Book", ["|Music|Rock"], stored=s),
                lambda s: R.recommend_by_category_and_title(p, 5, stored=s)):
         assert [tuple(r) for r in fn(stored).collect()] == [tuple(r) for r in fn(None).collect()]
     df = R.recommend_by_category(p, 1, stored=stored)
     df.collect()
     assert "dynamicpruningexpression" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_catalog_is_stored_per_table_and_released(spark):
+    import glob
+    import os
+
+    from basketry.plans.store import StoredCatalog
+    from tests.conftest import SF_SMALL
+
+    c = StoredCatalog(spark, SF_SMALL)
+    folder = c.path.removeprefix("file:")
+    assert not os.path.exists(folder)
+    assert c.edges.count() > 0 and [os.path.basename(x) for x in glob.glob(f"{folder}/*")] == ["edges"]
+    c.release()
+    assert not os.path.exists(folder)

@@ -102,16 +102,16 @@ def test_jaccard_symmetric_and_bounded(spark):
     assert out.where((F.col("ab") != F.col("ba")) | (F.col("ab") < 0) | (F.col("ab") > 1)).count() == 0
 
 
-def test_all_pairs_join_salts_hot_tokens(spark):
-    # one token in every title: with a tiny bucket bound its postings are split over many salts
+def test_all_pairs_join_cuts_hot_tokens_into_a_grid(spark):
+    # one token in every title: with a tiny block its postings are a grid of many cells
     rnd = random.Random(8)
     titles = sorted({"hot " + " ".join(rnd.sample([f"w{i}" for i in range(12)], rnd.randint(0, 3))) for _ in range(200)})
     products = spark.createDataFrame(
         [(i, f"{i:010d}", t, "G", [], []) for i, t in enumerate(titles)],
         "id long, asin string, title string, group string, similars array<string>, categories array<string>",
     )
-    salted = {(r.title_a, r.title_b): r.similarity for r in S.similar_title_pairs(products, 0.5, max_postings=7).collect()}
-    plain = {(r.title_a, r.title_b): r.similarity for r in S.similar_title_pairs(products, 0.5, max_postings=10**6).collect()}
+    salted = {(r.title_a, r.title_b): r.similarity for r in S.similar_title_pairs(products, 0.5, block=7).collect()}
+    plain = {(r.title_a, r.title_b): r.similarity for r in S.similar_title_pairs(products, 0.5, block=10**6).collect()}
     want = {(a, b) for i, a in enumerate(titles) for b in titles[i + 1:]
             if py_jaccard(py_tokens(a), py_tokens(b)) >= 0.5}
     assert set(salted) == set(plain) == want
