@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm.scratch import read_table, stored
+from basketry.llm.scratch import as_row, of_row, read_table, stored
 
 WINDOW = 6
 MIN_SHARE = 0.5
@@ -121,7 +121,7 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_share: fl
 def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents that leak no item, all columns as they were."""
     found = leaks(docs, items).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("_leaked"), "left_anti")
+    return as_row(docs).join(found, of_row("doc_id").cast("long") == F.col("_leaked"), "left_anti").select("_row.*")
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -217,7 +217,7 @@ def _pack_group(pdf: pd.DataFrame, window: int) -> pd.DataFrame:
     sequence, offset = best_fit(pdf["length"].to_numpy(), window)
     pdf["sequence_id"] = pdf["group"].to_numpy() * (1 << 32) + sequence
     pdf["offset"] = offset
-    return pdf.drop(columns="group")
+    return pdf[["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "known"]]
 
 
 def pack(pieces: DataFrame, window: int = WINDOW, group_pieces: int = GROUP_PIECES) -> DataFrame:
@@ -225,7 +225,10 @@ def pack(pieces: DataFrame, window: int = WINDOW, group_pieces: int = GROUP_PIEC
     pieces = stored(pieces, "pieces")
     groups = max(1, -(-pieces.count() // group_pieces))
     dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
-    return dealt.groupBy("group").applyInPandas(lambda pdf: _pack_group(pdf, window), PACKED)
+    # pandas has no null integer: a missing id travels as 0 and a mark
+    dealt = dealt.withColumns({"known": F.col("doc_id").isNotNull(), "doc_id": F.coalesce("doc_id", F.lit(0))})
+    packed = dealt.groupBy("group").applyInPandas(lambda pdf: _pack_group(pdf, window), PACKED + ", known boolean")
+    return packed.withColumn("doc_id", F.when(F.col("known"), F.col("doc_id"))).drop("known")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:

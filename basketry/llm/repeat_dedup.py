@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from basketry.llm import exchange as X
 from basketry.llm.hashing import chunks, sliding, span_hashes, text_buffer, whole_windows, word_spans, word_windows
-from basketry.llm.scratch import bucketed, read_table, ship, stored
+from basketry.llm.scratch import as_row, bucketed, of_row, read_table, ship, stored
 
 WINDOW = 35
 LEVELS = (9, 18)
@@ -198,11 +198,12 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     the new length; a text that loses nothing stays as it is, byte for byte."""
     lost = repeats_removed(docs, window, with_text=True)
     lost = lost.select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), "kept_text")
-    out = docs.join(lost, (F.col("doc_id") == F.col("_id")) & (F.md5("text") == F.col("_version")), "left")
-    changed = {"text": F.coalesce("kept_text", "text")}
+    text = of_row("text").cast("string")
+    out = as_row(docs).join(lost, (of_row("doc_id").cast("long") == F.col("_id")) & (F.md5(text) == F.col("_version")), "left")
+    changed = {"text": F.coalesce("kept_text", text)}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.coalesce(F.char_length("kept_text").cast("long"), "n_chars")
-    return out.withColumns(changed).select(*docs.columns)
+        changed["n_chars"] = F.coalesce(F.char_length("kept_text").cast("long"), of_row("n_chars"))
+    return out.select(*((changed[c] if c in changed else of_row(c)).alias(c) for c in docs.columns))
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,8 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from basketry.session import ensure_checkpoint_dir
 
@@ -57,5 +58,14 @@ def bucketed(df: DataFrame, key: str, name: str) -> tuple[DataFrame, str]:
     return spark.table(table), table
 
 
+def as_row(docs: DataFrame) -> DataFrame:
+    """``docs`` as one column ``_row``, so that no column of it can clash with a join's own columns."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+
+
+def of_row(column: str) -> Column:
+    return F.col("_row").getField(column)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

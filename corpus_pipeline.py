@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketry.llm import decontaminate, language, near_dedup, packing, repeat_dedup
-from basketry.llm.scratch import read_table, stored
+from basketry.llm.scratch import as_row, of_row, read_table, stored
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,8 +21,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id."""
-    copies = near_dedup.near_duplicates(docs).where("not kept and doc_id is not null").select(F.col("doc_id").alias("_copy")).distinct()
-    return docs.join(copies, F.col("doc_id") == F.col("_copy"), "left_anti")
+    copies = near_dedup.near_duplicates(docs).where("not kept and doc_id is not null").select(F.col("doc_id").alias("copy")).distinct()
+    return as_row(docs).join(copies, of_row("doc_id").cast("long") == F.col("copy"), "left_anti").select("_row.*")
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
