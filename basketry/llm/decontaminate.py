@@ -1,6 +1,6 @@
 """Operator 1 [native]: benchmark decontamination by template canonicalisation.
 
-1. Words keep their letters and digits only. A word with a digit becomes ``<num>``, a unit after a number
+1. Words keep their letters and digits only. A word that starts with a digit becomes ``<num>``, a unit after a number
    ``<unit>``, a capitalised word inside a sentence ``<name>``; all others are lowered. What stood there is the
    slot's value.
 2. Every ``WINDOW`` consecutive template words of a benchmark item (all of them, if it has fewer) are a window;
@@ -52,7 +52,7 @@ def _words(text: Column) -> Column:
 def _template(words: Column) -> Column:
     """The same words, as many of them, with placeholders."""
     text = F.regexp_replace(F.lower(words), rf"{_MARK}\S+", NAME)
-    text = F.regexp_replace(text, r"(?<!\S)[^\s\p{Nd}]*\p{Nd}\S*", NUMBER)
+    text = F.regexp_replace(text, r"(?<!\S)\p{Nd}\S*", NUMBER)
     return F.regexp_replace(text, rf"{NUMBER} (?:{'|'.join(UNITS)})(?=\s|$)", f"{NUMBER} {UNIT}")
 
 
