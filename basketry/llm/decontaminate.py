@@ -4,7 +4,7 @@
    ``<unit>``, a capitalised word inside a sentence ``<name>``; all others are lowered. What stood there is the
    slot's value.
 2. Every ``WINDOW`` consecutive template words of a benchmark item (all of them, if it has fewer) are a window;
-   its longest ordinary word is the pivot. Documents' words are hash-joined to the pivots, and the windows around
+   its ordinary word that is rarest in the benchmark (ties: the longest) is the pivot. Documents' words are hash-joined to the pivots, and the windows around
    the words found are hash-joined to the items' windows as strings, so equality is exact.
 3. Windows of one document and item with the same offset between the texts are one alignment. A slot value of the
    item must stand for one value throughout an alignment (a question with other numbers or names substitutes
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from basketry.llm.scratch import as_row, of_row, read_table, stored
 
-WINDOW = 6
+WINDOW = 8
 MIN_SHARE = 0.5
 MAX_CONFLICT = 0.2
 BROADCAST_ROWS = 200_000
@@ -39,28 +39,31 @@ UNITS = (
 ).split()
 #: Put before a name; a private-use character that no text has.
 _MARK = "\ue000"
-_BLANKS = " \t\n\x0b\f\r"
 
 
 def _words(text: Column) -> Column:
-    """The text's words, letters and digits only, apart from the mark before a name inside a sentence."""
+    """The text's words, letters and digits only, single blanks between them, apart from the mark before a name inside
+    a sentence. Marks inside a number go, so that it stays one word."""
+    number = F.regexp_replace(text, r"(?<=[0-9])[.,:/](?=[0-9])", "")
+    text = F.when(text.rlike(r"[0-9][.,:/][0-9]"), number).otherwise(text)
     text = F.regexp_replace(text, r" (?<=[\p{Ll}\p{N}] |[\p{Ll}\p{N}], )(?=\p{Lu}\p{Ll})", " " + _MARK)
-    text = F.regexp_replace(text, r"(?<=\p{Nd})[.,:/](?=\p{Nd})", "")
-    return F.trim(F.regexp_replace(text, rf"[^\p{{L}}\p{{N}}\s{_MARK}]+", " "), F.lit(_BLANKS))
+    return F.trim(F.regexp_replace(text, rf"[^\p{{L}}\p{{N}}{_MARK}]+", " "))
 
 
 def _template(words: Column) -> Column:
     """The same words, as many of them, with placeholders."""
-    text = F.regexp_replace(F.lower(words), rf"{_MARK}\S+", NAME)
-    text = F.regexp_replace(text, r"(?<!\S)\p{Nd}\S*", NUMBER)
-    return F.regexp_replace(text, rf"{NUMBER} (?:{'|'.join(UNITS)})(?=\s|$)", f"{NUMBER} {UNIT}")
+    text = F.regexp_replace(F.lower(words), rf"{_MARK}[^ ]+", NAME)
+    text = F.regexp_replace(text, r"(^| )[0-9][^ ]*", "$1" + NUMBER)
+    return F.regexp_replace(text, rf"{NUMBER} (?:{'|'.join(UNITS)})(?= |$)", f"{NUMBER} {UNIT}")
 
 
 def templated(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, raw, canon``: arrays of equal length with the words as written and as template words."""
-    clean = rows.select(F.col(key).cast("long").alias(key), _words(F.col(text).cast("string")).alias("w"))
-    clean = clean.where(F.col(key).isNotNull() & (F.length("w") > 0))
-    return clean.select(key, F.split("w", r"\s+").alias("raw"), F.split(_template(F.col("w")), r"\s+").alias("canon"))
+    """``key, raw, canon``: arrays of equal length with the words as written and as template words (one empty word for
+    a text without words)."""
+    rows = rows.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias("t")).where(F.col(key).isNotNull() & F.col("t").isNotNull())
+    # a filter on the words would make Spark clean every text twice
+    rows = rows.select(key, _words(F.col("t")).alias("w"))
+    return rows.select(key, F.split("w", " ").alias("raw"), F.split(_template(F.col("w")), " ").alias("canon"))
 
 
 def _slice(words: str, start: str) -> Column:
@@ -71,13 +74,15 @@ def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     """``item_id, at, size, template, raw, canon, pivot, shift``: each window of each item; ``shift`` words in, the
     pivot."""
     rows = templated(items, "item_id", "text").dropDuplicates(["item_id", "raw"])
+    words = rows.select("item_id", "raw", F.posexplode("canon").alias("place", "word"))
+    often = words.groupBy("word").agg(F.count(F.lit(1)).alias("often")).where(~F.col("word").isin(NUMBER, UNIT, NAME, ""))
     rows = rows.withColumn("size", F.least(F.lit(window), F.size("canon")))
     rows = rows.withColumn("at", F.explode(F.sequence(F.lit(0), F.size("canon") - F.col("size"))))
     rows = rows.select("item_id", "at", "size", _slice("canon", "at").alias("canon"), _slice("raw", "at").alias("raw"))
-    plain = F.filter("canon", lambda w: ~w.isin(NUMBER, UNIT, NAME))
-    longest = F.array_max(F.transform(plain, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    rows = rows.withColumn("pivot", longest).where("pivot is not null")
-    return rows.withColumns({"shift": (F.array_position("canon", F.col("pivot")) - 1).cast("int"), "template": F.array_join("canon", " ")})
+    pivots = rows.select("item_id", "at", "raw", F.posexplode("canon").alias("shift", "word")).join(often, "word")
+    first = F.min(F.struct("often", (-F.length("word")).alias("short"), "word", "shift")).alias("b")
+    pivots = pivots.groupBy("item_id", "at", "raw").agg(first).select("item_id", "at", "raw", F.col("b.word").alias("pivot"), F.col("b.shift").alias("shift"))
+    return rows.join(pivots, ["item_id", "at", "raw"]).withColumn("template", F.array_join("canon", " "))
 
 
 def _small(rows: DataFrame) -> DataFrame:
@@ -87,8 +92,9 @@ def _small(rows: DataFrame) -> DataFrame:
 def window_matches(docs: DataFrame, windows: DataFrame) -> DataFrame:
     """``doc_id, item_id, at, place, slots``: each item window found in a document, at which word, and its slots."""
     pivots = stored(windows.select("pivot", "shift", "size").distinct(), "pivots")
-    found = templated(docs, "doc_id", "text").select("doc_id", "raw", "canon", F.posexplode("canon").alias("p", "pivot"))
-    found = found.join(_small(pivots), "pivot").withColumn("place", F.expr("p - shift"))
+    # explode_outer: before a plain explode Spark filters on the array's size and so makes every template twice
+    words = templated(docs, "doc_id", "text").select("doc_id", "raw", "canon", F.posexplode_outer("canon").alias("p", "pivot"))
+    found = words.join(_small(pivots), "pivot").withColumn("place", F.expr("p - shift"))
     found = found.where((F.col("place") >= 0) & (F.col("place") + F.col("size") <= F.size("canon")))
     found = found.select("doc_id", "place", _slice("raw", "place").alias("written"), F.array_join(_slice("canon", "place"), " ").alias("template"))
     sides = windows.select("item_id", "at", "size", "template", "canon", F.col("raw").alias("asked"))
