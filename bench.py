@@ -1,6 +1,7 @@
 """Benchmark: run the headline queries on $BENCH_SF_DIR with local[$BENCH_CPUS]; print one JSON line.
 
-Every query starts from the raw parquet tables (catalogue build included) and is executed in full with a
+The catalogue is built from the raw parquet tables once (``catalog_store``: every stored table); the other queries
+read the stored tables, except ``catalog_build``, which starts from the raw ones. Each is executed in full with a
 ``noop`` write, so nothing is collected to the driver and every stage runs.
 """
 
@@ -10,14 +11,13 @@ import json
 import os
 import re
 import sys
-import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from basketry.plans.registry import QUERIES  # noqa: E402
-from basketry.plans.store import stored_catalog  # noqa: E402
-from basketry.session import CHECKPOINT_CONF, local_session  # noqa: E402
+from basketry.plans.store import release_catalogs, stored_catalog  # noqa: E402
+from basketry.session import ensure_checkpoint_dir, local_session  # noqa: E402
 
 HEADLINE = [
     "catalog_build",
@@ -41,15 +41,16 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = local_session(cpus, partitions=int(os.environ.get("BENCH_PARTITIONS", "16")), app="basketry-bench")
-    if not spark.sparkContext.getCheckpointDir() and not spark.conf.get(CHECKPOINT_CONF, None):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="basketry-bench-ckpt-"))
+    ensure_checkpoint_dir(spark)
     names = sys.argv[1:] or HEADLINE
     # warm-up on the raw tables (JIT, file listing); the catalogue store is not touched, so its build is timed
     spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_partkey").count().write.format("noop").mode(
         "overwrite").save()
     times: dict[str, float] = {}
     t0 = time.perf_counter()
-    stored_catalog(spark, sf_dir)
+    stored = stored_catalog(spark, sf_dir)
+    for table in ("products", "categories", "graph_edges", "reviews"):
+        getattr(stored, table)
     times["catalog_store"] = round(time.perf_counter() - t0, 3)
     cold: dict[str, float] = {}
     for name in names:
@@ -70,6 +71,7 @@ def main() -> None:
         "sf": float(m.group(1)) if m else sf_dir,
         "cpus": cpus,
     }))
+    release_catalogs(spark)
     spark.stop()
 
 
