@@ -127,9 +127,10 @@ def _has_letter(part: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def _predict(batches: Iterator[pa.RecordBatch], model: Model | None) -> Iterator[pa.RecordBatch]:
+def _predict(batches: Iterator[pa.RecordBatch], model: Model | None, text_at: int, first: int) -> Iterator[pa.RecordBatch]:
+    """The columns from ``first`` on, and what column ``text_at`` is written in."""
     for batch in batches:
-        for lo, hi, part, at in _blocks(batch.column(0)):
+        for lo, hi, part, at in _blocks(batch.column(text_at)):
             pred, score = [UNKNOWN] * (hi - lo), np.zeros(hi - lo)
             rows = np.flatnonzero(_has_letter(part, at)) if model is not None else []
             if len(rows):
@@ -138,29 +139,30 @@ def _predict(batches: Iterator[pa.RecordBatch], model: Model | None) -> Iterator
                 for r in rows:
                     pred[r], score[r] = model.languages[best[r]], (1 + f[r, best[r]]) / 2
             yield pa.RecordBatch.from_arrays(
-                [c.slice(lo, hi - lo) for c in batch.columns[1:]] + [pa.array(pred), pa.array(np.clip(score, 0, 1).astype(float))],
-                [*batch.schema.names[1:], "lang_pred", "score"],
+                [c.slice(lo, hi - lo) for c in batch.columns[first:]] + [pa.array(pred), pa.array(np.clip(score, 0, 1).astype(float))],
+                [*batch.schema.names[first:], "lang_pred", "score"],
             )
 
 
 def with_language(docs: DataFrame, model: Model | None, kept: list[str]) -> DataFrame:
     """The ``kept`` columns of ``docs``, then ``lang_pred`` and ``score`` (these names are taken)."""
     ship(docs.sparkSession)
-    rows = docs.select(F.col("text").cast("string").alias("_text"), *kept)
     schema = docs.select(*kept).schema.add("lang_pred", "string").add("score", "double")
-    return rows.mapInArrow(lambda it: _predict(it, model), schema)
+    if "text" in kept:
+        return docs.select(*kept).mapInArrow(lambda it: _predict(it, model, kept.index("text"), 0), schema)
+    return docs.select("text", *kept).mapInArrow(lambda it: _predict(it, model, 0, 1), schema)
 
 
 def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
     """The documents whose language is recognised, all columns as they were; ``und`` documents go."""
-    plain = docs.select(F.col("text"), *(F.col(c).alias(f"_kept_{i}") for i, c in enumerate(docs.columns)))
-    named = with_language(plain, model, plain.columns[1:]).where(F.col("lang_pred") != UNKNOWN)
-    return named.select(*(F.col(f"_kept_{i}").alias(c) for i, c in enumerate(docs.columns)))
+    names = ["text" if c == "text" else f"_kept_{i}" for i, c in enumerate(docs.columns)]  # no clash with the new names
+    named = with_language(docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names))), model, names)
+    return named.where(F.col("lang_pred") != UNKNOWN).select(*(F.col(n).alias(c) for c, n in zip(docs.columns, names)))
 
 
 def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` for every row of ``docs``."""
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
     named = with_language(rows, learn(docs, sample), ["doc_id"])
     return named.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
