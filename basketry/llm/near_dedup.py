@@ -9,9 +9,8 @@
    pairs as it has members.
 3. The registers' agreement, corrected for chance collisions, estimates the Jaccard similarity; pairs below the
    threshold by more than five standard errors are dropped.
-4. What is left is verified on full shingle sets: first each class's best hub, then hubs of another component.
-   Where a hub's members are still in several components, members of different components are compared with each
-   other, in blocks of full sets within tasks (a large group is a grid of blocks): registers first, then the sets.
+4. Each class's best hub is verified on full shingle sets. Where a hub and its members are then in several
+   components, those of different components are compared with each other, in blocks of full sets within tasks (a large group is a grid of blocks): registers first, then the sets.
    Only links that join components leave the task, so no link between components is lost to the choice of hubs and
    a group gives at most as many rows as it has members.
 5. Links become components by large-star / small-star steps.
@@ -233,14 +232,6 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select("doc").unionByName(pairs.select(F.col("hub").alias("doc"))).distinct()
 
 
-def _across(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """The pairs whose ends are in different components so far."""
-    one = found.select(F.col("node").alias("doc"), F.col("component").alias("c1"))
-    two = found.select(F.col("node").alias("hub"), F.col("component").alias("c2"))
-    out = pairs.join(one, "doc", "left").join(two, "hub", "left")
-    return out.where(F.coalesce("c1", "doc") != F.coalesce("c2", "hub")).drop("c1", "c2")
-
-
 def _join_components(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> Iterator[tuple[int, int]]:
     """Links between members of different components that join components not yet joined by this call."""
     sets = [[np.frombuffer(x, np.uint64) for x in side["items"]] for side in (left, right)]
@@ -276,9 +267,10 @@ def _compare_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _between_members(to_hub: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links that join the components which the members of one hub are still in."""
+    """Links that join the components which a hub and its members are still in."""
     sizes = sets.select("doc", (F.length("items") / 8).cast("long").alias("n"))
-    named = to_hub.join(found.withColumnRenamed("node", "doc"), "doc", "left").join(sizes, "doc")
+    members = to_hub.unionByName(to_hub.select(F.col("hub").alias("doc"), "hub").distinct())
+    named = members.join(found.withColumnRenamed("node", "doc"), "doc", "left").join(sizes, "doc")
     named = named.select("hub", "doc", "n", F.coalesce("component", "doc").alias("c"))
     open_hubs = named.groupBy("hub").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))
     blocks = F.greatest(F.ceil(F.col("k") / BLOCK_MEMBERS), F.ceil(F.col("n") / BLOCK_SHINGLES)).cast("int")
@@ -312,8 +304,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     best = near.groupBy("doc").agg(F.max_by("hub", F.struct("estimate", -F.col("hub"))).alias("hub"))
     links = stored(verified(best, sets), "links-best")
     found = components(links, "doc", "hub")
-    links = links.unionByName(stored(verified(_across(near, found), sets), "links-hubs"))
-    found = components(links, "doc", "hub")
     rest = stored(_between_members(to_hub, found, sets), "links-members")
     if not rest.isEmpty():
         found = components(links.unionByName(rest), "doc", "hub")
