@@ -3,7 +3,7 @@
 1. Every document's distinct 5-word shingles are hashed once (64 bits). The top 8 bits choose one of 256
    registers, which keeps the least of the other 56 bits as leading-zero count and 10 mantissa bits. Documents
    with equal shingle sets (128-bit fingerprint) are one class, represented by its smallest document id.
-2. 42 bands of 6 registers of each class are band keys; an empty register borrows from a filled one chosen by its
+2. Bands of each class's registers are keys (42 of 6 registers; below 0.85, more of fewer); an empty register borrows from a filled one chosen by its
    number (densification), so a short text's bands are as selective as a long one's. In each bucket of equal keys
    the smallest class is the hub; every other member is compared with the hub only, so a bucket makes as many
    pairs as it has members.
@@ -15,7 +15,8 @@
    a group gives at most as many rows as it has members.
 5. Links become components by large-star / small-star steps.
 
-Two sets at the threshold share all 6 registers of at least one band but for about 3 pairs in 10**9.
+Two sets at the threshold share all registers of at least one band but for about 3 pairs in 10**9 (2 at 0.8). Operator 2's
+threshold is ``THRESHOLD``; ``near_duplicates`` takes others.
 
 Cases: null or empty texts and texts of white space have no shingles, link with nothing and are their own
 component; fewer than five words are one shingle; repeated rows of a document id count as versions of one
@@ -42,7 +43,8 @@ REGISTER_BITS = 8
 REGISTERS = 1 << REGISTER_BITS
 VALUE_BITS = 64 - REGISTER_BITS
 MANTISSA_BITS = 10
-BANDS, ROWS = 42, 6
+#: Pairs at the threshold that share no band: so many at most.
+MISSED = 4e-9
 #: Members of a hub compared as one block: at most so many, with so many shingles in all; a task's share.
 BLOCK_MEMBERS, BLOCK_SHINGLES, TASK_SHINGLES = 4000, 1_000_000, 2_000_000
 STANDARD_ERRORS = 5.0
@@ -136,15 +138,26 @@ def densified(rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    powers = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(ROWS)], np.uint64)
-    salt = mix(np.arange(BANDS, dtype=np.uint64) + np.uint64(1))
-    for batch in batches:
-        keys = batch.column(0).to_numpy(zero_copy_only=False)
-        rows = densified(_matrix(batch.column(1)))[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS)
-        hashed = mix((rows.astype(np.uint64) * powers).sum(2, dtype=np.uint64) ^ salt)
-        which, band = np.nonzero(rows.any(2))
-        yield pa.RecordBatch.from_arrays([pa.array(keys[which]), pa.array(hashed[which, band].view(np.int64))], ["doc", "band"])
+def banding(threshold: float) -> tuple[int, int]:
+    """Number of bands and registers of each: as long as ``MISSED`` allows."""
+    n = next((n for n in range(REGISTERS, 0, -1) if (1 - threshold**n) ** (REGISTERS // n) <= MISSED), 1)
+    return REGISTERS // n, n
+
+
+def _bands(threshold: float):
+    bands, size = banding(threshold)
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(size)], np.uint64)
+        salt = mix(np.arange(bands, dtype=np.uint64) + np.uint64(1))
+        for batch in batches:
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            rows = densified(_matrix(batch.column(1)))[:, : bands * size].reshape(-1, bands, size)
+            hashed = mix((rows.astype(np.uint64) * powers).sum(2, dtype=np.uint64) ^ salt)
+            which, band = np.nonzero(rows.any(2))
+            yield pa.RecordBatch.from_arrays([pa.array(keys[which]), pa.array(hashed[which, band].view(np.int64))], ["doc", "band"])
+
+    return keyed
 
 
 def expected_collisions(n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -159,35 +172,38 @@ def expected_collisions(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return REGISTERS * (share(n[None, :].astype(float)) * share(m[None, :].astype(float))).sum(0) / (1 << MANTISSA_BITS)
 
 
-def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
     """Collision-corrected Jaccard estimate, and its standard error at the threshold: the registers in use are a
     sample without replacement of the union (at least the larger set), so short texts are measured almost in full."""
     used = np.maximum(((a > 0) | (b > 0)).sum(1), 1)
     same = ((a == b) & (a > 0)).sum(1)
     chance = np.minimum(expected_collisions(n, m), used - 1e-9)
-    union = np.maximum((n + m) / (1 + THRESHOLD), used)
+    union = np.maximum((n + m) / (1 + threshold), used)
     rest = (union - used + 1) / union
-    return np.maximum(same - chance, 0) / (used - chance), np.sqrt(THRESHOLD * (1 - THRESHOLD) / used * rest) + 0.5 / used
+    return np.maximum(same - chance, 0) / (used - chance), np.sqrt(threshold * (1 - threshold) / used * rest) + 0.5 / used
 
 
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        doc, hub, s, n, t, m = batch.columns
-        n, m = n.to_numpy(), m.to_numpy()
-        jaccard, error = estimate(_matrix(s), _matrix(t), n, m)
-        size = np.minimum(n, m) / np.maximum(n, m)
-        keep = (jaccard >= THRESHOLD - STANDARD_ERRORS * error) & (size >= THRESHOLD)
-        yield pa.RecordBatch.from_arrays(
-            [doc.filter(pa.array(keep)), hub.filter(pa.array(keep)), pa.array(jaccard[keep])], ["doc", "hub", "estimate"]
-        )
+def _near(threshold: float):
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, hub, s, n, t, m = batch.columns
+            n, m = n.to_numpy(), m.to_numpy()
+            jaccard, error = estimate(_matrix(s), _matrix(t), n, m, threshold)
+            size = np.minimum(n, m) / np.maximum(n, m)
+            keep = (jaccard >= threshold - STANDARD_ERRORS * error) & (size >= threshold)
+            yield pa.RecordBatch.from_arrays(
+                [doc.filter(pa.array(keep)), hub.filter(pa.array(keep)), pa.array(jaccard[keep])], ["doc", "hub", "estimate"]
+            )
+
+    return kept
 
 
-def near_by_sketch(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def near_by_sketch(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
     """The pairs whose estimate does not rule out the threshold."""
     left = classes.select(F.col("doc"), F.col("sketch").alias("s"), F.col("n").alias("n1"))
     right = classes.select(F.col("doc").alias("hub"), F.col("sketch").alias("t"), F.col("n").alias("n2"))
     both = pairs.join(left.hint("merge"), "doc").join(right.hint("merge"), "hub").select("doc", "hub", "s", "n1", "t", "n2")
-    return both.mapInArrow(_near, "doc long, hub long, estimate double")
+    return both.mapInArrow(_near(threshold), "doc long, hub long, estimate double")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,21 +214,25 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sets, pa.binary())], ["doc", "items"])
 
 
-def _reach(x: np.ndarray, y: np.ndarray) -> bool:
+def _reach(x: np.ndarray, y: np.ndarray, threshold: float) -> bool:
     """Whether two sorted sets reach the threshold."""
     if len(x) > len(y):
         x, y = y, x
     at = np.searchsorted(y, x)
     at[at == len(y)] = 0
     common = int((y[at] == x).sum())
-    return 100 * common >= round(100 * THRESHOLD) * (len(x) + len(y) - common)
+    return 100 * common >= round(100 * threshold) * (len(x) + len(y) - common)
 
 
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = [_reach(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)) for a, b in zip(batch.column(2), batch.column(3))]
-        mask = pa.array(keep, pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["doc", "hub"])
+def _linked(threshold: float):
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = zip(batch.column(2), batch.column(3))
+            keep = [_reach(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64), threshold) for a, b in sides]
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["doc", "hub"])
+
+    return kept
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -221,18 +241,18 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return stored(text.join(wanted.hint("merge"), "doc", "left_semi").mapInArrow(_sets, "doc long, items binary"), "shingle-sets")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs ``doc, hub`` whose full sets reach the threshold."""
     both = pairs.select("doc", "hub").join(sets.withColumnRenamed("items", "x").hint("merge"), "doc")
     both = both.join(sets.select(F.col("doc").alias("hub"), F.col("items").alias("y")).hint("merge"), "hub")
-    return both.select("doc", "hub", "x", "y").mapInArrow(_linked, "doc long, hub long")
+    return both.select("doc", "hub", "x", "y").mapInArrow(_linked(threshold), "doc long, hub long")
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select("doc").unionByName(pairs.select(F.col("hub").alias("doc"))).distinct()
 
 
-def _join_components(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> Iterator[tuple[int, int]]:
+def _join_components(left: pd.DataFrame, right: pd.DataFrame, same: bool, threshold: float) -> Iterator[tuple[int, int]]:
     """Links between members of different components that join components not yet joined by this call."""
     sets = [[np.frombuffer(x, np.uint64) for x in side["items"]] for side in (left, right)]
     a, b = registers(sets[0]), registers(sets[1])
@@ -247,26 +267,29 @@ def _join_components(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> Ite
         return k
 
     for i in range(len(a)):
-        j = np.flatnonzero((d != c[i]) & (np.minimum(m, n[i]) >= THRESHOLD * np.maximum(m, n[i])) & ((y > x[i]) | (not same)))
+        j = np.flatnonzero((d != c[i]) & (np.minimum(m, n[i]) >= threshold * np.maximum(m, n[i])) & ((y > x[i]) | (not same)))
         if not len(j):
             continue
-        jaccard, error = estimate(a[i][None], b[j], np.full(len(j), n[i]), m[j])
-        for k in j[jaccard >= THRESHOLD - STANDARD_ERRORS * error]:
+        jaccard, error = estimate(a[i][None], b[j], np.full(len(j), n[i]), m[j], threshold)
+        for k in j[jaccard >= threshold - STANDARD_ERRORS * error]:
             one, two = find(c[i]), find(d[k])
-            if one != two and _reach(sets[0][i], sets[1][k]):
+            if one != two and _reach(sets[0][i], sets[1][k], threshold):
                 root[max(one, two)] = min(one, two)
                 yield int(x[i]), int(y[k])
 
 
-def _compare_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
-    found: list[tuple[int, int]] = []
-    for (_, one, two), rows in pdf.groupby(["hub", "one", "two"], sort=False):
-        left = rows[rows["block"] == one]
-        found += _join_components(left, left if one == two else rows[rows["block"] == two], one == two)
-    return pd.DataFrame(found, columns=["doc", "hub"], dtype=np.int64)
+def _compare_blocks(threshold: float):
+    def links(pdf: pd.DataFrame) -> pd.DataFrame:
+        found: list[tuple[int, int]] = []
+        for (_, one, two), rows in pdf.groupby(["hub", "one", "two"], sort=False):
+            left = rows[rows["block"] == one]
+            found += _join_components(left, left if one == two else rows[rows["block"] == two], one == two, threshold)
+        return pd.DataFrame(found, columns=["doc", "hub"], dtype=np.int64)
+
+    return links
 
 
-def _between_members(to_hub: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
+def _between_members(to_hub: DataFrame, found: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Links that join the components which a hub and its members are still in."""
     sizes = sets.select("doc", (F.length("items") / 8).cast("long").alias("n"))
     members = to_hub.unionByName(to_hub.select(F.col("hub").alias("doc"), "hub").distinct())
@@ -283,11 +306,11 @@ def _between_members(to_hub: DataFrame, found: DataFrame, sets: DataFrame) -> Da
     rows = rows.withColumns({"one": F.least("block", "other"), "two": F.greatest("block", "other")})
     rows = rows.join(sets.hint("merge"), "doc").select("hub", "one", "two", "block", "doc", "c", "items")
     dealt = rows.withColumn("part", F.pmod(F.xxhash64("hub", "one", "two"), F.lit(parts)))
-    return dealt.groupBy("part").applyInPandas(_compare_blocks, "doc long, hub long").distinct()
+    return dealt.groupBy("part").applyInPandas(_compare_blocks(threshold), "doc long, hub long").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``."""
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``; ``threshold`` in whole hundredths."""
     ship(docs.sparkSession)
     sketched = stored(sketches(docs), "sketches")
     of_class = sketched.where("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("doc"))
@@ -296,15 +319,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         of_class.join(sketched, (F.col("doc") == F.col("doc_id")) & (of_class.f1 == sketched.f1) & (of_class.f2 == sketched.f2))
         .select("doc", F.col("sketch"), sketched.n_shingles.alias("n")).dropDuplicates(["doc"]), "class-sketches",
     )
-    bands = classes.select("doc", "sketch").mapInArrow(_bands, "doc long, band long")
+    bands = classes.select("doc", "sketch").mapInArrow(_bands(threshold), "doc long, band long")
     shared = bands.groupBy("band").agg(F.min("doc").alias("hub"), F.max("doc").alias("last")).where("hub < last").select("band", "hub")
     to_hub = stored(bands.join(shared, "band").where("doc <> hub").select("doc", "hub").distinct(), "hubs")
-    near = stored(near_by_sketch(to_hub, classes), "near")
+    near = stored(near_by_sketch(to_hub, classes, threshold), "near")
     sets = full_sets(docs, _ends(to_hub))
     best = near.groupBy("doc").agg(F.max_by("hub", F.struct("estimate", -F.col("hub"))).alias("hub"))
-    links = stored(verified(best, sets), "links-best")
+    links = stored(verified(best, sets, threshold), "links-best")
     found = components(links, "doc", "hub")
-    rest = stored(_between_members(to_hub, found, sets), "links-members")
+    rest = stored(_between_members(to_hub, found, sets, threshold), "links-members")
     if not rest.isEmpty():
         found = components(links.unionByName(rest), "doc", "hub")
 

@@ -14,6 +14,10 @@ from basketry.llm import decontaminate, language, near_dedup, packing, repeat_de
 from basketry.llm.scratch import as_row, of_row, read_table, stored
 
 
+#: Jaccard similarity of 5-word shingles from which documents are near copies; operator 2's own threshold is higher.
+NEAR = 0.8
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; texts that are null or without a letter go."""
     return language.accepted(docs, language.learn(docs))
@@ -21,7 +25,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id."""
-    copies = near_dedup.near_duplicates(docs).where("not kept and doc_id is not null").select(F.col("doc_id").alias("copy")).distinct()
+    copies = near_dedup.near_duplicates(docs, NEAR).where("not kept and doc_id is not null").select(F.col("doc_id").alias("copy")).distinct()
     return as_row(docs).join(copies, of_row("doc_id").cast("long") == F.col("copy"), "left_anti").select("_row.*")
 
 
