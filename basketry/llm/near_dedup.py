@@ -19,8 +19,8 @@ Two sets at the threshold share all registers of at least one band but for about
 threshold is ``THRESHOLD``; ``near_duplicates`` takes others.
 
 Cases: null or empty texts and texts of white space have no shingles, link with nothing and are their own
-component; fewer than five words are one shingle; repeated rows of a document id count as versions of one
-document; an empty table gives no rows; other columns are ignored, whatever their names.
+component; fewer than five words are one shingle; rows of one document id with different texts are versions,
+each its own document with its own links (they share the id and so may share a component's name); an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -50,6 +50,7 @@ BLOCK_MEMBERS, BLOCK_SHINGLES, TASK_SHINGLES = 4000, 1_000_000, 2_000_000
 STANDARD_ERRORS = 5.0
 
 SKETCHED = "doc_id long, n_shingles long, f1 long, f2 long, sketch binary"
+CLASS = ["f1", "f2", "n_shingles"]
 
 
 def shingle_sets(part: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
@@ -87,14 +88,19 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
     return np.where(full, code, np.uint64(0)).astype(np.uint16)
 
 
+def fingerprints(sets: list[np.ndarray]) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         buf, offs = text_buffer(batch.column(1))
         for lo, hi, part, at in chunks(buf, offs):
             sets = list(shingle_sets(part, at))
             n = np.array([len(s) for s in sets], np.int64)
+            f1 = fingerprints(sets)
             with np.errstate(over="ignore"):
-                f1 = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
                 f2 = np.array([mix(s ^ _MARK).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(f1), pa.array(f2), pa.array([r.tobytes() for r in registers(sets)], pa.binary())],
@@ -210,8 +216,10 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         buf, offs = text_buffer(batch.column(1))
         for lo, hi, part, at in chunks(buf, offs):
-            sets = [s.tobytes() for s in shingle_sets(part, at)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sets, pa.binary())], ["doc", "items"])
+            sets = list(shingle_sets(part, at))
+            mine = pa.array(fingerprints(sets) == batch.column(2).slice(lo, hi - lo).to_numpy(zero_copy_only=False))
+            out = [batch.column(0).slice(lo, hi - lo).filter(mine), pa.array([s.tobytes() for s in sets], pa.binary()).filter(mine)]
+            yield pa.RecordBatch.from_arrays(out, ["doc", "items"])
 
 
 def _reach(x: np.ndarray, y: np.ndarray, threshold: float) -> bool:
@@ -236,9 +244,11 @@ def _linked(threshold: float):
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``doc, items``: the shingle sets of the documents named in ``wanted`` (column ``doc``)."""
-    text = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
-    return stored(text.join(wanted.hint("merge"), "doc", "left_semi").mapInArrow(_sets, "doc long, items binary"), "shingle-sets")
+    """``doc, items``: the shingle sets of the classes in ``wanted`` (``doc, id, f1``); of several texts with the class's
+    id, the one whose fingerprint is ``f1``."""
+    text = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    text = text.join(wanted.hint("merge"), "id").select("doc", "text", "f1")
+    return stored(text.mapInArrow(_sets, "doc long, items binary"), "shingle-sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -309,21 +319,27 @@ def _between_members(to_hub: DataFrame, found: DataFrame, sets: DataFrame, thres
     return dealt.groupBy("part").applyInPandas(_compare_blocks(threshold), "doc long, hub long").distinct()
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``; ``threshold`` in whole hundredths."""
-    ship(docs.sparkSession)
-    sketched = stored(sketches(docs), "sketches")
-    of_class = sketched.where("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("doc"))
-    of_class = stored(of_class, "classes")
-    classes = stored(
-        of_class.join(sketched, (F.col("doc") == F.col("doc_id")) & (of_class.f1 == sketched.f1) & (of_class.f2 == sketched.f2))
-        .select("doc", F.col("sketch"), sketched.n_shingles.alias("n")).dropDuplicates(["doc"]), "class-sketches",
-    )
+def _classes(sketched: DataFrame) -> DataFrame:
+    """``f1, f2, n_shingles, id, doc``: the classes, their smallest document id, and the number that links name them by:
+    the id, or a hash of the class where that id already names another version's class."""
+    of_class = stored(sketched.where("n_shingles > 0").groupBy(*CLASS).agg(F.min("doc_id").alias("id")), "classes")
+    named = of_class.where("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct(*CLASS)).alias("named"))
+    others = named.where("k > 1").select(F.col("id").alias("same"), "named")
+    others = of_class.join(others, F.col("id") == F.col("same")).where(F.struct(*CLASS) != F.col("named")).select(*CLASS, F.xxhash64(*CLASS).alias("other"))
+    return stored(of_class.join(others, CLASS, "left").select(*CLASS, "id", F.coalesce("other", "id").alias("doc")), "named-classes")
+
+
+def linked_classes(docs: DataFrame, sketched: DataFrame, threshold: float) -> DataFrame:
+    """``f1, f2, n_shingles, group, component``: the component of each class, as a number of its own (null without any
+    document id) and by its smallest document id."""
+    of_class = _classes(sketched)
+    classes = sketched.select(*CLASS, "sketch", F.col("doc_id").alias("id")).join(of_class, [*CLASS, "id"])
+    classes = stored(classes.select("doc", "sketch", F.col("n_shingles").alias("n")).dropDuplicates(["doc"]), "class-sketches")
     bands = classes.select("doc", "sketch").mapInArrow(_bands(threshold), "doc long, band long")
     shared = bands.groupBy("band").agg(F.min("doc").alias("hub"), F.max("doc").alias("last")).where("hub < last").select("band", "hub")
     to_hub = stored(bands.join(shared, "band").where("doc <> hub").select("doc", "hub").distinct(), "hubs")
     near = stored(near_by_sketch(to_hub, classes, threshold), "near")
-    sets = full_sets(docs, _ends(to_hub))
+    sets = full_sets(docs, of_class.select("doc", "id", "f1").join(_ends(to_hub), "doc"))
     best = near.groupBy("doc").agg(F.max_by("hub", F.struct("estimate", -F.col("hub"))).alias("hub"))
     links = stored(verified(best, sets, threshold), "links-best")
     found = components(links, "doc", "hub")
@@ -331,9 +347,17 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     if not rest.isEmpty():
         found = components(links.unionByName(rest), "doc", "hub")
 
-    named = of_class.join(found.withColumnRenamed("node", "doc"), "doc", "left")
-    named = named.select("f1", "f2", "n_shingles", F.coalesce("component", "doc").alias("component"))
-    out = sketched.drop("sketch").join(named, ["f1", "f2", "n_shingles"], "left")
+    grouped = of_class.join(found.withColumnRenamed("node", "doc"), "doc", "left")
+    grouped = stored(grouped.select(*CLASS, "id", F.coalesce("component", "doc").alias("group")), "grouped-classes")
+    names = grouped.where("group is not null").groupBy("group").agg(F.min("id").alias("component"))
+    return grouped.drop("id").join(names, "group", "left")
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``; ``threshold`` in whole hundredths."""
+    ship(docs.sparkSession)
+    sketched = stored(sketches(docs), "sketches")
+    out = sketched.drop("sketch").join(linked_classes(docs, sketched, threshold), CLASS, "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
