@@ -30,12 +30,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketry.llm.graph import components
 from basketry.llm.hashing import LOWER, chunks, mix, range_hashes, span_hashes, text_buffer, word_spans
-from basketry.llm.scratch import read_table, ship, stored
+from basketry.llm.scratch import as_row, of_row, read_table, ship, stored
 
 SHINGLE = 5
 THRESHOLD = 0.85
@@ -49,7 +49,7 @@ MISSED = 4e-9
 BLOCK_MEMBERS, BLOCK_SHINGLES, TASK_SHINGLES = 4000, 1_000_000, 2_000_000
 STANDARD_ERRORS = 5.0
 
-SKETCHED = "doc_id long, n_shingles long, f1 long, f2 long, sketch binary"
+SKETCHED = "doc_id long, version string, n_shingles long, f1 long, f2 long, sketch binary"
 CLASS = ["f1", "f2", "n_shingles"]
 
 
@@ -103,13 +103,19 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             with np.errstate(over="ignore"):
                 f2 = np.array([mix(s ^ _MARK).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(f1), pa.array(f2), pa.array([r.tobytes() for r in registers(sets)], pa.binary())],
-                ["doc_id", "n_shingles", "f1", "f2", "sketch"],
+                [batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(n), pa.array(f1), pa.array(f2), pa.array([r.tobytes() for r in registers(sets)], pa.binary())],
+                ["doc_id", "version", "n_shingles", "f1", "f2", "sketch"],
             )
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_sketch, SKETCHED)
+    """``version`` is the md5 of the text (empty: null) and tells rows of one id apart."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), text, _version(text).alias("version")).mapInArrow(_sketch, SKETCHED)
+
+
+def _version(text: Column) -> Column:
+    return F.coalesce(F.md5(text), F.lit(""))
 
 
 def _matrix(col: pa.Array) -> np.ndarray:
@@ -362,5 +368,26 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """One row of each component, all columns as they were: of its smallest id, the version whose md5 sorts first. Texts
+    without shingles are told apart by id and text alone; rows without id stay."""
+    ship(docs.sparkSession)
+    sketched = stored(sketches(docs), "sketches")
+    rows = sketched.drop("sketch").where("doc_id is not null").groupBy("doc_id", "version", *CLASS).agg(F.count(F.lit(1)).alias("k"))
+    rows = rows.join(linked_classes(docs, sketched, threshold), CLASS, "left").select("doc_id", "version", "group", "k")
+    rows = stored(rows, "versions")
+    first = rows.where("group is not null").groupBy("group").agg(F.min(F.struct("doc_id", "version")).alias("first"))
+    told = rows.join(first, "group", "left").withColumn("stays", F.col("first").isNull() | (F.struct("doc_id", "version") == F.col("first")))
+    told = stored(told.select(F.col("doc_id").alias("id"), "version", "stays", "k"), "versions-told")
+    again = told.where("stays and k > 1").select("id", "version")
+    same = (of_row("doc_id").cast("long") == F.col("id")) & (_version(of_row("text").cast("string")) == F.col("version"))
+    gone = told.where("not stays or k > 1").select("id", "version")
+    left = as_row(docs).join(gone, same, "left_anti")
+    if not again.isEmpty():
+        once = as_row(docs).join(again, same).groupBy("id", "version").agg(F.first("_row").alias("_row"))
+        left = left.unionByName(once.select("_row"))
+    return left.select("_row.*")
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))

@@ -8,10 +8,9 @@ tokenizer, so ``ORACLE_SQL`` is None and tests/llm compares the stages with brut
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from basketry.llm import decontaminate, language, near_dedup, packing, repeat_dedup
-from basketry.llm.scratch import as_row, of_row, read_table, stored
+from basketry.llm.scratch import read_table, stored
 
 
 #: Jaccard similarity of 5-word shingles from which documents are near copies; operator 2's own threshold is higher.
@@ -24,9 +23,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id."""
-    copies = near_dedup.near_duplicates(docs, NEAR).where("not kept and doc_id is not null").select(F.col("doc_id").alias("copy")).distinct()
-    return as_row(docs).join(copies, of_row("doc_id").cast("long") == F.col("copy"), "left_anti").select("_row.*")
+    """One row of each group of near-duplicates: the one with the smallest id; equal rows are one."""
+    return near_dedup.one_of_each(docs, NEAR)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

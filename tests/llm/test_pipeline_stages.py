@@ -9,7 +9,7 @@ from basketry.llm import near_dedup as N
 from tests.conftest import SF_SMALL
 from tests.llm import brute
 from tests.llm import test_leaks_licences_pipeline as plain
-from tests.llm.conftest import prose
+from tests.llm.conftest import odd_rows, prose
 from tests.llm.test_packing_topk import check_pieces
 
 
@@ -67,3 +67,25 @@ def components_at_80(rows):
 def test_pipeline_of_a_table_at_its_threshold(spark, monkeypatch):
     monkeypatch.setattr(brute, "components", components_at_80)
     plain.test_pipeline_keeps_clean_documents(spark)
+
+
+def test_one_row_of_each_component_stays(spark, odd):
+    rows = [(i, t) for i, t in odd_rows() if i is not None]
+    texts = dict(enumerate(sorted({(i, t) for i, t in rows}, key=lambda r: (r[0], r[1] or ""))))
+    groups = {k: c for k, (_, c) in components_at_80([(k, t) for k, (_, t) in texts.items()]).items()}
+    out = corpus_pipeline.drop_near_duplicates(spark, odd, SF_SMALL)
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    known = [r for r in got if r[0] is not None]
+    number = {r: k for k, r in texts.items()}
+    assert sorted(groups[number[r]] for r in known) == sorted(set(groups.values()))
+    assert sorted(i for i, _ in known) == sorted(texts[c][0] for c in set(groups.values()))
+    assert len(got) - len(known) == 2 and out.columns == odd.columns
+
+
+def test_repeated_rows_and_versions_keep_their_text(spark, tmp_path):
+    a, b, c = (prose(random.Random(k), 60, 10**6) for k in (1, 2, 3))
+    rows = [(1, a), (1, a), (2, b), (3, b), (3, c), (3, c)]
+    docs = [(i, t, "en", "s", len(t)) for i, t in rows]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF_SMALL}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    check_pieces(corpus_pipeline.run(spark, str(tmp_path)).collect(), [(1, a), (2, b), (3, c)])
