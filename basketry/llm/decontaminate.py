@@ -1,15 +1,17 @@
 """Operator 1 [native]: benchmark decontamination by template canonicalisation.
 
 1. Words keep their letters and digits only. A word that starts with a digit becomes ``<num>``, a unit after a number
-   ``<unit>``, a capitalised word inside a sentence ``<name>``; all others are lowered. What stood there is the
-   slot's value.
+   ``<unit>``, a name ``<name>``; all others are lowered. What stood there is the slot's value. Every text has three
+   forms: names are the capitalised words inside sentences (``INSIDE``), all capitalised words wherever they stand
+   (``ANYWHERE``), or none (``FOLDED``, for copies in other case). Windows meet windows of the same form.
 2. Every ``WINDOW`` consecutive template words of a benchmark item (all of them, if it has fewer) are a window;
    its ordinary word that is rarest in the benchmark (ties: the longest) is the pivot. Documents' words are hash-joined to the pivots, and the windows around
    the words found are hash-joined to the items' windows as strings, so equality is exact.
 3. Windows of one document and item with the same offset between the texts are one alignment. A slot value of the
    item must stand for one value throughout an alignment (a question with other numbers or names substitutes
    them consistently); windows of alignments that break this in more than ``MAX_CONFLICT`` of the values don't count.
-4. A document leaks an item if at least ``MIN_SHARE`` of the item's different windows are found in it.
+4. A document leaks an item if at least ``MIN_SHARE`` of the item's different windows are found in it, as windows of
+   form ``INSIDE`` or, if these don't suffice, in any form.
 
 All of this is DataFrame functions. Pivots and windows of the benchmark are sent to all tasks if there are at
 most ``BROADCAST_ROWS``; beyond that Spark shuffles.
@@ -31,6 +33,7 @@ MIN_SHARE = 0.5
 MAX_CONFLICT = 0.2
 BROADCAST_ROWS = 200_000
 
+INSIDE, ANYWHERE, FOLDED = 0, 1, 2
 NUMBER, UNIT, NAME = "<num>", "<unit>", "<name>"
 UNITS = (
     "km cm mm m kg g mg lb lbs oz ml l liters litres liter litre miles mile feet foot ft inches inch yards yard hours "
@@ -58,12 +61,15 @@ def _template(words: Column) -> Column:
 
 
 def templated(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, raw, canon``: arrays of equal length with the words as written and as template words (one empty word for
-    a text without words)."""
+    """``key, raw, forms``: the words as written (names inside sentences marked) and, for each form, the template words:
+    arrays of equal length (one empty word for a text without words)."""
     rows = rows.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias("t")).where(F.col(key).isNotNull() & F.col("t").isNotNull())
     # a filter on the words would make Spark clean every text twice
     rows = rows.select(key, _words(F.col("t")).alias("w"))
-    return rows.select(key, F.split("w", " ").alias("raw"), F.split(_template(F.col("w")), " ").alias("canon"))
+    plain = F.translate("w", _MARK, "")
+    anywhere = F.regexp_replace(plain, r"(?<![^ ])(?=\p{Lu}\p{Ll})", _MARK)
+    forms = F.array(*(F.split(_template(w), " ") for w in (F.col("w"), anywhere, plain)))
+    return rows.select(key, F.split("w", " ").alias("raw"), forms.alias("forms"))
 
 
 def _slice(words: str, start: str) -> Column:
@@ -71,18 +77,21 @@ def _slice(words: str, start: str) -> Column:
 
 
 def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``item_id, at, size, template, raw, canon, pivot, shift``: each window of each item; ``shift`` words in, the
-    pivot."""
+    """``item_id, form, at, size, template, folded, raw, canon, pivot, shift``: each window of each item in each form;
+    ``shift`` words in, the pivot; ``folded`` is the same window's template of that form."""
     rows = templated(items, "item_id", "text").dropDuplicates(["item_id", "raw"])
-    words = rows.select("item_id", "raw", F.posexplode("canon").alias("place", "word"))
-    often = words.groupBy("word").agg(F.count(F.lit(1)).alias("often")).where(~F.col("word").isin(NUMBER, UNIT, NAME, ""))
+    rows = rows.select("item_id", "raw", F.element_at("forms", FOLDED + 1).alias("folded"), F.posexplode("forms").alias("form", "canon"))
+    words = rows.select("form", F.explode("canon").alias("word"))
+    often = words.groupBy("form", "word").agg(F.count(F.lit(1)).alias("often")).where(~F.col("word").isin(NUMBER, UNIT, NAME, ""))
     rows = rows.withColumn("size", F.least(F.lit(window), F.size("canon")))
     rows = rows.withColumn("at", F.explode(F.sequence(F.lit(0), F.size("canon") - F.col("size"))))
-    rows = rows.select("item_id", "at", "size", _slice("canon", "at").alias("canon"), _slice("raw", "at").alias("raw"))
-    pivots = rows.select("item_id", "at", "raw", F.posexplode("canon").alias("shift", "word")).join(often, "word")
+    sliced = (_slice(c, "at").alias(c) for c in ("canon", "raw", "folded"))
+    rows = rows.select("item_id", "form", "at", "size", *sliced).withColumn("folded", F.array_join("folded", " "))
+    key = ["item_id", "form", "at", "raw", "canon"]
+    pivots = rows.select(*key, F.posexplode("canon").alias("shift", "word")).join(often, ["form", "word"])
     first = F.min(F.struct("often", (-F.length("word")).alias("short"), "word", "shift")).alias("b")
-    pivots = pivots.groupBy("item_id", "at", "raw").agg(first).select("item_id", "at", "raw", F.col("b.word").alias("pivot"), F.col("b.shift").alias("shift"))
-    return rows.join(pivots, ["item_id", "at", "raw"]).withColumn("template", F.array_join("canon", " "))
+    pivots = pivots.groupBy(*key).agg(first).select(*key, F.col("b.word").alias("pivot"), F.col("b.shift").alias("shift"))
+    return rows.join(pivots, key).withColumn("template", F.array_join("canon", " "))
 
 
 def _small(rows: DataFrame) -> DataFrame:
@@ -90,37 +99,47 @@ def _small(rows: DataFrame) -> DataFrame:
 
 
 def window_matches(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """``doc_id, item_id, at, place, slots``: each item window found in a document, at which word, and its slots."""
-    pivots = stored(windows.select("pivot", "shift", "size").distinct(), "pivots")
+    """``doc_id, item_id, form, at, template, folded, place, slots``: each item window found in a document, at which
+    word, and its slots."""
+    pivots = stored(windows.select("form", "pivot", "shift", "size").distinct(), "pivots")
     # explode_outer: before a plain explode Spark filters on the array's size and so makes every template twice
-    words = templated(docs, "doc_id", "text").select("doc_id", "raw", "canon", F.posexplode_outer("canon").alias("p", "pivot"))
-    found = words.join(_small(pivots), "pivot").withColumn("place", F.expr("p - shift"))
+    words = templated(docs, "doc_id", "text")
+    # an ordinary word is the same in every form that has it
+    words = words.select("doc_id", "raw", "forms", F.posexplode_outer(F.element_at("forms", FOLDED + 1)).alias("p", "pivot"))
+    found = words.join(_small(pivots), "pivot").withColumns({"place": F.expr("p - shift"), "canon": F.element_at("forms", F.col("form") + 1)})
     found = found.where((F.col("place") >= 0) & (F.col("place") + F.col("size") <= F.size("canon")))
-    found = found.select("doc_id", "place", _slice("raw", "place").alias("written"), F.array_join(_slice("canon", "place"), " ").alias("template"))
-    sides = windows.select("item_id", "at", "size", "template", "canon", F.col("raw").alias("asked"))
-    hits = found.join(_small(sides), "template").dropDuplicates(["doc_id", "item_id", "at", "place"])
+    found = found.select("doc_id", "form", "place", _slice("raw", "place").alias("written"), F.array_join(_slice("canon", "place"), " ").alias("template"))
+    sides = windows.select("item_id", "form", "at", "template", "folded", "canon", F.col("raw").alias("asked"))
+    hits = found.join(_small(sides), ["form", "template"]).dropDuplicates(["doc_id", "item_id", "form", "at", "template", "folded", "place"])
     slots = F.filter(
-        F.zip_with("asked", F.zip_with("written", "canon", lambda w, c: F.struct(w.alias("w"), c.alias("c"))), lambda a, x: F.struct(a.alias("asked"), x["w"].alias("written"), x["c"].alias("c"))),
+        F.zip_with("asked", F.zip_with("written", "canon", lambda w, c: F.struct(w.alias("w"), c.alias("c"))), lambda a, x: F.struct(F.translate(a, _MARK, "").alias("asked"), F.translate(x["w"], _MARK, "").alias("written"), x["c"].alias("c"))),
         lambda x: x["c"].isin(NUMBER, UNIT, NAME),
     )
-    return hits.select("doc_id", "item_id", "at", "place", slots.alias("slots"))
+    return hits.select("doc_id", "item_id", "form", "at", "template", "folded", "place", slots.alias("slots"))
 
 
 def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_share: float = MIN_SHARE) -> DataFrame:
     """``doc_id, item_id, windows_found, windows_total, share, slots, slot_conflicts``: one row per leaked pair."""
     windows = stored(item_windows(items, window), "item-windows")
-    total = windows.groupBy("item_id").agg(F.count_distinct("template").alias("windows_total"))
+    inside = F.when(F.col("form") == INSIDE, F.col("template"))
+    total = windows.groupBy("item_id").agg(F.count_distinct(inside).alias("total"), F.count_distinct("folded").alias("total_any"))
     hits = stored(window_matches(docs, windows), "window-matches").withColumn("line", F.col("place") - F.col("at"))
-    values = hits.select("doc_id", "item_id", "line", F.explode("slots").alias("s")).select("doc_id", "item_id", "line", "s.asked", "s.written").distinct()
-    values = values.groupBy("doc_id", "item_id", "line", "asked").agg(F.count(F.lit(1)).alias("n"))
-    lines = values.groupBy("doc_id", "item_id", "line").agg(F.count(F.lit(1)).alias("slots"), F.count_if(F.col("n") > 1).alias("slot_conflicts"))
-    templates = windows.select("item_id", "at", "template")
-    sound = hits.select("doc_id", "item_id", "line", "at").join(lines, ["doc_id", "item_id", "line"], "left").fillna(0, ["slots", "slot_conflicts"])
-    sound = sound.where(F.col("slot_conflicts") <= MAX_CONFLICT * F.col("slots")).join(_small(templates), ["item_id", "at"])
+    line = ["doc_id", "item_id", "form", "line"]
+    values = hits.select(*line, F.explode("slots").alias("s")).select(*line, "s.asked", "s.written").distinct()
+    values = values.groupBy(*line, "asked").agg(F.count(F.lit(1)).alias("n"))
+    lines = values.groupBy(*line).agg(F.count(F.lit(1)).alias("slots"), F.count_if(F.col("n") > 1).alias("slot_conflicts"))
+    sound = hits.drop("slots").join(lines, line, "left").fillna(0, ["slots", "slot_conflicts"])
+    sound = sound.where(F.col("slot_conflicts") <= MAX_CONFLICT * F.col("slots"))
+    own = {c: F.when(F.col("form") == INSIDE, F.col(c)) for c in ("slots", "slot_conflicts")}
     pairs = sound.groupBy("doc_id", "item_id").agg(
-        F.count_distinct("template").alias("windows_found"), F.max("slots").alias("slots"), F.max("slot_conflicts").alias("slot_conflicts")
+        F.count_distinct(inside).alias("found"), F.count_distinct("folded").alias("found_any"), *(F.max(v).alias(c) for c, v in own.items()),
+        *(F.max(c).alias(f"{c}_any") for c in own),
     )
-    pairs = pairs.join(_small(total), "item_id").withColumn("share", F.col("windows_found") / F.col("windows_total"))
+    pairs = pairs.join(_small(total), "item_id")
+    enough = (F.col("total") > 0) & (F.col("found") >= min_share * F.col("total"))
+    told = {n: F.when(enough, F.col(c)).otherwise(F.col(f"{c}_any")) for n, c in
+            (("windows_found", "found"), ("windows_total", "total"), ("slots", "slots"), ("slot_conflicts", "slot_conflicts"))}
+    pairs = pairs.select("doc_id", "item_id", *(v.alias(n) for n, v in told.items())).withColumn("share", F.col("windows_found") / F.col("windows_total"))
     return pairs.where(F.col("share") >= min_share).select("doc_id", "item_id", "windows_found", "windows_total", "share", "slots", "slot_conflicts")
 
 
