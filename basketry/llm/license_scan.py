@@ -7,9 +7,10 @@
 2. Candidates and templates are joined on terms (sparse vectors as rows), which gives the cosine of each
    different sentence to each template. The best template with a cosine of at least ``MIN_COSINE`` is the
    sentence's licence (ties: the licence that sorts first); a file's own licence is that of its best sentence
-   (ties: the earliest).
-3. A licence file is one with a licence of its own and at most ``FILE_WORDS`` words: it governs the directory it is
-   in and all below. A file without a licence of its own inherits from the nearest ancestor directory that has a
+   (ties: the earliest), or that of the whole text of ``WHOLE`` that has ``WHOLE_SHARE`` of its words, which is then
+   also its cosine.
+3. A licence file is one with a licence of its own that is named like one (``FILE_NAMES``), or of whose words
+   ``FILE_SHARE`` stand in matched sentences, or a whole licence text, however long it is: it governs the directory it is in and all below. A file without a licence of its own inherits from the nearest ancestor directory that has a
    licence file: its ancestors are joined to the governed directories. Of several in one directory the surest
    counts (ties: the path that sorts first).
 
@@ -22,13 +23,18 @@ govern; repeated rows are repeated in the result; an empty table gives no rows;
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketry.llm.scratch import read_table, stored
 
 MIN_COSINE = 0.55
-FILE_WORDS = 60
+FILE_SHARE = 0.5
+WHOLE_SHARE = 0.8
+#: LICENSE, COPYING.LESSER, LICENCE-MIT.txt, NOTICE, but not license.py.
+FILE_NAMES = r"(?i)^(?:un)?(?:licen[cs]es?|copying|notice)(?:[-_.](?!(?:.*\.)?(?:py|js|ts|c|h|cc|cpp|hpp|cs|java|go|rs|rb|sh|php|json|ya?ml|xml|toml)$).*)?$"
 
 #: The usual short notices of public licences.
 TEMPLATES = [
@@ -50,6 +56,32 @@ TEMPLATES = [
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0 Universal"),
 ]
 
+#: Whole licence texts.
+_AS_IS = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED '
+    "TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR "
+    "CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, "
+    "PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF "
+    "LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS "
+    "SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+WHOLE = [
+    ("MIT", "MIT License Copyright (c) Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+     'documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, '
+     "merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
+     "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial "
+     'portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE '
+     "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE "
+     "LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION "
+     "WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("BSD-3-Clause", "BSD 3-Clause License Copyright (c) All rights reserved. Redistribution and use in source and binary forms, with or without "
+     "modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright "
+     "notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this "
+     "list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the "
+     "name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without "
+     "specific prior written permission. " + _AS_IS),
+]
+
 #: What any candidate sentence holds.
 MARKS = r"(?i)licen[cs]e|copyright|\bspdx\b|public domain|creative commons|hereby granted|redistribut|\bcc0\b|\bcc by\b"
 
@@ -91,11 +123,27 @@ def matched_sentences(different: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def own_licences(files: DataFrame, key: str) -> DataFrame:
-    """``key, own_licence, own_cosine`` of the files that have a licence sentence."""
+    """``key, own_licence, own_cosine, own_terms`` of the files that have a licence sentence; ``own_terms`` is how many
+    words the matched sentences have."""
     found = stored(sentences(files, key), "licence-sentences")
     near = matched_sentences(found.select("sentence").distinct(), templates(files.sparkSession))
-    best = found.join(near, "sentence").groupBy(key).agg(F.min(F.struct((-F.col("cosine")).alias("d"), "at", "licence")).alias("b"))
-    return best.select(key, F.col("b.licence").alias("own_licence"), (-F.col("b.d")).alias("own_cosine"))
+    best = found.join(near, "sentence").groupBy(key).agg(F.min(F.struct((-F.col("cosine")).alias("d"), "at", "licence")).alias("b"), F.sum(F.size(terms(F.col("sentence")))).alias("own_terms"))
+    return best.select(key, F.col("b.licence").alias("own_licence"), (-F.col("b.d")).alias("own_cosine"), "own_terms")
+
+
+def whole_texts(files: DataFrame) -> DataFrame:
+    """``path, whole_licence, whole_share`` of the files (``path, text``) that are a whole licence text."""
+    spark = files.sparkSession
+    known = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(WHOLE)], "whole int, text string").select("whole", F.explode(terms(F.col("text"))).alias("term"))
+    known = known.groupBy("whole", "term").agg(F.count(F.lit(1)).alias("m"))
+    most = int(max(len(re.findall(r"[^\W_]+", t)) for _, t in WHOLE) / WHOLE_SHARE)  # a longer file can't reach the share
+    words = files.where(F.col("text").rlike(MARKS)).distinct().select("path", "text", terms(F.col("text")).alias("terms")).where(F.size("terms").between(1, most))
+    words = words.select("path", "text", F.size("terms").alias("words"), F.explode("terms").alias("term"))
+    words = words.groupBy("path", "text", "words", "term").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(known), "term")
+    share = words.groupBy("path", "text", "words", "whole").agg((F.sum(F.least("n", "m")) / F.col("words")).alias("share"))
+    licence = F.element_at(F.array(*(F.lit(x) for x, _ in WHOLE)), F.col("whole") + 1)
+    best = share.where(F.col("share") >= WHOLE_SHARE).groupBy("path").agg(F.min(F.struct((-F.col("share")).alias("d"), licence.alias("licence"))).alias("b"))
+    return best.select("path", F.col("b.licence").alias("whole_licence"), (-F.col("b.d")).alias("whole_share"))
 
 
 def ancestors(path: Column) -> Column:
@@ -108,11 +156,20 @@ def scan(files: DataFrame) -> DataFrame:
     """``path, own_licence, own_cosine, licence, inherited_from, levels_up`` for every row of ``files`` (``path, text``);
     ``inherited_from`` is the governing directory and ``levels_up`` how far above the file's directory it is."""
     files = files.select(F.col("path").cast("string"), F.col("text").cast("string"))
-    own = stored(own_licences(files.where("path is not null"), "path"), "own-licences")
-    words = F.size(F.split(F.trim("text"), r"\s+"))
-    rows = files.select("path", words.alias("words")).join(own, "path", "left")
+    known = files.where("path is not null")
+    own = own_licences(known, "path").join(whole_texts(known), "path", "full")
+    own = stored(own.select(
+        "path", F.coalesce("whole_licence", "own_licence").alias("own_licence"), F.coalesce("whole_share", "own_cosine").alias("own_cosine"),
+        "own_terms", F.col("whole_licence").isNotNull().alias("whole"),
+    ), "own-licences")
+    own_terms = own.where("not whole and own_terms is not null").select("path", "own_terms")
+    rows = files.select("path").join(own.drop("own_terms", "whole"), "path", "left")
     directory = F.array_join(F.slice(F.split("path", "/"), F.lit(1), F.size(F.split("path", "/")) - 1), "/")
-    governing = rows.where(F.col("own_licence").isNotNull() & (F.col("words") <= FILE_WORDS)).withColumn("dir", directory)
+    shares = files.join(own_terms, "path").groupBy("path", "own_terms").agg(F.sum(F.size(terms(F.col("text")))).alias("words"))
+    named = own.where(F.element_at(F.split("path", "/"), -1).rlike(FILE_NAMES)).select("path")
+    shares = shares.where(F.col("own_terms") >= FILE_SHARE * F.col("words")).select("path")
+    govern = named.unionByName(shares).unionByName(own.where("whole").select("path")).distinct()
+    governing = own.join(govern, "path").withColumn("dir", directory)
     governing = governing.groupBy("dir").agg(F.min(F.struct((-F.col("own_cosine")).alias("d"), "path", "own_licence")).alias("b"))
     governing = stored(governing.select("dir", F.col("b.own_licence").alias("governed_by")), "governed")
     lost = rows.where(F.col("path").isNotNull() & F.col("own_licence").isNull()).select("path").distinct()
