@@ -13,6 +13,7 @@ from basketry.llm.near_dedup import op2_near_dedup
 from basketry.llm.packing import op6_packing
 from basketry.llm.quality import op10_quality
 from basketry.llm.repeat_dedup import op9_substring_dedup
+from basketry.llm.secret_scan import OP12_SQL, op12_secret_scan
 from basketry.llm.suffix_dedup import op5_suffix_dedup
 from basketry.llm.topk import OP7_SQL, op7_topk_products
 from basketry.llm.toxicity import op4_toxicity
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_quality": op10_quality,
+    "op12_secret_scan": op12_secret_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_topk_products": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op7_topk_products": OP7_SQL, "op12_secret_scan": OP12_SQL}
