@@ -237,11 +237,15 @@ def _joined(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat(s["kind"], F.lit(":"), s["start"].cast("string"), F.lit(":"), s["end"].cast("string"))))
 
 
+def _of(spans: str, *kinds: str) -> Column:
+    return F.filter(spans, lambda s: s["kind"].isin(*kinds))
+
+
 def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_spans(read_table(spark, sf_dir, "documents"))
     kinds = [r.kind for r in BASE]
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in kinds]
-    base = F.filter("spans", lambda s: s["kind"].isin(kinds))
+    counts = [F.size(_of("spans", k)).cast("long").alias(f"n_{k}") for k in kinds]
+    base = _of("spans", *kinds)
     return found.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
