@@ -88,11 +88,12 @@ def chunks(buf: np.ndarray, offs: np.ndarray, limit: int = CHUNK_BYTES) -> Itera
         lo = hi
 
 
-def word_spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of every word, and the index of each document's first word (one more at the end)."""
+def word_spans(buf: np.ndarray, offs: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of every word, and the index of each document's first word (one more at the end). ``between``:
+    for each byte, whether it separates words."""
     if len(buf) == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
-    space = SPACE[buf]
+    space = between[buf]
     start, end = ~space, ~space
     first = offs[:-1][offs[:-1] < offs[1:]]  # a document's first byte always starts anew
     inner = first[first > 0]

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from basketry.llm.decontaminate import op1_decontamination
 from basketry.llm.language import op3_language_id
+from basketry.llm.lexical import OP13_SQL, op13_lexical_search
 from basketry.llm.license_scan import op8_license_scan
 from basketry.llm.near_dedup import op2_near_dedup
 from basketry.llm.packing import op6_packing
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_quality": op10_quality,
     "op12_secret_scan": op12_secret_scan,
+    "op13_lexical_search": op13_lexical_search,
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_topk_products": OP7_SQL, "op12_secret_scan": OP12_SQL}
+ORACLE_SQL: dict[str, str] = {"op7_topk_products": OP7_SQL, "op12_secret_scan": OP12_SQL, "op13_lexical_search": OP13_SQL}
