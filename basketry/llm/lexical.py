@@ -41,7 +41,7 @@ from basketry.llm.scratch import read_table, ship, stored
 
 TOP = 20
 BLOCK = 128
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 4 << 20
 SHARD_DOCS = 1 << 16
 #: Terms of the items that are searched at once.
 ITEM_TERMS = 1 << 16

@@ -83,7 +83,7 @@ def test_blocks_hold_their_postings_and_bounds_hold():
     rnd = random.Random(3)
     texts = [" ".join([f"w{min(int(rnd.expovariate(0.02)), 900)}" for _ in range(rnd.randrange(1, 120))] + ["often"] * rnd.choice([0, 1, 300, 70_000 if k == 5 else 1])) for k in range(1500)]
     shard, counts, n, length = shard_of(texts)
-    for word in ("often", "w0", "w3", "w900", "w150"):
+    for word in ("often", "w0", "w3", "w100", "w150"):
         hashes = L.terms_of(np.frombuffer(word.encode(), np.uint8), np.array([0, len(word)]))
         k = int(np.flatnonzero(shard.first_hash == hashes[0][0])[0])
         doc, impact = shard.whole(k)
