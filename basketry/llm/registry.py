@@ -12,6 +12,7 @@ from basketry.llm.lexical import OP13_SQL, op13_lexical_search
 from basketry.llm.license_scan import op8_license_scan
 from basketry.llm.near_dedup import op2_near_dedup
 from basketry.llm.packing import op6_packing
+from basketry.llm.prefix_trie import OP11_SQL, op11_prefix_trie
 from basketry.llm.quality import op10_quality
 from basketry.llm.repeat_dedup import op9_substring_dedup
 from basketry.llm.secret_scan import OP12_SQL, op12_secret_scan
@@ -30,8 +31,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_quality": op10_quality,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_secret_scan": op12_secret_scan,
     "op13_lexical_search": op13_lexical_search,
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_topk_products": OP7_SQL, "op12_secret_scan": OP12_SQL, "op13_lexical_search": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op7_topk_products": OP7_SQL,
+    "op11_prefix_trie": OP11_SQL,
+    "op12_secret_scan": OP12_SQL,
+    "op13_lexical_search": OP13_SQL,
+}

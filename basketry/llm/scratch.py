@@ -48,13 +48,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, key: str, name: str) -> tuple[DataFrame, str]:
+def bucketed(df: DataFrame, key: str | list[str], name: str) -> tuple[DataFrame, str]:
     """``df`` as a table bucketed by ``key`` in the warehouse; joins on ``key`` then move the other side only.
     Returns the table and its name, which the caller drops when its last reader has been written."""
-    spark = df.sparkSession
+    spark, keys = df.sparkSession, [key] if isinstance(key, str) else key
     table = f"{name}_{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.repartition(n, key).write.bucketBy(n, key).format("parquet").saveAsTable(table)
+    df.repartition(n, *keys).write.bucketBy(n, *keys).format("parquet").saveAsTable(table)
     return spark.table(table), table
 
 
