@@ -2,11 +2,14 @@
 
 Vertices and edges are DataFrames (``vertices: id, kind, asin, title, group, salesrank, avg_rating``;
 ``edges: src, dst, label``). Vertex ids carry their kind as a prefix, so a group and a product can never
-collide. BFS is a frontier loop of joins, one small job per hop, with lineage cut by reliable checkpoints.
+collide. BFS is a frontier loop of joins, one small job per hop, with lineage cut by reliable checkpoints; on a stored
+``Adjacency`` a hop moves the frontier only, never the edges.
 """
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -54,9 +57,9 @@ def vertices(products: DataFrame) -> DataFrame:
 def edges(products: DataFrame, copurchase: DataFrame | None = None) -> DataFrame:
     """Labelled edges ``src, dst, label``, one row per distinct (src, dst, label).
 
-    has_group: product → group; belongs_to: product → category; falls_under: group → category (distinct
-    pairs, pre-aggregated per map task before the shuffle); is_similar_to: product → similar product;
-    co_purchase: product → product from the undirected ``copurchase`` edges (``src, dst`` product ids).
+    has_group: product → group; belongs_to: product → category; falls_under: group → category; is_similar_to: product →
+    similar product; co_purchase: product → product from the undirected ``copurchase`` edges (``src, dst`` product ids).
+    Records that share an asin give an edge once: each label's pairs are made distinct, combined per map task first.
     """
     p = products.where(F.col("asin").isNotNull())
     has_group = p.where(F.col("group").isNotNull()).select(
@@ -65,9 +68,8 @@ def edges(products: DataFrame, copurchase: DataFrame | None = None) -> DataFrame
     pc = p.select("asin", "group", F.explode(F.array_distinct("categories")).alias("c"))
     belongs = pc.select(vid(PRODUCT, "asin").alias("src"), vid(CATEGORY, "c").alias("dst"),
                         F.lit(BELONGS_TO).alias("label"))
-    falls = pc.where(F.col("group").isNotNull()).groupBy("group", "c").agg(F.count(F.lit(1)).alias("_n")).select(
-        vid(GROUP, "group").alias("src"), vid(CATEGORY, "c").alias("dst"), F.lit(FALLS_UNDER).alias("label")
-    )
+    falls = pc.where(F.col("group").isNotNull()).select(vid(GROUP, "group").alias("src"), vid(CATEGORY, "c").alias("dst"),
+                                                        F.lit(FALLS_UNDER).alias("label"))
     similar = p.select("asin", F.explode(F.array_distinct("similars")).alias("s")).where(F.col("s") != F.col("asin"))
     similar = similar.select(vid(PRODUCT, "asin").alias("src"), vid(PRODUCT, "s").alias("dst"),
                              F.lit(IS_SIMILAR_TO).alias("label"))
@@ -81,7 +83,7 @@ def edges(products: DataFrame, copurchase: DataFrame | None = None) -> DataFrame
             .select(vid(PRODUCT, "_sa").alias("src"), vid(PRODUCT, "_da").alias("dst"), F.lit(CO_PURCHASE).alias("label"))
         )
         parts.append(co)
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, [part.distinct() for part in parts])
 
 
 def undirected(e: DataFrame) -> DataFrame:
@@ -94,8 +96,88 @@ def undirected(e: DataFrame) -> DataFrame:
     return e.select(F.explode(both).alias("_d"), *rest).select("_d.src", "_d.dst", *rest)
 
 
+# Rows of one bucket of an adjacency, and edges of one vertex kept under one salt.
+BUCKET_ROWS = 1_000_000
+HUB_EDGES = 1_000_000
+
+
+@dataclass(frozen=True)
+class Adjacency:
+    """Both directions of every edge, stored in buckets of the vertex they leave.
+
+    ``rows``: ``src, salt, dst, forward`` and ``label`` (where edges have one, a partition folder each); ``hubs``: ``id,
+    salts`` of the vertices with more than ``HUB_EDGES`` edges, whose edges are dealt to several salts by a hash of the
+    other end, so no bucket holds a whole hub. None if there is no such vertex.
+    """
+
+    rows: DataFrame
+    hubs: DataFrame | None
+    table: str
+
+    def step(self, frontier: DataFrame, labels: list[str] | None = None, directed: bool = False) -> DataFrame:
+        """``id``: the other ends of the frontier's edges, repeats included. The edges are read in their buckets; only
+        the frontier is shuffled, and it is the side that is hashed."""
+        e = self.rows if labels is None or "label" not in self.rows.columns else self.rows.where(F.col("label").isin(list(labels)))
+        if directed:
+            e = e.where("forward")
+        f = frontier.select(F.col("id").alias("_id"))
+        if self.hubs is None:
+            return e.join(f.hint("shuffle_hash"), F.col("src") == F.col("_id")).select(F.col("dst").alias("id"))
+        salts = self.hubs.select(F.col("id").alias("_id"), "salts")
+        last = F.coalesce("salts", F.lit(1)) - 1
+        f = f.join(salts, "_id", "left").select("_id", F.explode(F.sequence(F.lit(0), last)).alias("_salt"))
+        return e.join(f.hint("shuffle_hash"), (F.col("src") == F.col("_id")) & (F.col("salt") == F.col("_salt"))).select(F.col("dst").alias("id"))
+
+
+def store_adjacency(edge_df: DataFrame, path: str, bucket_rows: int = BUCKET_ROWS, hub_edges: int = HUB_EDGES) -> Adjacency:
+    """The adjacency of ``edge_df`` (``src, dst`` and, if it has one, ``label``) under the shared folder ``path``. Loops
+    are left out. The number of buckets follows the number of edges, and is at least the session's shuffle partitions, so
+    that a frontier is dealt as widely as any other shuffle."""
+    spark = edge_df.sparkSession
+    label = [c for c in ("label",) if c in edge_df.columns]
+    ends = F.array(*(F.struct(F.col(a).alias("src"), F.col(b).alias("dst"), F.lit(a == "src").alias("forward")) for a, b in (("src", "dst"), ("dst", "src"))))
+    both = edge_df.where(F.col("src") != F.col("dst")).select(F.explode(ends).alias("_e"), *label).select("_e.*", *label)
+    degrees = both.groupBy("src").agg(F.count(F.lit(1)).alias("_n"))
+    salted = F.ceil(F.col("_n") / F.lit(hub_edges)).cast("int")
+    hubs = degrees.where(F.col("_n") > hub_edges).select(F.col("src").alias("id"), salted.alias("salts"))
+    hubs.write.parquet(f"{path}/hubs")
+    hubs = spark.read.schema(hubs.schema).parquet(f"{path}/hubs")
+    hubs = None if hubs.isEmpty() else hubs
+    salt = F.lit(0)
+    if hubs is not None:
+        both = both.join(hubs.withColumnRenamed("id", "src"), "src", "left")
+        salt = F.pmod(F.xxhash64("dst"), F.coalesce("salts", F.lit(1))).cast("int")
+    both = both.select("src", salt.alias("salt"), "dst", "forward", *label)
+    n = max(-(-2 * edge_df.count() // bucket_rows), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    keys = ["src"] if hubs is None else ["src", "salt"]
+    table = f"adjacency_{uuid.uuid4().hex}"
+    writer = both.repartition(n, *keys).write.format("parquet").option("path", f"{path}/rows")
+    (writer.partitionBy(*label) if label else writer).bucketBy(n, *keys).saveAsTable(table)
+    return Adjacency(spark.table(table), hubs, table)
+
+
+def _step(edge_df: DataFrame | Adjacency, frontier: DataFrame, labels: list[str] | None, directed: bool) -> DataFrame:
+    """``id``: the other ends of the frontier's edges."""
+    if isinstance(edge_df, Adjacency):
+        return edge_df.step(frontier, labels, directed)
+    e = edge_df.where(F.col("src") != F.col("dst"))
+    if labels is not None and "label" in e.columns:
+        e = e.where(F.col("label").isin(list(labels)))
+    e, f = e.select("src", "dst"), frontier.select("id")
+    out = e.join(f, F.col("src") == F.col("id")).select(F.col("dst").alias("id"))
+    if directed:
+        return out
+    return out.unionByName(e.join(f, F.col("dst") == F.col("id")).select(F.col("src").alias("id")))
+
+
+def _level(found: DataFrame, seen: list[DataFrame], depth: int) -> DataFrame:
+    """The vertices of ``found`` that no level of ``seen`` has, once each, checkpointed."""
+    known = reduce(DataFrame.unionByName, [level.select("id") for level in seen])
+    return found.distinct().join(known, "id", "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
+
+
 def bfs(
-    edge_df: DataFrame,
+    edge_df: DataFrame | Adjacency,
     sources: DataFrame,
     labels: list[str] | None = None,
     targets: DataFrame | None = None,
@@ -108,18 +190,14 @@ def bfs(
     (column ``id``) the search stops at the first depth that reaches a target and returns the reached
     targets only. ``max_depth`` is an optional bound; by default the search runs until no new vertex is found.
 
-    Each hop scans the edges and joins them with the frontier from their ``src`` side and, undirected, from their
-    ``dst`` side: no copy of the edges is made, cached or shuffled for the search as a whole. The scan side is free
-    for Spark to split where a hub is hot. New vertices are deduplicated, and undirected, a neighbour of depth d is
-    at depth d-1, d or d+1, so only the last two frontiers are anti-joined: no growing visited set is reshuffled.
-    Frontiers are checkpointed to the session's checkpoint folder (lineage stays one hop deep and a lost executor
-    recomputes at most one hop).
+    On an ``Adjacency`` a hop reads the edges in their buckets and shuffles the frontier. On a plain edge table (``src,
+    dst``) each hop joins it with the frontier from its ``src`` side and, undirected, from its ``dst`` side. New vertices
+    are deduplicated, and undirected, a neighbour of depth d is at depth d-1, d or d+1, so only the last two frontiers
+    are anti-joined: no growing visited set is reshuffled. Frontiers are checkpointed to the session's checkpoint folder
+    (lineage stays one hop deep and a lost executor recomputes at most one hop).
     """
-    require_checkpoint_dir(edge_df.sparkSession)
-    e = edge_df
-    if labels is not None and "label" in e.columns:
-        e = e.where(F.col("label").isin(list(labels)))
-    e = e.select("src", "dst").where(F.col("src") != F.col("dst"))
+    spark = sources.sparkSession
+    require_checkpoint_dir(spark)
     frontier = sources.select("id").distinct().withColumn("depth", F.lit(0)).checkpoint()
     levels = [frontier]
     depth = 0
@@ -130,30 +208,51 @@ def bfs(
                 return hit
         if max_depth is not None and depth >= max_depth:
             break
-        seen = reduce(DataFrame.unionByName, [lvl.select("id") for lvl in (levels if directed else levels[-2:])])
-        nxt = e.join(frontier, F.col("src") == F.col("id")).select(F.col("dst").alias("id"))
-        if not directed:
-            nxt = nxt.unionByName(e.join(frontier, F.col("dst") == F.col("id")).select(F.col("src").alias("id")))
         depth += 1
-        nxt = nxt.distinct().join(seen, "id", "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
+        nxt = _level(_step(edge_df, frontier, labels, directed), levels if directed else levels[-2:], depth)
         if nxt.isEmpty():
             break
         levels.append(nxt)
         frontier = nxt
     if targets is not None:
-        return sources.sparkSession.createDataFrame([], "id string, depth int")
+        return spark.createDataFrame([], sources.select("id").schema.add("depth", "integer"))
     return reduce(DataFrame.unionByName, levels)
 
 
-def bfs_to_group(vertex_df: DataFrame, edge_df: DataFrame, source_asin: str, group: str,
+def nearest_targets(edge_df: DataFrame | Adjacency, sources: DataFrame, targets: DataFrame, labels: list[str] | None = None) -> DataFrame:
+    """``id, depth`` of the targets nearest to the sources, as ``bfs`` with targets over undirected edges, searched from
+    both ends.
+
+    Each hop goes on from the smaller of the two last levels. The levels first meet when their depths add up to the
+    least distance D: before that hop no vertex was in both searches, so no path is shorter, and a vertex in both is on
+    a path of length D. Every target at distance D lies as many hops behind a meeting vertex as the targets' search is
+    deep, so it is found by going back from the meeting vertices through the levels of that search, one by one.
+    """
+    require_checkpoint_dir(sources.sparkSession)
+    ways = [[df.select("id").distinct().withColumn("depth", F.lit(0)).checkpoint()] for df in (sources, targets)]
+    sizes = [way[0].count() for way in ways]
+    while all(sizes):
+        met = ways[0][-1].join(ways[1][-1].select("id"), "id", "left_semi").select("id")
+        if not met.isEmpty():
+            at = met
+            for level in reversed(ways[1][:-1]):
+                at = _step(edge_df, at, labels, False).join(level.select("id"), "id", "left_semi").distinct().checkpoint()
+            return at.withColumn("depth", F.lit(len(ways[0]) + len(ways[1]) - 2))
+        k = 0 if sizes[0] <= sizes[1] else 1
+        ways[k].append(_level(_step(edge_df, ways[k][-1], labels, False), ways[k][-2:], len(ways[k])))
+        sizes[k] = ways[k][-1].count()
+    return sources.sparkSession.createDataFrame([], sources.select("id").schema.add("depth", "integer"))
+
+
+def bfs_to_group(vertex_df: DataFrame, edge_df: DataFrame | Adjacency, source_asin: str, group: str,
                  labels: list[str] | None = None) -> DataFrame:
     """The nearest products of ``group`` from a product along ``labels`` (default co_purchase):
-    ``id, depth, asin, title, salesrank, avg_rating`` (an exact BFS, stopped at the first hit level)."""
+    ``id, depth, asin, title, salesrank, avg_rating`` (searched from the product and from the group)."""
     labels = labels or [CO_PURCHASE]
     src = vertex_df.where(F.col("id") == F.lit(vertex_id(PRODUCT, source_asin))).select("id")
     targets = vertex_df.where((F.col("kind") == PRODUCT) & (F.col("group") == F.lit(group))
                               & (F.col("asin") != F.lit(source_asin))).select("id")
-    hit = bfs(edge_df, src, labels, targets=targets)
+    hit = nearest_targets(edge_df, src, targets, labels)
     return hit.join(vertex_df, "id").select("id", "depth", "asin", "title", "salesrank", "avg_rating")
 
 
@@ -182,7 +281,7 @@ def path_top_n(
 
 
 def reachable_products(
-    vertex_df: DataFrame, edge_df: DataFrame, source_asin: str, labels: list[str] | None = None
+    vertex_df: DataFrame, edge_df: DataFrame | Adjacency, source_asin: str, labels: list[str] | None = None
 ) -> DataFrame:
     """Products reachable from a product along ``labels`` (default all), with depth and sales data."""
     src = vertex_df.where(F.col("id") == F.lit(vertex_id(PRODUCT, source_asin))).select("id")
@@ -191,8 +290,9 @@ def reachable_products(
     return reached.join(prods, "id").select("asin", "title", "group", "depth", "salesrank", "avg_rating")
 
 
-def product_bfs(copurchase: DataFrame, source_id: int, max_depth: int | None = None) -> DataFrame:
+def product_bfs(copurchase: DataFrame | Adjacency, source_id: int, max_depth: int | None = None) -> DataFrame:
     """Hop distance from one product over the undirected co-purchase edges (product ids): ``id, depth``."""
-    src = copurchase.sparkSession.range(1).select(F.lit(int(source_id)).cast("bigint").alias("id"))
-    return bfs(copurchase.select("src", "dst"), src, max_depth=max_depth)
+    spark = (copurchase.rows if isinstance(copurchase, Adjacency) else copurchase).sparkSession
+    src = spark.range(1).select(F.lit(int(source_id)).cast("bigint").alias("id"))
+    return bfs(copurchase, src, max_depth=max_depth)
 

@@ -606,22 +606,22 @@ def q_graph_edges(spark, d):
 @query("bfs_copurchase")
 def q_bfs(spark, d):
     ensure_checkpoint_dir(spark)
-    return G.product_bfs(cat(spark, d).edges, P.PRODUCT_ID)
+    return G.product_bfs(cat(spark, d).neighbours, P.PRODUCT_ID)
 
 
 @query("bfs_to_group")
 def q_bfs_to_group(spark, d):
     ensure_checkpoint_dir(spark)
-    _, v, e = graph(spark, d)
-    r = G.bfs_to_group(v, e, P.ASIN, "LARGE")
+    c = cat(spark, d)
+    r = G.bfs_to_group(c.graph_vertices, c.graph_neighbours, P.ASIN, "LARGE")
     return r.select("id", "depth", "asin", "title", "salesrank", rnd("avg_rating"))
 
 
 @query("reachable_all_labels")
 def q_reachable(spark, d):
     ensure_checkpoint_dir(spark)
-    _, v, e = graph(spark, d)
-    r = G.reachable_products(v, e, P.ASIN)
+    c = cat(spark, d)
+    r = G.reachable_products(c.graph_vertices, c.graph_neighbours, P.ASIN)
     return r.select("asin", "title", "group", "depth", "salesrank", rnd("avg_rating"))
 
 

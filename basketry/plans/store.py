@@ -10,6 +10,8 @@ pushdown. A changed input table (size or time of change) is built anew. Stored t
 * ``categories``: catalogue x category partitioned by a hash bucket of the category (one bucket per
   ~2 million rows), so a request naming a few categories reads only their buckets (dynamic pruning);
 * ``graph_vertices`` and ``graph_edges``: the property graph, edges partitioned by label, so a label filter prunes;
+* ``neighbours`` and ``graph_neighbours``: both directions of the co-purchase and of the graph's edges, bucketed by
+  vertex, so a search moves its frontier and never the edges;
 * ``reviews``: line-item sized and only scanned whole, partitioned by year, so a year's filter reads that year.
 """
 
@@ -25,8 +27,8 @@ from basketry.operators.catalog import (
     REVIEW_COLUMNS, bucketed_product_categories, buckets_for, copurchase_edges, load_tables, part_stats,
     products_from_tables, reviews_from_tables,
 )
+from basketry.operators.graph import Adjacency, store_adjacency, vertices
 from basketry.operators.graph import edges as graph_edges
-from basketry.operators.graph import vertices
 from basketry.session import ensure_checkpoint_dir
 from basketry.sources.sinks import write_graph
 
@@ -79,6 +81,14 @@ class StoredCatalog:
     def graph_edges(self) -> DataFrame:
         return self.spark.read.parquet(f"{self._graph}/edges")
 
+    @cached_property
+    def neighbours(self) -> Adjacency:
+        return store_adjacency(self.edges.select("src", "dst"), f"{self.path}/neighbours")
+
+    @cached_property
+    def graph_neighbours(self) -> Adjacency:
+        return store_adjacency(self.graph_edges, f"{self.path}/graph_neighbours")
+
     @cached_property
     def reviews(self) -> DataFrame:
         rows = reviews_from_tables(self.inputs["lineitem"], self.inputs["orders"]).withColumn("year", F.year("date"))
@@ -86,6 +96,9 @@ class StoredCatalog:
 
     def release(self) -> None:
         """Delete the stored tables; the object is of no use afterwards."""
+        for name in ("neighbours", "graph_neighbours"):
+            if name in self.__dict__:
+                self.spark.sql(f"DROP TABLE {self.__dict__[name].table}")
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
