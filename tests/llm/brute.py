@@ -18,8 +18,8 @@ def shingles(text, n=5):
     return frozenset(tuple(w[k : k + n]) for k in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])
 
 
-def components(rows):
-    """doc_id -> (n_shingles, component_id)."""
+def components(rows, hundredths=85):
+    """doc_id -> (n_shingles, component_id); texts are linked from that similarity on."""
     sets = {i: shingles(t) for i, t in rows}
     parent = {i: i for i in sets}
 
@@ -33,7 +33,7 @@ def components(rows):
         for b in ids:
             if a < b:
                 n = len(sets[a] & sets[b])
-                if 100 * n >= 85 * (len(sets[a]) + len(sets[b]) - n):
+                if 100 * n >= hundredths * (len(sets[a]) + len(sets[b]) - n):
                     x, y = find(a), find(b)
                     parent[max(x, y)] = min(x, y)
     return {i: (len(sets[i]), find(i)) for i in sets}

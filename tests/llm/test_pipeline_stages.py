@@ -8,7 +8,6 @@ import corpus_pipeline
 from basketry.llm import near_dedup as N
 from tests.conftest import SF_SMALL
 from tests.llm import brute
-from tests.llm import test_leaks_licences_pipeline as plain
 from tests.llm.conftest import odd_rows, prose
 from tests.llm.test_packing_topk import check_pieces
 
@@ -50,29 +49,10 @@ def test_near_copies_go_through_the_pipeline(spark, tmp_path):
     check_pieces(corpus_pipeline.run(spark, str(tmp_path)).collect(), [(1, a), (3, rows[2][1])])
 
 
-def components_at_80(rows):
-    """``brute.components`` with 0.8 as the threshold."""
-    sets = {i: brute.shingles(t) for i, t in rows}
-    named = {i: i for i in sets}
-    ids = sorted(i for i in sets if sets[i])
-    for a in ids:
-        for b in ids:
-            n = len(sets[a] & sets[b])
-            if a < b and named[a] != named[b] and 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n):
-                low, high = sorted((named[a], named[b]))
-                named = {i: low if c == high else c for i, c in named.items()}
-    return {i: (len(sets[i]), named[i]) for i in sets}
-
-
-def test_pipeline_of_a_table_at_its_threshold(spark, monkeypatch):
-    monkeypatch.setattr(brute, "components", components_at_80)
-    plain.test_pipeline_keeps_clean_documents(spark)
-
-
 def test_one_row_of_each_component_stays(spark, odd):
     rows = [(i, t) for i, t in odd_rows() if i is not None]
     texts = dict(enumerate(sorted({(i, t) for i, t in rows}, key=lambda r: (r[0], r[1] or ""))))
-    groups = {k: c for k, (_, c) in components_at_80([(k, t) for k, (_, t) in texts.items()]).items()}
+    groups = {k: c for k, (_, c) in brute.components([(k, t) for k, (_, t) in texts.items()], 80).items()}
     out = corpus_pipeline.drop_near_duplicates(spark, odd, SF_SMALL)
     got = [(r.doc_id, r.text) for r in out.collect()]
     known = [r for r in got if r[0] is not None]
