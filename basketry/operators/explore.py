@@ -115,6 +115,20 @@ def most_frequent_group_per_period(products: DataFrame, reviews: DataFrame, peri
     return top.drop("rank")
 
 
+def most_frequent_groups(products: DataFrame, reviews: DataFrame) -> DataFrame:
+    """``level, period, group, count``: the group with the most reviews of every year, of every month of the year, and of
+    all time, from one scan: reviews are counted per (product, year, month), meet their product once, and grouping sets
+    make the three levels of the same few counts. Ties by group name; reviews without a date have no period."""
+    r = with_review_dates(reviews).select("id", F.year("updated_on").alias("year"), F.month("updated_on").alias("month"))
+    r = r.where(F.col("year").isNotNull()).groupBy("id", "year", "month").agg(F.count(F.lit(1)).alias("n"))
+    counts = products.select("id", "group").join(r, "id").groupBy("year", "month", "group").agg(F.sum("n").alias("n"))
+    group, year, month = F.col("group"), F.col("year"), F.col("month")
+    sets = counts.groupingSets([[year, group], [month, group], [group]], year, month, group).agg(F.sum("n").alias("count"), F.grouping("year").alias("_y"), F.grouping("month").alias("_m"))
+    level = F.when(F.col("_y") == 0, "year").when(F.col("_m") == 0, "month").otherwise("all")
+    rows = sets.select(level.alias("level"), F.coalesce("year", "month", F.lit(0)).alias("period"), "group", "count")
+    return top_n_per_group(rows, ["level", "period"], [F.desc("count"), F.asc_nulls_last("group")], 1).drop("rank")
+
+
 def sort_by_salesrank(products: DataFrame, group: str, group_col: str = "group") -> DataFrame:
     """Products of one group, best (lowest) sales rank first; unranked products last, then by id."""
     return products.where(F.col(group_col) == F.lit(group)).orderBy(F.asc_nulls_last("salesrank"), F.asc("id"))

@@ -296,3 +296,23 @@ def product_bfs(copurchase: DataFrame | Adjacency, source_id: int, max_depth: in
     src = spark.range(1).select(F.lit(int(source_id)).cast("bigint").alias("id"))
     return bfs(copurchase, src, max_depth=max_depth)
 
+
+def reach_within(copurchase: DataFrame, source_id: int, max_depth: int) -> DataFrame:
+    """``id, depth`` of the products at most ``max_depth`` hops away, as one recursive query without intermediate tables.
+
+    The recursion adds a row for each walk, so it is for a depth of a few hops from one product, where it saves the jobs
+    and checkpoints of ``product_bfs``; the session's limits on recursion levels and rows bound it. Walks do not turn
+    straight back."""
+    spark = copurchase.sparkSession
+    view = f"hops_{uuid.uuid4().hex}"
+    undirected(copurchase.select("src", "dst").where(F.col("src") != F.col("dst"))).createOrReplaceTempView(view)
+    out = spark.sql(f"""
+        WITH RECURSIVE walk (id, last, depth) AS (
+          SELECT {int(source_id)}L, CAST(NULL AS BIGINT), 0
+          UNION ALL
+          SELECT e.dst, e.src, w.depth + 1 FROM walk w JOIN {view} e ON e.src = w.id
+          WHERE w.depth < {int(max_depth)} AND (w.last IS NULL OR e.dst <> w.last)
+        )
+        SELECT id, min(depth) AS depth FROM walk GROUP BY id""")
+    spark.catalog.dropTempView(view)
+    return out

@@ -99,6 +99,21 @@ def _scored(df: DataFrame) -> DataFrame:
     return df.withColumn("score", product_score())
 
 
+def _best_of_categories(
+    products: DataFrame, categories: DataFrame, pid: int, top_n: int | None, stored=None, group: str | None = None
+) -> DataFrame:
+    """``asin, title, score`` of the products in ``categories`` (of one group, if given) that can be among the ``top_n``
+    best, product ``pid`` aside: from the stored score-sorted runs, as deep as ``top_n`` asks, or all of them."""
+    n = DEFAULT_TOP_N if top_n is None else int(top_n)
+    runs = getattr(stored, "category_runs", None)
+    if runs is not None and runs.serves(n):
+        return runs.candidates(categories, n, pid, group)
+    rows = _in_categories(products, categories, stored)
+    if group is not None:
+        rows = rows.where(F.col("group") == F.lit(group))
+    return _scored(rows.where(F.col("id") != F.lit(pid))).select("asin", "title", "score")
+
+
 def recommend_by_category(
     products: DataFrame, product_id, group: str | None = None, categories: list[str] | str | None = None,
     top_n: int = DEFAULT_TOP_N, from_similars: bool = False, stored=None,
@@ -106,8 +121,7 @@ def recommend_by_category(
     """Products that share a relevant category with the request, best score first (input excluded)."""
     pid = _require_id(product_id)
     context = restrict_categories(relevant_categories(products, pid, group, from_similars), categories)
-    cands = _in_categories(products, context, stored).where(F.col("id") != F.lit(pid))
-    return top_scored(_scored(cands), top_n)
+    return top_scored(_best_of_categories(products, context, pid, top_n, stored), top_n)
 
 
 def recommend_with_chosen_categories(
@@ -118,12 +132,10 @@ def recommend_with_chosen_categories(
     them, blanks around it aside)."""
     pid = _require_id(product_id)
     context = relevant_categories(products, pid, group, from_similars)
-    in_context = _in_categories(products, context, stored).where(F.col("group") == F.lit(group))
+    in_context = _best_of_categories(products, context, pid, top_n, stored, group)
     chosen = [categories] if isinstance(categories, str) else list(categories)
     wanted = products.sparkSession.createDataFrame([(c.strip(),) for c in chosen], "category string")
-    in_chosen = _in_categories(products, wanted, stored)
-    cands = in_context.unionByName(in_chosen).where(F.col("id") != F.lit(pid))
-    return top_scored(_scored(cands), top_n)
+    return top_scored(in_context.unionByName(_best_of_categories(products, wanted, pid, top_n, stored)), top_n)
 
 
 def recommend_by_category_and_title(
@@ -135,12 +147,9 @@ def recommend_by_category_and_title(
     request's title (token Jaccard), best score first."""
     pid = _require_id(product_id)
     context = restrict_categories(relevant_categories(products, pid, group, from_similars), categories)
-    by_category = _in_categories(products, context, stored).select("id", "asin", "title", "salesrank", "total_reviews",
-                                                            "avg_rating")
-    by_title = similar_titles(products, pid, threshold).select("id", "asin", "title", "salesrank",
-                                                                "total_reviews", "avg_rating")
-    cands = by_category.unionByName(by_title).where(F.col("id") != F.lit(pid))
-    return top_scored(_scored(cands), top_n)
+    by_category = _best_of_categories(products, context, pid, top_n, stored)
+    by_title = similar_titles(products, pid, threshold, include_self=False, index=getattr(stored, "title_index", None))
+    return top_scored(by_category.unionByName(_scored(by_title).select("asin", "title", "score")), top_n)
 
 
 def recommend_with_requested_category(
@@ -152,8 +161,7 @@ def recommend_with_requested_category(
     pid = _require_id(product_id)
     context = relevant_categories(products, pid, group).select("category")
     requested = products.sparkSession.createDataFrame([(category.strip(),)], "category string")
-    cands = _in_categories(products, context.unionByName(requested), stored).where(F.col("id") != F.lit(pid))
-    return top_scored(_scored(cands), top_n)
+    return top_scored(_best_of_categories(products, context.unionByName(requested), pid, top_n, stored), top_n)
 
 
 def similar_products(products: DataFrame, product_id) -> DataFrame:
@@ -169,7 +177,7 @@ def similar_products(products: DataFrame, product_id) -> DataFrame:
 
 def recommend(
     products: DataFrame, asin: str | None = None, group: str | None = None, category: str | None = None,
-    top_n: int | None = None, ascending: bool = False,
+    top_n: int | None = None, ascending: bool = False, stored=None,
 ) -> DataFrame:
     """Optional-filter recommender: every given argument adds its predicate, a missing one adds none.
 
@@ -177,10 +185,15 @@ def recommend(
     and ``asin`` excludes that product. With an asin and no group, the candidates are the asin's own group (every
     product of that group is two hops from it in the property graph, through the group vertex). ``top_n`` defaults
     to 5. Catalogue rows are one per product, so this is a scan, a filter and a top-n: nothing is exploded or
-    shuffled, and products without categories take part when no category is asked for.
+    shuffled, and products without categories take part when no category is asked for. With ``stored`` tables a category
+    is found among the paths by their trigrams, and only the buckets of those paths are read.
     """
     rows = products
-    if category is not None:
+    grams = getattr(stored, "category_grams", None)
+    if category is not None and grams is not None:
+        found = stored.categories.join(grams.containing(category.strip()), ["category", "cat_bucket"], "left_semi")
+        rows = found.drop("category", "cat_bucket").distinct()  # a product may have several of the paths
+    elif category is not None:
         wanted = F.lit(category.strip())
         rows = rows.where(F.exists("categories", lambda c: c.contains(wanted)))
     if group is not None:
@@ -198,7 +211,8 @@ def recommend(
 
 
 def context_in_catalogue(
-    products: DataFrame, product_id, group: str | None = None, from_similars: bool = False, requested: str | None = None
+    products: DataFrame, product_id, group: str | None = None, from_similars: bool = False, requested: str | None = None,
+    stored=None,
 ) -> DataFrame:
     """The relevant-category rows of a request whose category the catalogue has, with ``score``. ``requested`` adds one
     row that holds that category only (all else null, so it scores null)."""
@@ -206,26 +220,28 @@ def context_in_catalogue(
     if requested is not None:
         asked = products.sparkSession.createDataFrame([(requested.strip(),)], "category string")
         context = context.unionByName(asked, allowMissingColumns=True)
-    have = product_categories(products).select("category").distinct()
+    # the catalogue's rows of the context's own categories tell which of them it has
+    have = _in_categories(products, context, stored).select("category").distinct()
     return _scored(context.join(have, "category", "left_semi"))
 
 
 def context_recommendation(
     products: DataFrame, product_id, group: str | None = None, top_n: int = DEFAULT_TOP_N, from_similars: bool = False,
-    requested: str | None = None,
+    requested: str | None = None, stored=None,
 ) -> DataFrame:
     """Top-n of the scored context rows (``requested``: with the requested category appended as a row)."""
-    return top_scored(context_in_catalogue(products, product_id, group, from_similars, requested), top_n)
+    return top_scored(context_in_catalogue(products, product_id, group, from_similars, requested, stored), top_n)
 
 
 def context_and_titles(
     products: DataFrame, product_id, group: str | None = None, top_n: int = DEFAULT_TOP_N, threshold: float = TITLE_THRESHOLD,
-    from_similars: bool = False,
+    from_similars: bool = False, stored=None,
 ) -> DataFrame:
     """Top-n of the context rows and the products with a similar title, the request's own row included."""
     cols = ["asin", "title", "score"]
-    context = context_in_catalogue(products, product_id, group, from_similars).select(*cols)
-    return top_scored(context.unionByName(_scored(similar_titles(products, product_id, threshold)).select(*cols)), top_n)
+    context = context_in_catalogue(products, product_id, group, from_similars, stored=stored).select(*cols)
+    by_title = similar_titles(products, product_id, threshold, index=getattr(stored, "title_index", None))
+    return top_scored(context.unionByName(_scored(by_title).select(*cols)), top_n)
 
 
 def context_and_chosen(
@@ -236,7 +252,7 @@ def context_and_chosen(
     cols = ["asin", "title", "score"]
     chosen = [categories] if isinstance(categories, str) else list(categories)
     wanted = products.sparkSession.createDataFrame([(c.strip(),) for c in chosen], "category string")
-    context = context_in_catalogue(products, product_id, group, from_similars).where(F.col("group") == F.lit(group))
+    context = context_in_catalogue(products, product_id, group, from_similars, stored=stored).where(F.col("group") == F.lit(group))
     return top_scored(context.select(*cols).unionByName(_scored(_in_categories(products, wanted, stored)).select(*cols)), top_n)
 
 

@@ -7,6 +7,7 @@ after the driver tables.
 
 from __future__ import annotations
 
+from basketry.operators.similarity import BAND_ROWS, BANDS, PRIME, multipliers
 from basketry.plans import params as P
 
 BASE = """
@@ -468,6 +469,47 @@ tt AS (SELECT title, {tokens('title')} AS toks FROM (SELECT DISTINCT title FROM
 tp AS (SELECT a.title AS title_a, b.title AS title_b, {jaccard('a.toks', 'b.toks')} AS similarity
        FROM tt a JOIN tt b ON a.title < b.title WHERE len(a.toks) > 0 AND len(b.toks) > 0)
 SELECT title_a, title_b, round(similarity, {D}) AS similarity FROM tp WHERE similarity >= {P.THRESHOLD}""",
+    "similar_title_pairs_banded": f""",
+tt AS (SELECT title, {tokens('title')} AS toks FROM (SELECT DISTINCT title FROM products WHERE title IS NOT NULL)),
+tc AS (SELECT title, toks, list_transform(toks, lambda t: CAST('0x' || substr(md5(t), 1, 7) AS BIGINT)) AS codes FROM tt WHERE len(toks) > 0),
+ts AS (SELECT title, toks, list_transform({[list(p) for p in multipliers(BANDS * BAND_ROWS)]},
+         lambda p: list_min(list_transform(codes, lambda x: (p[1]::BIGINT * x + p[2]::BIGINT) % {PRIME}))) AS sig FROM tc),
+tb AS (SELECT title, toks, unnest(range({BANDS})) AS j, sig FROM ts),
+tk AS (SELECT title, toks, j, sig[j * {BAND_ROWS} + 1 : (j + 1) * {BAND_ROWS}] AS k FROM tb),
+tp AS (SELECT DISTINCT a.title AS title_a, b.title AS title_b, a.toks AS ta, b.toks AS tbk FROM tk a JOIN tk b ON a.j = b.j AND a.k = b.k AND a.title < b.title),
+tj AS (SELECT title_a, title_b, {jaccard('ta', 'tbk')} AS similarity FROM tp)
+SELECT title_a, title_b, round(similarity, {D}) AS similarity FROM tj WHERE similarity >= {P.THRESHOLD}""",
+    "heavy_hitters": f"""
+, {PROFILE_LONG.strip()}
+SELECT col_name, tops AS most_freq_values_top_10 FROM ptop""",
+    "quantile_sketch": """
+SELECT 'o_totalprice' AS col_name, q, n, TRUE AS within_bound
+FROM (SELECT count(o_totalprice) AS n FROM orders), (SELECT unnest([0.25e0, 0.5e0, 0.75e0]) AS q)
+UNION ALL
+SELECT 'l_extendedprice', q, n, TRUE
+FROM (SELECT count(l_extendedprice) AS n FROM lineitem), (SELECT unnest([0.25e0, 0.5e0, 0.75e0]) AS q)""",
+    "most_frequent_groups": """
+SELECT level, period, "group", count FROM (
+  SELECT *, row_number() OVER (PARTITION BY level, period ORDER BY count DESC, "group" ASC NULLS LAST) AS rk FROM (
+    SELECT 'year' AS level, CAST(year(r.date) AS INTEGER) AS period, p."group", count(*) AS count
+    FROM products p JOIN reviews r ON r.id = p.id WHERE r.date IS NOT NULL GROUP BY ALL
+    UNION ALL SELECT 'month', CAST(month(r.date) AS INTEGER), p."group", count(*)
+    FROM products p JOIN reviews r ON r.id = p.id WHERE r.date IS NOT NULL GROUP BY ALL
+    UNION ALL SELECT 'all', 0, p."group", count(*)
+    FROM products p JOIN reviews r ON r.id = p.id WHERE r.date IS NOT NULL GROUP BY ALL)
+) WHERE rk = 1""",
+    "recommendations_response": f"""
+SELECT TRUE AS success, 'recommendations' AS message, CAST(to_json(struct_pack(asin := asin, title := title, score := score)) AS VARCHAR) AS data FROM (
+{ranked(f'"group" = {_lit(P.GROUP)} AND asin <> {_lit(P.ASIN)}', P.TOP_N)})""",
+    "recommendations_json_file": ranked(f'"group" = {_lit(P.GROUP)} AND asin <> {_lit(P.ASIN)}', P.TOP_N),
+    "graph_sink_edges": f", {GRAPH_EDGES.strip()}\nSELECT src, dst, label FROM ge",
+    "graph_undirected": f""", {GRAPH_EDGES.strip()}
+SELECT src, dst, label FROM ge UNION SELECT dst AS src, src AS dst, label FROM ge""",
+    "reach_within_recursive": f""",
+both_ways AS (SELECT src, dst FROM co_edges UNION ALL SELECT dst, src FROM co_edges),
+one AS (SELECT dst AS id, 1 AS depth FROM both_ways WHERE src = {P.PRODUCT_ID}),
+two AS (SELECT b.dst AS id, 2 AS depth FROM one JOIN both_ways b ON b.src = one.id)
+SELECT id, min(depth) AS depth FROM (SELECT CAST({P.PRODUCT_ID} AS BIGINT) AS id, 0 AS depth UNION ALL SELECT * FROM one UNION ALL SELECT * FROM two) GROUP BY id""",
     "graph_vertices": f"""
 SELECT 'product:' || asin AS id, 'product' AS kind, asin, title, "group", salesrank,
        round(avg_rating, {D}) AS avg_rating
@@ -509,6 +551,7 @@ ORDER BY t.salesrank, t.asin LIMIT {P.TOP_N}""",
 
 
 ORACLE["profile_sink"] = ORACLE["profile_stats"]
+ORACLE["graph_sink_vertices"] = ORACLE["graph_vertices"]
 
 
 def sql(name: str) -> str:

@@ -20,3 +20,4 @@ NGRAM = 3
 PATH_GROUP = "MEDIUM"
 PATH_CATEGORY = "|Brand#21|size_1"
 DIGITS = 9
+REACH_DEPTH = 2

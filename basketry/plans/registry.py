@@ -19,7 +19,8 @@ from basketry.operators import explore as X
 from basketry.operators import graph as G
 from basketry.operators import recommend as R
 from basketry.operators import similarity as S
-from basketry.operators.profile import profile
+from basketry.operators import sketches as K
+from basketry.operators.profile import DEFAULT_COLUMNS, profile
 from basketry.plans import params as P
 from basketry.plans.store import StoredCatalog, stored_catalog
 from basketry.session import ensure_checkpoint_dir
@@ -312,6 +313,12 @@ def q_mfg_per_year(spark, d):
     return X.most_frequent_group_per_period(c.products, c.reviews, "year")
 
 
+@query("most_frequent_groups")
+def q_most_frequent_groups(spark, d):
+    c = cat(spark, d)
+    return X.most_frequent_groups(c.products, c.reviews)
+
+
 @query("sort_by_salesrank")
 def q_sort_by_salesrank(spark, d):
     s = X.sort_by_salesrank(cat(spark, d).products, P.GROUP)
@@ -392,6 +399,27 @@ def q_profile_sink(spark, d):
     return spark.read.parquet(path)
 
 
+@query("heavy_hitters")
+def q_heavy_hitters(spark, d):
+    ensure_checkpoint_dir(spark)
+    top = K.heavy_hitters(cat(spark, d).products, DEFAULT_COLUMNS)
+    pairs = F.transform("most_freq_values_top_10", lambda s: F.concat(F.coalesce(s["value"], F.lit("null")), F.lit(":"), s["count"].cast("string")))
+    return top.select("col_name", F.array_join(pairs, ",").alias("most_freq_values_top_10"))
+
+
+@query("quantile_sketch")
+def q_quantile_sketch(spark, d):
+    """Sketches of each year's orders and each return flag's line items, merged; how far the quartiles are off, exactly."""
+    tables = C.load_tables(spark, d, "orders", "lineitem")
+    parts = [(tables["orders"].withColumn("part", F.year("o_orderdate")), "o_totalprice"), (tables["lineitem"].withColumn("part", F.col("l_returnflag")), "l_extendedprice")]
+    out = None
+    for rows, column in parts:
+        found = K.merged_quantiles(K.quantile_sketches(rows, [column], by=["part"]))
+        one = K.rank_errors(rows, found).select("col_name", "q", "n", (F.col("rank_error") <= 0.01).alias("within_bound"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 # --- scores and recommenders -----------------------------------------------------------------------
 
 
@@ -490,13 +518,14 @@ def q_similar_products(spark, d):
 
 @query("recommend_filters_all")
 def q_rec_filters_all(spark, d):
-    p = cat(spark, d).products
-    return top_out(R.recommend(p, P.ASIN, P.GROUP, P.CATEGORY_SUBSTRING, P.TOP_N))
+    c = cat(spark, d)
+    return top_out(R.recommend(c.products, P.ASIN, P.GROUP, P.CATEGORY_SUBSTRING, P.TOP_N, stored=c))
 
 
 @query("recommend_filters_category")
 def q_rec_filters_category(spark, d):
-    return top_out(R.recommend(cat(spark, d).products, None, None, f"   {P.CATEGORY_SUBSTRING} ", 10))
+    c = cat(spark, d)
+    return top_out(R.recommend(c.products, None, None, f"   {P.CATEGORY_SUBSTRING} ", 10, stored=c))
 
 
 @query("recommend_filters_group")
@@ -521,17 +550,20 @@ def q_rec_ascending(spark, d):
 
 @query("context_recommendation")
 def q_context_rec(spark, d):
-    return top_out(R.context_recommendation(cat(spark, d).products, P.PRODUCT_ID, P.SIMILARS_GROUP, P.TOP_N, from_similars=True))
+    c = cat(spark, d)
+    return top_out(R.context_recommendation(c.products, P.PRODUCT_ID, P.SIMILARS_GROUP, P.TOP_N, from_similars=True, stored=c))
 
 
 @query("context_requested")
 def q_context_requested(spark, d):
-    return top_out(R.context_recommendation(cat(spark, d).products, P.PRODUCT_ID, None, P.TOP_N, requested=f"   {P.REQUESTED_CATEGORY}"))
+    c = cat(spark, d)
+    return top_out(R.context_recommendation(c.products, P.PRODUCT_ID, None, P.TOP_N, requested=f"   {P.REQUESTED_CATEGORY}", stored=c))
 
 
 @query("context_and_titles")
 def q_context_titles(spark, d):
-    return top_out(R.context_and_titles(cat(spark, d).products, P.PRODUCT_ID, None, P.TOP_N, P.THRESHOLD))
+    c = cat(spark, d)
+    return top_out(R.context_and_titles(c.products, P.PRODUCT_ID, None, P.TOP_N, P.THRESHOLD, stored=c))
 
 
 @query("context_and_chosen")
@@ -557,18 +589,34 @@ def q_json(spark, d):
     return sinks.to_json_rows(top_out(r))
 
 
+@query("recommendations_response")
+def q_response(spark, d):
+    r = R.recommend(cat(spark, d).products, P.ASIN, P.GROUP, None, P.TOP_N)
+    return sinks.response_rows(top_out(r))
+
+
+@query("recommendations_json_file")
+def q_json_file(spark, d):
+    """Recommendations written as JSON lines by the sink and read back."""
+    rows, path = top_out(R.recommend(cat(spark, d).products, P.ASIN, P.GROUP, None, P.TOP_N)), scratch_path(spark, d, "json")
+    sinks.write_json(rows, path)
+    return spark.read.schema(rows.schema).json(path)
+
+
 # --- similarity -------------------------------------------------------------------------------------
 
 
 @query("title_matches")
 def q_title_matches(spark, d):
-    m = S.title_matches(cat(spark, d).products, P.PRODUCT_ID, P.THRESHOLD)
+    c = cat(spark, d)
+    m = S.title_matches(c.products, P.PRODUCT_ID, P.THRESHOLD, index=c.title_index)
     return m.select("id", "asin", "title", "group", rnd("similarity"), "category")
 
 
 @query("title_matches_ngram")
 def q_title_matches_ngram(spark, d):
-    m = S.title_matches(cat(spark, d).products, P.PRODUCT_ID, 0.5, ngram=P.NGRAM)
+    c = cat(spark, d)
+    m = S.title_matches(c.products, P.PRODUCT_ID, 0.5, ngram=P.NGRAM, index=c.title_grams)
     return m.select("id", "asin", "title", "group", rnd("similarity"), "category")
 
 
@@ -582,6 +630,12 @@ def q_title_pairs(spark, d):
     return S.similar_title_pairs(cat(spark, d).products, P.THRESHOLD).select("title_a", "title_b", rnd("similarity"))
 
 
+@query("similar_title_pairs_banded")
+def q_title_pairs_banded(spark, d):
+    pairs = S.similar_title_pairs_banded(cat(spark, d).products, P.THRESHOLD)
+    return pairs.select("title_a", "title_b", rnd("similarity"))
+
+
 # --- graph ------------------------------------------------------------------------------------------
 
 
@@ -603,6 +657,28 @@ def q_graph_edges(spark, d):
     return G.edges(c.products, c.edges)
 
 
+@query("graph_sink_vertices")
+def q_sink_vertices(spark, d):
+    """What the graph sink wrote, read back."""
+    v = cat(spark, d).graph_vertices
+    return v.select("id", "kind", "asin", "title", "group", "salesrank", rnd("avg_rating"))
+
+
+@query("graph_sink_edges")
+def q_sink_edges(spark, d):
+    return cat(spark, d).graph_edges.select("src", "dst", "label")
+
+
+@query("graph_undirected")
+def q_undirected(spark, d):
+    return G.undirected(cat(spark, d).graph_edges.select("src", "dst", "label")).distinct()
+
+
+@query("reach_within_recursive")
+def q_reach_within(spark, d):
+    return G.reach_within(cat(spark, d).edges, P.PRODUCT_ID, P.REACH_DEPTH)
+
+
 @query("bfs_copurchase")
 def q_bfs(spark, d):
     ensure_checkpoint_dir(spark)

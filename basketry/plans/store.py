@@ -9,6 +9,9 @@ pushdown. A changed input table (size or time of change) is built anew. Stored t
   group whose min/max statistics hold it;
 * ``categories``: catalogue x category partitioned by a hash bucket of the category (one bucket per
   ~2 million rows), so a request naming a few categories reads only their buckets (dynamic pruning);
+* ``category_grams``: the distinct category paths by trigram, and the bucket of each;
+* ``category_runs``: the best products of each category by score, as deep as a request can ask;
+* ``title_index`` and ``title_grams``: postings of the titles' words and trigrams by token bucket;
 * ``graph_vertices`` and ``graph_edges``: the property graph, edges partitioned by label, so a label filter prunes;
 * ``neighbours`` and ``graph_neighbours``: both directions of the co-purchase and of the graph's edges, bucketed by
   vertex, so a search moves its frontier and never the edges;
@@ -27,8 +30,11 @@ from basketry.operators.catalog import (
     REVIEW_COLUMNS, bucketed_product_categories, buckets_for, copurchase_edges, load_tables, part_stats,
     products_from_tables, reviews_from_tables,
 )
+from basketry.operators.category_grams import CategoryGrams, store_category_grams
+from basketry.operators.category_runs import CategoryRuns, store_category_runs
 from basketry.operators.graph import Adjacency, store_adjacency, vertices
 from basketry.operators.graph import edges as graph_edges
+from basketry.operators.title_index import TitleIndex, store_title_index
 from basketry.session import ensure_checkpoint_dir
 from basketry.sources.sinks import write_graph
 
@@ -67,6 +73,22 @@ class StoredCatalog:
         rows = bucketed_product_categories(self.products, self.category_buckets)
         return self._kept("categories", rows.repartitionByRange("cat_bucket", "id"), "cat_bucket")
 
+    @cached_property
+    def category_grams(self) -> CategoryGrams:
+        return store_category_grams(self.categories, f"{self.path}/category_grams")
+
+    @cached_property
+    def category_runs(self) -> CategoryRuns:
+        return store_category_runs(self.categories, self.category_buckets, f"{self.path}/category_runs")
+
+    @cached_property
+    def title_index(self) -> TitleIndex:
+        return store_title_index(self.products, f"{self.path}/title_index")
+
+    @cached_property
+    def title_grams(self) -> TitleIndex:
+        return store_title_index(self.products, f"{self.path}/title_grams", ngram=3)
+
     @cached_property
     def _graph(self) -> str:
         path = f"{self.path}/graph"
