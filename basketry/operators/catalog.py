@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from basketry.functions import fields
 from basketry.functions.ranking import dense_rank_values, running_totals, top_n_per_group
+from basketry.session import require_checkpoint_dir
 
 PRODUCT_COLUMNS = [
     "id", "asin", "title", "group", "salesrank", "total_reviews", "avg_rating", "similars", "categories",
@@ -83,27 +84,42 @@ ORDER_BLOCK = 1000
 
 
 def order_pairs(lineitem: DataFrame, block: int = ORDER_BLOCK) -> DataFrame:
-    """``order, a, b``: every two different parts of each order, once, in no direction.
+    """``order, a, b``: every two different parts of each order (``a < b``), once.
 
-    Parts are deduplicated per order (line numbers repeat and have gaps). An order of more than ``block`` lines is
-    cut into blocks of parts by a hash, and its pairs are made per cell of the grid (block, block), so no task pairs
-    more than ``block`` squared parts of one order and no pair is made twice. Nothing is dropped.
+    Lines are shuffled once, by order: an order's distinct parts become one sorted array, combined per map task first, and
+    its pairs are made inside the row, without a join. That holds for orders of at most ``block`` lines; larger ones, found
+    by a count, are cut into blocks of parts by a hash, and their pairs are made per cell of the grid (block, block), so no
+    row holds and no task pairs more than a block with a block. Nothing is dropped.
     """
     lines = lineitem.where(F.col("l_orderkey").isNotNull() & F.col("l_partkey").isNotNull())
-    items = lines.select(F.col("l_orderkey").alias("_o"), F.col("l_partkey").alias("_p")).distinct()
-    large = lines.groupBy(F.col("l_orderkey").alias("_o")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block)
-    items = items.join(large, "_o", "left").withColumn("_k", F.coalesce(F.ceil(F.col("_n") / F.lit(block)), F.lit(1)).cast("int"))
-    items = items.withColumn("_b", F.when(F.col("_k") == 1, 0).otherwise(F.pmod(F.xxhash64("_p"), F.col("_k"))).cast("int"))
+    lines = lines.select(F.col("l_orderkey").alias("_o"), F.col("l_partkey").alias("_p"))
+    large = lines.groupBy("_o").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block)
+    if large.isEmpty():
+        return _pairs_in_rows(lines)
+    ids = large.select("_o")
+    return _pairs_in_rows(lines.join(ids, "_o", "left_anti")).unionByName(_pairs_in_grid(lines.join(large, "_o").distinct(), block))
+
+
+def _pairs_in_rows(lines: DataFrame) -> DataFrame:
+    orders = lines.groupBy("_o").agg(F.array_sort(F.collect_set("_p")).alias("_ps"))
+    firsts = orders.where(F.size("_ps") > 1).select(F.col("_o").alias("order"), "_ps", F.posexplode("_ps").alias("_i", "a"))
+    return firsts.select("order", "a", F.explode(F.slice("_ps", F.col("_i") + 2, F.size("_ps"))).alias("b"))
+
+
+def _pairs_in_grid(items: DataFrame, block: int) -> DataFrame:
+    """Pairs of the distinct parts ``_p`` of orders ``_o`` with ``_n`` lines."""
+    items = items.withColumn("_k", F.ceil(F.col("_n") / F.lit(block)).cast("int"))
+    items = items.withColumn("_b", F.pmod(F.xxhash64("_p"), F.col("_k")).cast("int"))
     one = items.select("_o", F.col("_p").alias("_a"), F.col("_b").alias("_x"), F.explode(F.sequence(F.col("_b"), F.col("_k") - 1)).alias("_y"))
     two = items.select("_o", F.col("_p").alias("_c"), F.col("_b").alias("_y"), F.explode(F.sequence(F.lit(0), F.col("_b"))).alias("_x"))
     pairs = one.join(two, ["_o", "_x", "_y"]).where((F.col("_x") < F.col("_y")) | (F.col("_a") < F.col("_c")))
-    return pairs.select(F.col("_o").alias("order"), F.col("_a").alias("a"), F.col("_c").alias("b"))
+    return pairs.select(F.col("_o").alias("order"), F.least("_a", "_c").alias("a"), F.greatest("_a", "_c").alias("b"))
 
 
 def copurchase_edges(lineitem: DataFrame, block: int = ORDER_BLOCK) -> DataFrame:
     """Undirected weighted co-purchase edges: two parts of one order; the weight counts orders (``order_pairs``)."""
     pairs = order_pairs(lineitem, block)
-    return pairs.groupBy(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(F.count(F.lit(1)).alias("weight"))
+    return pairs.groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.count(F.lit(1)).alias("weight"))
 
 
 def neighbours(edges: DataFrame) -> DataFrame:
@@ -184,8 +200,10 @@ def load_tables(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, Data
 def from_tables(spark: SparkSession, sf_dir: str) -> Catalog:
     t = load_tables(spark, sf_dir, "part", "orders", "lineitem")
     edges = copurchase_edges(t["lineitem"])
+    require_checkpoint_dir(spark)
+    stats = part_stats(t["lineitem"]).checkpoint()  # the rank and the join read it; one row per part
     return Catalog(
-        products=products_from_tables(t["part"], t["lineitem"], edges),
+        products=products_from_tables(t["part"], t["lineitem"], edges, stats),
         reviews=reviews_from_tables(t["lineitem"], t["orders"]),
         edges=edges,
     )

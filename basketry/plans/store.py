@@ -39,6 +39,8 @@ from basketry.session import ensure_checkpoint_dir
 from basketry.sources.sinks import write_graph
 
 INPUTS = ("part", "orders", "lineitem")
+# Fixed value: reviews of one part of a year.
+REVIEWS_PER_PART = 5_000_000
 
 
 class StoredCatalog:
@@ -113,8 +115,12 @@ class StoredCatalog:
 
     @cached_property
     def reviews(self) -> DataFrame:
-        rows = reviews_from_tables(self.inputs["lineitem"], self.inputs["orders"]).withColumn("year", F.year("date"))
-        return self._kept("reviews", rows.repartition("year", F.pmod(F.xxhash64("id"), F.lit(64))), "year").select(*REVIEW_COLUMNS)
+        lines = self.inputs["lineitem"]
+        rows = reviews_from_tables(lines, self.inputs["orders"]).withColumn("year", F.year("date"))
+        # a year is dealt to as many parts as the rows need; whole rows are hashed, so a product with very many reviews is dealt too
+        parts = max(-(-lines.count() // REVIEWS_PER_PART), int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        dealt = rows.repartition(parts, "year", F.pmod(F.xxhash64(*REVIEW_COLUMNS), F.lit(parts)))
+        return self._kept("reviews", dealt, "year").select(*REVIEW_COLUMNS)
 
     def release(self) -> None:
         """Delete the stored tables; the object is of no use afterwards."""

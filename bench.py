@@ -49,7 +49,7 @@ def main() -> None:
     times: dict[str, float] = {}
     t0 = time.perf_counter()
     stored = stored_catalog(spark, sf_dir)
-    for table in ("products", "categories", "graph_edges", "reviews"):
+    for table in ("products", "categories", "graph_edges", "reviews", "neighbours", "graph_neighbours", "category_runs", "title_index"):
         getattr(stored, table)
     times["catalog_store"] = round(time.perf_counter() - t0, 3)
     cold: dict[str, float] = {}

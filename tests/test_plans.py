@@ -32,8 +32,28 @@ def test_expected_operators(plans):
     assert "TakeOrderedAndProject" in plans["recommend_filters_group"]
     assert "LeftSemi" in plans["relevant_categories_group"]
     assert "LeftSemi" in plans["recommend_by_category"]
-    # one product's title set is a scalar subquery: the catalogue side is a plain scan, no join
-    assert "Subquery" in plans["title_matches"] and "Join" not in plans["title_matches"].split("Subquery")[0]
+    # a title request reads the folders of its own tokens; no join, no shuffle
+    assert "tok_bucket" in plans["title_matches"].split("PartitionFilters")[1].split("PushedFilters")[0]
+    assert "Join" not in plans["title_matches"] and "Exchange" not in plans["title_matches"]
+    # category requests read the first rows of their categories' runs
+    for name in ("recommend_by_category", "recommend_with_requested_category", "recommend_with_chosen_categories"):
+        assert "LessThanOrEqual(rank,6)" in plans[name], name
+
+
+def test_title_scan_is_one_projection(spark):
+    """Without an index, one product's title set is a scalar subquery: the catalogue side is a plain scan, no join."""
+    from basketry.operators.similarity import title_matches
+    from basketry.plans.registry import cat
+
+    plan = plan_of(title_matches(cat(spark, SF_SMALL).products, 42))
+    assert "Subquery" in plan and "Join" not in plan.split("Subquery")[0]
+
+
+def test_searches_shuffle_no_edges(plans, spark):
+    from basketry.plans.registry import cat
+
+    step = plan_of(cat(spark, SF_SMALL).graph_neighbours.step(spark.createDataFrame([("product:0000000042",)], "id string")))
+    assert "Bucketed: true" in step and step.count("Exchange") == 1
 
 
 def test_filters_reach_the_scan(spark):
