@@ -11,7 +11,14 @@
 
 ``score`` is (1 + the best language's regression value) / 2, cut to 0..1. Texts that are null or without a letter
 are ``und`` with score 0; so is every text if no row has a language to learn from. Ties go to the language that
-sorts first. Repeated rows are scored each; an empty table gives no rows; other columns are ignored.
+sorts first. Repeated rows are scored each, in the sample equal rows are one; a very long text is one row of its block;
+rows without ``doc_id`` are learned from and scored; an empty table gives no rows; other columns are ignored.
+
+``accepted`` keeps the texts that are written in one of the learned languages. A text is not if its score is below what
+texts of its size have: for each size class (the binary order of magnitude of its set of n-grams) the floor is the score
+that all but ``REJECTED`` of the sample's texts of the class reach, less ``MARGIN``. A class with fewer than
+``CLASS_TEXTS`` sample texts, as those of a few words, has no floor: too little is known to reject there. Without a model
+every text with a letter stays.
 """
 
 from __future__ import annotations
@@ -26,7 +33,7 @@ from pyspark.sql import functions as F
 
 from basketry.llm.hashing import LOWER, chunks, text_buffer
 from basketry.llm.labelled import bounded_sample, held_out
-from basketry.llm.scratch import read_table, ship
+from basketry.llm.scratch import as_row, of_row, read_table, ship
 
 LONGEST = 4
 SLOTS = 1 << 15
@@ -35,6 +42,7 @@ SAMPLE = 4000
 RIDGE = 1e-2
 BLOCK_ROWS = 256
 UNKNOWN = "und"
+REJECTED, MARGIN, CLASS_TEXTS = 0.002, 0.02, 100
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
@@ -83,6 +91,7 @@ class Model:
     landmarks: np.ndarray  # float32, slots x landmarks, divided by the root of each landmark's size
     weights: np.ndarray  # landmarks x languages
     bias: np.ndarray
+    floors: np.ndarray  # least score of an accepted text, by size class
 
 
 def kernel(seen: np.ndarray, slots: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
@@ -90,6 +99,11 @@ def kernel(seen: np.ndarray, slots: np.ndarray, landmarks: np.ndarray) -> np.nda
     return seen[:, slots].astype(np.float32) @ landmarks / size
 
 
+def size_class(seen: np.ndarray) -> np.ndarray:
+    """Binary order of magnitude of each text's set."""
+    return np.log2(np.maximum(seen.sum(1), 1)).astype(int)
+
+
 def fit(bits: list[bytes], langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
     names = sorted(set(langs))
 
@@ -106,7 +120,14 @@ def fit(bits: list[bytes], langs: list[str], landmarks: int = LANDMARKS, ridge:
     z = np.concatenate([k @ root, np.ones((len(k), 1))], axis=1)
     y = np.where(np.array(langs)[:, None] == np.array(names)[None], 1.0, -1.0)
     w = np.linalg.solve(z.T @ z + ridge * len(z) * np.diag([1.0] * keep.sum() + [0.0]) + 1e-9 * np.eye(z.shape[1]), z.T @ y)
-    return Model(names, slots, scaled, (root @ w[:-1]).astype(np.float32), w[-1].astype(np.float32))
+    scores = (1 + (z @ w).max(1)) / 2
+    classes = np.concatenate([size_class(rows(a, a + BLOCK_ROWS)) for a in range(0, len(bits), BLOCK_ROWS)])
+    floors = np.zeros(SLOTS.bit_length() + 1)
+    for c in np.unique(classes):
+        own = scores[classes == c]
+        if len(own) >= CLASS_TEXTS:
+            floors[c] = np.quantile(own, REJECTED) - MARGIN
+    return Model(names, slots, scaled, (root @ w[:-1]).astype(np.float32), w[-1].astype(np.float32), floors)
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
@@ -114,8 +135,8 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    got = bounded_sample(rows, sample).mapInArrow(_bits, "lang string, draw long, bits binary").collect()
-    got = sorted(got, key=lambda r: (r.draw or 0, r.lang, bytes(r.bits)))[: sample + sample // 5]
+    drawn = bounded_sample(rows, sample, ("doc_id", "text", "lang")).mapInArrow(_bits, "lang string, draw long, bits binary")
+    got = drawn.orderBy("draw", "lang").limit(sample + sample // 5).collect()
     return fit([bytes(r.bits) for r in got], [r.lang for r in got]) if got else None
 
 
@@ -153,11 +174,26 @@ def with_language(docs: DataFrame, model: Model | None, kept: list[str]) -> Data
     return docs.select("text", *kept).mapInArrow(lambda it: _predict(it, model, 0, 1), schema)
 
 
+def _kept(batches: Iterator[pa.RecordBatch], model: Model | None) -> Iterator[pa.RecordBatch]:
+    """The rows whose text, the first column, is accepted, without that column."""
+    for batch in batches:
+        for lo, hi, part, at in _blocks(batch.column(0)):
+            ok = _has_letter(part, at)
+            if model is not None and ok.any():
+                seen = presence(part, at)
+                best = (kernel(seen, model.slots, model.landmarks) @ model.weights + model.bias).max(1)
+                ok &= (1 + best) / 2 >= model.floors[size_class(seen)]
+            yield batch.slice(lo, hi - lo).filter(pa.array(ok)).select(batch.schema.names[1:])
+
+
 def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The documents whose language is recognised, all columns as they were; ``und`` documents go."""
-    names = ["text" if c == "text" else f"_kept_{i}" for i, c in enumerate(docs.columns)]  # no clash with the new names
-    named = with_language(docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names))), model, names)
-    return named.where(F.col("lang_pred") != UNKNOWN).select(*(F.col(n).alias(c) for c, n in zip(docs.columns, names)))
+    """The documents written in a learned language, all columns as they were."""
+    ship(docs.sparkSession)
+    if "text" not in docs.columns:
+        raise ValueError("documents have a column text")
+    rows = as_row(docs)
+    kept = rows.select(of_row("text").cast("string").alias("_text"), "_row").mapInArrow(lambda it: _kept(it, model), rows.schema)
+    return kept.select(*(of_row(c).alias(c) for c in docs.columns))
 
 
 def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:

@@ -221,10 +221,12 @@ def _pack_group(pdf: pd.DataFrame, window: int) -> pd.DataFrame:
 
 
 def pack(pieces: DataFrame, window: int = WINDOW, group_pieces: int = GROUP_PIECES) -> DataFrame:
-    """Pieces with ``sequence_id`` and ``offset``; each group of about ``group_pieces`` pieces is packed alone."""
+    """Pieces with ``sequence_id`` and ``offset``; each group of about ``group_pieces`` pieces is packed alone. A piece's
+    group comes from its place in the stored table as well, so equal pieces are dealt like different ones."""
     pieces = stored(pieces, "pieces")
     groups = max(1, -(-pieces.count() // group_pieces))
-    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
+    place = F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id())
+    dealt = pieces.withColumn("group", F.pmod(place, F.lit(groups)))
     # pandas has no null integer: a missing id travels as 0 and a mark
     dealt = dealt.withColumns({"known": F.col("doc_id").isNotNull(), "doc_id": F.coalesce("doc_id", F.lit(0))})
     packed = dealt.groupBy("group").applyInPandas(lambda pdf: _pack_group(pdf, window), PACKED + ", known boolean")

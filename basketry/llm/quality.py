@@ -4,7 +4,7 @@ A document is a bag of passages of ``PASSAGE`` words. Every passage is measured
 characters, word shapes, repetition), encoded by a learned layer, and weighted by gated attention: the softmax
 over the document's passages of w . (tanh(V h) * sigmoid(U h)). The weighted sum of the encodings is the document's
 representation, which a logistic layer scores. Only document labels are learned from, on a sample of at most
-about ``SAMPLE`` labelled documents (a documented bound); the sample's passage measures reach the driver, no text.
+about ``SAMPLE`` labelled documents (a documented bound); the measures of all their passages reach the driver, no text.
 Scoring is one pass of block matrix products over whole texts.
 
 Cases: a null or empty text, or one of white space, is one passage of zeros; without any label of both kinds every
@@ -27,7 +27,6 @@ from basketry.llm.scratch import read_table, ship
 
 PASSAGE = 64
 SAMPLE = 6000
-SAMPLE_PASSAGES = 64
 HIDDEN, ATTENTION = 16, 8
 EPOCHS, RATE, DECAY = 150, 0.02, 1e-4
 CUT = 0.3
@@ -159,15 +158,13 @@ class Model:
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Measures of a sampled document's passages: all of them, or ``SAMPLE_PASSAGES`` evenly spread over a text
-    that has more, so the driver's share is bounded. (Scoring always takes all.)"""
+    """Measures of every passage of each sampled document."""
     for batch in batches:
         buf, offs = text_buffer(batch.column(1))
         for lo, hi, part, at in chunks(buf, offs):
             x, border = passages(part, at)
-            spread = [np.unique(np.linspace(a, b - 1, min(b - a, SAMPLE_PASSAGES)).astype(int)) for a, b in zip(border[:-1], border[1:])]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array([x[r].tobytes() for r in spread], pa.binary())],
+                [batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array([x[a:b].tobytes() for a, b in zip(border[:-1], border[1:])], pa.binary())],
                 ["doc_id", "label", "x"],
             )
 

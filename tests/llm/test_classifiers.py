@@ -207,3 +207,32 @@ def test_passages_cover_every_word():
     x, border = quality.passages(both, np.array([0, len(text.encode()), len(text.encode()), len(both)]))
     assert border.tolist() == [0, 4, 5, 6] and (x[4] == 0).all()
     assert np.round(np.expm1(x[:, -1] * 4)).astype(int).tolist() == [64, 64, 64, 8, 0, 2]
+
+
+def test_stage_rejects_what_no_language_looks_like(spark):
+    docs = table(spark, "documents").select("doc_id", "text", "lang", "source")
+    model = language.learn(docs)
+    rnd = random.Random(2)
+    alphabets = ["abcdefghijklmnopqrstuvwxyz    ", "bcdfghjklmnpqrstvwxz0123456789  ", "абвгдежзиклмнопрстуфхц   "]
+    noise = [(10_000 + k, "".join(rnd.choice(alphabets[k % 3]) for _ in range(2500)), "en", None) for k in range(12)]
+    planted = docs.unionByName(spark.createDataFrame(noise, docs.schema))
+    kept = {r.doc_id for r in language.accepted(planted, model).select("doc_id").collect()}
+    assert not any(i >= 10_000 for i in kept)
+    held = [r.doc_id for r in docs.where(held_out(F.col("doc_id"))).collect()]
+    assert sum(i in kept for i in held) >= 0.99 * len(held)
+    blind = language.accepted(docs.drop("lang"), model).count()
+    assert blind == len([i for i in kept if i < 10_000])
+    unnamed = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert language.accepted(unnamed, language.learn(unnamed)).count() == docs.where("text rlike '[A-Za-z]'").count()
+
+
+def test_samples_are_bounded_whatever_repeats(spark):
+    rows = spark.range(4000).select(F.when(F.col("id") < 1500, None).otherwise(F.lit(7)).cast("long").alias("doc_id"), F.lit("a b").alias("text"), F.lit("en").alias("lang"))
+    assert bounded_sample(rows, 100, ("doc_id", "text", "lang")).count() <= 2
+    model = language.learn(rows, sample=100)
+    assert model.languages == ["en"] and model.landmarks.shape[1] <= 2
+    from basketry.llm.labelled import labelled_sample
+
+    labels = spark.createDataFrame([(i, 1) for i in range(50)], "doc_id long, toxic int")
+    many = labelled_sample(rows, labels, "toxic", 40).collect()
+    assert len(many) <= 1 and all(r.text == "a b" for r in many)

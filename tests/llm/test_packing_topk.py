@@ -97,14 +97,35 @@ def test_topk_of_odd_vectors(spark):
     rows = [(i, [rnd.choice([-1.0, 0.0, 0.5, 3.0]) for _ in range(4)], "x") for i in range(120)]  # many ties
     rows += [(200, None, "x"), (250, [1.0, None, 2.0, 0.0], "x"), (300, [1.0, float("nan"), 2.0, 0.0], "x"), (350, [float("inf"), 0.0, 0.0, 0.0], "x"),
              (400, [0.0, 0.0, 0.0, 0.0], "x"), (450, [-9.0, -9.0, -9.0, -9.0], "x"), (7, rows[7][1], "x"), (None, [1.0, 1.0, 1.0, 1.0], "x"),
-             (500, [1.0, 2.0], "x"), (501, [4.0, 4.0], "x"), (550, [], "x"), (600, [1e6, 1e6, -1e6, 1e6], "x")]
+             (500, [1.0, 2.0], "x"), (501, [4.0, 4.0], "x"), (550, [], "x"), (600, [1e6, 1e6, -1e6, 1e6], "x"),
+             (100, [2.0, 2.0, 2.0, 2.0], "x"), (100, [2.0, 2.0, 2.0, 2.0], "x"), (100, [-1.0, 0.0, 0.0, 0.0], "x")]  # four queries share an id
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string").repartition(3)
     usable = [(i, [int(np.floor(256 * x)) for x in v]) for i, v, _ in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     want = []
-    for q, v in sorted({i: v for i, v in usable if i % 50 == 0}.items()):
-        found = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in usable if i != q and len(w) == len(v))
-        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(found[:5])]
-    for bucket_rows in (4096, 16):
-        got = K.top_products(df, F.col("vec_id") % 50 == 0, bucket_rows=bucket_rows).collect()
+    for k, (q, v) in enumerate(usable):
+        if q % 50 == 0:
+            found = sorted((-sum(a * b for a, b in zip(v, w)), i) for j, (i, w) in enumerate(usable) if j != k and len(w) == len(v))
+            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(found[:5])]
+    for bucket_rows, query_rows in ((4096, 4096), (16, 4096), (16, 3)):
+        got = K.top_products(df, F.col("vec_id") % 50 == 0, bucket_rows=bucket_rows, query_rows=query_rows).collect()
         assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(want)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding DOUBLE[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", [(i, v) for i, v, _ in rows])
+    assert sorted(con.execute(K.OP7_SQL).fetchall()) == sorted(want)
     assert K.top_products(df.where("vec_id = -1"), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_equal_vectors_of_one_id_fill_many_buckets(spark):
+    rows = spark.range(3000).select(F.lit(50).cast("long").alias("vec_id"), F.array(F.lit(1.0), F.lit(2.0)).alias("embedding"))
+    buckets = K.length_buckets(K.quantised(rows), 256).select(F.length("ids") / 8).collect()
+    assert sum(r[0] for r in buckets) == 3000 and max(r[0] for r in buckets) < 512
+
+
+def test_equal_pieces_are_dealt_over_the_groups(spark):
+    pieces = spark.range(4000).select(
+        F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("start"), F.lit(700).cast("long").alias("length"), F.lit(9).cast("long").alias("ids_crc32"),
+        F.lit(700).cast("long").alias("doc_tokens"))
+    out = P.pack(pieces, group_pieces=500)
+    sizes = [r["count"] for r in out.groupBy((F.col("sequence_id") / (1 << 32)).cast("long")).count().collect()]
+    assert sum(sizes) == 4000 and max(sizes) < 1000
