@@ -18,7 +18,8 @@ NEAR = 0.8
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; texts that are null or without a letter go."""
+    """Documents written in a language the corpus names; null texts, texts without a letter and texts that score below all
+    others of their size go. Without any named language all texts with a letter stay."""
     return language.accepted(docs, language.learn(docs))
 
 
