@@ -123,10 +123,9 @@ def fit(bits: list[bytes], langs: list[str], landmarks: int = LANDMARKS, ridge:
     scores = (1 + (z @ w).max(1)) / 2
     classes = np.concatenate([size_class(rows(a, a + BLOCK_ROWS)) for a in range(0, len(bits), BLOCK_ROWS)])
     floors = np.zeros(SLOTS.bit_length() + 1)
-    for c in np.unique(classes):
+    for c in range(1, len(floors)):
         own = scores[classes == c]
-        if len(own) >= CLASS_TEXTS:
-            floors[c] = np.quantile(own, REJECTED) - MARGIN
+        floors[c] = np.quantile(own, REJECTED) - MARGIN if len(own) >= CLASS_TEXTS else floors[c - 1]
     return Model(names, slots, scaled, (root @ w[:-1]).astype(np.float32), w[-1].astype(np.float32), floors)
 
 
