@@ -82,27 +82,88 @@ def test_leaks_of_odd_rows(odd, empty, spark):
 
 def test_native_plans(spark):
     docs, items = (spark.read.parquet(f"{SF_SMALL}/{t}.parquet") for t in ("documents", "benchmark"))
-    for df in (D.leaks(docs, items), D.window_matches(docs, D.item_windows(items)), L.scan(L.document_files(docs)), L.sentences(L.document_files(docs), "path")):
+    for df in (D.leaks(docs, items), D.window_matches(docs, D.item_windows(items)), L.scan(L.document_files(docs)), L.sentences(L.notices(L.document_files(docs), "path"), "path")):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert not [x for x in PYTHON if x in plan]
 
 
+def plain_terms(text):
+    words = [x for x in re.split(r"[^\w]+|_", text.lower()) if x]
+    return words + ["spdx:" + x for x in re.findall(L._SPDX, text.lower())]
+
+
 def plain_licences(sentences):
     """sentence -> (licence, cosine) by the definition."""
-    marked = {s for s in sentences}
-    every = marked | {t for _, t in L.TEMPLATES}
-    split = {s: Counter(x for x in re.split(r"[^\w]+|_", s.lower()) if x) for s in every}
+    marked, known = set(sentences), L.template_rows()
+    every = marked | {t for _, _, t, _, _ in known}
+    split = {s: Counter(plain_terms(s)) for s in every}
     having = Counter(x for c in split.values() for x in c)
     weight = {s: {x: (1 + math.log(n)) * (math.log((1 + len(every)) / (1 + having[x])) + 1) for x, n in c.items()} for s, c in split.items()}
     norm = {s: math.sqrt(sum(v * v for v in w.values())) for s, w in weight.items()}
     out = {}
     for s in marked:
-        best = min((-round(sum(v * weight[t].get(x, 0) for x, v in weight[s].items()) / norm[s] / norm[t], 9), name) for name, t in L.TEMPLATES)
-        if -best[0] >= L.MIN_COSINE:
-            out[s] = (best[1], -best[0])
+        near = []
+        for _, name, t, tell, bars in known:
+            if all(set(x.split("|")) & set(split[s]) for x in tell) and not set(bars) & set(split[s]):
+                near.append((-round(sum(v * weight[t].get(x, 0) for x, v in weight[s].items()) / norm[s] / norm[t], 9), name))
+        if near and -min(near)[0] >= L.MIN_COSINE:
+            out[s] = (min(near)[1], -min(near)[0])
     return out
 
 
+def plain_scan(files):
+    """(path, own licence, licence, inherited from) of each row, straight from the definition (whole texts aside)."""
+    def pieces(text):
+        cut = lambda t: [x.strip(" ") for x in re.split(r"[\n\r\u2028]+", re.sub(r"([.!?])\s+", r"\1\n", t))]
+        return [[x for x in cut(t) if re.search(L.MARKS, x)] for t in (text, re.sub(r"\s*[\n\r\u2028]+[\s#/*;!<>-]*", " ", text))]
+
+    cut = {(p, t): pieces(t) if re.search(L.MARKS, t) else [[], []] for p, t in ((p, t or "") for p, t in files if p is not None)}
+    near = plain_licences({x for both in cut.values() for kind in both for x in kind})
+    own, governs = {}, {}
+    size = lambda x: len([w for w in re.split(r"[^\w]+|_", x) if w])
+    for (p, t), both in cut.items():
+        hits = [(-near[x][1], k, i, near[x][0]) for k, kind in enumerate(both) for i, x in enumerate(kind) if x in near]
+        if hits:
+            own[p] = (min(hits)[3], -min(hits)[0])
+            share = max(sum(size(x) for x in kind if x in near) for kind in both) / size(t)
+            if share >= L.FILE_SHARE or re.search(L.FILE_NAMES.replace("(?i)", ""), p.split("/")[-1], re.I):
+                governs.setdefault("/".join(p.split("/")[:-1]), []).append((-own[p][1], p, own[p][0]))
+    out = []
+    for p, _ in files:
+        if p is None or p in own:
+            out.append((p, *((own[p][0],) * 2 if p in own else (None, None)), None))
+            continue
+        parts = p.split("/")[:-1]
+        up = next((d for d in ("/".join(parts[:k]) for k in range(len(parts), -1, -1)) if d in governs), None)
+        out.append((p, None, min(governs[up])[2] if up is not None else None, up))
+    return sorted(out, key=str)
+
+
+def test_licences_of_a_table_by_the_definition(spark):
+    files = L.document_files(spark.read.parquet(f"{SF_CHECK}/documents.parquet"))
+    got = sorted((tuple(r) for r in L.scan(files).select("path", "own_licence", "licence", "inherited_from").collect()), key=str)
+    assert got == plain_scan([(r.path, r.text) for r in files.collect()])
+
+
+def test_kinds_of_licences_are_told_apart(spark):
+    """Headers that share most of their words with another licence's."""
+    gnu = "{0} is free software; you can redistribute it and/or modify\n{2} it under the terms of the GNU {1}General Public License as published by\n{2} the Free Software Foundation; "
+    gnu += "either version {3} of the License, or\n{2} (at your option) any later version.\n"
+    want = {
+        "gpl2": ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2"), "gpl2+": ("GPL-2.0", "# " + gnu.format("This program", "", "#", 2)),
+        "gpl3+": ("GPL-3.0", " * " + gnu.format("This program", "", " *", 3)), "agpl": ("AGPL-3.0", "// " + gnu.format("This program", "Affero ", "//", 3)),
+        "lgpl": ("LGPL-2.1", gnu.format("This library", "Lesser ", "", "2.1")), "lgpl3": ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3"),
+        "spdx2": ("GPL-2.0", "/* SPDX-License-Identifier: GPL-2.0-only */"), "spdxbsd": ("BSD-2-Clause", "# SPDX-License-Identifier: BSD-2-Clause"),
+        "sa": ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"), "sa2": ("CC-BY-SA-4.0", "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License"),
+        "by": ("CC-BY-4.0", "Licensed under CC BY 4.0"), "nc": ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."), "isc": ("ISC", "Released under the ISC License."),
+        "bsd2": ("BSD-2-Clause", "Licensed under the BSD 2-Clause License"), "bsd3": ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
+        "none1": (None, "SPDX-License-Identifier: EUPL-1.2"), "none2": (None, "Licensed under the Apache License, Version 1.1"), "none3": (None, "Licensed under CC BY 2.0"),
+        "none4": (None, "under the terms of the GNU General Public License"), "mit": ("MIT", "Released under the MIT License"), "mpl": ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
+    }
+    files = spark.createDataFrame([(f"{k}/x", t) for k, (_, t) in want.items()], "path string, text string")
+    assert {r.path[:-2]: r.own_licence for r in L.scan(files).collect()} == {k: v for k, (v, _) in want.items()}
+
+
 def test_licence_cosines(spark):
     rnd = random.Random(1)
     said = ["Released under the MIT License.", "released under MIT licence", "This work is licensed under the GNU General Public License, version 3.",
