@@ -3,52 +3,59 @@
 1. Lexicon: from a sample of at most about ``SAMPLE`` labelled documents (a documented bound), the words whose
    occurrences, counted once for each pair of neighbour words, are toxic far beyond chance (log-likelihood ratio
    against the label's share, corrected for the number of words). Copies of a document share their contexts, so
-   they add nothing.
-2. Automaton: the lexicon as a trie, intersected with the Levenshtein automaton of each word's allowed distance
-   (0 under 5 bytes, 1 under 10, else 2) and made deterministic. One walk over a word's bytes finds the nearest
-   lexicon word; words that occur in clean sample documents are exempt from inexact matches.
-3. Context: a hit between quotation marks that are closed later is a quotation and counts ``QUOTED``; others
-   count 1. Logistic regression over hit counts, exact and inexact, and their density gives the score.
+   they add nothing. Every word that passes is taken.
+2. Automaton: a task's different words, as a trie, are walked together with the lexicon's trie, with the states of the
+   Levenshtein automaton of each word's allowed distance (0 under 5 characters, 1 under 10, else 2): ``lexicon_trie``. Words
+   that the sample's clean documents hold significantly more often than toxic ones are exempt from inexact matches.
+3. Context: a hit is a quotation if on its line the nearest quotation mark before it opens and the nearest one after it
+   closes; a mark opens or closes by the blanks and marks around it, so an inch mark opens nothing. The ``WINDOW`` words on either side
+   of a hit have weights: the log-odds of the labels of the sample's documents that have the word beside a hit, where
+   significant; reporting verbs and negations of any language come out as clean, insults as toxic.
+4. Logistic regression over hits outside quotations, exact and inexact, their density and kinds, quoted hits, and the windows'
+   mean and greatest score gives the document's score.
 
 Words are runs of letters, digits and bytes beyond ASCII; ``@ $ * '`` inside a word belong to it; A-Z are lowered.
-Scoring runs the automaton over all different words of a block at once. Whole texts are read.
+Whole texts are read.
 
 Cases: null and empty texts have no hits and get the score of a text without hits; without labels of both kinds
-every score is the share of label 1 (0 if there is none); repeated rows are scored each; an empty table gives no
-rows; other columns are ignored, whatever their names.
+every score is the share of label 1 (0 if there is none); rows without ``doc_id`` are scored and never learned from; a word
+of any length is read, one far longer than all lexicon words is none of them; a very long text is one row of its chunk;
+repeated rows are scored each; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm.hashing import LOWER, chunks, span_hashes, text_buffer
+from basketry.llm.hashing import LOWER, SPACE, chunks, span_hashes, text_buffer
 from basketry.llm.labelled import held_out, labelled_sample
+from basketry.llm.lexicon_trie import NONE, Lexicon
 from basketry.llm.scratch import read_table, ship, stored
 
 SAMPLE = 12_000
-TERMS = 600
-SHORTEST, LONGEST = 3, 40
-DISTANCE = ((10, 2), (5, 1))
-QUOTED = 0.2
+SHORTEST = 3
 MIN_SHARE = 0.7
-FEATURES = 5
+#: Log-likelihood ratio against ``MIN_SHARE`` from which a word's clean contexts exempt it: three of them and no toxic one.
+EXEMPT = 3.0
+WINDOW = 8
+#: Documents that must have a word beside a hit before it gets a weight.
+WINDOW_DOCS = 8
+FEATURES = 8
+#: Words whose distance a worker keeps.
+KEPT_WORDS = 1_000_000
 
 _IN_WORD = np.zeros(256, bool)
 _IN_WORD[48:58] = _IN_WORD[65:91] = _IN_WORD[97:123] = _IN_WORD[128:] = True
 _INNER = np.isin(np.arange(256), list(b"@$*'"))
-
-
-def allowed(term: bytes) -> int:
-    return next((d for n, d in DISTANCE if len(term) >= n), 0)
+#: Bytes outside a quotation beside its marks.
+_BEFORE, _AFTER = SPACE | np.isin(np.arange(256), list(b"([{")), SPACE | np.isin(np.arange(256), list(b".,;:!?)]}"))
 
 
 def words_of(part: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -74,153 +81,122 @@ def words_of(part: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, np.flatnonzero(stop) + 1, np.searchsorted(starts, at)
 
 
-class Automaton:
-    """Deterministic automaton of all words within the allowed distance of a lexicon word.
-
-    A state is a set of (trie node, edits so far); ``best`` is the least distance of a lexicon word that ends
-    there (9: none). State 0 is the dead state, 1 the start.
-    """
-
-    DEAD, START, NONE = 0, 1, 9
-
-    def __init__(self, terms: list[bytes]):
-        child: list[dict[int, int]] = [{}]
-        ends: list[int] = [-1]  # allowed distance of the term that ends here
-        reach: list[int] = [0]  # largest allowed distance of the terms below
-        for t in terms:
-            node, d = 0, allowed(t)
-            reach[0] = max(reach[0], d)
-            for b in t:
-                if b not in child[node]:
-                    child[node][b] = len(child)
-                    child.append({})
-                    ends.append(-1)
-                    reach.append(0)
-                node = child[node][b]
-                reach[node] = max(reach[node], d)
-            ends[node] = max(ends[node], d)
-        letters = sorted({b for t in terms for b in t})
-        self.classes = np.zeros(256, np.int64)  # class 0: any byte that no lexicon word has
-        self.classes[letters] = np.arange(1, len(letters) + 1)
-
-        def closed(found: dict[int, int]) -> frozenset:
-            todo = list(found.items())
-            while todo:  # a byte left out of the word
-                node, e = todo.pop()
-                for c in child[node].values():
-                    if e + 1 <= reach[c] and found.get(c, 99) > e + 1:
-                        found[c] = e + 1
-                        todo.append((c, e + 1))
-            return frozenset(found.items())
-
-        def step(state: frozenset, byte: int) -> frozenset:
-            found: dict[int, int] = {}
-            for node, e in state:
-                c = child[node].get(byte)
-                if c is not None and found.get(c, 99) > e:
-                    found[c] = e
-                if e + 1 <= reach[node] and found.get(node, 99) > e + 1:  # a byte too many
-                    found[node] = e + 1
-                for c in child[node].values():  # another byte
-                    if e + 1 <= reach[c] and found.get(c, 99) > e + 1:
-                        found[c] = e + 1
-            return closed(found)
-
-        start = closed({0: 0})
-        number, order, rows = {frozenset(): 0, start: 1}, [frozenset(), start], []
-        for state in order:
-            row = []
-            for byte in [-1, *letters]:
-                to = step(state, byte) if state else state
-                if to not in number:
-                    number[to] = len(order)
-                    order.append(to)
-                row.append(number[to])
-            rows.append(row)
-        self.table = np.array(rows, np.int32)
-        self.best = np.array([min([e for n, e in s if ends[n] >= 0 and e <= ends[n]], default=self.NONE) for s in order], np.int8)
-
-    def distance(self, part: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Distance of each word to the nearest lexicon word; ``NONE`` beyond what is allowed."""
-        out = np.full(len(starts), self.NONE, np.int8)
-        size = ends - starts
-        alive = np.flatnonzero((size >= SHORTEST) & (size <= LONGEST))
-        state = np.full(len(alive), self.START, np.int32)
-        classes = self.classes[part]
-        for k in range(LONGEST + 1):
-            done = size[alive] == k
-            out[alive[done]] = self.best[state[done]]
-            go = ~done & (state != self.DEAD)
-            alive, state = alive[go], state[go]
-            if not len(alive):
-                break
-            state = self.table[state, classes[starts[alive] + k]]
-        return out
+class Matcher:
+    """Distances of words to the lexicon; those of the words a worker has met are kept."""
+
+    def __init__(self, lexicon: Lexicon, exempt: np.ndarray):
+        self.lexicon, self.exempt = lexicon, exempt  # sorted hashes of words that never match inexactly
+        self.hashes, self.known = np.zeros(0, np.uint64), np.zeros(0, np.int8)
+
+    def distances(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """Distance of each word (given as bytes from start to end, and hashed) to the nearest lexicon word."""
+        different, seen, place = np.unique(hashes, return_index=True, return_inverse=True)
+        new = different[~_among(different, self.hashes)]
+        if len(new):
+            at = seen[np.searchsorted(different, new)]
+            raw = low.tobytes()
+            words = [raw[a:b].decode() if b - a >= SHORTEST else "" for a, b in zip(starts[at].tolist(), ends[at].tolist())]
+            found = self.lexicon.nearest(words)
+            found[_among(new, self.exempt) & (found > 0)] = NONE
+            if len(self.hashes) > KEPT_WORDS:
+                old = _among(self.hashes, different)
+                self.hashes, self.known = self.hashes[old], self.known[old]
+            order = np.argsort(np.concatenate([self.hashes, new]), kind="stable")
+            self.hashes, self.known = np.concatenate([self.hashes, new])[order], np.concatenate([self.known, found])[order]
+        return self.known[np.searchsorted(self.hashes, different)][place]
+
+
+def _among(values: np.ndarray, ascending: np.ndarray) -> np.ndarray:
+    """Which of the values are in the ascending array."""
+    if not len(ascending):
+        return np.zeros(len(values), bool)
+    return ascending[np.minimum(np.searchsorted(ascending, values), len(ascending) - 1)] == values
 
 
 @dataclass
 class Model:
-    automaton: Automaton | None
-    exempt: np.ndarray  # sorted hashes of words that never match inexactly
+    lexicon: Lexicon | None
+    exempt: np.ndarray
+    context: np.ndarray  # sorted hashes of words that have a weight beside a hit
+    context_weights: np.ndarray
     mean: np.ndarray
     scale: np.ndarray
     weights: np.ndarray
     base: float
 
 
-def _quoted(part: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Which bytes lie between an opening quotation mark and a later closing one of the same document."""
-    n = len(part)
-    plain = part == 34
-    opening, closing = np.zeros(n, bool), np.zeros(n, bool)
-    if n > 2:
-        e280 = (part[:-2] == 0xE2) & (part[1:-1] == 0x80)
-        opening[:-2] |= e280 & ((part[2:] == 0x9C) | (part[2:] == 0x9E))
-        closing[:-2] |= e280 & (part[2:] == 0x9D)
-        c2 = part[:-1] == 0xC2
-        opening[:-1] |= c2 & (part[1:] == 0xAB)
-        closing[:-1] |= c2 & (part[1:] == 0xBB)
-    doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
-
-    def within(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        upto = np.concatenate([[0], np.cumsum(flags)])
-        before = upto[1:] - upto[at[:-1]][doc]
-        return before, upto[at[1:]][doc] - upto[1:]
-
-    before, after = within(plain)
-    opened, _ = within(opening)
-    closed, more = within(closing)
-    return ((before % 2 == 1) & (after > 0)) | ((opened > closed) & (more > 0))
-
-
-def hits(part: np.ndarray, at: np.ndarray, automaton: Automaton, exempt: np.ndarray) -> np.ndarray:
-    """Features of each document: weighted counts of exact and inexact hits, their densities, different terms."""
-    x = np.zeros((len(at) - 1, FEATURES))
+#: Quotation marks as UTF-8, and whether they open where the blanks around them do not tell (None: neither).
+QUOTES = ((b'"', None), ("\u201c".encode(), True), ("\u201e".encode(), True), ("\u201d".encode(), False), ("\u00ab".encode(), True), ("\u00bb".encode(), False))
+
+
+def _marks(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where quotation marks and line ends are, ascending, and what each is: 1 opens, -1 closes, 0 line end."""
+    places, kinds = [np.flatnonzero(part == 10)], [np.zeros(int((part == 10).sum()), np.int8)]
+    padded = np.concatenate([part, np.full(4, 32, np.uint8)])
+    for mark, default in QUOTES:
+        at = np.flatnonzero(part == mark[0])
+        for k in range(1, len(mark)):
+            at = at[padded[at + k] == mark[k]]
+        before, after = (at == 0) | _BEFORE[part[np.maximum(at - 1, 0)]], _AFTER[padded[at + len(mark)]]
+        kind = np.where(before & ~after, 1, np.where(~before & after, -1, 0 if default is None else 1 if default else -1))
+        told = kind != 0
+        places.append(at[told])
+        kinds.append(kind[told].astype(np.int8))
+    places, kinds = np.concatenate(places), np.concatenate(kinds)
+    order = np.argsort(places, kind="stable")
+    return places[order], kinds[order]
+
+
+def quoted(part: np.ndarray, at: np.ndarray, spots: np.ndarray) -> np.ndarray:
+    """Which of the bytes ``spots`` stand in a quotation of their line."""
+    places, kinds = _marks(part)
+    ends = at[1:-1]  # a document ends its last line
+    places, kinds = np.concatenate([places, ends - 0.5]), np.concatenate([kinds, np.zeros(len(ends), np.int8)])
+    order = np.argsort(places, kind="stable")
+    places, kinds = places[order], np.concatenate([[0], kinds[order], [0]])
+    where = np.searchsorted(places, spots, "right")
+    return (kinds[where] == 1) & (kinds[where + 1] == -1)
+
+
+def _hits(part: np.ndarray, at: np.ndarray, matcher: Matcher) -> tuple[np.ndarray, ...]:
+    """Words that match: their number, document, distance and whether they are quoted; hashes and first word of documents."""
     low = LOWER[part]
     starts, ends, first = words_of(low, at)
-    if not len(starts):
-        return x
     hashes = span_hashes(low, starts, ends)
-    place, different = pd.factorize(hashes)
-    seen = np.empty(len(different), np.int64)
-    seen[place[::-1]] = np.arange(len(place))[::-1]
-    d = automaton.distance(low, starts[seen], ends[seen])
-    if len(exempt):
-        at_ = np.minimum(np.searchsorted(exempt, different), len(exempt) - 1)
-        d[(exempt[at_] == different) & (d > 0)] = Automaton.NONE
-    hit = np.flatnonzero(d[place] != Automaton.NONE)
+    d = matcher.distances(low, starts, ends, hashes) if len(starts) else np.zeros(0, np.int8)
+    hit = np.flatnonzero(d != NONE)
+    return hit, np.searchsorted(first, hit, "right") - 1, d[hit], quoted(part, at, starts[hit]), hashes, first
+
+
+def _windows(hit: np.ndarray, doc: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each hit the numbers of the words around it, and which of them are in its document and no hits."""
+    around = hit[:, None] + np.concatenate([np.arange(-WINDOW, 0), np.arange(1, WINDOW + 1)])[None]
+    inside = (around >= first[doc][:, None]) & (around < first[doc + 1][:, None])
+    return np.where(inside, around, 0), inside & ~_among(around.ravel(), hit).reshape(around.shape)
+
+
+def features(part: np.ndarray, at: np.ndarray, matcher: Matcher, context: np.ndarray, context_weights: np.ndarray) -> np.ndarray:
+    """Measures of each document of a chunk, as the module describes."""
+    x = np.zeros((len(at) - 1, FEATURES))
+    hit, doc, distance, in_quotes, hashes, first = _hits(part, at, matcher)
     if not len(hit):
         return x
-    doc = np.searchsorted(first, hit, "right") - 1
-    weight = np.where(_quoted(part, at)[starts[hit]], QUOTED, 1.0)
-    exact = d[place[hit]] == 0
-    total = np.maximum(np.diff(first), 1)
-    np.add.at(x[:, 0], doc[exact], weight[exact])
-    np.add.at(x[:, 1], doc[~exact], weight[~exact])
-    x[:, 2], x[:, 3] = 20 * x[:, 0] / (total + 20), 20 * x[:, 1] / (total + 20)
-    pairs = np.unique(np.stack([doc[weight == 1], place[hit][weight == 1]]), axis=1)
-    x[:, 4] = np.log1p(np.bincount(pairs[0].astype(int), minlength=len(x)))
-    x[:, :2] = np.log1p(x[:, :2])
+    n, total = len(x), np.maximum(np.diff(first), 1)
+    exact, inexact = (np.bincount(doc[~in_quotes & own], minlength=n) for own in (distance == 0, distance > 0))
+    x[:, 0], x[:, 1] = np.log1p(exact), np.log1p(inexact)
+    x[:, 2], x[:, 3] = 20 * exact / (total + 20), 20 * inexact / (total + 20)
+    kinds = np.unique(np.stack([doc[~in_quotes].astype(np.uint64), hashes[hit][~in_quotes]]), axis=1)
+    x[:, 4] = np.log1p(np.bincount(kinds[0].astype(int), minlength=n))
+    x[:, 5] = np.log1p(np.bincount(doc[in_quotes], minlength=n))
+    if len(context):
+        around, inside = _windows(hit, doc, first)
+        word = hashes[around]
+        known = inside & _among(word.ravel(), context).reshape(word.shape)
+        weight = np.where(known, context_weights[np.minimum(np.searchsorted(context, word), len(context) - 1)], 0.0).sum(1)
+        x[:, 6] = np.bincount(doc, weight, minlength=n) / np.maximum(np.bincount(doc, minlength=n), 1)
+        greatest = np.full(n, -np.inf)
+        np.maximum.at(greatest, doc, weight)
+        x[:, 7] = np.where(np.isfinite(greatest), greatest, 0.0)
     return x
 
 
@@ -240,7 +216,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             context = (h[:-2] * np.uint64(0x9E3779B97F4A7C15) + h[2:]).view(np.int64)
             doc = np.searchsorted(first, np.arange(len(starts)), "right") - 1
             size = ends - starts
-            keep = np.flatnonzero((size >= SHORTEST) & (size <= LONGEST))
+            keep = np.flatnonzero(size >= SHORTEST)
             raw = low.tobytes()
             yield pa.RecordBatch.from_arrays(
                 [pa.array([raw[a:b] for a, b in zip(starts[keep].tolist(), ends[keep].tolist())], pa.binary()),
@@ -249,17 +225,23 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _matched(batches: Iterator[pa.RecordBatch], automaton: Automaton) -> Iterator[pa.RecordBatch]:
+def _beside(batches: Iterator[pa.RecordBatch], lexicon: Lexicon, exempt: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The words beside the hits of each sampled document, once for a document."""
+    matcher = Matcher(lexicon, exempt)
     for batch in batches:
-        buf, offs = text_buffer(batch.column(0))
-        d = automaton.distance(buf, offs[:-1], offs[1:])
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array((d > 0) & (d != Automaton.NONE)))], ["word"])
+        labels = batch.column(2).to_numpy()
+        for lo, hi, part, at in _chunked(batch):
+            hit, doc, _, _, hashes, first = _hits(part, at, matcher)
+            around, inside = _windows(hit, doc, first) if len(hit) else (np.zeros((0, 1), np.int64), np.zeros((0, 1), bool))
+            pairs = np.unique(np.stack([np.repeat(doc, around.shape[1])[inside.ravel()].astype(np.uint64), hashes[around][inside] if len(hit) else np.zeros(0, np.uint64)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[1].view(np.int64)), pa.array(labels[lo:hi][pairs[0].astype(int)].astype(np.int32))], ["word", "label"])
 
 
-def _features(batches: Iterator[pa.RecordBatch], automaton: Automaton, exempt: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _features(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    matcher = Matcher(model.lexicon, model.exempt)
     for batch in batches:
         for lo, hi, part, at in _chunked(batch):
-            x = hits(part, at, automaton, exempt)
+            x = features(part, at, matcher, model.context, model.context_weights)
             yield pa.RecordBatch.from_arrays([batch.column(2).slice(lo, hi - lo), pa.array([r.tobytes() for r in x], pa.binary())], ["label", "x"])
 
 
@@ -278,42 +260,80 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
     return w
 
 
-def lexicon(counted: DataFrame, share: float, terms: int = TERMS) -> list[bytes]:
-    """The words of ``word, toxic, clean`` (different contexts) that are toxic beyond chance, the surest first."""
+def _sureness(share: float) -> Column:
+    """Log-likelihood ratio of ``toxic`` out of ``toxic + clean`` against a share."""
     n, p = F.col("toxic") + F.col("clean"), F.col("toxic") / (F.col("toxic") + F.col("clean"))
     rest = F.when(p < 1, (1 - p) * F.log((1 - p) / (1 - share))).otherwise(0.0)
-    sure = n * (p * F.log(p / share) + rest)
+    return n * (F.when(p > 0, p * F.log(p / share)).otherwise(0.0) + rest)
+
+
+def lexicon_words(counted: DataFrame, share: float) -> list[str]:
+    """The words of ``word, toxic, clean`` (different contexts) that are toxic beyond chance. Chance allows for the number of
+    words, and every context is of a sampled document, so the sample bounds how many there are."""
+    p = F.col("toxic") / (F.col("toxic") + F.col("clean"))
     limit = math.log(max(counted.count(), 1)) + 3
-    rows = counted.where((p >= max(MIN_SHARE, share)) & (sure > limit)).orderBy(sure.desc(), "word").limit(terms).select("word")
-    return sorted(bytes(r.word) for r in rows.collect())
+    rows = counted.where((p >= max(MIN_SHARE, share)) & (_sureness(share) > limit)).select("word")
+    return sorted(bytes(r.word).decode() for r in rows.collect())
+
+
+def exempt_words(counted: DataFrame) -> np.ndarray:
+    """Sorted hashes of the words that clean contexts have significantly more often than ``MIN_SHARE`` allows."""
+    p = F.col("toxic") / (F.col("toxic") + F.col("clean"))
+    rows = counted.where((p < MIN_SHARE) & (_sureness(MIN_SHARE) >= EXEMPT)).select("word").collect()
+    words = [bytes(r.word) for r in rows]
+    offs = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
+    return np.sort(span_hashes(np.frombuffer(b"".join(words), np.uint8), offs[:-1], offs[1:])) if words else np.zeros(0, np.uint64)
+
+
+def context_words(beside: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes and log-odds of the words beside hits (``word, label``) that tell the label."""
+    counted = beside.groupBy("word").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"))
+    counted = stored(counted, "toxic-context")
+    all_toxic, all_clean, n = counted.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum("clean"), F.lit(0)), F.count(F.lit(1))).first()
+    if not all_toxic or not all_clean:
+        return np.zeros(0, np.uint64), np.zeros(0)
+    share = float(all_toxic) / float(all_toxic + all_clean)
+    rows = counted.where((F.col("toxic") + F.col("clean") >= WINDOW_DOCS) & (_sureness(share) > math.log(n) + 3)).collect()
+    rows = sorted((np.int64(r.word).view(np.uint64), math.log((r.toxic + 0.5) / (r.clean + 0.5)) - math.log(share / (1 - share))) for r in rows)
+    return np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], float)
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     ship(docs.sparkSession)
-    zero = np.zeros(FEATURES)
+    zero, nothing = np.zeros(FEATURES), np.zeros(0, np.uint64)
     picked = stored(labelled_sample(docs, labels, "toxic", sample).select("doc_id", "text", "label"), "toxic-sample")
     n, toxic = picked.agg(F.count(F.lit(1)), F.sum("label")).first()
     toxic = int(toxic or 0)
+    none = Model(None, nothing, nothing, np.zeros(0), zero, zero + 1, np.zeros(FEATURES + 1), toxic / n if n else 0.0)
     if not n or toxic in (0, n):
-        return Model(None, np.zeros(0, np.uint64), zero, zero + 1, np.zeros(FEATURES + 1), toxic / n if n else 0.0)
+        return none
     words = picked.mapInArrow(_occurrences, "word binary, label int, context long").distinct()
     counted = words.groupBy("word").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"))
     counted = stored(counted, "toxic-words")
     all_toxic, all_clean = counted.agg(F.sum("toxic"), F.sum("clean")).first()
-    terms = lexicon(counted, float(all_toxic) / (float(all_toxic) + float(all_clean)))
+    terms = lexicon_words(counted, float(all_toxic) / (float(all_toxic) + float(all_clean)))
     if not terms:
-        return Model(None, np.zeros(0, np.uint64), zero, zero + 1, np.zeros(FEATURES + 1), toxic / n)
-    automaton = Automaton(terms)
-    near = counted.where("clean > 0").select("word").mapInArrow(lambda it: _matched(it, automaton), "word binary").collect()
-    near = [bytes(r.word) for r in near]
-    offs = np.concatenate([[0], np.cumsum([len(w) for w in near])]).astype(np.int64)
-    exempt = np.sort(span_hashes(np.frombuffer(b"".join(near), np.uint8), offs[:-1], offs[1:])) if near else np.zeros(0, np.uint64)
-    got = picked.mapInArrow(lambda it: _features(it, automaton, exempt), "label int, x binary").collect()
+        return none
+    lexicon = Lexicon(terms)
+    exempt = exempt_words(_near(counted, lexicon))
+    context = context_words(picked.mapInArrow(lambda it: _beside(it, lexicon, exempt), "word long, label int"))
+    model = Model(lexicon, exempt, *context, zero, zero + 1, np.zeros(FEATURES + 1), toxic / n)
+    got = picked.mapInArrow(lambda it: _features(it, model), "label int, x binary").collect()
     got = sorted((r.label, bytes(r.x)) for r in got)
     x = np.frombuffer(b"".join(r[1] for r in got), float).reshape(-1, FEATURES)
     scale = x.std(0) + 1e-3
     weights = _logistic((x - x.mean(0)) / scale, np.array([r[0] for r in got], float))
-    return Model(automaton, exempt, x.mean(0), scale, weights, toxic / n)
+    return replace(model, mean=x.mean(0), scale=scale, weights=weights)
+
+
+def _near(counted: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """The counted words that match the lexicon inexactly."""
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            d = lexicon.nearest([w.decode() for w in batch.column(0).to_pylist()])
+            yield batch.filter(pa.array((d > 0) & (d != NONE)))
+
+    return counted.mapInArrow(of, counted.schema)
 
 
 def score(x: np.ndarray, model: Model) -> np.ndarray:
@@ -322,12 +342,13 @@ def score(x: np.ndarray, model: Model) -> np.ndarray:
 
 
 def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    matcher = Matcher(model.lexicon, model.exempt) if model.lexicon is not None else None
     for batch in batches:
         for lo, hi, part, at in _chunked(batch):
-            if model.automaton is None:
+            if matcher is None:
                 s = np.full(hi - lo, model.base)
             else:
-                s = score(hits(part, at, model.automaton, model.exempt), model)
+                s = score(features(part, at, matcher, model.context, model.context_weights), model)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(s)], ["doc_id", "score"])
 
 

@@ -9,7 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from basketry.llm import language, quality, toxicity
+from basketry.llm.hashing import span_hashes
 from basketry.llm.labelled import bounded_sample, held_out
+from basketry.llm.lexicon_trie import NONE, Lexicon, allowed
 from tests.conftest import SF_CHECK
 from tests.llm.conftest import odd_rows, prose
 
@@ -77,51 +79,106 @@ def test_kernel_is_the_share_of_common_ngrams():
             assert got == pytest.approx(want, abs=0.02)  # 32768 slots: few n-grams share one
 
 
-def levenshtein(a: bytes, b: bytes) -> int:
+def levenshtein(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
-        row, last = [i], row
+        before, row[0] = row[0], i
         for j, y in enumerate(b, 1):
-            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
     return row[-1]
 
 
-def test_automaton_accepts_exactly_the_near_words():
-    rnd = random.Random(6)
-    terms = [b"idiot", b"scum", b"worthless", b"disgusting", b"stupid", "vejué".encode(), b"abababab"]
-    auto = toxicity.Automaton(terms)
-    words = list(terms) + [b"", b"ab", b"oron", b"x" * 50]
-    for _ in range(3000):
-        w = bytearray(rnd.choice(terms))
+@pytest.mark.parametrize("letters", ["abc", "abcdeiotz1", "дурак漢字éa"])
+def test_two_tries_find_the_nearest_term(letters):
+    rnd = random.Random(5)
+    terms = sorted({"".join(rnd.choice(letters) for _ in range(rnd.randrange(1, 15))) for _ in range(40)})
+    words = ["", *terms, "".join(rnd.choice(letters) for _ in range(300))]
+    for _ in range(600):
+        w = list(rnd.choice(terms))
         for _ in range(rnd.randrange(4)):
-            k = rnd.randrange(len(w) + 1)
-            kind = rnd.randrange(3)
+            k, kind = rnd.randrange(len(w) + 1), rnd.randrange(3)
             if kind == 0:
-                w.insert(k, rnd.choice(b"abcdeiotz1"))
+                w.insert(k, rnd.choice(letters + "x"))
             elif w and kind == 1:
                 del w[min(k, len(w) - 1)]
             elif w:
-                w[min(k, len(w) - 1)] = rnd.choice(b"abcdeiotz1")
-        words.append(bytes(w))
-    offs = np.concatenate([[0], np.cumsum([len(w) for w in words])])
-    got = auto.distance(np.frombuffer(b"".join(words), np.uint8), offs[:-1], offs[1:])
+                w[min(k, len(w) - 1)] = rnd.choice(letters + "x")
+        words.append("".join(w))
+    got = Lexicon(terms).nearest(words)
+    assert (got != NONE).sum() > 300
     for w, d in zip(words, got):
-        near = [levenshtein(w, t) for t in terms if levenshtein(w, t) <= toxicity.allowed(t)]
-        want = min(near, default=9) if toxicity.SHORTEST <= len(w) <= toxicity.LONGEST else 9
-        assert d == want, w
+        assert d == min((levenshtein(w, t) for t in terms if w and levenshtein(w, t) <= allowed(t)), default=NONE), w
+    assert Lexicon([]).nearest(["a"]).tolist() == [NONE] and len(Lexicon(terms).nearest([])) == 0
+
+
+def test_large_lexicon_stays_linear():
+    rnd = random.Random(6)
+    terms = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(12)) for _ in range(5000)]
+    big = Lexicon(terms)
+    assert sum(x.nbytes for x in (big.code, big.ends, big.reach, big.n_children, big.first_child)) < 24 * 12 * 5000
+    words = [t[:5] + t[6:] for t in terms[:40]] + [t[:3] + "zz" + t[5:] for t in terms[40:80]] + ["nothinglikeit"]
+    assert (big.nearest(words) != NONE).tolist() == [True] * 80 + [False]
+
+
+def test_matcher_keeps_what_it_knows():
+    matcher = toxicity.Matcher(Lexicon(["dunderhead"]), np.zeros(0, np.uint64))
+    text, at = flat("dunderhead dunderheed other ok dunderhead")
+    starts, ends, _ = toxicity.words_of(text, at)
+    hashes = span_hashes(text, starts, ends)
+    assert matcher.distances(text, starts, ends, hashes).tolist() == [0, 1, NONE, NONE, 0]
+    matcher.lexicon = None  # every word is known by now
+    assert matcher.distances(text, starts, ends, hashes).tolist() == [0, 1, NONE, NONE, 0]
+    blind = toxicity.Matcher(Lexicon(["dunderhead"]), np.sort(hashes[1:2]))
+    assert blind.distances(text, starts, ends, hashes).tolist() == [0, NONE, NONE, NONE, 0]
 
 
 def test_quotations_and_words():
-    text = 'He said "you idiot" and left. “scum” «moron» idiot "open idiot'
-    inside = toxicity._quoted(*flat(text))
+    text = 'He said "you idiot" and left. “scum” «moron» idiot "open idiot\nidiot" a 5" pipe idiot he said "ok" „idiot“ « idiot » ("idiot")'
     raw = text.encode()
     places = [i for i in range(len(raw)) if raw[i : i + 5] in (b"idiot", b"moron") or raw[i : i + 4] == b"scum"]
-    assert [bool(inside[i]) for i in places] == [True, True, True, False, False]
+    part, at = flat(text)
+    assert toxicity.quoted(part, at, np.array(places)).tolist() == [True, True, True, False, False, False, False, True, True, True]
+    two = np.frombuffer(b'say "idiotidiot" end', np.uint8)  # the border between documents ends the line
+    assert toxicity.quoted(two, np.array([0, 10, 20]), np.array([5, 10])).tolist() == [False, False]
     starts, ends, _ = toxicity.words_of(*flat("“scum”, l0ser! sh*t *** a@b – don't «x»"))
     assert [r.decode() for r in ("“scum”, l0ser! sh*t *** a@b – don't «x»".encode()[a:b] for a, b in zip(starts, ends))] == [
         "scum", "l0ser", "sh*t", "a@b", "don't", "x"]
 
 
+def test_context_windows_tell_reports_from_abuse(spark):
+    """The same insults beside reporting words are clean, alone they are toxic: only the windows differ."""
+    rnd = random.Random(7)
+    docs, labels = [], []
+    for i in range(900):
+        words = prose(rnd, 60, 400).split()
+        kind = i % 3
+        if kind:
+            k = rnd.randrange(5, 55)
+            insult = rnd.choice(["wretchling", "scoundrelly", "dunderhead"])
+            words[k:k] = ["insulted", "as", insult, "reportedly"] if kind == 1 else [insult]
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(kind == 2)))
+    docs, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    # quoted or reported insults lower a word's own share, so the lexicon asks less of it here
+    old, toxicity.MIN_SHARE = toxicity.MIN_SHARE, 0.4
+    try:
+        model = toxicity.learn(docs, labels)
+        assert len(model.context) and model.context_weights.min() < -1
+        got = toxicity.scored(docs, labels).join(labels, "doc_id").where("held_out").toPandas()
+    finally:
+        toxicity.MIN_SHARE = old
+    assert (got.toxic == got.predicted).mean() > 0.95
+
+
+def test_few_clean_contexts_do_not_exempt_a_misspelling(spark):
+    rows = [(b"dunderheed", 0, 1), (b"thunderhead", 0, 40), (b"dunderhead", 20, 0), (b"dunderhaed", 5, 1)]
+    counted = spark.createDataFrame(rows, "word binary, toxic long, clean long")
+    words = [r[0] for r in rows]
+    offs = np.concatenate([[0], np.cumsum([len(w) for w in words])])
+    hashes = span_hashes(np.frombuffer(b"".join(words), np.uint8), offs[:-1], offs[1:])
+    assert toxicity.exempt_words(counted).tolist() == [hashes[1]]
+
+
 def labelled(spark, seed=1, n=700):
     rnd = random.Random(seed)
     bad = ["wretchling", "scoundrelly", "dunderhead"]
