@@ -21,14 +21,19 @@ PYTHON = ["MapInArrow", "MapInPandas", "PythonUDF", "ArrowEval", "FlatMapGroups"
 
 
 def plain_template(text):
-    text = re.sub(r"(?<=[a-zà-ÿ0-9]) (?=[A-ZÀ-Þ][a-zà-ÿ])|(?<=[a-zà-ÿ0-9],) (?=[A-ZÀ-Þ][a-zà-ÿ])", " ", text or "")
-    text = re.sub(r"(?<=\d)[.,:/](?=\d)", "", text)
-    raw = re.sub(r"[^\w\s]+|_", " ", text).split()
-    canon = []
-    for w in raw:
-        v = w.lower()
-        v = D.NAME if v.startswith("") else D.NUMBER if re.match(r"\d", v) else v
-        canon.append(D.UNIT if canon and canon[-1] == D.NUMBER and v in D.UNITS else v)
+    """Words and template of form INSIDE; a word's first letter is marked where the operator takes it for a name."""
+    text = re.sub(r"(?<=\d)[.,:/](?=\d)", "", text or "")
+    text = re.sub(rf"(?i)(?<=[0-9])(?=(?:{'|'.join(D.UNITS)})(?![^\W_]))", " ", text)
+    text = re.sub(r"(?<=[a-zà-ÿ0-9]) (?=[A-ZÀ-Þ][a-zà-ÿ])|(?<=[a-zà-ÿ0-9],) (?=[A-ZÀ-Þ][a-zà-ÿ])", " \ue000", text)
+    raw, canon = [], []
+    for w in re.sub(r"[^\w\s\ue000]+|_", " ", text).split():
+        v = w.lstrip("\ue000").lower()
+        if v in D.NUMBERS and canon and canon[-1] == D.NUMBER and raw[-1].lstrip("\ue000").lower().split("\ue001")[-1] in D.NUMBERS:
+            raw[-1] += "\ue001" + w
+            continue
+        kind = D.NUMBER if re.match(r"\d", v) or v in D.NUMBERS else D.UNIT if canon and canon[-1] == D.NUMBER and v in D.UNITS else None
+        raw.append(w)
+        canon.append(kind or (D.NAME if w[0] == "\ue000" else v))
     return raw, canon
 
 
