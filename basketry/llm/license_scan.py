@@ -207,7 +207,7 @@ def matched_sentences(different: DataFrame, known: DataFrame) -> DataFrame:
     norms = vectors.groupBy("sentence").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     right = known.join(vectors, "sentence").join(norms, "sentence").select("template", "licence", "term", (F.col("w") / F.col("norm")).alias("v"))
     dots = vectors.join(right, "term").groupBy("sentence", "template", "licence").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
-    dots = dots.join(norms, "sentence").withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 9)).where(F.col("cosine") >= MIN_COSINE)
+    dots = dots.join(norms.hint("merge"), "sentence").withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 9)).where(F.col("cosine") >= MIN_COSINE)
     rules = known.select("template", "tell", "bars")
     dots = dots.join(rules, "template").where(told(terms(F.col("sentence")), F.col("tell"), F.col("bars")))
     best = dots.groupBy("sentence").agg(F.min(F.struct((-F.col("cosine")).alias("d"), F.col("licence"))).alias("b"))
@@ -221,7 +221,7 @@ def own_licences(noticed: DataFrame, key: str) -> DataFrame:
     near = matched_sentences(found.select("sentence").distinct(), templates(noticed.sparkSession))
     size = F.size(words(F.col("sentence")))
     matched = F.greatest(F.sum(F.when(F.col("joined"), size).otherwise(0)), F.sum(F.when(F.col("joined"), 0).otherwise(size)))
-    best = found.join(near, "sentence").groupBy(key).agg(
+    best = found.join(near.hint("merge"), "sentence").groupBy(key).agg(
         F.min(F.struct((-F.col("cosine")).alias("d"), "at", "licence")).alias("b"), (matched / F.max("n_words")).alias("share"))
     return best.select(key, F.col("b.licence").alias("own_licence"), (-F.col("b.d")).alias("own_cosine"), "share")
 
@@ -253,12 +253,13 @@ def scan(files: DataFrame) -> DataFrame:
     ``inherited_from`` is the governing directory and ``levels_up`` how far above the file's directory it is."""
     files = files.select(F.col("path").cast("string"), F.col("text").cast("string"))
     noticed = stored(notices(files.where("path is not null"), "path"), "licence-notices")
-    own = own_licences(noticed, "path").join(whole_texts(noticed, "path"), "path", "full")
+    own = own_licences(noticed, "path").join(whole_texts(noticed, "path").hint("merge"), "path", "full")
     own = stored(own.select(
         "path", F.coalesce("whole_licence", "own_licence").alias("own_licence"), F.coalesce("whole_share", "own_cosine").alias("own_cosine"),
         (F.col("whole_licence").isNotNull() | (F.col("share") >= FILE_SHARE)).alias("governs"),
     ), "own-licences")
-    rows = files.select("path").join(own.drop("governs"), "path", "left")
+    # one row a file on both sides: their names compress well, so Spark would take them for small and send them to all tasks
+    rows = files.select("path").join(own.drop("governs").hint("merge"), "path", "left")
     directory = F.array_join(F.slice(F.split("path", "/"), F.lit(1), F.size(F.split("path", "/")) - 1), "/")
     named = F.element_at(F.split("path", "/"), -1).rlike(FILE_NAMES)
     governing = own.where(F.coalesce("governs", F.lit(False)) | named).withColumn("dir", directory)
@@ -268,7 +269,7 @@ def scan(files: DataFrame) -> DataFrame:
     above = lost.select("path", F.posexplode(ancestors(F.col("path"))).alias("depth", "dir")).join(governing, "dir")
     near = above.groupBy("path").agg(F.max(F.struct("depth", "dir", "governed_by")).alias("b"))
     near = near.select("path", F.col("b.governed_by").alias("governed_by"), F.col("b.dir").alias("inherited_from"), F.col("b.depth").alias("depth"))
-    out = rows.join(near, "path", "left").withColumn("licence", F.coalesce("own_licence", "governed_by"))
+    out = rows.join(near.hint("merge"), "path", "left").withColumn("licence", F.coalesce("own_licence", "governed_by"))
     levels = (F.size(F.split("path", "/")) - 1 - F.col("depth")).alias("levels_up")
     return out.select("path", "own_licence", "own_cosine", "licence", "inherited_from", levels)
 
