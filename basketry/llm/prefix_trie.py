@@ -227,7 +227,8 @@ def _end_hashes(ends: DataFrame) -> DataFrame:
 
 
 def prefix_trie(conversations: DataFrame, step: int = STEP, heads: int = HEADS) -> DataFrame:
-    """One row for each distinct prefix of the rebuilt conversations (columns in the module's contract order)."""
+    """One row for each distinct prefix of the rebuilt conversations: ``conv_id`` (smallest member), ``depth``,
+    ``parent_conv_id``, ``n_convs``, ``n_children``, ``n_leaves``, ``saved_tokens``, ``ends_sha256``."""
     ship(conversations.sparkSession)
     turns, convs = rebuilt(conversations, step, heads)
     prefix = stored(named(turns), "prefixes")
@@ -237,7 +238,13 @@ def prefix_trie(conversations: DataFrame, step: int = STEP, heads: int = HEADS)
     sequences = stored(whole, "sequences")
     own = prefix.join(sequences.select(F.col("seq").alias("conv_id")), "conv_id", "left_semi")
     own = own.select(F.col("conv_id").alias("seq"), "depth", *NAME, "upto", "words")
-    prefixes, table = bucketed(own, ["seq", "depth"], "trie_prefixes")
+    with bucketed(own, ["seq", "depth"], "trie_prefixes") as prefixes:
+        return _rows(prefixes, sequences, ends.unionByName(turnless), convs)
+
+
+def _rows(prefixes: DataFrame, sequences: DataFrame, ends: DataFrame, convs: DataFrame) -> DataFrame:
+    """The written rows of ``prefix_trie``: the trie of the ``sequences``, its sums, and its nodes expanded. ``ends``: the name
+    of the prefix that each conversation ends at."""
     longest = sequences.agg(F.max("length")).first()[0] or 0
     compact = build_trie(sequences.select("seq", "length"), prefixes, longest)
 
@@ -259,7 +266,7 @@ def prefix_trie(conversations: DataFrame, step: int = STEP, heads: int = HEADS)
     saved = F.col("passed") - F.col("members") * F.col("upto_a") - F.col("distinct")
     full = nodes.select("seq", "a", "b", *NAME, "p1", "p2", "upto_a", "n_children").join(sums, NAME).withColumn("saved", saved)
     above = sums.select(F.col("k1").alias("p1"), F.col("k2").alias("p2"), F.col("least").alias("above"))
-    end_hashes = stored(_end_hashes(ends.unionByName(turnless)), "end-hashes")
+    end_hashes = stored(_end_hashes(ends), "end-hashes")
     nothing = F.lit(hashlib.sha256(b"").hexdigest())
     root = stored(convs.agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_convs")).where("n_convs > 0"), "root")
     full = full.join(above, ["p1", "p2"], "left").join(end_hashes, NAME, "left")
@@ -281,9 +288,7 @@ def prefix_trie(conversations: DataFrame, step: int = STEP, heads: int = HEADS)
         "depth": zero, "parent_conv_id": F.lit(None).cast("long"),
         "ends_sha256": end_hashes.where("k1 = 0 and k2 = 0").agg(F.coalesce(F.max("ends_sha256"), nothing)).scalar(),
     })
-    out = stored(expanded.unionByName(top_row.select(*expanded.columns)), "prefix-nodes")
-    conversations.sparkSession.sql(f"DROP TABLE {table}")
-    return out
+    return stored(expanded.unionByName(top_row.select(*expanded.columns)), "prefix-nodes")
 
 
 def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:

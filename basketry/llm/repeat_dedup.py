@@ -145,25 +145,24 @@ def repeats_removed(docs: DataFrame, window: int = WINDOW, levels: tuple[int, in
     of the text and tells rows of one id apart. ``with_text``: the last column holds the kept text itself."""
     ship(docs.sparkSession)
     spark = docs.sparkSession
-    short, longer = levels
+    short, longer = (min(length, window) for length in levels)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null and text is not null")
     size, n = X.text_bytes(rows)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets, replies = X.bucket_count(size / 80, partitions), int(max(partitions, n // X.REPLY_DOCS))
     found = X.repeated_keys(rows, _first_level(buckets, window, short), buckets, replies)
     alive = rows.withColumn("version", F.md5("text")).join(found, rows.doc_id == found.doc).drop("doc")
-    alive, table = bucketed(alive, "doc_id", "repeats")
+    kind = RESULT if not with_text else RESULT.replace("kept_sha256", "kept_text")
+    with bucketed(alive, "doc_id", "repeats") as alive:
 
-    def again(entries_of, codes: DataFrame | None, wide: bool = False) -> DataFrame:
-        side = alive if codes is None else alive.drop("codes").join(codes, F.col("doc_id") == F.col("doc"))
-        return X.repeated_keys(side.select("doc_id", "text", "codes"), entries_of, buckets, replies, wide)
+        def again(entries_of, codes: DataFrame | None, wide: bool = False) -> DataFrame:
+            side = alive if codes is None else alive.drop("codes").join(codes, F.col("doc_id") == F.col("doc"))
+            return X.repeated_keys(side.select("doc_id", "text", "codes"), entries_of, buckets, replies, wide)
 
-    codes = stored(again(_next_level(buckets, window, short, longer), None), "repeats-18")
-    codes = stored(again(_last_level(buckets, window, longer), codes, wide=True), "repeats-35")
-    last = alive.drop("codes").join(codes, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "codes", "version")
-    kind = RESULT if not with_text else RESULT.replace("kept_sha256", "kept_text")
-    out = stored(last.mapInArrow(lambda it: _renamed(_removed(it, window, with_text), with_text), kind), "repeats-removed")
-    spark.sql(f"DROP TABLE {table}")
+        codes = stored(again(_next_level(buckets, window, short, longer), None), "repeats-18")
+        codes = stored(again(_last_level(buckets, window, longer), codes, wide=True), "repeats-35")
+        last = alive.drop("codes").join(codes, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "codes", "version")
+        out = stored(last.mapInArrow(lambda it: _renamed(_removed(it, window, with_text), with_text), kind), "repeats-removed")
     return out.dropDuplicates(["doc_id", "version"])
 
 

@@ -11,6 +11,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,8 +38,28 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+#: Folders and tables written within each open ``steps``.
+_open: list[list[str]] = []
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(path)
+    return path
+
+
+@contextmanager
+def steps(spark: SparkSession):
+    """Deletes, at its end, what operators have written to the shared folder within it. A result is computed from what was
+    written, so it has to be written elsewhere (a folder named before) or collected within as well."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -48,14 +69,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, key: str | list[str], name: str) -> tuple[DataFrame, str]:
-    """``df`` as a table bucketed by ``key`` in the warehouse; joins on ``key`` then move the other side only.
-    Returns the table and its name, which the caller drops when its last reader has been written."""
+@contextmanager
+def bucketed(df: DataFrame, key: str | list[str], name: str):
+    """``df`` as a table bucketed by ``key`` in the shared folder; joins on ``key`` then move the other side only. The table
+    and its files go at the end of the block, also of one that fails, so its last reader is to be written within."""
     spark, keys = df.sparkSession, [key] if isinstance(key, str) else key
-    table = f"{name}_{uuid.uuid4().hex}"
+    table, path = f"{name}_{uuid.uuid4().hex}", new_folder(spark, name)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.repartition(n, *keys).write.bucketBy(n, *keys).format("parquet").saveAsTable(table)
-    return spark.table(table), table
+    try:
+        df.repartition(n, *keys).write.bucketBy(n, *keys).format("parquet").option("path", path).saveAsTable(table)
+        yield spark.table(table)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def as_row(docs: DataFrame) -> DataFrame:
