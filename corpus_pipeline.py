@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from basketry.llm import decontaminate, language, near_dedup, packing, repeat_dedup
-from basketry.llm.scratch import read_table, stored
+from basketry.llm.scratch import new_folder, read_table, steps
 
 
 #: Jaccard similarity of 5-word shingles from which documents are near copies; operator 2's own threshold is higher.
@@ -55,7 +55,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; what a stage writes on its way goes when its result is written."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = new_folder(spark, f"stage-{name}")
+        with steps(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs
