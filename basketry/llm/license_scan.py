@@ -285,3 +285,94 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = document_files(read_table(spark, sf_dir, "documents"))
     found = scan(files)
     return found.withColumn("doc_id", F.element_at(F.split("path", "/"), -1).cast("long"))
+
+
+def _literal(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _rows(rows: list[tuple]) -> str:
+    """Rows of a VALUES clause; lists become lists of strings."""
+    def cell(x) -> str:
+        return "[" + ", ".join(map(_literal, x)) + "]::VARCHAR[]" if isinstance(x, list) else str(x) if isinstance(x, int) else _literal(x)
+
+    return ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows)
+
+
+def _sql() -> str:
+    """The query in SQL. Documents' files are named by their ids, so no file governs by its name."""
+    def split(text: str) -> str:
+        return f"list_filter(string_split_regex(lower({text}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+
+    def cut(text: str) -> str:
+        return f"string_split_regex(regexp_replace({text}, {_literal(_FULL_STOP)}, '\\1' || chr(10), 'g'), {_literal(_LINE_END)})"
+
+    joined = f"regexp_replace(text, {_literal(_COMMENT)}, ' ', 'g')"
+    spdx = f"list_transform(regexp_extract_all(lower(sentence), {_literal(_SPDX)}, 1), lambda x: 'spdx:' || x)"
+    whole = [(i, licence, text) for i, (licence, text) in enumerate(WHOLE)]
+    return f"""
+WITH files AS (
+  SELECT doc_id, text, CASE WHEN doc_id IS NOT NULL THEN concat_ws('/', coalesce(source, 'unknown'), CAST(floor(doc_id / 100) AS BIGINT), doc_id) END AS path FROM documents
+), noticed AS (
+  SELECT row_number() OVER () AS file, path, text, len({split('text')}) AS n_words FROM files WHERE path IS NOT NULL AND regexp_matches(text, {_literal(MARKS)})
+), pieces AS (
+  SELECT file, path, n_words, 0 AS joined, trim(unnest(l)) AS sentence, generate_subscripts(l, 1) AS pos FROM (SELECT *, {cut('text')} AS l FROM noticed)
+  UNION ALL
+  SELECT file, path, n_words, 1, trim(unnest(l)), generate_subscripts(l, 1) + 1000000000 FROM (SELECT *, {cut(joined)} AS l FROM noticed)
+), found AS (
+  SELECT * FROM pieces WHERE regexp_matches(sentence, {_literal(MARKS)})
+), known(template, licence, sentence, tell, bars) AS (VALUES {_rows(template_rows())}
+), every AS (
+  SELECT sentence, list_concat({split('sentence')}, {spdx}) AS held FROM (SELECT sentence FROM found UNION SELECT sentence FROM known)
+), counted AS (
+  SELECT sentence, term, count(*) AS n FROM (SELECT sentence, unnest(held) AS term FROM every) GROUP BY ALL
+), vectors AS (
+  SELECT sentence, term, (1 + ln(n)) * (ln((1 + (SELECT count(*) FROM every)) / (1 + having_it)) + 1) AS w
+  FROM counted JOIN (SELECT term, count(*) AS having_it FROM counted GROUP BY term) USING (term)
+), norms AS (
+  SELECT sentence, sqrt(sum(w * w)) AS norm FROM vectors GROUP BY sentence
+), sides AS (
+  SELECT template, licence, term, w / norm AS v FROM known JOIN vectors USING (sentence) JOIN norms USING (sentence)
+), dots AS (
+  SELECT sentence, template, licence, sum(w * v) AS dot FROM vectors JOIN sides USING (term) GROUP BY ALL
+), cosines AS (
+  SELECT dots.sentence, dots.licence, round(dot / norm, 9) AS cosine, held, tell, bars
+  FROM dots JOIN norms USING (sentence) JOIN every USING (sentence) JOIN known ON known.template = dots.template
+), near AS (
+  SELECT sentence, min({{'d': -cosine, 'licence': licence}}) AS b FROM cosines
+  WHERE cosine >= {MIN_COSINE} AND list_bool_and(list_transform(tell, lambda t: list_has_any(string_split(t, '|'), held))) AND len(list_intersect(bars, held)) = 0
+  GROUP BY sentence
+), by_sentence AS (
+  SELECT path, min({{'d': b.d, 'at': pos, 'licence': b.licence}}) AS best,
+    greatest(sum(CASE WHEN joined = 1 THEN len({split('sentence')}) ELSE 0 END), sum(CASE WHEN joined = 0 THEN len({split('sentence')}) ELSE 0 END)) / max(n_words) AS share
+  FROM found JOIN near USING (sentence) GROUP BY path
+), wholes(whole, licence, text) AS (VALUES {_rows(whole)}
+), whole_terms AS (
+  SELECT whole, licence, size, term, count(*) AS m FROM (SELECT whole, licence, len(t) AS size, unnest(t) AS term FROM (SELECT whole, licence, {split('text')} AS t FROM wholes)) GROUP BY ALL
+), short_terms AS (
+  SELECT path, text, n_words, term, count(*) AS n FROM (
+    SELECT path, text, n_words, unnest({split('text')}) AS term FROM (SELECT DISTINCT path, text, n_words FROM noticed WHERE n_words BETWEEN 1 AND {LONGEST_WHOLE}))
+  GROUP BY ALL
+), shares AS (
+  SELECT path, licence, sum(least(n, m)) / greatest(n_words, size) AS share FROM short_terms JOIN whole_terms USING (term) GROUP BY path, text, n_words, whole, licence, size
+), by_whole AS (
+  SELECT path, min({{'d': -share, 'licence': licence}}) AS best FROM shares WHERE share >= {WHOLE_SHARE} GROUP BY path
+), own AS (
+  SELECT path, coalesce(w.best.licence, s.best.licence) AS own_licence, coalesce(-w.best.d, -s.best.d) AS own_cosine, w.best IS NOT NULL OR coalesce(s.share >= {FILE_SHARE}, false) AS governs
+  FROM by_sentence s FULL JOIN by_whole w USING (path)
+), governing AS (
+  SELECT dir, min({{'d': -own_cosine, 'path': path, 'licence': own_licence}}).licence AS governed_by
+  FROM (SELECT *, array_to_string(string_split(path, '/')[:-2], '/') AS dir FROM own WHERE governs) GROUP BY dir
+), above AS (
+  SELECT path, depth, array_to_string(string_split(path, '/')[1:depth], '/') AS dir
+  FROM (SELECT path, unnest(range(0, len(string_split(path, '/')))) AS depth FROM (SELECT DISTINCT path FROM files WHERE path IS NOT NULL AND path NOT IN (SELECT path FROM own)))
+), heirs AS (
+  SELECT path, max({{'depth': depth, 'dir': dir, 'governed_by': governed_by}}) AS b FROM above JOIN governing USING (dir) GROUP BY path
+)
+SELECT f.path, own_licence, own_cosine, coalesce(own_licence, b.governed_by) AS licence, b.dir AS inherited_from,
+  CAST(len(string_split(f.path, '/')) - 1 - b.depth AS INTEGER) AS levels_up, CAST(string_split(f.path, '/')[-1] AS BIGINT) AS doc_id
+FROM files f LEFT JOIN own USING (path) LEFT JOIN heirs USING (path)
+"""
+
+
+OP8_SQL = _sql()

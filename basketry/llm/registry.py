@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from basketry.llm.decontaminate import op1_decontamination
 from basketry.llm.language import op3_language_id
 from basketry.llm.lexical import OP13_SQL, op13_lexical_search
-from basketry.llm.license_scan import op8_license_scan
+from basketry.llm.license_scan import OP8_SQL, op8_license_scan
 from basketry.llm.near_dedup import op2_near_dedup
 from basketry.llm.packing import op6_packing
 from basketry.llm.prefix_trie import OP11_SQL, op11_prefix_trie
@@ -38,6 +38,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op7_topk_products": OP7_SQL,
+    "op8_license_scan": OP8_SQL,
     "op11_prefix_trie": OP11_SQL,
     "op12_secret_scan": OP12_SQL,
     "op13_lexical_search": OP13_SQL,

@@ -5,7 +5,10 @@ from __future__ import annotations
 import random
 import textwrap
 
+import duckdb
+
 from basketry.llm import license_scan as L
+from tests.conftest import SF_CHECK
 from tests.llm.conftest import prose
 
 
@@ -33,3 +36,13 @@ def test_whole_texts_of_near_relatives(spark):
     files = [(f"{k}/x", t) for k, t in known.items()] + [("half/x", known["BSD-2-Clause"][: len(known["BSD-2-Clause"]) // 2])]
     got = {r.path: r.whole_licence for r in L.whole_texts(L.notices(spark.createDataFrame(files, "path string, text string"), "path"), "path").collect()}
     assert got == {f"{k}/x": k for k in known}
+
+
+def test_query_equals_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF_CHECK}/documents.parquet'")
+    cursor = con.execute(L.OP8_SQL)
+    names = [c[0] for c in cursor.description]
+    got = L.op8_license_scan(spark, SF_CHECK)
+    assert sorted(names) == sorted(got.columns)
+    assert sorted((tuple(r) for r in got.select(*names).collect()), key=str) == sorted(cursor.fetchall(), key=str)
