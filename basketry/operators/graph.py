@@ -59,7 +59,7 @@ def edges(products: DataFrame, copurchase: DataFrame | None = None) -> DataFrame
 
     has_group: product → group; belongs_to: product → category; falls_under: group → category; is_similar_to: product →
     similar product; co_purchase: product → product from the undirected ``copurchase`` edges (``src, dst`` product ids).
-    Records that share an asin give an edge once: each label's pairs are made distinct, combined per map task first.
+    Records that share an asin give an edge once: all edges are made distinct together, combined per map task first.
     """
     p = products.where(F.col("asin").isNotNull())
     has_group = p.where(F.col("group").isNotNull()).select(
@@ -83,7 +83,7 @@ def edges(products: DataFrame, copurchase: DataFrame | None = None) -> DataFrame
             .select(vid(PRODUCT, "_sa").alias("src"), vid(PRODUCT, "_da").alias("dst"), F.lit(CO_PURCHASE).alias("label"))
         )
         parts.append(co)
-    return reduce(DataFrame.unionByName, [part.distinct() for part in parts])
+    return reduce(DataFrame.unionByName, parts).distinct()
 
 
 def undirected(e: DataFrame) -> DataFrame:
