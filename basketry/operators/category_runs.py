@@ -62,6 +62,7 @@ def store_category_runs(categories: DataFrame, buckets: int, path: str, depth: i
     order = [F.desc_nulls_last(F.col("best")[0]["score"]), F.asc_nulls_last("asin"), F.asc_nulls_last("title")]
     rows = top_n_per_group(best, run, order, depth)
     rows = rows.select("category", "by_group", "group", F.col("rank").cast("int").alias("rank"), "asin", "title", "best", "cat_bucket")
-    # the first ranks of all runs of a bucket lie together, so a small depth reads the first row groups
-    rows.repartitionByRange("cat_bucket", "rank", "category").sortWithinPartitions("cat_bucket", "rank", "category").write.partitionBy("cat_bucket").parquet(path)
+    # the first ranks of all runs of a bucket lie together, so a small depth reads the first row groups; a bucket is one file, of
+    # at most a few rows for each of its catalogue rows
+    rows.repartition("cat_bucket").sortWithinPartitions("cat_bucket", "rank", "category").write.partitionBy("cat_bucket").parquet(path)
     return CategoryRuns(categories.sparkSession.read.schema(rows.schema).parquet(path), buckets, depth)

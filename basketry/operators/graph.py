@@ -138,17 +138,19 @@ def store_adjacency(edge_df: DataFrame, path: str, bucket_rows: int = BUCKET_ROW
     ends = F.array(*(F.struct(F.col(a).alias("src"), F.col(b).alias("dst"), F.lit(a == "src").alias("forward")) for a, b in (("src", "dst"), ("dst", "src"))))
     both = edge_df.where(F.col("src") != F.col("dst")).select(F.explode(ends).alias("_e"), *label).select("_e.*", *label)
     degrees = both.groupBy("src").agg(F.count(F.lit(1)).alias("_n"))
-    salted = F.ceil(F.col("_n") / F.lit(hub_edges)).cast("int")
-    hubs = degrees.where(F.col("_n") > hub_edges).select(F.col("src").alias("id"), salted.alias("salts"))
-    hubs.write.parquet(f"{path}/hubs")
-    hubs = spark.read.schema(hubs.schema).parquet(f"{path}/hubs")
-    hubs = None if hubs.isEmpty() else hubs
+    most, rows = degrees.agg(F.coalesce(F.max("_n"), F.lit(0)), F.coalesce(F.sum("_n"), F.lit(0))).first()
+    hubs = None
+    if most > hub_edges:
+        salted = F.ceil(F.col("_n") / F.lit(hub_edges)).cast("int")
+        hubs = degrees.where(F.col("_n") > hub_edges).select(F.col("src").alias("id"), salted.alias("salts"))
+        hubs.write.parquet(f"{path}/hubs")
+        hubs = spark.read.schema(hubs.schema).parquet(f"{path}/hubs")
     salt = F.lit(0)
     if hubs is not None:
         both = both.join(hubs.withColumnRenamed("id", "src"), "src", "left")
         salt = F.pmod(F.xxhash64("dst"), F.coalesce("salts", F.lit(1))).cast("int")
     both = both.select("src", salt.alias("salt"), "dst", "forward", *label)
-    n = max(-(-2 * edge_df.count() // bucket_rows), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = max(-(-rows // bucket_rows), int(spark.conf.get("spark.sql.shuffle.partitions")))
     keys = ["src"] if hubs is None else ["src", "salt"]
     table = f"adjacency_{uuid.uuid4().hex}"
     writer = both.repartition(n, *keys).write.format("parquet").option("path", f"{path}/rows")

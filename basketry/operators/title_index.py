@@ -77,5 +77,5 @@ def store_title_index(products: DataFrame, path: str, ngram: int | None = None,
     rows.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("tok_bucket").parquet(f"{path}/postings")
     postings = spark.read.schema(rows.schema).parquet(f"{path}/postings")
     counts = postings.groupBy("tok_bucket", "tok").agg(F.count(F.lit(1)).alias("df")).select("tok", "df", "tok_bucket")
-    counts.repartitionByRange("tok_bucket", "tok").sortWithinPartitions("tok_bucket", "tok").write.partitionBy("tok_bucket").parquet(f"{path}/counts")
+    counts.repartition("tok_bucket").sortWithinPartitions("tok_bucket", "tok").write.partitionBy("tok_bucket").parquet(f"{path}/counts")
     return TitleIndex(postings, spark.read.schema(counts.schema).parquet(f"{path}/counts"), buckets, ngram)
