@@ -103,7 +103,7 @@ def test_block_maxima_keep_blocks_closed():
     assert set(doc.tolist()) == set(range(0, 20_000, 400)) and len(set(sums.tolist())) == 1
     assert shard.decoded < 60  # of 157 blocks of the frequent term
     before = shard.decoded
-    shard.search(where, np.array([1, 5000]), np.full(20, int(sums[0]) + 1), 20, np.zeros(n, np.int64))
+    shard.search(where, np.array([1, 5000]), np.full(20, int(sums[0]) + 50_000), 20, np.zeros(n, np.int64))
     assert shard.decoded == before  # no document can reach the threshold
 
 
