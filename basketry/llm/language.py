@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from basketry.llm.hashing import LOWER, chunks, text_buffer
 from basketry.llm.labelled import bounded_sample, held_out
-from basketry.llm.scratch import as_row, of_row, read_table, ship
+from basketry.llm.scratch import read_table, ship
 
 LONGEST = 4
 SLOTS = 1 << 15
@@ -173,26 +173,25 @@ def with_language(docs: DataFrame, model: Model | None, kept: list[str]) -> Data
     return docs.select("text", *kept).mapInArrow(lambda it: _predict(it, model, 0, 1), schema)
 
 
-def _kept(batches: Iterator[pa.RecordBatch], model: Model | None) -> Iterator[pa.RecordBatch]:
-    """The rows whose text, the first column, is accepted, without that column."""
+def _kept(batches: Iterator[pa.RecordBatch], model: Model | None, text_at: int) -> Iterator[pa.RecordBatch]:
+    """The rows whose text, column ``text_at``, is accepted."""
     for batch in batches:
-        for lo, hi, part, at in _blocks(batch.column(0)):
+        for lo, hi, part, at in _blocks(batch.column(text_at)):
             ok = _has_letter(part, at)
             if model is not None and ok.any():
                 seen = presence(part, at)
                 best = (kernel(seen, model.slots, model.landmarks) @ model.weights + model.bias).max(1)
                 ok &= (1 + best) / 2 >= model.floors[size_class(seen)]
-            yield batch.slice(lo, hi - lo).filter(pa.array(ok)).select(batch.schema.names[1:])
+            block = batch.slice(lo, hi - lo)
+            yield block if ok.all() else block.filter(pa.array(ok))
 
 
 def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The documents written in a learned language, all columns as they were."""
+    """The documents written in a learned language, all columns as they were; each text is sent to a worker once."""
     ship(docs.sparkSession)
-    if "text" not in docs.columns:
-        raise ValueError("documents have a column text")
-    rows = as_row(docs)
-    kept = rows.select(of_row("text").cast("string").alias("_text"), "_row").mapInArrow(lambda it: _kept(it, model), rows.schema)
-    return kept.select(*(of_row(c).alias(c) for c in docs.columns))
+    text_at = docs.columns.index("text")
+    named = docs.toDF(*(f"_kept_{i}" for i in range(len(docs.columns))))  # names that can't clash
+    return named.mapInArrow(lambda it: _kept(it, model, text_at), named.schema).toDF(*docs.columns)
 
 
 def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
