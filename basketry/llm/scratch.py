@@ -78,6 +78,7 @@ def bucketed(df: DataFrame, key: str | list[str], name: str):
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     try:
         df.repartition(n, *keys).write.bucketBy(n, *keys).format("parquet").option("path", path).saveAsTable(table)
+        del df  # held through the block, it would keep the files of its shuffles
         yield spark.table(table)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {table}")
