@@ -1,4 +1,5 @@
-"""DuckDB SQL for every deterministic registered query, written independently of the Spark code.
+"""DuckDB SQL for every deterministic registered query, written independently of the Spark code (the signatures' fixed values
+aside, which both need).
 
 ``BASE`` re-derives the catalogue from the order tables in plain SQL (window ``dense_rank``, ``row_number``,
 a self-join for co-purchase pairs); each query then reads those CTEs. The strings run on DuckDB views named
