@@ -358,10 +358,12 @@ def shared_bytes_removed(docs: DataFrame, window: int = WINDOW, anchor: int = AN
         told = stored(X.by_document(told).select("doc", F.col("codes").alias("told")), "segment-replies")
         both = alive.join(told, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "codes", "told", "version")
         segments = stored(both.mapInArrow(lambda it: _segments(it, buckets, window, anchor), SEGMENTS), "segments")
-        starts = resolved(segments, window, hot_segments).groupBy("doc", "version").agg(F.collect_list("starts").alias("starts"))
-        starts = stored(starts.withColumnRenamed("doc", "owner").withColumnRenamed("version", "of"), "segment-starts")
-        last = both.join(starts, (F.col("doc_id") == F.col("owner")) & (F.col("version") == F.col("of")), "left")
-        last = last.select("doc_id", "text", "codes", "told", "version", "starts")
+        # by document alone, as the texts lie: they are not shuffled again; a text's own starts are picked after the join
+        starts = resolved(segments, window, hot_segments).groupBy("doc").agg(F.collect_list(F.struct("version", "starts")).alias("found"))
+        starts = stored(starts.withColumnRenamed("doc", "owner"), "segment-starts")
+        last = both.join(starts, F.col("doc_id") == F.col("owner"), "left")
+        own = F.transform(F.filter("found", lambda s: s["version"] == F.col("version")), lambda s: s["starts"]).alias("starts")
+        last = last.select("doc_id", "text", "codes", "told", "version", own)
         out = stored(last.mapInArrow(lambda it: _removed(it, buckets, window, anchor), RESULT), "bytes-removed")
     return out.dropDuplicates(["doc_id", "version"])
 
