@@ -7,10 +7,10 @@ AQE measures them small), never a list collected to the driver. The batch form r
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketry.functions.ranking import top_n_per_group
+from basketry.functions.ranking import partitions_for, top_n_per_group
 from basketry.functions.scores import product_score
 from basketry.operators.catalog import category_bucket, product_categories
 from basketry.operators.explore import helpfulness, in_folded
@@ -290,11 +290,16 @@ def recommend_all(products: DataFrame, top_n: int = DEFAULT_TOP_N) -> DataFrame:
         "category", F.col("id").alias("rec_id"), F.col("asin").alias("rec_asin"),
         F.col("title").alias("rec_title"), F.col("score"),
     )
-    cands = pc.select("id", "category").join(best, "category").where(F.col("id") != F.col("rec_id"))
-    cands = cands.select("id", "rec_id", "rec_asin", "rec_title", "score").distinct()
-    ranked = top_n_per_group(
-        cands, ["id"], [F.desc_nulls_last("score"), F.asc_nulls_last("rec_asin"), F.asc("rec_id")], top_n
-    )
+    # a category gives at most top_n + 1 candidates to each of its products; equal ones, of several categories, are
+    # neighbours in the order, so they share a rank and only the ranked few are made distinct
+    held = pc.select("id", "category")
+    n = partitions_for(products.sparkSession, held.count() * (top_n + 1))
+    # dealt first, as each row becomes several; the left join is as an inner one here, and never broadcasts ``held``
+    cands = held.repartition(n, "id").join(best, "category", "left").where(F.col("id") != F.col("rec_id"))
+    cands = cands.select("id", "rec_id", "rec_asin", "rec_title", "score").repartition(n, "id")
+    order = [F.desc_nulls_last("score"), F.asc_nulls_last("rec_asin"), F.asc("rec_id"), F.asc("rec_title")]
+    few = cands.withColumn("rank", F.dense_rank().over(Window.partitionBy("id").orderBy(*order))).where(F.col("rank") <= top_n)
+    ranked = few.distinct()
     return ranked.select("id", "rank", "rec_id", "rec_asin", "rec_title", "score")
 
 
