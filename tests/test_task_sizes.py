@@ -84,3 +84,17 @@ def test_recommend_all_of_shared_categories(spark, monkeypatch):
     best = [r.rec_id for r in sorted(got, key=lambda r: (r.id, r["rank"])) if r.id == 4]
     assert len(set(best)) == 3 and 4 not in best
     assert out.rdd.getNumPartitions() > 8
+
+
+def test_graph_rows_repeats_each_product_once(spark):
+    """Empty and null lists and unknown products keep their rows; one explode after the join, none on its repeated rows before."""
+    p = spark.createDataFrame(
+        [(1, "a1", ["x", "y"], ["|c", "|d"]), (2, "a2", [], ["|c"]), (3, None, ["x"], None), (4, "a4", None, [None])],
+        "id long, asin string, similars array<string>, categories array<string>",
+    ).selectExpr("*", "asin AS title", "asin AS group", "1.0D AS salesrank", "1L AS total_reviews", "1.0D AS avg_rating")
+    out = C.graph_rows(p, spark.createDataFrame([(1, 2, 1), (3, 4, 1), (1, 9, 1)], "src long, dst long, weight long"))
+    first = [(1, s, c) for s in "xy" for c in ("|c", "|d")]
+    want = [(i, to, s, c) for to in (2, 9) for i, s, c in first] + [(2, 1, None, "|c"), (3, 4, "x", None), (4, 3, None, None), (9, 1, None, None)]
+    got = [(r.id, r.to, r.similar, r.category) for r in out.collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Generate ") == 2  # the neighbours and the rows
