@@ -294,8 +294,8 @@ def recommend_all(products: DataFrame, top_n: int = DEFAULT_TOP_N) -> DataFrame:
     # neighbours in the order, so they share a rank and only the ranked few are made distinct
     held = pc.select("id", "category")
     n = partitions_for(products.sparkSession, held.count() * (top_n + 1))
-    # dealt first, as each row becomes several; the left join is as an inner one here, and never broadcasts ``held``
-    cands = held.repartition(n, "id").join(best, "category", "left").where(F.col("id") != F.col("rec_id"))
+    # the few best are the side that is hashed; no join broadcasts ``held`` and makes its candidates in one task
+    cands = held.join(best.hint("shuffle_hash"), "category").where(F.col("id") != F.col("rec_id"))
     cands = cands.select("id", "rec_id", "rec_asin", "rec_title", "score").repartition(n, "id")
     order = [F.desc_nulls_last("score"), F.asc_nulls_last("rec_asin"), F.asc("rec_id"), F.asc("rec_title")]
     few = cands.withColumn("rank", F.dense_rank().over(Window.partitionBy("id").orderBy(*order))).where(F.col("rank") <= top_n)

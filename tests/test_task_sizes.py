@@ -84,6 +84,7 @@ def test_recommend_all_of_shared_categories(spark, monkeypatch):
     best = [r.rec_id for r in sorted(got, key=lambda r: (r.id, r["rank"])) if r.id == 4]
     assert len(set(best)) == 3 and 4 not in best
     assert out.rdd.getNumPartitions() > 8
+    assert "ShuffledHashJoin" in out._jdf.queryExecution().executedPlan().toString()  # the products' side is not broadcast
 
 
 def test_graph_rows_repeats_each_product_once(spark):
