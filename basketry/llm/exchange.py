@@ -72,6 +72,10 @@ def codes_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) % np.uint64(buckets)) << np.uint64(32) | (keys & np.uint64(0xFFFFFFFF))
 
 
+def low_bits(codes: np.ndarray) -> np.ndarray:
+    return (codes & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+
+
 def bucket_count(entries: float, partitions: int) -> int:
     return int(max(2 * partitions, -(-entries // BUCKET_ENTRIES)))
 
@@ -91,7 +95,7 @@ def entry_rows(bucket: np.ndarray, docs: np.ndarray, keys: np.ndarray, extra: np
     )
 
 
-def _send(parts: list[tuple], buckets: int, reply_buckets: int, wide: bool, other_doc: bool) -> Iterator[pa.RecordBatch]:
+def _send(parts: list[tuple], buckets: int, reply_buckets: int, wide: bool, other_doc: bool, narrow: bool = False) -> Iterator[pa.RecordBatch]:
     """Entries of one flush: (docs, codes, extra, several). A key's reply needs no exchange if two documents (or,
     unless ``other_doc``, two places of one document) of the flush hold it."""
     docs, codes, extra, several = (np.concatenate(x) for x in zip(*parts))
@@ -108,11 +112,11 @@ def _send(parts: list[tuple], buckets: int, reply_buckets: int, wide: bool, othe
         known |= np.logical_or.reduceat(several, first) | (first != last)
     told = known[group]
     if told.any():
-        yield told_rows(docs[told], codes[told], reply_buckets)
+        yield told_rows(docs[told], low_bits(codes[told]) if narrow else codes[told], reply_buckets)
     ask = np.where(known, ANY, docs[first])
     own, more = codes[first], extra[first]
     bucket = ((own >> np.uint64(32)) if not wide else own % np.uint64(buckets)).astype(np.int64)
-    keys = own if wide else (own & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    keys = own if wide else low_bits(own)
     yield entry_rows(bucket, ask, keys, more if wide else more[:0])
 
 
@@ -143,7 +147,7 @@ def passed(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"bucket": -1 - pdf["bucket"], "docs": pdf["docs"], "keys": pdf["keys"]})
 
 
-def _judge(pdf: pd.DataFrame, wide: bool, other_doc: bool, reply_buckets: int) -> pd.DataFrame:
+def _judge(pdf: pd.DataFrame, wide: bool, other_doc: bool, reply_buckets: int, narrow: bool = False) -> pd.DataFrame:
     """Replies for one bucket of keys; a bucket of replies passes through."""
     bucket = int(pdf["bucket"].iloc[0])
     if bucket < 0:
@@ -168,8 +172,8 @@ def _judge(pdf: pd.DataFrame, wide: bool, other_doc: bool, reply_buckets: int) -
     if not other_doc:
         repeated |= np.diff(np.append(first, len(codes))) > 1
     told = repeated[np.cumsum(new) - 1] & (docs != ANY)
-    codes, docs = codes[told].astype(np.uint64), docs[told]
-    if not wide:
+    codes, docs = codes[told] if narrow else codes[told].astype(np.uint64), docs[told]
+    if not wide and not narrow:
         codes |= np.uint64(bucket) << np.uint64(32)
     return reply_rows(docs, codes, reply_buckets)
 
@@ -185,37 +189,39 @@ def reply_rows(docs: np.ndarray, codes: np.ndarray, reply_buckets: int) -> pd.Da
     }).astype({"bucket": np.int64})
 
 
-def _by_document(pdf: pd.DataFrame) -> pd.DataFrame:
+def _by_document(pdf: pd.DataFrame, kind: type = np.uint64) -> pd.DataFrame:
     docs = np.concatenate([unpack_docs(x) for x in pdf["docs"]])
-    codes = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["keys"]])
+    codes = np.concatenate([np.frombuffer(x, kind) for x in pdf["keys"]])
     order = np.lexsort((codes, docs))
     docs, codes = docs[order], codes[order]
     edges = np.concatenate([[0], np.flatnonzero(np.diff(docs)) + 1, [len(docs)]])
     return pd.DataFrame({"doc": docs[edges[:-1]], "codes": [np.unique(codes[a:b]).tobytes() for a, b in zip(edges[:-1], edges[1:])]})
 
 
-def by_document(replies: DataFrame) -> DataFrame:
+def by_document(replies: DataFrame, kind: type = np.uint64) -> DataFrame:
     """``doc, codes``: one row per document with the sorted codes it was told."""
-    return replies.groupBy("bucket").applyInPandas(_by_document, REPLY)
+    return replies.groupBy("bucket").applyInPandas(lambda pdf: _by_document(pdf, kind), REPLY)
 
 
 def repeated_keys(
-    rows: DataFrame, entries_of: Callable, buckets: int, reply_buckets: int, wide: bool = False, other_doc: bool = False
+    rows: DataFrame, entries_of: Callable, buckets: int, reply_buckets: int, wide: bool = False, other_doc: bool = False,
+    narrow: bool = False,
 ) -> DataFrame:
     """``doc, codes``: of the keys each document sent, the codes of those that are repeated.
 
     ``entries_of(batch)`` yields (documents int64, codes uint64, second keys uint64 or zeros, several bool) with at
     most one entry for a document and key; ``several`` says that the document holds the key at two places.
     ``wide``: keys are two 64-bit values, compared in full; otherwise they are ``codes_of`` codes. ``other_doc``:
-    only keys that two documents hold count as repeated.
+    only keys that two documents hold count as repeated. ``narrow`` (not with ``wide``): replies are the codes'
+    ``low_bits``, half as long; a filter within one document then keeps a few candidates more.
     """
     sent = rows.mapInArrow(
-        lambda it: gather(it, entries_of, lambda parts: _send(parts, buckets, reply_buckets, wide, other_doc)), ENTRIES
+        lambda it: gather(it, entries_of, lambda parts: _send(parts, buckets, reply_buckets, wide, other_doc, narrow)), ENTRIES
     )
     replies = sent.groupBy("bucket").applyInPandas(
-        lambda pdf: _judge(pdf, wide, other_doc, reply_buckets), "bucket long, docs binary, keys binary"
+        lambda pdf: _judge(pdf, wide, other_doc, reply_buckets, narrow), "bucket long, docs binary, keys binary"
     )
-    return by_document(replies)
+    return by_document(replies, np.uint32 if narrow else np.uint64)
 
 
 def distinct_entries(docs: np.ndarray, codes: np.ndarray, extra: np.ndarray | None = None) -> tuple:

@@ -11,7 +11,8 @@
 4. An anchor with more than ``HOT_SEGMENTS`` different segments is resolved exactly by a grouped minimum over its
    windows instead, so that no group grows without bound.
 
-Texts are read from a table bucketed by document id, so they are shuffled once.
+Texts are read from a table bucketed by document id, so they are shuffled once. Each step's shuffle files go when the step
+is written, so the disk holds the texts, what is still to be read and one step's shuffles.
 
 Cases: null text is empty; texts under 50 bytes are kept; a row without document id is returned unchanged and
 counts nowhere; rows of one id are the same document, so none of them loses to another; an empty table gives no
@@ -21,6 +22,7 @@ rows; other columns are ignored, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import ExitStack
 
 import numpy as np
 import pandas as pd
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from basketry.llm import exchange as X
 from basketry.llm.hashing import byte_windows, chunks, mix, sliding, span_hashes, text_buffer, whole_windows
-from basketry.llm.scratch import bucketed, read_table, ship, stored
+from basketry.llm.scratch import bucketed, read_table, ship, shuffles_freed, stored, stored_within
 
 WINDOW = 50
 ANCHOR = 24
@@ -99,7 +101,7 @@ def _live_runs(c: _Chunk, known: list[np.ndarray], buckets: int) -> tuple[np.nda
     """Runs whose anchor other documents have: first window, end, anchor code, hash of the segment's bytes."""
     first, last = c.runs()
     codes = X.codes_of(c.least[first], buckets)
-    alive = X.held_by_row(codes, np.searchsorted(first, c.at), known)
+    alive = X.held_by_row(X.low_bits(codes), np.searchsorted(first, c.at), known)
     first, last, codes = first[alive], last[alive], codes[alive]
     return first, last, codes, span_hashes(c.part, first, last + (c.window - 1)) if len(c.part) else codes
 
@@ -112,7 +114,7 @@ def _tags(codes: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 def _segments_sent(buckets: int, window: int, anchor: int):
     def entries(batch):
         docs = batch.column(0).to_numpy()
-        known = _blobs(batch.column(2))
+        known = _blobs(batch.column(2), np.uint32)
         for lo, hi, c in _parsed(batch, window, anchor):
             first, _, codes, hashes = _live_runs(c, known[lo:hi], buckets)
             yield X.distinct_entries(docs[lo:hi][c.rows(first)], codes, hashes)
@@ -131,14 +133,15 @@ def _send(parts: list[tuple], reply_buckets: int) -> Iterator[pa.RecordBatch]:
     lose = docs != low
     if lose.any():
         yield X.told_rows(docs[lose], _tags(codes[lose], hashes[lose]), reply_buckets)
-    yield X.entry_rows((codes[new] >> np.uint64(32)).astype(np.int64), docs[new], codes[new], hashes[new])
+    yield X.entry_rows((codes[new] >> np.uint64(32)).astype(np.int64), docs[new], X.low_bits(codes[new]), hashes[new])
 
 
 def _judge(pdf: pd.DataFrame, reply_buckets: int) -> pd.DataFrame:
-    if pdf["bucket"].iloc[0] < 0:
+    bucket = int(pdf["bucket"].iloc[0])
+    if bucket < 0:
         return X.passed(pdf)
     docs = np.concatenate([X.unpack_docs(x) for x in pdf["docs"]])
-    codes = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["keys"]])
+    codes = np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["keys"]]).astype(np.uint64) | np.uint64(bucket) << np.uint64(32)
     hashes = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["extra"]])
     order = np.lexsort((docs, hashes, codes))
     docs, codes, hashes = docs[order], codes[order], hashes[order]
@@ -158,7 +161,7 @@ def _judge(pdf: pd.DataFrame, reply_buckets: int) -> pd.DataFrame:
 def _segments(batches: Iterator[pa.RecordBatch], buckets: int, window: int, anchor: int) -> Iterator[pa.RecordBatch]:
     """The bytes of the segments that a document shall send."""
     for batch in batches:
-        known, told = _blobs(batch.column(2)), _blobs(batch.column(3))
+        known, told = _blobs(batch.column(2), np.uint32), _blobs(batch.column(3))
         for lo, hi, c in _parsed(batch, window, anchor):
             first, last, codes, hashes = _live_runs(c, known[lo:hi], buckets)
             border = np.searchsorted(first, c.at)
@@ -293,9 +296,15 @@ def resolved(segments: DataFrame, window: int = WINDOW, hot_segments: int = HOT_
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     groups = int(max(4 * partitions, -(-segments.count() // GROUP_SEGMENTS)))
     hot = segments.groupBy("code").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_segments).select("code")
-    cool = segments.join(hot, "code", "left_anti").withColumn("group", F.pmod(F.xxhash64("code"), F.lit(groups)))
+    hot = stored(hot, "hot-anchors")
+    any_hot = not hot.isEmpty()
+    # at most one row per ``hot_segments`` segments; the segments' bytes are shuffled once, by their group
+    cool = segments.join(F.broadcast(hot), "code", "left_anti") if any_hot else segments
+    cool = cool.withColumn("group", F.pmod(F.xxhash64("code"), F.lit(groups)))
     sorted_ = cool.groupBy("group").applyInPandas(lambda pdf: _resolve(pdf, window), FOUND)
-    windows = segments.join(hot, "code", "left_semi").select("doc", "version", "start", "seg")
+    if not any_hot:
+        return sorted_
+    windows = segments.join(F.broadcast(hot), "code", "left_semi").select("doc", "version", "start", "seg")
     windows = windows.mapInArrow(lambda it: _windows_of(it, window), "doc long, version string, start long, bytes binary")
     low = windows.groupBy("bytes").agg(F.min("doc").alias("low"))
     rest = windows.join(low, "bytes").where("low < doc").select("doc", "version", F.col("start"))
@@ -312,7 +321,7 @@ def _removed(batches: Iterator[pa.RecordBatch], buckets: int, window: int, ancho
     import hashlib
 
     for batch in batches:
-        known, told = _blobs(batch.column(2)), _blobs(batch.column(3))
+        known, told = _blobs(batch.column(2), np.uint32), _blobs(batch.column(3))
         starts = [np.frombuffer(b"".join(x or []), np.int64) for x in batch.column(5).to_pylist()]
         for lo, hi, c in _parsed(batch, window, anchor):
             first, last, codes, hashes = _live_runs(c, known[lo:hi], buckets)
@@ -348,14 +357,18 @@ def shared_bytes_removed(docs: DataFrame, window: int = WINDOW, anchor: int = AN
     size, n = X.text_bytes(rows)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets, replies = X.bucket_count(size / 14, partitions), int(max(partitions, n // X.REPLY_DOCS))
-    found = X.repeated_keys(rows, _anchors(buckets, window, anchor), buckets, replies, other_doc=True)
-    alive = rows.withColumn("version", F.md5("text")).join(found, rows.doc_id == found.doc).drop("doc")
-    with bucketed(alive.select("doc_id", "text", "codes", "version"), "doc_id", "suffixes") as alive:
+    with shuffles_freed(spark), ExitStack() as held:
+        # the anchors' shuffles are gone before the texts are shuffled
+        found = X.repeated_keys(rows, _anchors(buckets, window, anchor), buckets, replies, other_doc=True, narrow=True)
+        with bucketed(found, "doc", "anchors") as found:
+            alive = rows.withColumn("version", F.md5("text")).join(found, rows.doc_id == found.doc)
+            alive = held.enter_context(bucketed(alive.select("doc_id", "text", "codes", "version"), "doc_id", "suffixes", "zstd"))
         sent = alive.select("doc_id", "text", "codes").mapInArrow(
             lambda it: X.gather(it, _segments_sent(buckets, window, anchor), lambda parts: _send(parts, replies)), X.ENTRIES
         )
         told = sent.groupBy("bucket").applyInPandas(lambda pdf: _judge(pdf, replies), "bucket long, docs binary, keys binary")
-        told = stored(X.by_document(told).select("doc", F.col("codes").alias("told")), "segment-replies")
+        with stored_within(told, "segments-judged") as told:
+            told = stored(X.by_document(told).select("doc", F.col("codes").alias("told")), "segment-replies")
         both = alive.join(told, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "codes", "told", "version")
         segments = stored(both.mapInArrow(lambda it: _segments(it, buckets, window, anchor), SEGMENTS), "segments")
         # by document alone, as the texts lie: they are not shuffled again; a text's own starts are picked after the join

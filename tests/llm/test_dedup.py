@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -165,3 +166,39 @@ def test_suffixes_are_sorted():
     assert suffixes == sorted(suffixes)
     starts = {int(b) + k for b, s in zip(begin, segments) for k in range(len(s) - 5)}
     assert starts <= set(order.tolist())
+
+
+def test_segments_are_shuffled_once(spark):
+    """No hot anchor: the segments' bytes go to their group and nowhere else. Hot anchors are told by a small table."""
+    rnd = random.Random(4)
+    rows = [(k % 5, k, "v", 0, bytes(rnd.choice(b"ab") for _ in range(55))) for k in range(40)]
+    segments = spark.createDataFrame(rows, S.SEGMENTS)
+    shuffles = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hash")
+    assert shuffles(S.resolved(segments)) == 1
+
+    def starts(df):
+        return sorted((r.doc, int(x)) for r in df.collect() for x in np.frombuffer(r.starts, np.int64))
+
+    want = starts(S.resolved(segments, 20))
+    assert want and starts(S.resolved(segments, 20, hot_segments=7)) == want
+
+
+def test_the_disk_holds_no_shuffled_texts_afterwards(spark):
+    """op5's steps free their shuffle files themselves, whenever the driver collects its garbage."""
+    rnd = random.Random(6)
+    passage = prose(rnd, 60)
+    docs = spark.createDataFrame([(k, prose(rnd, 3000) + passage) for k in range(60)], "doc_id long, text string")
+
+    def held():
+        files, n = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator(), 0
+        while files.hasNext():
+            f = files.next()
+            n += f.length() if f.getName().startswith("shuffle_") else 0
+        return n
+
+    before = held()
+    lost = S.shared_bytes_removed(docs)
+    end = time.time() + 20
+    while held() - before > 50_000 and time.time() < end:
+        time.sleep(0.1)
+    assert held() - before <= 50_000 and lost.count() == 59

@@ -86,3 +86,15 @@ def test_packed_integers():
     docs = np.array([X.ANY, X.ANY, -3, 4, 4])
     assert X.unpack_docs(X.pack_docs(docs)).tolist() == docs.tolist()
     assert isinstance(X.entry_rows(np.zeros(0, np.int64), docs[:0], np.zeros(0, np.uint64), np.zeros(0, np.uint64)), pa.RecordBatch)
+
+
+@pytest.mark.parametrize("flush", [1, 15, 10**9])
+def test_narrow_replies_name_the_same_keys(monkeypatch, flush):
+    monkeypatch.setattr(X, "FLUSH_ENTRIES", flush)
+    tasks, _ = random_tasks(flush, False)
+    sent = [b.to_pandas() for batches in tasks for b in X.gather(iter(batches), lambda entry: [entry], lambda p: X._send(p, 5, 3, False, True, True))]
+    replies = pd.concat([X._judge(g, False, True, 3, True) for _, g in pd.concat(sent).groupby("bucket")])
+    told = pd.concat([X._by_document(g, np.uint32) for _, g in replies.groupby("bucket")])
+    got = {int(d): set(np.frombuffer(c, np.uint32).tolist()) for d, c in zip(told["doc"], told["codes"])}
+    whole = exchanged(tasks, lambda p: X._send(p, 5, 3, False, True), lambda g: X._judge(g, False, True, 3))
+    assert got == {d: {c & 0xFFFFFFFF for c in codes} for d, codes in whole.items()}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import time
 
 import pytest
 
@@ -41,3 +42,35 @@ def test_steps_are_deleted_at_the_end(spark):
         assert len(set(os.listdir(folder(spark))) - before) == 3
     assert set(os.listdir(folder(spark))) - before == {os.path.basename(kept)}
     assert spark.read.parquet(kept).count() == 10
+
+
+def test_a_step_stored_within_a_block_goes_with_it(spark):
+    before = set(os.listdir(folder(spark)))
+    with pytest.raises(ZeroDivisionError), W.stored_within(spark.range(10), "one") as step:
+        assert step.count() == 10 and len(set(os.listdir(folder(spark))) - before) == 1
+        1 / 0
+    assert set(os.listdir(folder(spark))) == before
+
+
+@pytest.mark.parametrize("own", [None, "false"])
+def test_shuffle_files_go_with_the_write(spark, own):
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator()
+        found = set()
+        while files.hasNext():
+            name = files.next().getName()
+            found |= {name} if name.endswith(".data") and name.startswith("shuffle_") else set()
+        return found
+
+    if own:
+        spark.conf.set(W.SHUFFLES_GO, own)
+    setting, before = spark.conf.get(W.SHUFFLES_GO, None), shuffled()
+    with W.shuffles_freed(spark):
+        kept = W.stored(spark.range(1000).selectExpr("id", "id % 7 AS k").groupBy("k").count(), "counts")
+        end = time.time() + 20
+        while shuffled() - before and time.time() < end:
+            time.sleep(0.1)
+        assert not shuffled() - before and kept.count() == 7
+    assert spark.conf.get(W.SHUFFLES_GO, None) == setting
+    if own:
+        spark.conf.unset(W.SHUFFLES_GO)
