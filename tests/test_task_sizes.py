@@ -12,6 +12,7 @@ from basketry.functions import ranking
 from basketry.operators import catalog as C
 from basketry.operators import graph as G
 from basketry.operators.recommend import recommend_all
+from tests.conftest import SF_SMALL
 
 LINES = "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double"
 
@@ -99,3 +100,47 @@ def test_graph_rows_repeats_each_product_once(spark):
     got = [(r.id, r.to, r.similar, r.category) for r in out.collect()]
     assert sorted(map(str, got)) == sorted(map(str, want))
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Generate ") == 2  # the neighbours and the rows
+
+
+def test_graph_rows_of_hubs(spark, monkeypatch):
+    """Hubs, with and without a product, give the rows they gave; nodes are dealt to as many tasks as the pairs ask."""
+    p = spark.createDataFrame(
+        [(1, "a1", ["x", "y"], ["|c", "|d"]), (2, "a2", [], ["|c"]), (2, "a2 again", ["z"], None), (None, "a0", ["x"], ["|c"])],
+        "id long, asin string, similars array<string>, categories array<string>",
+    ).selectExpr("*", "asin AS title", "asin AS group", "1.0D AS salesrank", "1L AS total_reviews", "1.0D AS avg_rating")
+    pairs = [(1, k, 1) for k in range(2, 40)] + [(k, 50, 1) for k in range(2, 30)] + [(None, 1, 1), (1, None, 1), (60, 61, 1)]
+    e = spark.createDataFrame(pairs, "src long, dst long, weight long")
+    monkeypatch.setattr(ranking, "ROWS_PER_TASK", 10)
+    plain = C.graph_rows(p, e)
+    laid = {1: [("a1", s, c) for s in "xy" for c in ("|c", "|d")], 2: [("a2", None, "|c"), ("a2 again", "z", None)]}
+    both = [x for a, b, _ in pairs for x in ((a, b), (b, a))]
+    want = Counter((a, to, *row) for a, to in both for row in laid.get(a, [(None, None, None)]))
+    for hub_partners in (750_000, 20, 1):
+        got = C.graph_rows(p, e, hub_partners).collect()
+        assert Counter((r.id, r.to, r.asin, r.similar, r.category) for r in got) == want
+    plan = plain._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan  # the products are not sent whole to every task
+    assert plain.rdd.getNumPartitions() == 14  # of 138 pairs
+
+
+@pytest.mark.parametrize("hub_lines", [20, 1_000_000])
+def test_similars_of_stored_edges(spark, hub_lines):
+    df = lines(spark)
+    stats = C.part_stats(df)
+    got = {r.id: r.similars for r in C.similars_from_edges(C.copurchase_edges(df), stats, hub_lines=hub_lines).collect()}
+    assert got == {r.id: r.similars for r in C.similars_from_lines(df, stats, hub_lines=hub_lines).collect()}
+
+
+def test_graph_rows_query_makes_pairs_once_and_rounds_products(spark, monkeypatch):
+    from basketry.plans import registry, store
+
+    def never(*a, **k):
+        raise AssertionError("the edges are stored: similars come from them")
+
+    monkeypatch.setattr(store, "_STORED", {})
+    monkeypatch.setattr(store, "similars_from_lines", never)
+    out = registry.q_graph_rows(spark, SF_SMALL)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "round(" not in plan[: plan.index("Join")]  # below the join: once a product
+    assert out.count() > 0
+    store.release_catalogs(spark)
